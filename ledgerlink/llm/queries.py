@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_dir, table
 from .decontam import contamination
 from .exact_dedup import exact_dedup
 from .simhash import simhash_components
+from .token_shards import read_token_shards, write_token_shards
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +22,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    write_token_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_shards(spark, path, with_ids=False)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -25,6 +35,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_shards": op5_token_shards,
     "op8_simhash": op8_simhash,
 }
 
