@@ -6,10 +6,12 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .repeats import remove_repeats
 from .simhash import simhash_components
 from .token_shards import read_token_shards, write_token_shards
 
@@ -32,11 +34,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_shards": op5_token_shards,
     "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -66,4 +73,14 @@ SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join words using (doc_id) left join items using (doc_id)
     """,
+    "op9_substring_dedup": r"""
+        with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        o as (select doc_id, i, list_aggregate(w[i : i + 19], 'string_agg', ' ') as win
+              from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+        r as (select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as k from o) where k > 1),
+        gone as (select doc_id, list(distinct p) as ps, count(distinct p) as n from (select doc_id, unnest(range(i, i + 20)) as p from r) group by doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed,
+               sha256(coalesce(list_aggregate(case when n is null then w else list_filter(w, lambda x, p: not list_contains(ps, p)) end, 'string_agg', ' '), '')) as kept_sha256
+        from d left join gone using (doc_id)
+    """,
 }
