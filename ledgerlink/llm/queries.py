@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .repeats import remove_repeats
 from .simhash import simhash_components
 from .token_shards import read_token_shards, write_token_shards
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +44,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_shards": op5_token_shards,
