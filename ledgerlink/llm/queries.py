@@ -12,6 +12,7 @@ from .common import shared_dir, table
 from .decontam import contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
 from .simhash import simhash_components
 from .token_shards import read_token_shards, write_token_shards
@@ -25,6 +26,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
+    "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_shards": op5_token_shards,
     "op8_simhash": op8_simhash,
