@@ -15,6 +15,7 @@ from .html_text import extract_text
 from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
 from .simhash import simhash_components
+from . import toxicity
 from .token_shards import read_token_shards, write_token_shards
 
 
@@ -42,6 +43,12 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, path, with_ids=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out=toxicity.in_held_out())
+    return toxicity.toxicity(docs, model).select("doc_id", toxicity.in_held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_shards": op5_token_shards,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
 }
