@@ -16,6 +16,7 @@ from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
 from .simhash import simhash_components
 from . import toxicity
+from .sp_lattice import Encoding, decode
 from .token_shards import read_token_shards, write_token_shards
 
 
@@ -49,6 +50,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).select("doc_id", toxicity.in_held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digest(table(spark, sf_dir, "documents"))
+
+
+def sentencepiece_digest(docs: DataFrame) -> DataFrame:
+    """Per document: units, pieces, an order-aware hash of the ids, and whether decoding gives the units back."""
+    enc = Encoding(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return (
+        enc.tokens(enc.checked()).groupBy(F.col("id").alias("doc_id"))
+        .agg(
+            F.count("unit").alias("n_units"),
+            F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("n_pieces"),
+            F.coalesce(F.bit_xor(F.when(F.col("unit").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_hash"),
+            F.coalesce(F.bool_and("same"), F.lit(True)).alias("round_trip"),
+        )
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -64,6 +83,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_shards": op5_token_shards,
     "op6_toxicity": op6_toxicity,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
 }
