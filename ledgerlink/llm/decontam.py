@@ -62,6 +62,12 @@ def _shards(items: list[tuple[str, bytes]], size: int) -> list[list[tuple[str, b
     return shards
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> list[tuple[str, bytes]]:
+    """Test sets are small by nature; the shards bound what one automaton holds."""
+    rows = benchmark.select(F.col(item_col).cast("string"), F.encode(F.col(item_text), "UTF-8")).filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull())
+    return [(r[0], bytes(r[1])) for r in rows.distinct().toLocalIterator()]
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """(id, n_words, hits) per row of docs: hits are the occurrences of windows, by position.
 
@@ -71,14 +77,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     several items, each count for their item_id. Other columns of either table are ignored.
     """
     spark = docs.sparkSession
-    # Test sets are small by nature; the shards bound what one automaton holds.
-    items = [
-        (r[0], bytes(r[1]))
-        for r in benchmark.select(F.col(item_col).cast("string"), F.encode(F.col(item_text), "UTF-8"))
-        .filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull())
-        .distinct()
-        .toLocalIterator()
-    ]
+    items = _items(benchmark, item_col, item_text)
     out = None
     for shard in _shards(items, window):
         found = _scan(docs, spark.sparkContext.broadcast(shard), id_col, text_col, window)
@@ -88,6 +87,28 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return out.withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10) -> DataFrame:
+    """The rows of docs, all columns unchanged, in whose text no window of the benchmark occurs."""
+    at = docs.columns.index(text_col)
+    for shard in _shards(_items(benchmark, "item_id", "text"), window):
+        docs = _clean(docs, docs.sparkSession.sparkContext.broadcast(shard), at, window)
+    return docs
+
+
+def _clean(docs, items, at, window):
+    def of(batches):
+        ids, automaton = _compile(items.value, window)
+        known = ids.get
+        for b in batches:
+            keep = []
+            for text in b.column(at).cast(pa.binary()).to_pylist():
+                words = words_of(text or b"")
+                keep.append(not words or not ids or next(automaton.iter(tuple([known(w, 0) for w in words])), None) is None)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(of, docs.schema)
+
+
 def _scan(docs, items, id_col, text_col, window):
     def of(batches):
         ids, automaton = _compile(items.value, window)
