@@ -8,8 +8,9 @@ is least in it, so a window that recurs has a recurring phrase of this kind: one
 2. Compile and stream: each shard compiles its recurring phrases into one Aho-Corasick automaton over word
    ids and streams its documents through it, which locates every occurrence. A shard is a fixed amount of
    text, so automata stay small, and the work is linear in the corpus.
-3. Judge: the windows around the located phrases meet on a 96-bit hash of their words; of each shard only
-   the first of equal windows takes part, so no key has more rows than there are shards.
+3. Judge: the windows around the located phrases travel in runs that share their least phrase, and meet on
+   it and a 96-bit hash of their words; of each shard only the first of equal windows takes part, so no
+   window has more rows than there are shards.
 4. Remove: the shards get back the windows that start earlier elsewhere and drop the words they cover.
 """
 
@@ -29,36 +30,66 @@ from .common import partitions
 
 WINDOW, PHRASE = 20, 8
 SHARDS_PER_PARTITION = 4
-CACHE_WORDS = 500_000
-BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_HASHES: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word, the same in every worker."""
-    known = _HASHES
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    codes = list(map(known.get, words))
-    if None in codes:
-        h = xxhash.xxh64_intdigest
-        for i, c in enumerate(codes):
-            if c is None:
-                codes[i] = known[words[i]] = h(words[i])
-    return np.array(codes, np.uint64)
-
-
-def rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
-    """Mixed hash of every run of size words."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out = out * base + h[j : j + n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+CACHE_WORDS = 600_000
+#: Digits of a word's number in the automata's alphabet: one range of characters for each place.
+DIGITS = 128
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+class Words:
+    """Numbers and 64-bit hashes of the words a worker has seen."""
+
+    def __init__(self):
+        self.ids: dict[bytes, int] = {}
+        self.table = np.zeros(1 << 16, np.uint64)
+        self.signs: list[str] = []
+
+    def codes(self, words: list[bytes]) -> list[int]:
+        codes = list(map(self.ids.get, words))
+        if None in codes:
+            h = xxhash.xxh64_intdigest
+            for i, c in enumerate(codes):
+                if c is None:
+                    w = words[i]
+                    c = self.ids.setdefault(w, n := len(self.ids))
+                    codes[i] = c
+                    if c == n:
+                        if n == len(self.table):
+                            self.table = np.concatenate((self.table, np.zeros(n, np.uint64)))
+                        self.table[n] = h(w)
+                        self.signs.append(chr(0x1000 + n % DIGITS) + chr(0x2000 + n // DIGITS % DIGITS) + chr(0x3000 + n // DIGITS**2))
+        return codes
+
+    def room(self) -> None:
+        if len(self.ids) > CACHE_WORDS:
+            self.__init__()
+
+
+WORDS = Words()
+_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse modulo 2 ** 64, for i < n or more."""
+    size = 1 << max(12, (n - 1).bit_length())
+    if (base, size) not in _POWERS:
+        _POWERS[base, size] = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
+    return _POWERS[base, size]
+
+
+class Rolling:
+    """Hashes of runs of words at any place, from one running sum."""
+
+    def __init__(self, h: np.ndarray, base: int):
+        up, self.down = powers(base, len(h) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+
+    def at(self, size: int, places: np.ndarray | None = None) -> np.ndarray:
+        s, n = self.sums, len(self.sums) - size
+        out = (s[size:] - s[:n]) * self.down[:n] if places is None else (s[places + size] - s[places]) * self.down[places]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
 
 
 def sliding(a: np.ndarray, size: int, best) -> np.ndarray:
@@ -71,15 +102,12 @@ def sliding(a: np.ndarray, size: int, best) -> np.ndarray:
     return a
 
 
-def least_phrases(h: np.ndarray) -> np.ndarray:
-    """Hashes, with repeats, of the phrases that are least in a window; none for fewer words than a window."""
-    if len(h) < WINDOW:
-        return np.zeros(0, np.uint64)
-    p = rolling(h, PHRASE, BASES[0])
+def least_places(p: np.ndarray) -> np.ndarray:
+    """Places of the phrases that are least in some window, given the hashes of all phrases of a text."""
     spread = WINDOW - PHRASE + 1
     least = sliding(p, spread, np.minimum)
     pad = np.zeros(spread - 1, np.uint64)
-    return p[p == sliding(np.concatenate((pad, least, pad)), spread, np.maximum)]
+    return np.flatnonzero(p == sliding(np.concatenate((pad, least, pad)), spread, np.maximum))
 
 
 def pack(ids: list[int], texts: list[bytes]) -> bytes:
@@ -100,9 +128,13 @@ def unpack(blobs) -> list[tuple[int, bytes]]:
     return sorted(out)
 
 
+def _shard_of(doc_id, shards: int):
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(shards)).cast("int")
+
+
 def _by_shard(docs: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
     return docs.filter(F.col(id_col).isNotNull()).select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
+        _shard_of(F.col(id_col), shards).alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
 
 
@@ -112,10 +144,13 @@ def _phrases(docs: DataFrame) -> DataFrame:
     def of(batches):
         for b in batches:
             shards, found = b.column(0).to_numpy(zero_copy_only=False), {}
+            WORDS.room()
             for s, t in zip(shards.tolist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = t.split() if t else []
                 if len(words) >= WINDOW:
-                    found.setdefault(s, []).append(least_phrases(word_hashes(words)))
+                    codes = np.array(WORDS.codes(words))
+                    p = Rolling(WORDS.table[codes], BASES[0]).at(PHRASE)
+                    found.setdefault(s, []).append(p[least_places(p)])
             for s, parts in found.items():
                 p, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"phrase": p.view(np.int64), "shard": np.full(len(p), s, np.int32), "n": np.minimum(n, 2).astype(np.int32)})
@@ -138,73 +173,87 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "shard int, blob binary")
 
 
-FOUND = pa.schema([("w", pa.int64()), ("x", pa.int32()), ("shard", pa.int32()), ("id", pa.int64()), ("pos", pa.int32()), ("len", pa.int32()), ("done", pa.bool_())])
+FOUND = pa.schema([("phrase", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32()))])
 
 
-def automaton_of(phrases: set[tuple[int, ...]]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+def automaton_of(phrases) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
         automaton.add_word(p)
     automaton.make_automaton()
     return automaton
 
 
-def _locate(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Candidate windows of a shard: the first of each (done: false), and runs of those that repeat in it (done)."""
-    shard = key[0].as_py()
+def _locate(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Candidate windows of a shard, in runs that share their least phrase, and windows that repeat in the shard.
+
+    Of equal windows in the shard only the first is a candidate (hashes, checks: one of each per window); the
+    others are runs without hashes.
+    """
     if not len(right) or not len(left):
         return FOUND.empty_table()
-    recurring = np.unique(right.column("phrase").to_numpy()).view(np.uint64)
-    recurring.sort()
-    docs = [(i, w) for i, t in unpack(left.column("blob").to_pylist()) if len(w := t.split()) >= WINDOW]
-    ids: dict[bytes, int] = {}
-    seen, phrases, hashes = set(), set(), []
-    for _, words in docs:
-        h = word_hashes(words)
-        hashes.append(h)
-        p = rolling(h, PHRASE, BASES[0])
-        at = np.searchsorted(recurring, p)
-        at[at == len(recurring)] = 0
-        for k in np.flatnonzero(recurring[at] == p).tolist():
-            if (v := int(p[k])) not in seen:  # one occurrence gives the phrase; the automaton locates the others
-                seen.add(v)
-                phrases.add(tuple([ids.setdefault(w, len(ids) + 1) for w in words[k : k + PHRASE]]))
-    automaton = automaton_of(phrases)
-    known = ids.get
-    parts = []
-    for n, (_, words) in enumerate(docs):
-        ends = [e for e, _ in automaton.iter(tuple([known(w, 0) for w in words]))] if phrases else []
+    WORDS.room()
+    recurring = np.unique(right.column("phrase").to_numpy().view(np.uint64))
+    sieve = np.zeros(1 << 20, bool)
+    sieve[recurring >> np.uint64(44)] = True
+    docs, texts, sums, places, hashes = [], [], [], [], []
+    for i, t in unpack(left.column("blob").to_pylist()):
+        words = t.split()
+        if len(words) < WINDOW:
+            continue
+        codes = WORDS.codes(words)
+        rolling = Rolling(WORDS.table[np.array(codes)], BASES[0])
+        p = rolling.at(PHRASE)
+        maybe = np.flatnonzero(sieve[p >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(recurring, p[maybe]), len(recurring) - 1)
+        maybe = maybe[recurring[at] == p[maybe]]
+        docs.append((i, codes))
+        texts.append("".join(map(WORDS.signs.__getitem__, codes)))
+        sums.append(rolling)
+        places.append(np.stack((np.full(len(maybe), len(docs) - 1), maybe)))
+        hashes.append(p[maybe])
+    if not docs:
+        return FOUND.empty_table()
+    # one occurrence gives the phrase; the automaton locates all
+    where = np.concatenate(places, axis=1)[:, np.unique(np.concatenate(hashes), return_index=True)[1]]
+    automaton = automaton_of(texts[n][3 * k : 3 * (k + PHRASE)] for n, k in where.T.tolist())
+    parts, spread = [], WINDOW - PHRASE + 1
+    for n, (_, codes) in enumerate(docs):
+        ends = [e for e, _ in automaton.iter(texts[n])] if len(automaton) else []
         if not ends:
             continue
-        starts = len(words) - WINDOW + 1
-        marks = np.zeros(len(words) + 2, np.int32)
-        e = np.array(ends)
-        np.add.at(marks, np.maximum(e - WINDOW + 1, 0), 1)  # windows that hold the whole phrase
-        np.add.at(marks, e - PHRASE + 2, -1)
-        pos = np.flatnonzero(np.cumsum(marks)[:starts] > 0)
+        starts = len(codes) - WINDOW + 1
+        e = np.array(ends) // 3
+        marks = np.bincount(np.maximum(e - WINDOW + 1, 0), minlength=len(codes) + 1) - np.bincount(e - PHRASE + 2, minlength=len(codes) + 1)
+        pos = np.flatnonzero(np.cumsum(marks)[:starts] > 0)  # windows that hold a located phrase whole
         if len(pos):
-            w = rolling(hashes[n], WINDOW, BASES[0])[pos]
-            x = rolling(hashes[n], WINDOW, BASES[1])[pos]
-            parts.append((w, (x >> np.uint64(32)).astype(np.uint32), np.full(len(pos), n, np.int32), pos.astype(np.int32)))
+            w = sums[n].at(WINDOW, pos)
+            x = Rolling(WORDS.table[np.array(codes)], BASES[1]).at(WINDOW, pos)
+            least = sliding(sums[n].at(PHRASE), spread, np.minimum)[pos]
+            parts.append((w, (x >> np.uint64(32)).astype(np.uint32).view(np.int32), least, np.full(len(pos), n), pos))
     if not parts:
         return FOUND.empty_table()
-    w, x, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((pos, n, x, w))
-    w, x, n, pos = w[order], x[order], n[order], pos[order]
+    w, x, least, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((x, w))  # stable: equal windows stay in order of document and place
+    same = (w[order][1:] == w[order][:-1]) & (x[order][1:] == x[order][:-1])
     first = np.ones(len(w), bool)
-    first[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1])
+    first[order[1:][same]] = False
     names = np.array([i for i, _ in docs])
     rn, rp, rl = runs(n[~first], pos[~first])
-    a, z = int(first.sum()), len(rn)
+    w, x, least, n, pos = w[first], x[first], least[first], n[first], pos[first]
+    new = np.ones(len(w), bool)
+    new[1:] = (n[1:] != n[:-1]) | (pos[1:] != pos[:-1] + 1) | (least[1:] != least[:-1])
+    at = np.flatnonzero(new)
+    cuts = np.append(at, len(w)).astype(np.int32)
+    cuts = np.concatenate((cuts, np.full(len(rn), len(w), np.int32)))
     return pa.Table.from_arrays(
         [
-            pa.array(np.concatenate((w[first].view(np.int64), names[rn] * 31 + rp))),
-            pa.array(np.concatenate((x[first].view(np.int32), np.zeros(z, np.int32)))),
-            pa.array(np.full(a + z, shard, np.int32)),
-            pa.array(np.concatenate((names[n[first]], names[rn]))),
-            pa.array(np.concatenate((pos[first], rp)).astype(np.int32)),
-            pa.array(np.concatenate((np.ones(a, np.int32), rl)).astype(np.int32)),
-            pa.array(np.arange(a + z) >= a),
+            pa.array(np.concatenate((least[at].view(np.int64), names[rn] * 31 + rp))),
+            pa.array(np.concatenate((names[n[at]], names[rn]))),
+            pa.array(np.concatenate((pos[at], rp)).astype(np.int32)),
+            pa.array(np.concatenate((np.diff(np.append(at, len(w))), rl)).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(w.view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)),
         ],
         schema=FOUND,
     )
@@ -214,8 +263,6 @@ def runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     """Consecutive positions of a document as (document, first, number)."""
     if not len(doc):
         return doc, pos, pos
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
     at = np.flatnonzero(new)
@@ -225,7 +272,7 @@ def runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
+def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
     ids, pos, lens = (right.column(c).to_numpy() for c in ("id", "pos", "len"))
     order = np.argsort(ids, kind="stable")
     ids, pos, lens = ids[order], pos[order], lens[order]
@@ -235,9 +282,8 @@ def _remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
         a, z = np.searchsorted(ids, (i, i + 1))
         removed = 0
         if a < z:
-            marks = np.zeros(len(words) + 1, np.int32)
-            np.add.at(marks, pos[a:z], 1)
-            np.add.at(marks, np.minimum(pos[a:z] + lens[a:z] + WINDOW - 1, len(words)), -1)
+            n = len(words) + 1
+            marks = np.bincount(pos[a:z], minlength=n) - np.bincount(pos[a:z] + lens[a:z] + WINDOW - 1, minlength=n)
             keep = np.cumsum(marks)[:-1] <= 0
             removed = len(words) - int(keep.sum())
             kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
@@ -264,14 +310,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = phrases.select("phrase", "shard").join(recurring, "phrase", "left_semi")
     packed = _packed(texts)
     found = packed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(
-        _locate, "w long, x int, shard int, id long, pos int, len int, done boolean"
+        _locate, "phrase long, id long, pos int, n int, hashes array<long>, checks array<int>"
     )
-    same = Window.partitionBy("w", "x")
+    # equal windows have the same least phrase: their runs meet on it, and are taken apart only there
+    apart = F.when(F.size("hashes") > 0, F.transform(F.arrays_zip("hashes", "checks"), lambda z, i: F.struct(z["hashes"].alias("w"), z["checks"].alias("x"), (F.col("pos") + i).alias("pos"), F.lit(1).alias("n"))))
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("w"), F.lit(None).cast("int").alias("x"), "pos", "n"))
+    windows = found.repartition("phrase").select("phrase", "id", F.inline(F.coalesce(apart, whole)))
     here = F.struct("id", "pos")
     repeats = (
-        found.select("shard", "id", "pos", "len", "done", F.min(F.when(~F.col("done"), here)).over(same).alias("first"))
-        .filter(F.col("done") | (here != F.col("first")))
-        .select("shard", "id", "pos", "len")
+        windows.select("id", "pos", "n", "w", F.min(here).over(Window.partitionBy("phrase", "w", "x")).alias("first"))
+        .filter(F.col("w").isNull() | (here != F.col("first")))
+        .select(_shard_of(F.col("id"), shards).alias("shard"), "id", "pos", F.col("n").alias("len"))
     )
     return (
         packed.groupBy("shard").cogroup(repeats.groupBy("shard")).applyInArrow(_remove, "id long, n_words long, n_removed long, kept_text string")
