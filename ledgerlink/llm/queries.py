@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 from .decontam import contamination
 from .exact_dedup import exact_dedup
+from .attention_lm import score_documents
 from .html_text import extract_text
 from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
@@ -76,6 +77,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    scores = score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
@@ -86,6 +93,7 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 SQL: dict[str, str] = {
