@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import money, text, times
 from ..operators import dedupe, facts, ledger, link, quality, review, rules, windows
 from ..sources import messages, records, statements
+from ..sources.scratch import scratch_path
 from .fixture_sql import VIEWS, with_views
 from .fixtures import Fixtures
 
@@ -101,6 +102,50 @@ c = F.col
 # scans, sources, sinks
 
 
+@query("scan_jsonl", "select conv_id, turn, role, md5(text) as digest from conversations")
+def _(x):
+    path = scratch_path(x.spark, "jsonl")
+    x.table("conversations").write.json(path)
+    return records.read_records(x.spark, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query("write_layer", "select 'bank' || user_id % 5 as bank_key, strftime(ts, '%Y-%m') as year_month, count(*) as n from events group by 1, 2")
+def _(x):
+    path = scratch_path(x.spark, "layer")
+    rows = x.movements().withColumn("year_month", F.substring("transaction_time", 1, 7))
+    records.write_layer(rows, path, "transaction_time", partition_by="year_month")
+    return x.spark.read.schema(rows.schema).parquet(f"{path}/table").groupBy("bank_key", "year_month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_statement_csv", """
+select 'alipay' as bank_key, right(lpad(cast(user_id as varchar), 4, '0'), 4) as account_tail, strftime(ts, '%Y-%m-%d %H:%M:%S') as transaction_time,
+       case event_type when 'purchase' then 'outflow' when 'signup' then 'inflow' else 'unknown' end as direction, cast(cast(value as decimal(18,2)) as varchar) as amount, '店' || user_id % 7 as merchant,
+       case event_type when 'purchase' then '购买' else '其他' end as summary, cast(event_id as varchar) as transaction_reference from events where event_id % 11 <> 0""")
+def _(x):
+    path = scratch_path(x.spark, "statements")
+    e = x.table("events")
+    e.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("交易时间"), F.when(c("event_type") == "purchase", "购买").otherwise("其他").alias("交易分类"), F.concat(F.lit("店"), c("user_id") % 7).alias("交易对方"), F.lit("").alias("商品说明"),
+        F.when(c("event_type") == "purchase", "支出").when(c("event_type") == "signup", "收入").otherwise("不计收支").alias("收/支"),
+        F.when(c("event_id") % 11 == 0, "无").otherwise(F.concat(F.lit("¥"), c("value").cast("decimal(18,2)").cast("string"))).alias("金额"),
+        F.concat(F.lit("卡("), F.lpad(c("user_id").cast("string"), 4, "0"), F.lit(")")).alias("收/付款方式"), c("event_id").cast("string").alias("交易订单号"),
+    ).write.csv(path, header=True)
+    return statements.read_statement_csv(x.spark, path).select("bank_key", "account_tail", "transaction_time", "direction", "amount", "merchant", "summary", "transaction_reference")
+
+
+@query("shape_cell_table", """
+select 's' || o_orderkey % 50 as sheet, o_orderkey + 10 as row, strftime(o_orderdate, '%Y-%m-%d') as transaction_time, case when o_orderkey % 2 = 0 then 'outflow' else 'inflow' end as direction,
+       case when o_orderkey % 2 = 0 then '-' else '' end || o_custkey || '.50' as amount, o_orderstatus as summary from orders where o_orderkey % 13 <> 0""")
+def _(x):
+    o = x.table("orders").withColumn("sheet", F.concat(F.lit("s"), c("o_orderkey") % 50))
+    values = F.array(
+        F.when(c("o_orderkey") % 13 == 0, "").otherwise(F.date_format("o_orderdate", "yyyyMMdd")), F.concat(F.when(c("o_orderkey") % 2 == 0, "-").otherwise(""), c("o_custkey").cast("string"), F.lit(".50")), c("o_orderstatus"))
+    body = o.select("sheet", (c("o_orderkey") + 10).alias("row"), F.posexplode(values).alias("col", "value"))
+    names = F.array(*[F.lit(n) for n in (statements.SHEET_DATE, statements.SHEET_AMOUNT, statements.SHEET_COLUMNS["summary"])])
+    head = o.select("sheet").distinct().select("sheet", F.lit(5).cast("long").alias("row"), F.posexplode(names).alias("col", "value"))
+    return statements.shape_cell_table(head.unionByName(body)).select("sheet", "row", "transaction_time", "direction", "amount", "summary")
+
+
 @query("route_manifest_files", "select pos, path, lower(regexp_extract(path, '\\.([^./]*)$', 1)) as route from (select pos, unnest(output_files) as path from fx_manifest where status = 'success')")
 def _(x):
     return records.route_manifest_files(x.manifest())
@@ -574,9 +619,17 @@ def _(x):
 # set operations and ordering
 
 
-@query("sort_layer", "select transaction_time, bank_key, amount, pos from d_bank")
+@query("ordered_layers", """
+select 'bank' as layer, transaction_time as a, bank_key as b, cast(amount as varchar) as c, pos from d_bank union all select 'orders', order_time, platform, merchant, pos from fx_orders
+union all select 'facts', occurrence_time, fact_type, cast(amount as varchar), pos from f_all union all select 'ledger', coalesce(strftime(date, '%Y-%m-%d'), ''), transaction_type, cast(abs(amount) as varchar), pos from d_ledger""")
 def _(x):
-    return x.bank.orderBy("transaction_time", "bank_key", "amount", "pos").select("transaction_time", "bank_key", "amount", "pos")
+    text_of = lambda n: F.coalesce(c(n).cast("string"), F.lit(""))
+    layers = {"bank": (x.bank, "transaction_time", "bank_key", "amount"), "orders": (x.orders(), "order_time", "platform", "merchant"), "facts": (x.all_facts, "occurrence_time", "fact_type", "amount"), "ledger": (x.entries, "date", "transaction_type", "amount")}
+    out = None
+    for name, (df, *keys) in layers.items():
+        rows = df.select(F.lit(name).alias("layer"), *[text_of(k).alias(n) for k, n in zip(keys, "abc", strict=True)], "pos")
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy("layer", "a", "b", "c", "pos")
 
 
 @query("review_order", "select source_id, transaction_type, strftime(date, '%Y-%m-%d') as date from d_ledger")

@@ -1,0 +1 @@
+"""No operator of this library needs a stream: layers are batch jobs over whole files."""
