@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def checked_ids(ids: DataFrame) -> DataFrame:
+    """Distinct ids, written once and counted, with a broadcast hint only if they are few."""
+    found = cut(ids.distinct())
+    return F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession

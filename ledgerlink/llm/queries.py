@@ -17,7 +17,7 @@ from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
 from .simhash import simhash_components
 from . import toxicity
-from .sp_lattice import Encoding, decode
+from .sp_lattice import Encoding
 from .token_shards import read_token_shards, write_token_shards
 
 
@@ -58,14 +58,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentencepiece_digest(docs: DataFrame) -> DataFrame:
     """Per document: units, pieces, an order-aware hash of the ids, and whether decoding gives the units back."""
     enc = Encoding(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return (
-        enc.tokens(enc.checked()).groupBy(F.col("id").alias("doc_id"))
-        .agg(
-            F.count("unit").alias("n_units"),
-            F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("n_pieces"),
-            F.coalesce(F.bit_xor(F.when(F.col("unit").isNotNull(), F.xxhash64("pos", "ids"))), F.lit(0)).alias("ids_hash"),
-            F.coalesce(F.bool_and("same"), F.lit(True)).alias("round_trip"),
-        )
+    tokens = enc.tokens(pieces=F.size("ids"), hash=F.xxhash64("ids"), same=F.col("same"))
+    return tokens.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count("unit").alias("n_units"),
+        F.coalesce(F.sum("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.coalesce(F.bit_xor(F.when(F.col("unit").isNotNull(), F.xxhash64("pos", "hash"))), F.lit(0)).alias("ids_hash"),
+        F.coalesce(F.bool_and("same"), F.lit(True)).alias("round_trip"),
     )
 
 

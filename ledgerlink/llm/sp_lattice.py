@@ -6,7 +6,7 @@ equi-joined to the piece table and grouped by unit into a lattice of edges; a hi
 the lattice. The public model is of the BPE type, for which the best-scoring path through the lattice is not
 the library's answer. The fold therefore applies the model's merges in order of score, as such models are
 defined: its state is the set of cut points, and each step removes the one inside the best edge whose ends
-are cut points with a single cut between them.
+are cut points with a single cut between them. The tests hold the result against the library's.
 
 Documents then join the dictionary of units: the FREQUENT most common ones by broadcast, whatever the corpus,
 all others by a shuffled join. Decoding joins ids to pieces and concatenates their bytes.
@@ -17,15 +17,19 @@ from __future__ import annotations
 import heapq
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
 
 SPACE = "▁"
-FREQUENT = 150_000
+FREQUENT = 600_000
 #: Cut points of a unit are bits of a long; longer units fold in Python over the same edges.
 LONGEST = 60
+#: Units of a partition while their lattices are built: a unit has some twenty edges, which are sorted in memory.
+UNITS_PER_PARTITION = 20_000
+#: The id of a character that is no piece; ids of pieces are smaller.
+UNKNOWN = (1 << 17) - 1
 
 
 def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
@@ -50,47 +54,56 @@ def units(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.when(odd, runs).otherwise(plain))
 
 
-def lattice(distinct: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
-    """(unit, n, edges): edges (s, e, r, id), r the negative score; single characters without a piece have id -1."""
-    subs = F.expr(
-        f"explode(flatten(transform(sequence(0, n - 1), s -> transform(sequence(1, least({longest_piece}, n - s)), l -> named_struct('s', s, 'e', s + l, 'piece', substring(unit, s + 1, l))))))"
-    )
-    edges = distinct.withColumn("n", F.length("unit")).select("unit", "n", subs.alias("x")).select("unit", "n", "x.*")
-    known = pieces.filter("piece is not null").select("piece", "id", (-F.col("score")).alias("r"))
+def edges_of(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
+    """(h, unit, n, s, e, rank, id) of distinct units (unit, n): one row per substring that is a piece.
+
+    Single characters without a piece have id UNKNOWN and rank 0. The units are dealt once; grouping and
+    all that follows stays in the same partitions (h only makes sorting them cheap). n, the unit's number of occurrences, is carried along.
+    """
+    places = distinct.filter(F.length("unit") > 0).repartition(parts, "unit").withColumn("h", F.xxhash64("unit")).select("h", "unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("s"))
+    longest = F.least(F.lit(longest_piece), F.length("unit") - F.col("s") + 1)
+    subs = places.select("h", "unit", "n", "s", F.explode(F.sequence(F.lit(1), longest)).alias("l"))
+    subs = subs.select("h", "unit", "n", (F.col("s") - 1).alias("s"), (F.col("s") - 1 + F.col("l")).alias("e"), F.col("unit").substr(F.col("s"), F.col("l")).alias("piece"))
+    known = pieces.filter("piece is not null").select("piece", "id", F.dense_rank().over(Window.orderBy(F.desc("score"))).alias("rank"))  # a vocabulary: one small table
     return (
-        edges.join(F.broadcast(known), "piece", "left")
+        subs.join(F.broadcast(known), "piece", "left")
         .filter("id is not null or e = s + 1")
-        .groupBy("unit", "n")
-        .agg(F.collect_list(F.struct("s", "e", F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("id", F.lit(-1)).alias("id"))).alias("edges"))
+        .select("h", "unit", "n", "s", "e", F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
     )
 
 
-BITS = "transform(edges, x -> named_struct('s', x.s, 'ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'mid', shiftleft(1L, x.e) - shiftleft(1L, x.s + 1), 'r', x.r, 'id', x.id))"
+def lattice(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
+    """(h, unit, n, edges) of units up to LONGEST: edges packed as longs (rank, start, end, id), so that they sort by rank, then start."""
+    packed = F.expr("shiftleft(cast(rank as bigint), 29) + shiftleft(cast(s as bigint), 23) + shiftleft(cast(e as bigint), 17) + id")
+    return edges_of(distinct, pieces, longest_piece, parts).groupBy("h", "unit", "n").agg(F.array_sort(F.collect_list(packed)).alias("edges"))
 
 
 def folded(lat: DataFrame) -> DataFrame:
-    """(unit, kept) of units up to LONGEST, by a higher-order aggregate: the edges of the final pieces, in order."""
-    df = lat.filter(F.col("n") <= LONGEST).select("unit", "n", F.array_sort(F.expr(BITS)).alias("bits"))
-    merges = "array_sort(transform(filter(bits, x -> x.mid <> 0), x -> named_struct('r', x.r, 's', x.s, 'ends', x.ends, 'mid', x.mid)))"
-    df = df.select("unit", "n", "bits", F.expr(merges).alias("merges"))
-    cuts = F.expr(
-        "aggregate(sequence(1, n), shiftleft(1L, n + 1) - 1, (b, i) -> b & ~coalesce(get(filter(merges, x -> (b & x.ends) = x.ends AND bit_count(b & x.mid) = 1), 0).mid, 0L))"
-    )
-    df = df.select("unit", "bits", cuts.alias("cuts"))
-    return df.select("unit", F.expr("filter(bits, x -> (cuts & x.ends) = x.ends AND (cuts & x.mid) = 0)").alias("kept"))
+    """(h, unit, n, kept) of units up to LONGEST: the edges (s, e, id) of the final pieces, in order.
+
+    One higher-order aggregate over the edges in order of merge rank, then place: a merge is done if both its
+    ends are cut points with a single one between them, which it removes. A merge that is done never makes a
+    better-ranked one possible: that piece was learnt earlier, from the same characters, and so was merged
+    before or is cut by another; one pass in order is the whole procedure.
+    """
+    spans = "transform(edges, x -> named_struct('ends', shiftleft(1L, cast(shiftright(x, 23) & 63 as int)) | shiftleft(1L, cast(shiftright(x, 17) & 63 as int)), 'mid', shiftleft(1L, cast(shiftright(x, 17) & 63 as int)) - shiftleft(1L, cast(shiftright(x, 23) & 63 as int) + 1), 's', cast(shiftright(x, 23) & 63 as int), 'id', cast(x & 131071 as int)))"
+    df = lat.select("h", "unit", "n", F.expr(spans).alias("spans"))
+    cuts = F.expr("aggregate(filter(spans, x -> x.mid <> 0), shiftleft(1L, length(unit) + 1) - 1, (b, x) -> if((b & x.ends) = x.ends AND bit_count(b & x.mid) = 1, b & ~x.mid, b))")
+    df = df.select("h", "unit", "n", "spans", cuts.alias("cuts"))
+    return df.select("h", "unit", "n", F.expr("array_sort(transform(filter(spans, x -> (cuts & x.ends) = x.ends AND (cuts & x.mid) = 0), x -> named_struct('s', x.s, 'id', x.id)))").alias("kept"))
 
 
 def with_bytes(df: DataFrame, first_byte: int) -> DataFrame:
     """ids of the kept edges; a character without a piece becomes the ids of its UTF-8 bytes."""
     hexed = "hex(encode(substring(unit, x.s + 1, 1), 'UTF-8'))"
     byte_ids = f"transform(sequence(1, length({hexed}), 2), k -> cast(conv(substring({hexed}, k, 2), 16, 10) as int) + {first_byte})"
-    return df.select("unit", F.expr(f"flatten(transform(kept, x -> if(x.id >= 0, array(x.id), {byte_ids})))").alias("ids"))
+    return df.select("h", "unit", "n", F.expr(f"flatten(transform(kept, x -> if(x.id <> {UNKNOWN}, array(x.id), {byte_ids})))").alias("ids"))
 
 
 def merge_long(unit: str, edges: list[dict], first_byte: int) -> list[int]:
     """The same merges with a heap, for one long unit."""
     n = len(unit)
-    found = {(e["s"], e["e"]): (e["r"], e["id"]) for e in edges}
+    found = {(e["s"], e["e"]): (e["rank"], e["id"]) for e in edges}
     left, right = list(range(-1, n)), list(range(1, n + 2))  # neighbours of each cut point
     alive = [True] * (n + 1)
     heap: list[tuple[float, int, int, int]] = []
@@ -112,37 +125,48 @@ def merge_long(unit: str, edges: list[dict], first_byte: int) -> list[int]:
     while s < n:
         e = right[s]
         i = found[s, e][1]
-        out += [i] if i >= 0 else [b + first_byte for b in unit[s:e].encode()]
+        out += [i] if i != UNKNOWN else [b + first_byte for b in unit[s:e].encode()]
         s = e
     return out
 
 
-def encode_units(distinct: DataFrame, pieces: DataFrame, longest_piece: int, first_byte: int) -> DataFrame:
-    """(unit, ids) of distinct units."""
-    lat = lattice(distinct, pieces, longest_piece)
+def encode_units(counts: DataFrame, pieces: DataFrame, longest_piece: int, first_byte: int) -> DataFrame:
+    """(unit, n, ids, same) of units (unit, n); same: the ids decode to the unit."""
 
     def long_ones(batches):
         for b in batches:
-            names = b.column(0).to_pylist()
-            ids = [merge_long(u, e, first_byte) for u, e in zip(names, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"unit": pa.array(names, pa.string()), "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    long = lattice(distinct.filter(F.length("unit") > LONGEST), pieces, longest_piece).select("unit", "edges").mapInArrow(long_ones, "unit string, ids array<int>")
-    return with_bytes(folded(lat), first_byte).unionByName(long)
+            names = b.column("unit").to_pylist()
+            ids = [merge_long(u, e, first_byte) for u, e in zip(names, b.column("edges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["h", "unit", "n", "ids"])
+
+    parts = max(1, counts.count() // UNITS_PER_PARTITION)
+    short, long = F.length("unit") <= LONGEST, F.length("unit") > LONGEST
+    native = with_bytes(folded(lattice(counts.filter(short), pieces, longest_piece, parts)), first_byte)
+    rows = edges_of(counts.filter(long), pieces, longest_piece, max(1, parts // 16)).groupBy("h", "unit", "n").agg(F.collect_list(F.struct("s", "e", "rank", "id")).alias("edges"))
+    other = rows.mapInArrow(long_ones, "h long, unit string, n long, ids array<int>")
+    out = None
+    for part in (native, other):
+        back = decode(part, pieces, ["h", "unit"], carry=["n", "ids"])
+        done = back.select("unit", "n", "ids", (F.col("decoded") == F.col("unit")).alias("same"))
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
-def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
-    """(key, decoded) of rows (key, ids): ids are exploded, joined to the piece table and put together as bytes.
+def decode(encoded: DataFrame, pieces: DataFrame, keys: list[str], ids_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
+    """(keys, carry, decoded) of rows with ids: ids are exploded, joined to the piece table and put together as bytes.
 
     Keys should be distinct. Spaces are left as the sign that stands for them; text_of removes it. Ids outside
-    the table add nothing; a null or empty array gives the empty text; malformed bytes become U+FFFD.
+    the table add nothing; a null or empty array gives the empty text; malformed bytes become U+FFFD. Rows
+    that are already dealt by one of the keys are not shuffled.
     """
-    table = pieces.select("id", F.coalesce(F.hex(F.encode("piece", "UTF-8")), F.lpad(F.hex("byte"), 2, "0")).alias("h"))
+    carry = carry or []
+    table = pieces.select("id", F.coalesce(F.hex(F.encode("piece", "UTF-8")), F.lpad(F.hex("byte"), 2, "0")).alias("_h"))
     return (
-        encoded.select(F.col(key).alias("k"), F.posexplode_outer(ids_col).alias("p", "id"))
+        encoded.select(*keys, *carry, F.posexplode_outer(ids_col).alias("_p", "id"))
         .join(F.broadcast(table), "id", "left")
-        .groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("h", F.lit("")).alias("h")))), lambda x: x["h"]), "").alias("h"))
-        .select(F.col("k").alias(key), F.decode(F.unhex("h"), "UTF-8").alias("decoded"))
+        .groupBy(*keys)
+        .agg(*[F.first(x).alias(x) for x in carry], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_h", F.lit("")).alias("_h")))), lambda x: x["_h"]), "").alias("_h"))
+        .select(*keys, *carry, F.decode(F.unhex("_h"), "UTF-8").alias("decoded"))
     )
 
 
@@ -165,23 +189,34 @@ class Encoding:
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode_outer(units(F.col(text_col))).alias("pos", "unit"))
         self.id_col = id_col
         counted = self.rows.filter("unit is not null").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-        counts = written(counted, "sp-units")
-        encoded = encode_units(counts.select("unit"), self.pieces, bounds.longest, bounds.first)
-        self.dictionary = written(counts.join(encoded, "unit"), "sp-dictionary")
-
-    def checked(self) -> DataFrame:
-        """The dictionary with same: decoding the unit's ids gives the unit back."""
-        back = decode(self.dictionary, self.pieces, "unit")
-        return written(self.dictionary.join(back, "unit").select("unit", "n", "ids", (F.col("decoded") == F.col("unit")).alias("same")), "sp-checked")
-
-    def tokens(self, dictionary: DataFrame | None = None) -> DataFrame:
-        """(id, pos, unit, ids, ...): one row per unit of every document, and one with null unit for an empty document."""
-        found = self.dictionary if dictionary is None else dictionary
-        columns = [c for c in found.columns if c not in ("unit", "n")]
-        top = F.broadcast(found.orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit", *columns))
-        common = self.rows.join(top, "unit", "left").filter(F.col("ids").isNotNull() | F.col("unit").isNull())
-        rare = self.rows.filter("unit is not null").join(top.select("unit"), "unit", "left_anti").join(found.select("unit", *columns), "unit")
-        return common.select("id", "pos", "unit", *columns).unionByName(rare.select("id", "pos", "unit", *columns))
+        counts = written(counted, "sp-units", compression="zstd")
+        self.dictionary = written(encode_units(counts, self.pieces, bounds.longest, bounds.first), "sp-dictionary", compression="zstd")
+
+    def _common(self):
+        """A filter for at most FREQUENT units: those whose occurrences lie above a step of 2 ** (1 / 8)."""
+        step = F.floor(8 * F.log2(F.col("n")))
+        left, least = FREQUENT, None
+        for r in self.dictionary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("step")).collect():  # a few hundred steps
+            left -= r.units
+            if left < 0:
+                break
+            least = r.step
+        return step >= least if least is not None else F.lit(False)
+
+    def tokens(self, **columns: Column) -> DataFrame:
+        """(id, pos, unit, ...) with the given columns of the dictionary (ids, same), ids if none is given.
+
+        One row per unit of every document, and one with null unit for an empty document. The most common
+        units are broadcast, whatever the corpus; the others are joined.
+        """
+        columns = columns or {"ids": F.col("ids")}
+        common = self._common()
+        found = self.dictionary.select("unit", common.alias("_common"), *[v.alias(k) for k, v in columns.items()])
+        top = F.broadcast(found.filter("_common"))
+        near = self.rows.join(top, "unit", "left").filter("_common or unit is null")
+        far = self.rows.filter("unit is not null").join(top.select("unit"), "unit", "left_anti").join(found.filter("not _common"), "unit")
+        names = ["id", "pos", "unit", *columns]
+        return near.select(*names).unionByName(far.select(*names))
 
     def documents(self) -> DataFrame:
         """(id_col, ids): whole id arrays, units in order."""
