@@ -39,7 +39,8 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 class Words:
     """Numbers and 64-bit hashes of the words a worker has seen."""
 
-    def __init__(self):
+    def __init__(self, most: int = CACHE_WORDS, spelled: bool = True):
+        self.most, self.spelled = most, spelled
         self.ids: dict[bytes, int] = {}
         self.table = np.zeros(1 << 16, np.uint64)
         self.signs: list[str] = []
@@ -57,12 +58,13 @@ class Words:
                         if n == len(self.table):
                             self.table = np.concatenate((self.table, np.zeros(n, np.uint64)))
                         self.table[n] = h(w)
-                        self.signs.append(chr(0x1000 + n % DIGITS) + chr(0x2000 + n // DIGITS % DIGITS) + chr(0x3000 + n // DIGITS**2))
+                        if self.spelled:
+                            self.signs.append(chr(0x1000 + n % DIGITS) + chr(0x2000 + n // DIGITS % DIGITS) + chr(0x3000 + n // DIGITS**2))
         return codes
 
     def room(self) -> None:
-        if len(self.ids) > CACHE_WORDS:
-            self.__init__()
+        if len(self.ids) > self.most:
+            self.__init__(self.most, self.spelled)
 
 
 WORDS = Words()
