@@ -105,6 +105,32 @@ def test_near_copies_are_verified_and_found(spark):
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_copies_find_every_pair(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    docs, at = [], 0
+    for n in (60, 100, 150, 300, 700):
+        for _ in range(12):
+            base = some(n)
+            scattered = list(base)
+            for k in range(max(1, n // 60)):
+                scattered[rng.randrange(n)] = f"new{k}"
+            block = list(base)
+            block[n // 3 : n // 3 + n // 15] = some(n // 15)
+            for copy in (base, base + some(n // 5 - 2), block, scattered, [*base, "one", "two"]):
+                docs.append((at, " ".join(copy)))
+                at += 1
+    sets = {}
+    for i, t in docs:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i: c for i, c in closure(sets, links).items() if c != i}
+    got = {r.doc_id: r.keep_id for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 200 and got == want
+
+
 def brute_repeats(docs, size=20):
     seen, out = set(), {}
     for i, t in sorted(docs):
