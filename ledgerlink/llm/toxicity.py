@@ -24,6 +24,8 @@ from .common import cut
 
 TRAIN_ROWS = 15_000
 CACHE_WORDS = 250_000
+#: Longer tokens are scored each time, so that the cache stays small.
+CACHED_LENGTH = 80
 MIN_WEIGHT = 1.5
 ALPHABET = 64
 MAX_FEATURES = 50_000
@@ -51,8 +53,17 @@ class Channel:
         for g, n in self.pair.items():
             self.mid[g[0]] += n
         self.size = len(self.one) + 1
+        self.known: dict[tuple[str, str, str], float] = {}
 
     def log_p(self, a: str, b: str, c: str) -> float:
+        p = self.known.get((a, b, c))
+        if p is None:
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+            p = self.known[a, b, c] = self._log_p(a, b, c)
+        return p
+
+    def _log_p(self, a: str, b: str, c: str) -> float:
         p1 = (self.one.get(c, 0) + 0.5) / (self.total + 0.5 * self.size)
         p2 = (self.pair.get(b + c, 0) + 2 * p1) / (self.mid.get(b, 0) + 2)
         return math.log((self.three.get(a + b + c, 0) + 2 * p2) / (self.two.get(a + b, 0) + 2))
@@ -79,9 +90,10 @@ class Channel:
         return out
 
     def decode(self, token: str) -> str:
-        best = {("^", "^"): (0.0, "")}
-        for options in self.lattice(token[:64]):
-            found: dict[tuple[str, str], tuple[float, str]] = {}
+        """The most likely letters of the whole token; of equally likely ones the last in order."""
+        best: dict[tuple[str, str], tuple[float, tuple]] = {("^", "^"): (0.0, ())}
+        for options in self.lattice(token):
+            found: dict[tuple[str, str], tuple[float, tuple]] = {}
             for (a, b), (score, path) in best.items():
                 for letters, cost in options:
                     s, x, y = score + cost, a, b
@@ -89,9 +101,20 @@ class Channel:
                         s += self.log_p(x, y, c)
                         x, y = y, c
                     if (x, y) not in found or s > found[x, y][0]:
-                        found[x, y] = (s, path + letters)
+                        found[x, y] = (s, (path, letters) if letters else path)
             best = found
-        return max((s + self.log_p(a, b, "$"), path) for (a, b), (s, path) in best.items())[1]
+        ends = [(s + self.log_p(a, b, "$"), path) for (a, b), (s, path) in best.items()]
+        top = max(s for s, _ in ends)
+        return max(_spelt(path) for s, path in ends if s == top)
+
+
+def _spelt(path: tuple) -> str:
+    """The letters of a path, which is (path before, letters)."""
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def words_of(token: str) -> str:
@@ -115,8 +138,8 @@ def restore(text: str, channel: Channel) -> str:
 
 
 def features(word: str) -> set[str]:
-    """The word and its 4- to 6-character pieces with edges, and longer beginnings."""
-    if len(word) < 3 or len(word) > 40:
+    """The word, of any length, and its 4- to 6-character pieces with edges, and longer beginnings."""
+    if len(word) < 3:
         return set()
     w = f"^{word}$"
     return {w, *(w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)), w[:7], w[:8], w[:9]}
@@ -156,7 +179,9 @@ class Model:
             for i, s in enumerate(scores):
                 if s is None:
                     w = words[i]
-                    scores[i] = known[w] = self.word_score(w)
+                    scores[i] = self.word_score(w)
+                    if len(w) <= CACHED_LENGTH:
+                        known[w] = scores[i]
         strong = sorted([s for s in scores if s], reverse=True)
         second = strong[1] if len(strong) > 1 else 0.0
         return [1.0, strong[0] if strong else 0.0, second, sum(strong[:5]), math.log1p(sum(s for s in strong if s > 2 * MIN_WEIGHT))]

@@ -151,3 +151,19 @@ def test_toxicity_decodes_learns_and_generalises(spark):
 def test_toxicity_restores_text():
     channel = toxicity.Channel({"^^m": 9, "^mo": 9, "mor": 9, "oro": 9, "ron": 9, "on$": 9})
     assert toxicity.restore("A m.o.r.o.n, plain!", channel) == "a moron plain"
+
+
+def test_toxicity_reads_whole_tokens():
+    counts = {}
+    for w in ("when", "you", "come", "over", "here", "tomorrow", "morning", "are", "stupid", "idiot"):
+        for i in range(len(w) + 1):
+            g = f"^^{w}$"[i : i + 3]
+            counts[g] = counts.get(g, 0) + 9
+    channel = toxicity.Channel(counts)
+    said = "whenyoucomeoverheretomorrowmorningyouareastupididiot"
+    assert toxicity.restore(" ".join(said), channel) == said
+    assert toxicity.restore("s" * 70 + "tupid1diot", channel).endswith("tupididiot")
+    assert len(channel.decode("a1b" * 20_000)) == 60_000
+    model = toxicity.Model(channel, {"idio": 5.0}, [-4.0, 2.0, 0.0, 0.0, 0.0])
+    assert model.score(" ".join(said)) > 0.9 and model.score(said) > 0.9 and model.score("世界" * 30 + "idiot") > 0.9
+    assert model.score("whenyoucomeoverhere" * 5) < 0.1
