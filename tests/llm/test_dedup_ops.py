@@ -8,7 +8,7 @@ import xxhash
 
 from ledgerlink.llm.components import connected_components
 from ledgerlink.llm.exact_dedup import exact_dedup
-from ledgerlink.llm.near_copies import near_copies
+from ledgerlink.llm.near_copies import first_pairs, near_copies, other_pairs
 from ledgerlink.llm.repeats import remove_repeats
 from ledgerlink.llm.simhash import fingerprint, fingerprint_links, simhash_components
 
@@ -131,6 +131,24 @@ def test_near_copies_find_every_pair(spark):
     assert len(want) > 200 and got == want
 
 
+def test_near_copies_beside_a_stranger_are_linked(spark):
+    # ids 1 and 3 are copies; 2 lies between them in every bucket of shingles that all three share
+    rows = [(key, i, n, 0) for key in (7, 8) for i, n in ((1, 20), (2, 100), (3, 21))] + [(9, i, 20, 0) for i in range(10, 700, 3)]
+    prefix = spark.createDataFrame(rows, "key long, id long, n int, i int")
+    assert {(r.a, r.b) for r in first_pairs(prefix, 0.8).collect() if r.a < 10} == {(1, 3)}
+    comps = spark.createDataFrame([(i, 10) for i in range(13, 700, 3) if i != 400], "u long, component long")
+    other = {(r.a, r.b) for r in other_pairs(prefix, comps, 0.8).collect()}
+    assert other == {(1, 3)} | {(min(i, 400), max(i, 400)) for i in range(10, 700, 3) if i != 400}  # one group: only the one outside it is compared
+    rng = random.Random(13)
+    some = lambda n: [str(rng.randrange(9000)) for _ in range(n)]
+    line, docs = some(40), []
+    for k in range(0, 60, 3):
+        tail = some(4)
+        docs += [(k, " ".join(line + tail + some(4))), (k + 1, " ".join(line + some(60))), (k + 2, " ".join(line + tail[:2] + some(3)))]
+    got = {r.doc_id: r.keep_id for r in near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k + 2 for k in range(0, 60, 3)} <= set(got) and not any(i % 3 == 1 for i in got)
+
+
 def brute_repeats(docs, size=20):
     seen, out = set(), {}
     for i, t in sorted(docs):
