@@ -17,7 +17,7 @@ from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
 from .simhash import simhash_components
 from . import toxicity
-from .sp_lattice import Encoding
+from .sp_lattice import Encoding, decode, text_of
 from .token_shards import read_token_shards, write_token_shards
 
 
@@ -52,19 +52,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_digest(table(spark, sf_dir, "documents"))
+    return sentencepiece_documents(table(spark, sf_dir, "documents"))
 
 
-def sentencepiece_digest(docs: DataFrame) -> DataFrame:
-    """Per document: units, pieces, an order-aware hash of the ids, and whether decoding gives the units back."""
+def sentencepiece_documents(docs: DataFrame) -> DataFrame:
+    """Per document: units, pieces, an order-aware hash of the ids, the ids, and whether decoding them gives the text.
+
+    Every document's ids are decoded as a whole and compared with its text, by SHA-256 of both.
+    """
     enc = Encoding(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    tokens = enc.tokens(pieces=F.size("ids"), hash=F.xxhash64("ids"), same=F.col("same"))
-    return tokens.groupBy(F.col("id").alias("doc_id")).agg(
-        F.count("unit").alias("n_units"),
-        F.coalesce(F.sum("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.coalesce(F.bit_xor(F.when(F.col("unit").isNotNull(), F.xxhash64("pos", "hash"))), F.lit(0)).alias("ids_hash"),
-        F.coalesce(F.bool_and("same"), F.lit(True)).alias("round_trip"),
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    encoded = enc.documents(
+        texts.withColumnRenamed("doc_id", "id"),
+        n_units=F.count("unit"),
+        ids_hash=F.coalesce(F.bit_xor(F.when(F.col("unit").isNotNull(), F.xxhash64("pos", F.xxhash64("ids")))), F.lit(0)),
+        sha=F.max("sha"),
     )
+    back = decode(encoded, enc.pieces, ["doc_id"], carry=["n_units", "ids_hash", "sha", "ids"])
+    same = F.sha2(text_of(F.col("decoded")), 256) == F.col("sha")
+    return back.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_pieces"), "ids_hash", "ids", same.alias("round_trip"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,9 +218,15 @@ class Encoding:
         names = ["id", "pos", "unit", *columns]
         return near.select(*names).unionByName(far.select(*names))
 
-    def documents(self) -> DataFrame:
-        """(id_col, ids): whole id arrays, units in order."""
-        unit = F.struct("pos", "ids")
-        return self.tokens().groupBy(F.col("id").alias(self.id_col)).agg(
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), unit))), lambda x: x["ids"])).alias("ids")
+    def documents(self, more: DataFrame | None = None, **columns: Column) -> DataFrame:
+        """(id_col, ids, ...): whole id arrays, units in order; and the given aggregates of tokens and rows of more.
+
+        more has the ids (id) of all documents and columns of its own, one row per document.
+        """
+        unit, rows = F.struct("pos", "ids"), self.tokens()
+        if more is not None:
+            rows = rows.unionByName(more, allowMissingColumns=True)
+        return rows.groupBy(F.col("id").alias(self.id_col)).agg(
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), unit))), lambda x: x["ids"])).alias("ids"),
+            *[v.alias(k) for k, v in columns.items()],
         )

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from ledgerlink.llm import attention_lm, elias_fano
 from ledgerlink.llm.common import shared_dir
+from ledgerlink.llm.queries import op7_sentencepiece
 from ledgerlink.llm.sp_lattice import UNKNOWN, Encoding, decode, merge_long, text_of
 from ledgerlink.llm.token_shards import encoder, read_token_shards, write_token_shards
 
@@ -73,6 +74,16 @@ def test_sentencepiece_equals_the_library_and_decodes(spark):
     assert enc.dictionary.filter("not same").count() == 0
 
 
+def test_sentencepiece_query_returns_ids_and_compares_whole_texts(spark, tmp_path):
+    docs = [(1, "Hello the  world"), (2, None), (3, ""), (4, " a\nb "), (5, "x▁y"), (6, "the world " * 400), (7, "😀\x00é" * 30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r.doc_id: r for r in op7_sentencepiece(spark, str(tmp_path)).collect()}
+    assert {i: list(r.ids) for i, r in got.items()} == {i: m.encode(t or "") for i, t in docs}
+    assert all(r.n_pieces == len(r.ids) for r in got.values())
+    assert {i for i, r in got.items() if not r.round_trip} == {5}  # the sign for a space comes back as a space
+
+
 def test_long_units_merge_like_short_ones():
     edges = [{"s": i, "e": i + 1, "rank": 0, "id": 1} for i in range(4)] + [{"s": i, "e": i + 2, "rank": 5, "id": 2} for i in range(3)] + [{"s": 0, "e": 4, "rank": 9, "id": 3}]
     assert merge_long("aaaa", edges, 3) == [3]
