@@ -139,3 +139,18 @@ def test_language_model(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(count[w] > 0 for w in words), n)
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
     assert attention_lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), BPE, training).count() == 0
+
+
+def test_spelling_probabilities_sum_to_one(spark):
+    rng = random.Random(21)
+    rare = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 14))) for _ in range(30_000)] + [b"a\x00b"]
+    docs = [(i, " ".join(w.decode() for w in rare[i::40])) for i in range(40)]
+    lm = attention_lm.LanguageModel(spark.createDataFrame(docs, "doc_id long, text string"), BPE, F.lit(True))
+    for front in (b"", b"q", b"th", b"zebra", b"xqzjkvw", b"\xff\x00", b"a"):
+        longer = [front + bytes([b]) for b in range(256)]
+        p, begin = lm.spelling.places(longer)
+        end, at = lm.spelling.places([front])
+        assert abs(p[begin + len(front)].sum() + end[at[0] + len(front)] - 1) < 1e-6
+    counted = {g: n for k, n, _, _ in lm.spelling.orders[:1] for g, n in zip(k.tolist(), n.tolist(), strict=True)}
+    once = [w for w, n in Counter(rare).items() if n == 1]
+    assert counted[ord("e")] == sum(w.count(b"e") for w in once) and counted[attention_lm.LAST] == len(once)
