@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -154,3 +155,21 @@ def test_spelling_probabilities_sum_to_one(spark):
     counted = {g: n for k, n, _, _ in lm.spelling.orders[:1] for g, n in zip(k.tolist(), n.tolist(), strict=True)}
     once = [w for w, n in Counter(rare).items() if n == 1]
     assert counted[ord("e")] == sum(w.count(b"e") for w in once) and counted[attention_lm.LAST] == len(once)
+
+
+def test_attention_trains_on_every_window(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(now):
+        def train(table):
+            seen.add(table.num_rows)
+            p = attention_lm.vector(now.value)
+            return pa.table({"at": np.arange(len(p)), "p": p.astype(np.float64), "n": np.ones(len(p))})
+
+        return train
+
+    monkeypatch.setattr(attention_lm, "_trainer", counting)
+    docs = [(i, "the same words in a copy " * 20) for i in range(50)] + [(90, None), (91, "a " * 31), (92, "a " * 32)]
+    lm = attention_lm.LanguageModel(spark.createDataFrame(docs, "doc_id long, text string"), BPE, F.lit(True))
+    assert lm.n == 50 * 121 + 1 + 32 + 33
+    assert seen.value == attention_lm.ROUNDS * (50 * 4 + 1 + 1 + 2)
