@@ -17,7 +17,7 @@ from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
 from .simhash import simhash_components
 from . import toxicity
-from .sp_lattice import Encoding, decode, text_of
+from .sp_lattice import Encoding
 from .token_shards import read_token_shards, write_token_shards
 
 
@@ -56,21 +56,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_documents(docs: DataFrame) -> DataFrame:
-    """Per document: units, pieces, an order-aware hash of the ids, the ids, and whether decoding them gives the text.
-
-    Every document's ids are decoded as a whole and compared with its text, by SHA-256 of both.
-    """
-    enc = Encoding(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    encoded = enc.documents(
-        texts.withColumnRenamed("doc_id", "id"),
-        n_units=F.count("unit"),
-        ids_hash=F.coalesce(F.bit_xor(F.when(F.col("unit").isNotNull(), F.xxhash64("pos", F.xxhash64("ids")))), F.lit(0)),
-        sha=F.max("sha"),
-    )
-    back = decode(encoded, enc.pieces, ["doc_id"], carry=["n_units", "ids_hash", "sha", "ids"])
-    same = F.sha2(text_of(F.col("decoded")), 256) == F.col("sha")
-    return back.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_pieces"), "ids_hash", "ids", same.alias("round_trip"))
+    """Per document: number of pieces, a hash of the ids in order, the ids, and whether decoding them gives the text."""
+    encoded = Encoding(docs, public_tokenizers.path("piece_bpe_32k.model")).documents()
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "ids", "round_trip")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

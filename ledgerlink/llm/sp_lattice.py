@@ -1,35 +1,47 @@
 """SentencePiece encoding and decoding as relations.
 
-A text is cut into units at which no piece ends inside: before every run of spaces, and before line feeds,
-which occur in no piece. Only distinct units are encoded: their substrings of bounded length are exploded,
+Texts are cut into units at which no piece of the vocabulary ends inside: between two characters that stand
+side by side in no piece. Only distinct units are encoded: their substrings of bounded length are exploded,
 equi-joined to the piece table and grouped by unit into a lattice of edges; a higher-order aggregate folds
-the lattice. The public model is of the BPE type, for which the best-scoring path through the lattice is not
-the library's answer. The fold therefore applies the model's merges in order of score, as such models are
-defined: its state is the set of cut points, and each step removes the one inside the best edge whose ends
-are cut points with a single cut between them. The tests hold the result against the library's.
-
-Documents then join the dictionary of units: the FREQUENT most common ones by broadcast, whatever the corpus,
-all others by a shuffled join. Decoding joins ids to pieces and concatenates their bytes.
+the lattice. Models of the unigram type take the path of the greatest sum of scores (Viterbi). The public
+model is of the BPE type, for which that path is not the library's answer: its fold applies the model's
+merges in order of score, as such models are defined. Its state is the set of cut points, and each step
+removes the one inside the best edge whose ends are cut points with a single cut between them. The tests hold
+the result against the library's.
+
+Documents travel compressed, once, to shards of about SHARD_BYTES of text. The FREQUENT most common units
+are sent to all workers, whatever the corpus; a shard gets the ids of its other units by a join. There whole
+texts become ids, and ids are decoded again and compared with the text.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
+from .repeats import pack, unpack
 
 SPACE = "▁"
-FREQUENT = 600_000
+FREQUENT = 300_000
+#: Words whose ids a worker keeps, beside those of the frequent units.
+CACHE_WORDS = 300_000
+#: Text of a shard, which one task holds: the number of shards follows the corpus.
+SHARD_BYTES = 5 << 20
 #: Cut points of a unit are bits of a long; longer units fold in Python over the same edges.
 LONGEST = 60
 #: Units of a partition while their lattices are built: a unit has some twenty edges, which are sorted in memory.
 UNITS_PER_PARTITION = 20_000
 #: The id of a character that is no piece; ids of pieces are smaller.
 UNKNOWN = (1 << 17) - 1
+#: What a character that is no piece costs in a unigram model, below the least score.
+UNKNOWN_PENALTY = 10.0
 
 
 def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
@@ -46,12 +58,27 @@ def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece string, score double, byte int")
 
 
-def units(text: Column) -> Column:
-    """Array of units; null for a null or empty text. Their concatenation is the text with its dummy space."""
-    plain = F.split(F.concat(F.lit(SPACE), F.replace(F.replace(text, F.lit(" "), F.lit(" " + SPACE)), F.lit("\n"), F.lit(" \n"))), " ")
-    runs = F.regexp_extract_all(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)), F.lit(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"), F.lit(0))
-    odd = text.contains("  ") | text.startswith(" ") | text.contains(SPACE)
-    return F.when(F.length(text) > 0, F.when(odd, runs).otherwise(plain))
+ODD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+
+
+def words_of(text: str) -> list[str]:
+    """Keys of a text's words, in order, for units_of: what follows a space (or the front), as it is; what
+    follows a line feed, with it; where spaces are repeated or the sign for a space occurs, two line feeds and a unit."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or SPACE in text:
+        return ["\n\n" + u for u in ODD.findall(SPACE + text.replace(" ", SPACE))]
+    return text.replace("\n", " \n").split(" ")
+
+
+def units_of(word: str, pairs: frozenset[str]) -> list[str]:
+    """The units of a word, cut where no piece has the two characters side by side."""
+    if word[:2] == "\n\n":
+        word = word[2:]
+    elif word[:1] != "\n":
+        word = SPACE + word
+    ends = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+    return [word[a:z] for a, z in zip([0, *ends], [*ends, len(word)], strict=True)]
 
 
 def edges_of(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
@@ -93,6 +120,31 @@ def folded(lat: DataFrame) -> DataFrame:
     return df.select("h", "unit", "n", F.expr("array_sort(transform(filter(spans, x -> (cuts & x.ends) = x.ends AND (cuts & x.mid) = 0), x -> named_struct('s', x.s, 'id', x.id)))").alias("kept"))
 
 
+def scored(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
+    """(h, unit, n, edges) for a unigram model: edges (e, s, score, id), so that they sort by end, then start."""
+    least = pieces.agg(F.min("score")).first()[0] or 0.0
+    by_id = F.broadcast(pieces.select("id", "score"))
+    edges = edges_of(distinct, pieces, longest_piece, parts).join(by_id, "id", "left")
+    return edges.groupBy("h", "unit", "n").agg(F.array_sort(F.collect_list(F.struct("e", "s", F.coalesce("score", F.lit(least - UNKNOWN_PENALTY)).alias("score"), "id"))).alias("edges"))
+
+
+def viterbi(lat: DataFrame) -> DataFrame:
+    """(h, unit, n, kept) of scored lattices: the edges (s, id) of the path with the greatest sum of scores, in order.
+
+    The state has, for every place so far, the best sum that reaches it and the edge by which it does; edges
+    come by end, so that only the last place changes. Of equal sums the edge that starts first stays.
+    """
+    reached = """aggregate(edges, named_struct('sums', array(0D), 'came', array(named_struct('s', -1, 'id', -1))), (a, x) ->
+        if(size(a.sums) <= x.e,
+           named_struct('sums', a.sums || array(get(a.sums, x.s) + x.score), 'came', a.came || array(named_struct('s', x.s, 'id', x.id))),
+           if(get(a.sums, x.s) + x.score > element_at(a.sums, -1),
+              named_struct('sums', slice(a.sums, 1, x.e) || array(get(a.sums, x.s) + x.score), 'came', slice(a.came, 1, x.e) || array(named_struct('s', x.s, 'id', x.id))),
+              a)), a -> a.came)"""
+    back = """aggregate(sequence(1, length(unit)), named_struct('at', length(unit), 'kept', cast(array() as array<struct<s:int,id:int>>)), (a, k) ->
+        if(a.at > 0, named_struct('at', get(came, a.at).s, 'kept', array(get(came, a.at)) || a.kept), a), a -> a.kept)"""
+    return lat.select("h", "unit", "n", F.expr(reached).alias("came")).select("h", "unit", "n", F.expr(back).alias("kept"))
+
+
 def with_bytes(df: DataFrame, first_byte: int) -> DataFrame:
     """ids of the kept edges; a character without a piece becomes the ids of its UTF-8 bytes."""
     hexed = "hex(encode(substring(unit, x.s + 1, 1), 'UTF-8'))"
@@ -100,6 +152,20 @@ def with_bytes(df: DataFrame, first_byte: int) -> DataFrame:
     return df.select("h", "unit", "n", F.expr(f"flatten(transform(kept, x -> if(x.id <> {UNKNOWN}, array(x.id), {byte_ids})))").alias("ids"))
 
 
+def best_long(unit: str, edges: list[dict], first_byte: int) -> list[int]:
+    """The same path as viterbi's, for one long unit."""
+    sums, came = [0.0] + [-np.inf] * len(unit), [(-1, -1)] * (len(unit) + 1)
+    for x in sorted(edges, key=lambda x: (x["e"], x["s"])):
+        if sums[x["s"]] + x["score"] > sums[x["e"]]:
+            sums[x["e"]], came[x["e"]] = sums[x["s"]] + x["score"], (x["s"], x["id"])
+    out, e = [], len(unit)
+    while e > 0:
+        s, i = came[e]
+        out.append([i] if i != UNKNOWN else [b + first_byte for b in unit[s:e].encode()])
+        e = s
+    return [i for part in reversed(out) for i in part]
+
+
 def merge_long(unit: str, edges: list[dict], first_byte: int) -> list[int]:
     """The same merges with a heap, for one long unit."""
     n = len(unit)
@@ -130,26 +196,23 @@ def merge_long(unit: str, edges: list[dict], first_byte: int) -> list[int]:
     return out
 
 
-def encode_units(counts: DataFrame, pieces: DataFrame, longest_piece: int, first_byte: int) -> DataFrame:
-    """(unit, n, ids, same) of units (unit, n); same: the ids decode to the unit."""
+def encode_units(counts: DataFrame, pieces: DataFrame, longest_piece: int, first_byte: int, unigram: bool = False) -> list[DataFrame]:
+    """(unit, ids) of units (unit, n), in two parts: those up to LONGEST, dealt by unit, and longer ones."""
+    fold = best_long if unigram else merge_long
+    least = pieces.agg(F.min("score")).first()[0] or 0.0
 
     def long_ones(batches):
         for b in batches:
             names = b.column("unit").to_pylist()
-            ids = [merge_long(u, e, first_byte) for u, e in zip(names, b.column("edges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["h", "unit", "n", "ids"])
+            ids = [fold(u, e, first_byte) for u, e in zip(names, b.column("edges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "ids"])
 
     parts = max(1, counts.count() // UNITS_PER_PARTITION)
-    short, long = F.length("unit") <= LONGEST, F.length("unit") > LONGEST
-    native = with_bytes(folded(lattice(counts.filter(short), pieces, longest_piece, parts)), first_byte)
-    rows = edges_of(counts.filter(long), pieces, longest_piece, max(1, parts // 16)).groupBy("h", "unit", "n").agg(F.collect_list(F.struct("s", "e", "rank", "id")).alias("edges"))
-    other = rows.mapInArrow(long_ones, "h long, unit string, n long, ids array<int>")
-    out = None
-    for part in (native, other):
-        back = decode(part, pieces, ["h", "unit"], carry=["n", "ids"])
-        done = back.select("unit", "n", "ids", (F.col("decoded") == F.col("unit")).alias("same"))
-        out = done if out is None else out.unionByName(done)
-    return out
+    short, long = counts.filter(F.length("unit") <= LONGEST), counts.filter(F.length("unit") > LONGEST)
+    kept = viterbi(scored(short, pieces, longest_piece, parts)) if unigram else folded(lattice(short, pieces, longest_piece, parts))
+    edges = edges_of(long, pieces, longest_piece, max(1, parts // 16)).join(F.broadcast(pieces.select("id", "score")), "id", "left")
+    rows = edges.groupBy("unit").agg(F.collect_list(F.struct("s", "e", "rank", "id", F.coalesce("score", F.lit(least - UNKNOWN_PENALTY)).alias("score"))).alias("edges"))
+    return [with_bytes(kept, first_byte).select("unit", "ids"), rows.mapInArrow(long_ones, "unit string, ids array<int>")]
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, keys: list[str], ids_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
@@ -176,57 +239,162 @@ def text_of(decoded: Column) -> Column:
 
 
 class Encoding:
-    """The dictionary of a corpus's units, and its documents over it.
-
-    Null and empty texts have no units. Ids should be distinct: rows that repeat an id are put together as
-    one document. Other columns are ignored; an empty table gives empty results.
-    """
+    """The dictionary of a corpus's units, and its documents over it."""
 
     def __init__(self, docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text"):
         spark = docs.sparkSession
-        self.pieces = cut(piece_table(spark, model_file).coalesce(1))
-        bounds = self.pieces.agg(F.max(F.length("piece")).alias("longest"), F.min(F.when(F.col("byte") == 0, F.col("id"))).alias("first")).first()
-        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode_outer(units(F.col(text_col))).alias("pos", "unit"))
         self.id_col = id_col
-        counted = self.rows.filter("unit is not null").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-        counts = written(counted, "sp-units", compression="zstd")
-        self.dictionary = written(encode_units(counts, self.pieces, bounds.longest, bounds.first), "sp-dictionary", compression="zstd")
-
-    def _common(self):
+        self.pieces = cut(piece_table(spark, model_file).coalesce(1))
+        self.vocabulary = self.pieces.collect()  # of fixed size, whatever the corpus
+        self.longest = max(len(r.piece or "") for r in self.vocabulary)
+        self.first_byte = min((r.id for r in self.vocabulary if r.byte == 0), default=0)
+        pairs = self.pairs = frozenset(r.piece[k : k + 2] for r in self.vocabulary if r.piece for k in range(len(r.piece) - 1))
+        self.docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+        def counted(batches):
+            for b in batches:
+                found: Counter = Counter()
+                for text in b.column(0).to_pylist():
+                    found.update(words_of(text))
+                    if len(found) > CACHE_WORDS:
+                        yield _counts(found, pairs)
+                        found = Counter()
+                yield _counts(found, pairs)
+
+        rows = self.docs.select("text").mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+        self.counts = written(rows, "sp-units", compression="zstd")
+        self.common = self._common()
+
+    def _common(self) -> Column:
         """A filter for at most FREQUENT units: those whose occurrences lie above a step of 2 ** (1 / 8)."""
         step = F.floor(8 * F.log2(F.col("n")))
         left, least = FREQUENT, None
-        for r in self.dictionary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("step")).collect():  # a few hundred steps
+        for r in self.counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("units")).orderBy(F.desc("step")).collect():  # a few hundred steps
             left -= r.units
             if left < 0:
                 break
             least = r.step
         return step >= least if least is not None else F.lit(False)
 
-    def tokens(self, **columns: Column) -> DataFrame:
-        """(id, pos, unit, ...) with the given columns of the dictionary (ids, same), ids if none is given.
+    def encoded(self, counts: DataFrame) -> list[DataFrame]:
+        return encode_units(counts, self.pieces, self.longest, self.first_byte)
 
-        One row per unit of every document, and one with null unit for an empty document. The most common
-        units are broadcast, whatever the corpus; the others are joined.
-        """
-        columns = columns or {"ids": F.col("ids")}
-        common = self._common()
-        found = self.dictionary.select("unit", common.alias("_common"), *[v.alias(k) for k, v in columns.items()])
-        top = F.broadcast(found.filter("_common"))
-        near = self.rows.join(top, "unit", "left").filter("_common or unit is null")
-        far = self.rows.filter("unit is not null").join(top.select("unit"), "unit", "left_anti").join(found.filter("not _common"), "unit")
-        names = ["id", "pos", "unit", *columns]
-        return near.select(*names).unionByName(far.select(*names))
-
-    def documents(self, more: DataFrame | None = None, **columns: Column) -> DataFrame:
-        """(id_col, ids, ...): whole id arrays, units in order; and the given aggregates of tokens and rows of more.
-
-        more has the ids (id) of all documents and columns of its own, one row per document.
+    def documents(self, decoded: bool = False) -> DataFrame:
+        """(id_col, ids, round_trip, and decoded if asked for): one row per row of docs.
+
+        ids are those of the whole text; round_trip tells whether decoding them gives the text back. Null and
+        empty texts have no ids. Rows that repeat an id are encoded each; rows without an id are dropped. Other
+        columns are ignored; an empty table gives an empty result.
         """
-        unit, rows = F.struct("pos", "ids"), self.tokens()
-        if more is not None:
-            rows = rows.unionByName(more, allowMissingColumns=True)
-        return rows.groupBy(F.col("id").alias(self.id_col)).agg(
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), unit))), lambda x: x["ids"])).alias("ids"),
-            *[v.alias(k) for k, v in columns.items()],
-        )
+        spark, pairs = self.docs.sparkSession, self.pairs
+        top: dict[str, bytes] = {}
+        for part in self.encoded(self.counts.filter(self.common)):  # at most FREQUENT rows
+            t = part.toArrow()
+            top.update(zip(t.column(0).to_pylist(), (np.array(i, np.int32).tobytes() for i in t.column(1).to_pylist()), strict=True))
+        frequent = spark.sparkContext.broadcast(top)
+        pieces = {r.id: r.piece.encode() if r.piece is not None else bytes([r.byte]) for r in self.vocabulary}
+        table = spark.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)])
+
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, size // SHARD_BYTES)
+        texts = self.docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
+
+        def rare_units(batches):
+            known: set[str] = set()  # words whose units are all frequent
+            for b in batches:
+                words: dict[int, set[str]] = {}
+                for s, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    words.setdefault(s, set()).update(words_of(t))
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                rows: list[tuple[str, int]] = []
+                for s, some in words.items():
+                    rare = set()
+                    for w in some - known:
+                        far = [u for u in units_of(w, pairs) if u not in frequent.value]
+                        rare.update(far)
+                        if not far:
+                            known.add(w)
+                    rows += [(u, s) for u in rare]
+                units, at = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(at, pa.int32())], ["unit", "shard"])
+
+        needed = texts.mapInArrow(rare_units, "unit string, shard int")
+        found = None
+        for part in self.encoded(self.counts.filter(~self.common)):
+            one = needed.join(part, "unit").select("shard", "unit", "ids").mapInArrow(_packed_units, "shard int, blob binary")
+            found = one if found is None else found.unionByName(one)
+
+        def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+            lookup = Lookup(frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob)), pairs)
+            names, ids, back, same = [], [np.zeros(0, np.int32)], [], []
+            of = table.value
+            for i, t in unpack(left.column("blob").to_pylist()):
+                text = t.decode("utf-8", "replace")
+                some = np.frombuffer(b"".join(map(lookup.__getitem__, words_of(text))), np.int32)
+                again = plain_text(b"".join(map(of.__getitem__, some.tolist())).decode("utf-8", "replace"))
+                names.append(i)
+                ids.append(some)
+                same.append(again == text)
+                if decoded:
+                    back.append(again)
+            ends = np.cumsum([len(x) for x in ids]).astype(np.int32)
+            out = {"id": pa.array(names, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), "round_trip": pa.array(same, pa.bool_())}
+            return pa.table(out | ({"decoded": pa.array(back, pa.string())} if decoded else {}))
+
+        packed = texts.mapInArrow(_packed_texts, "shard int, blob binary")
+        schema = "id long, ids array<int>, round_trip boolean" + ", decoded string" * decoded
+        return packed.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(assemble, schema).withColumnRenamed("id", self.id_col)
+
+
+class Lookup(dict):
+    """Ids of words, put together from those of their units."""
+
+    def __init__(self, frequent: dict[str, bytes], rare: dict[str, bytes], pairs: frozenset[str]):
+        self.frequent, self.rare, self.pairs = frequent, rare, pairs
+
+    def __missing__(self, word: str) -> bytes:
+        units = units_of(word, self.pairs)
+        ids = self[word] = b"".join([self.frequent.get(u) or self.rare[u] for u in units])
+        return ids
+
+
+def plain_text(decoded: str) -> str:
+    """Decoded pieces of a whole text with real spaces, without the dummy one."""
+    return decoded.removeprefix(SPACE).replace(SPACE, " ")
+
+
+def _counts(found: Counter, pairs: frozenset[str]) -> pa.RecordBatch:
+    units: Counter = Counter()
+    for w, n in found.items():
+        for u in units_of(w, pairs):
+            units[u] += n
+    return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
+
+
+def _packed_texts(batches):
+    for b in batches:
+        found: dict[int, tuple[list, list]] = {}
+        for s, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            ids, texts = found.setdefault(s, ([], []))
+            ids.append(i)
+            texts.append(t or b"")
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([pack(*v) for v in found.values()], pa.binary())], ["shard", "blob"])
+
+
+def _packed_units(batches):
+    """Units and their ids by shard, a blob for each shard of a batch."""
+    for b in batches:
+        order = np.argsort(b.column(0).to_numpy(), kind="stable")
+        b = b.take(pa.array(order))
+        shards = b.column(0).to_numpy()
+        at = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))) if len(shards) else np.zeros(0, int)
+        names, ids, blobs = b.column(1).to_pylist(), [np.array(i, np.int32).tobytes() for i in b.column(2).to_pylist()], []
+        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(shards)], strict=True):
+            blobs.append(pack([len(i) for i in ids[a:z]], [n.encode() + i for n, i in zip(names[a:z], ids[a:z], strict=True)]))
+        yield pa.RecordBatch.from_arrays([pa.array(shards[at], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+
+def _unpacked(blob: bytes):
+    for n, both in unpack([blob]):
+        yield both[:-n].decode(), both[-n:]

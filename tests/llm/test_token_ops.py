@@ -2,6 +2,7 @@
 
 import math
 import random
+import uuid
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlink.llm import attention_lm, elias_fano
+from ledgerlink.llm import attention_lm, elias_fano, sp_lattice
 from ledgerlink.llm.common import shared_dir
 from ledgerlink.llm.queries import op7_sentencepiece
 from ledgerlink.llm.sp_lattice import UNKNOWN, Encoding, decode, merge_long, text_of
@@ -30,7 +31,8 @@ def test_elias_fano(n):
         v = np.cumsum(rng.integers(0, spread, n)) - 37 if n else np.zeros(0, np.int64)
         data = elias_fano.encode(v)
         e = elias_fano.EliasFano(data)
-        assert (e.values() == v).all() and all(e.select(i) == v[i] for i in range(0, n, 7))
+        assert (e.select_run(0, n) == v).all() and all(e.select(i) == v[i] for i in range(0, n, 7))
+        assert all((e.select_run(i, k) == v[i : i + k]).all() for i in range(0, n, 97) for k in (1, 40, 513))
         if n > 1000:
             assert len(data) * 8 < n * (3 + math.log2(max(2, (v[-1] - v[0]) / n)))
     with pytest.raises(ValueError):
@@ -39,14 +41,15 @@ def test_elias_fano(n):
 
 def test_encoder_equals_the_library():
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choice(" ab1'.\n\t é　\x1f\x85,") for _ in range(rng.randrange(12))) for _ in range(2000)]
+    texts = ODD + ["".join(rng.choice(" ab1'.\n\t é　\x1f\x85,$") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["Zürich", "λόγος", "мир", "世界", "ſt", "ª", "½", "****", "'s", "…", "–", ")", "##", " ", " ", "\n"]) for _ in range(rng.randrange(9))) for _ in range(1000)]
     want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
     assert encoder(BPE).encode(texts) == want
 
 
 def test_token_shards_round_trip(spark):
     docs = [(i * 3 % 100, f"text {i} of the corpus. " * (i % 7)) for i in range(100)] + [(200, None), (201, ""), (None, "no id"), (202, "word " * 3000)]
-    path = f"{shared_dir(spark)}/shards-test"
+    path = f"{shared_dir(spark)}/shards-test-{uuid.uuid4().hex}"
     write_token_shards(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, ids int"), path, BPE)
     got = {r.doc_id: r for r in read_token_shards(spark, path).collect()}
     tokenizer, at = Tokenizer.from_file(BPE), 0
@@ -67,12 +70,13 @@ def test_sentencepiece_equals_the_library_and_decodes(spark):
     docs += [(900, None), (901, ""), (902, " "), (903, "a" * 300), (904, "thequickbrownfox" * 30), (905, "\n"), (906, " \n a")]
     m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     enc = Encoding(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, unit int"), PIECES)
-    ids = enc.documents().cache()
+    ids = enc.documents(decoded=True).cache()
     got = {r.doc_id: list(r.ids) for r in ids.collect()}
     assert got == {i: m.encode(t or "") for i, t in docs}
     back = {r.doc_id: r.t for r in decode(ids, enc.pieces, ["doc_id"]).select("doc_id", text_of(F.col("decoded")).alias("t")).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t in docs}
-    assert enc.dictionary.filter("not same").count() == 0
+    assert {r.doc_id: r.decoded for r in ids.collect()} == back
+    assert {r.doc_id for r in ids.filter("not round_trip").collect()} == {i for i, t in docs if "▁" in (t or "")}
 
 
 def test_sentencepiece_query_returns_ids_and_compares_whole_texts(spark, tmp_path):
@@ -85,6 +89,33 @@ def test_sentencepiece_query_returns_ids_and_compares_whole_texts(spark, tmp_pat
     assert {i for i, r in got.items() if not r.round_trip} == {5}  # the sign for a space comes back as a space
 
 
+def test_unigram_fold_is_the_best_path(spark):
+    rng = random.Random(8)
+    table = [(i, p, -rng.random() * 9, None) for i, p in enumerate(["a", "b", "ab", "ba", "aba", "▁", "▁a", "bb", "abba", "▁ab"], 300)] + [(b, None, 0.0, b) for b in range(256)]
+    score, least = {p: (x, i) for i, p, x, _ in table if p}, min(x for _, p, x, _ in table) - sp_lattice.UNKNOWN_PENALTY
+    names = {"".join(rng.choice("ab▁é") for _ in range(rng.randrange(1, 11))) for _ in range(80)} | {"ab" * 40 + "é"}
+
+    def best(u):
+        at = [(0.0, [])]
+        for e in range(1, len(u) + 1):
+            options = [(at[s][0] + score[u[s:e]][0], at[s][1] + [score[u[s:e]][1]]) for s in range(e) if u[s:e] in score]
+            if u[e - 1] not in score:
+                options.append((at[e - 1][0] + least, at[e - 1][1] + list(u[e - 1].encode())))
+            at.append(max(options))
+        return at[-1][1]
+
+    pieces = spark.createDataFrame(table, "id int, piece string, score double, byte int")
+    parts = sp_lattice.encode_units(spark.createDataFrame([(u, 1) for u in sorted(names)], "unit string, n long"), pieces, 4, 0, unigram=True)
+    assert {r.unit: list(r.ids) for part in parts for r in part.collect()} == {u: best(u) for u in names}
+
+
+def test_units_are_cut_where_no_piece_reaches():
+    pairs = frozenset(["▁a", "ab"])
+    assert sp_lattice.units_of("ab,ab", pairs) == ["▁ab", ",", "ab"] and sp_lattice.units_of("\nab", pairs) == ["\n", "ab"]
+    assert sp_lattice.units_of("", pairs) == ["▁"] and sp_lattice.words_of("") == []
+    assert sp_lattice.words_of("a \nb") == ["a", "", "\nb"] and sp_lattice.words_of("a  b") == ["\n\n▁a", "\n\n▁▁b"]
+
+
 def test_long_units_merge_like_short_ones():
     edges = [{"s": i, "e": i + 1, "rank": 0, "id": 1} for i in range(4)] + [{"s": i, "e": i + 2, "rank": 5, "id": 2} for i in range(3)] + [{"s": 0, "e": 4, "rank": 9, "id": 3}]
     assert merge_long("aaaa", edges, 3) == [3]
