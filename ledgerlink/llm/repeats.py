@@ -6,11 +6,11 @@ is least in it, so a window that recurs has a recurring phrase of this kind: one
 1. Confirm: least phrases are counted over the corpus (pre-aggregated per batch and per task); those that
    occur twice or more are sent to the document shards that hold them.
 2. Compile and stream: each shard compiles its recurring phrases into one Aho-Corasick automaton over word
-   ids and streams its documents through it, which locates every occurrence. A shard is a fixed amount of
-   text, so automata stay small, and the work is linear in the corpus.
-3. Judge: the windows around the located phrases travel in runs that share their least phrase, and meet on
-   it and a 96-bit hash of their words; of each shard only the first of equal windows takes part, so no
-   window has more rows than there are shards.
+   ids and streams its documents through it, which locates every occurrence. A shard is about SHARD_BYTES of
+   text, whatever the corpus, so automata stay small, and the work is linear in the corpus.
+3. Judge: the windows around the located phrases meet on a 96-bit hash of their words; of each shard only the
+   first of equal windows takes part, so no window has more rows than there are shards, and a phrase that is
+   common in many surroundings is dealt over all tasks.
 4. Remove: the shards get back the windows that start earlier elsewhere and drop the words they cover.
 """
 
@@ -26,10 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import written
 
 WINDOW, PHRASE = 20, 8
-SHARDS_PER_PARTITION = 4
+#: Text of a shard, which one task holds: the number of shards follows the corpus.
+SHARD_BYTES = 5 << 20
 CACHE_WORDS = 600_000
 #: Digits of a word's number in the automata's alphabet: one range of characters for each place.
 DIGITS = 128
@@ -175,7 +176,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "shard int, blob binary")
 
 
-FOUND = pa.schema([("phrase", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32()))])
+FOUND = pa.schema([("w", pa.int64()), ("x", pa.int32()), ("id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
 
 
 def automaton_of(phrases) -> ahocorasick.Automaton:
@@ -187,10 +188,10 @@ def automaton_of(phrases) -> ahocorasick.Automaton:
 
 
 def _locate(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Candidate windows of a shard, in runs that share their least phrase, and windows that repeat in the shard.
+    """Candidate windows of a shard (w, x: their hash), and windows that repeat in the shard.
 
-    Of equal windows in the shard only the first is a candidate (hashes, checks: one of each per window); the
-    others are runs without hashes.
+    Of equal windows in the shard only the first is a candidate. The others are runs of n windows that are
+    known to go: their x is null, and w only deals them.
     """
     if not len(right) or not len(left):
         return FOUND.empty_table()
@@ -219,7 +220,7 @@ def _locate(left: pa.Table, right: pa.Table) -> pa.Table:
     # one occurrence gives the phrase; the automaton locates all
     where = np.concatenate(places, axis=1)[:, np.unique(np.concatenate(hashes), return_index=True)[1]]
     automaton = automaton_of(texts[n][3 * k : 3 * (k + PHRASE)] for n, k in where.T.tolist())
-    parts, spread = [], WINDOW - PHRASE + 1
+    parts = []
     for n, (_, codes) in enumerate(docs):
         ends = [e for e, _ in automaton.iter(texts[n])] if len(automaton) else []
         if not ends:
@@ -231,31 +232,24 @@ def _locate(left: pa.Table, right: pa.Table) -> pa.Table:
         if len(pos):
             w = sums[n].at(WINDOW, pos)
             x = Rolling(WORDS.table[np.array(codes)], BASES[1]).at(WINDOW, pos)
-            least = sliding(sums[n].at(PHRASE), spread, np.minimum)[pos]
-            parts.append((w, (x >> np.uint64(32)).astype(np.uint32).view(np.int32), least, np.full(len(pos), n), pos))
+            parts.append((w, (x >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(pos), n), pos))
     if not parts:
         return FOUND.empty_table()
-    w, x, least, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    w, x, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((x, w))  # stable: equal windows stay in order of document and place
     same = (w[order][1:] == w[order][:-1]) & (x[order][1:] == x[order][:-1])
     first = np.ones(len(w), bool)
     first[order[1:][same]] = False
     names = np.array([i for i, _ in docs])
     rn, rp, rl = runs(n[~first], pos[~first])
-    w, x, least, n, pos = w[first], x[first], least[first], n[first], pos[first]
-    new = np.ones(len(w), bool)
-    new[1:] = (n[1:] != n[:-1]) | (pos[1:] != pos[:-1] + 1) | (least[1:] != least[:-1])
-    at = np.flatnonzero(new)
-    cuts = np.append(at, len(w)).astype(np.int32)
-    cuts = np.concatenate((cuts, np.full(len(rn), len(w), np.int32)))
+    n, pos = n[first], pos[first]
     return pa.Table.from_arrays(
         [
-            pa.array(np.concatenate((least[at].view(np.int64), names[rn] * 31 + rp))),
-            pa.array(np.concatenate((names[n[at]], names[rn]))),
-            pa.array(np.concatenate((pos[at], rp)).astype(np.int32)),
-            pa.array(np.concatenate((np.diff(np.append(at, len(w))), rl)).astype(np.int32)),
-            pa.ListArray.from_arrays(pa.array(cuts), pa.array(w.view(np.int64))),
-            pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)),
+            pa.array(np.concatenate((w[first].view(np.int64), names[rn] * 31 + rp))),
+            pa.array(np.concatenate((x[first], np.zeros(len(rn), np.int32))), mask=np.arange(len(n) + len(rn)) >= len(n)),
+            pa.array(np.concatenate((names[n], names[rn]))),
+            pa.array(np.concatenate((pos, rp)).astype(np.int32)),
+            pa.array(np.concatenate((np.ones(len(n), np.int64), rl)).astype(np.int32)),
         ],
         schema=FOUND,
     )
@@ -304,24 +298,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat an id are treated as one document's, each reported. Rows without an id are dropped. Other columns
     are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    shards = SHARDS_PER_PARTITION * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    shards = max(1, size // SHARD_BYTES)
     texts = _by_shard(docs, id_col, text_col, shards)
-    phrases = _phrases(texts)
+    phrases = written(_phrases(texts), "repeat-phrases", compression="zstd")  # read twice, made once
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase")
     wanted = phrases.select("phrase", "shard").join(recurring, "phrase", "left_semi")
     packed = _packed(texts)
-    found = packed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(
-        _locate, "phrase long, id long, pos int, n int, hashes array<long>, checks array<int>"
-    )
-    # equal windows have the same least phrase: their runs meet on it, and are taken apart only there
-    apart = F.when(F.size("hashes") > 0, F.transform(F.arrays_zip("hashes", "checks"), lambda z, i: F.struct(z["hashes"].alias("w"), z["checks"].alias("x"), (F.col("pos") + i).alias("pos"), F.lit(1).alias("n"))))
-    whole = F.array(F.struct(F.lit(None).cast("long").alias("w"), F.lit(None).cast("int").alias("x"), "pos", "n"))
-    windows = found.repartition("phrase").select("phrase", "id", F.inline(F.coalesce(apart, whole)))
+    found = packed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_locate, "w long, x int, id long, pos int, n int")
     here = F.struct("id", "pos")
     repeats = (
-        windows.select("id", "pos", "n", "w", F.min(here).over(Window.partitionBy("phrase", "w", "x")).alias("first"))
-        .filter(F.col("w").isNull() | (here != F.col("first")))
+        found.select("*", F.min(here).over(Window.partitionBy("w", "x")).alias("first"))
+        .filter(F.col("x").isNull() | (here != F.col("first")))
         .select(_shard_of(F.col("id"), shards).alias("shard"), "id", "pos", F.col("n").alias("len"))
     )
     return (
