@@ -46,29 +46,24 @@ class EliasFano:
         return self.n
 
     def select(self, i: int) -> int:
-        """The i-th value, from one sample and the bits after it."""
+        """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, skip = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, size = at // 8, 64
-        while True:
-            bits = np.unpackbits(self.high[byte : byte + size], bitorder="little")
-            bits[: at % 8] = 0
-            ones = np.flatnonzero(bits)
-            if len(ones) > skip:
-                high = byte * 8 + int(ones[skip]) - i
-                break
-            size *= 2
-        start = i * self.low
-        bits = np.unpackbits(self.lows[start // 8 : (start + self.low + 7) // 8], bitorder="little")[start % 8 : start % 8 + self.low]
-        return self.first + (high << self.low) + sum(int(b) << k for k, b in enumerate(bits))
+        return int(self.select_run(i, 1)[0])
 
-    def values(self) -> np.ndarray:
-        if not self.n:
+    def select_run(self, i: int, n: int) -> np.ndarray:
+        """The n values from the i-th on (fewer at the end), from one sample and the bits up to the sample after them."""
+        n = max(0, min(n, self.n - i))
+        if not n:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low
+        at, after = int(self.samples[i // SAMPLE]), (i + n - 1) // SAMPLE + 1
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[at // 8 : stop], bitorder="little")
+        bits[: at % 8] = 0
+        skip = i % SAMPLE
+        out = np.flatnonzero(bits)[skip : skip + n] + (at // 8 * 8 - i) - np.arange(n) << self.low
         if self.low:
-            bits = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)
-            out += bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
+            start = i * self.low
+            bits = np.unpackbits(self.lows[start // 8 : (start + n * self.low + 7) // 8], bitorder="little")[start % 8 :][: n * self.low]
+            out += bits.reshape(n, self.low).astype(np.int64) @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
         return out + self.first

@@ -12,13 +12,16 @@ A partition is cut into blocks of about BLOCK_IDS ids, each a record of the file
     ids            unsigned 32-bit little-endian ids
 
 A document's global offset is its partition's base (a running sum over partition totals), local_start and the
-offset that select gives; no table of 64-bit offsets is kept.
+offset that select gives. Files are read in runs of RUN documents, whose offsets and ids select takes from the
+codes; no table of a block's offsets is built.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,91 +33,75 @@ from . import elias_fano
 from .common import partitions
 
 BLOCK_IDS = 1 << 20
-#: Words whose ids a worker keeps; beyond it the cache starts anew.
+#: Documents whose offsets are selected at a time.
+RUN = 512
+#: Pieces whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 600_000
-#: Pieces that are encoded in one call.
-LINES = 1000
+# Letters that every Unicode version counts as such, and ASCII signs that neither start a contraction nor hold a letter or digit.
+WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я一-龥]+)([!-&(-/:-@\\[-`{-~]*)")
 BLOCK = "part int, seq int, first_doc long, local_start long, n_docs long, n_ids long, doc_ids binary, bounds binary, ids binary"
 BLOCK_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("local_start", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("bounds", pa.binary()), ("ids", pa.binary())])
 
 
-class Encoder:
-    """The tokenizers library, called once per distinct piece of text.
+class Encoder(dict):
+    """The tokenizers library, called once per distinct piece of text: piece -> ids.
 
     The byte-level split never crosses a lone space or line feed between two other characters: a space goes
-    with the word that follows, a line feed stands alone, and a full stop or comma after a letter starts a
-    token. Texts are cut there: a piece is a word with the space before it (not stored), or a line feed and
-    the word after it. Texts with any other white space beside a cut, or at an end, are encoded whole.
+    with the word that follows, and a line feed stands alone. Texts are cut there: a piece is a word with the
+    space before it (not stored), or a line feed and the word after it. A word of letters, and the signs after
+    it, are split from each other too, so they go to the library's model as they are; other words go through
+    the whole library. Texts with any other white space beside a cut, or at an end, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line = self._bytes(["\n"])[0]
-        self.marks = dict(zip(".,", self._bytes([".", ","]), strict=True))
-        self.ids: dict[str, bytes | str] = {}  # "" where the text must be encoded whole
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Words without white space, a line each: the line feed is a token of its own, at which ids are cut."""
-        out: list[bytes] = []
-        for at in range(0, len(words), LINES):
-            some = words[at : at + LINES]
-            ids = self._bytes(["\n".join(some)])[0]
-            a = np.frombuffer(ids, "<u4")
-            cuts = np.flatnonzero(a == np.frombuffer(self.line, "<u4")[0]).tolist()
-            if len(cuts) != len(some) - 1:
-                out += self._bytes(some)
-                continue
-            out += [ids[4 * x : 4 * y] for x, y in zip([0, *[c + 1 for c in cuts]], [*cuts, len(a)], strict=True)]
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        ids, words, marked = self.ids, {}, []
-        for p in pieces:
-            line = p[:1] == "\n"
-            word = p[1:] if line else p
+        self.model = self.tokenizer.model
+        self.line = self._whole("\n")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
+        self.space = chr(self.alphabet[32])
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, text: str, front: str = "") -> bytes:
+        """Ids of a text that the split leaves whole; front is a space as the byte-level alphabet shows it."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(front + text)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        """None where the text must be encoded whole."""
+        line = piece[:1] == "\n"
+        if m := WORD.fullmatch(piece, line):
+            letters, signs = m.groups()
+            ids = self.get(piece[: line + len(letters)]) if signs else None
+            if ids is None:
+                ids = self.line + self._run(letters) if line else self._run(letters, self.space)
+            if signs:
+                ids += self._run(signs)
+        else:
+            word = piece[1:] if line else piece
             if not word or len(word.split()) != 1 or word[0].isspace() or word[-1].isspace():
-                ids[p] = ""
-                continue
-            if word[-1] in self.marks and word[:-1].isalpha():
-                marked.append(p)
-                p, word = p[:-1], word[:-1]
-                if p in ids:
-                    continue
-            words[p] = word if line else " " + word
-        for p, code in zip(words, self._words(list(words.values())), strict=True):
-            ids[p] = self.line + code if p[0] == "\n" else code
-        for p in marked:
-            ids[p] = ids[p[:-1]] + self.marks[p[-1]]
+                ids = None
+            else:
+                ids = self.line + self._whole(word) if line else self._whole(" " + word)
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        get, cut, parts, new = self.ids.get, [], [], set()
+        out = []
         for t in texts:
-            pieces = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-            codes = list(map(get, pieces))
-            if None in codes:
-                new.update([p for p, c in zip(pieces, codes, strict=True) if c is None])
-            cut.append(pieces)
-            parts.append(codes)
-        self._learn(new)
-        out, whole = [], []
-        for i, codes in enumerate(parts):
-            if None in codes:
-                codes = list(map(get, cut[i]))
+            if len(self) > CACHE_WORDS:
+                self.clear()
             try:
-                out.append(b"".join(codes)[4:])
+                out.append(b"".join(map(self.__getitem__, ("\n" + t).replace("\n", " \n").split(" ")[1:]))[4:])
             except TypeError:
-                whole.append(i)
-                out.append(b"")
-        for i, ids in zip(whole, self._bytes([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+                out.append(self._whole(t))
         return out
 
 
@@ -194,14 +181,15 @@ def read_token_shards(spark: SparkSession, path: str, id_col: str = "doc_id", wi
     def of(batches):
         for b in batches:
             for row in b.to_pylist():
-                names = elias_fano.EliasFano(row["doc_ids"]).values()
-                bounds = elias_fano.EliasFano(row["bounds"]).values()
+                names, bounds = elias_fano.EliasFano(row["doc_ids"]), elias_fano.EliasFano(row["bounds"])
                 ids = memoryview(row["ids"])
-                parts = [ids[4 * s : 4 * e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                out = {id_col: names, "start": bounds[:-1] + row["local_start"] + row["base"], "n_tokens": np.diff(bounds), "ids_crc32": np.array([zlib.crc32(p) for p in parts])}
-                if with_ids:
-                    out["ids"] = pa.array([bytes(p) for p in parts], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+                for at in range(0, len(names), RUN):
+                    cuts = bounds.select_run(at, RUN + 1)
+                    parts = [ids[4 * s : 4 * e] for s, e in pairwise(cuts.tolist())]
+                    out = {id_col: names.select_run(at, RUN), "start": cuts[:-1] + row["local_start"] + row["base"], "n_tokens": np.diff(cuts), "ids_crc32": np.array([zlib.crc32(p) for p in parts])}
+                    if with_ids:
+                        out["ids"] = pa.array([bytes(p) for p in parts], pa.binary())
+                    yield pa.RecordBatch.from_pydict(out)
 
     return (
         stored.join(F.broadcast(bases), "part")
