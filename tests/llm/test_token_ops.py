@@ -101,7 +101,7 @@ def test_unigram_fold_is_the_best_path(spark):
             options = [(at[s][0] + score[u[s:e]][0], at[s][1] + [score[u[s:e]][1]]) for s in range(e) if u[s:e] in score]
             if u[e - 1] not in score:
                 options.append((at[e - 1][0] + least, at[e - 1][1] + list(u[e - 1].encode())))
-            at.append(max(options))
+            at.append(max(options, key=lambda o: o[0]))  # of equal sums the first
         return at[-1][1]
 
     pieces = spark.createDataFrame(table, "id int, piece string, score double, byte int")
