@@ -5,8 +5,8 @@ their writer may have meant. Viterbi decodes the most likely letters under a cha
 channel model. Restored words are then scored by weights of words and character n-grams, learnt from
 labelled documents; a logistic function of a document's strongest words gives its score.
 
-The labels are learnt from a bounded sample of at most about TRAIN_ROWS labelled rows, two thirds for weights
-and one third for the logistic function. Everything else covers all documents and whole texts.
+The character model counts the letters of every document. Labels are learnt from a bounded sample of at most
+about TRAIN_ROWS labelled rows, two thirds for weights and one third for the logistic function.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,18 +24,26 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TRAIN_ROWS = 15_000
-CACHE_WORDS = 250_000
-#: Longer tokens are scored each time, so that the cache stays small.
+#: Words whose scores a worker keeps; longer ones than CACHED_LENGTH are scored each time, so that the cache stays small.
+CACHE_WORDS = 400_000
 CACHED_LENGTH = 80
 MIN_WEIGHT = 1.5
-ALPHABET = 64
-MAX_FEATURES = 50_000
+#: A feature counts if this share of the toxic documents of the sample has it, and three of them. So there are at
+#: most as many features as a document has on average, divided by this share.
+LEAST_SHARE = 0.003
+#: The trigrams that workers get: the most common ones of the corpus. Those of four languages are some 30,000.
+MOST_GRAMS = 1 << 20
+#: Marks of a word's ends in its features.
+FRONT, BACK = "\x02", "\x03"
 
 # Signs that stand for letters.
 LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "ß": "ßb", "*": "aeiou"}
 JOINERS = " .-_*~"
 EDGE = ".,;:!?\"'()[]{}|*%&#~-_=+…«»“”‘’"
-SPELLED = re.compile(r"(?<!\S)(?:\w[ .\-_*~]){3,}\w(?=$|[\s.,;:!?])")
+FRONT_EDGE = EDGE.replace("|", "").replace("!", "").replace("(", "")
+REPEATED = re.compile(r"(\w)\1\1")
+APART = re.compile(rf"\w(?:[{re.escape(JOINERS)}]\w){{2,}}")
+SPELLED = re.compile(r"(?<!\S)\w(?: \w){3,}(?=$|[\s.,;:!?])")
 MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*]+[^\W\d_]|^[0-9@$!|+(€£¡]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£]$|(\w)\1\1")
 
 
@@ -119,70 +128,85 @@ def _spelt(path: tuple) -> str:
 
 def words_of(token: str) -> str:
     """The word in a lower-case token, without signs around it; look-alikes at its front stay."""
-    return token.rstrip(EDGE).lstrip(EDGE.replace("|", "").replace("!", "").replace("(", ""))
+    return token.rstrip(EDGE).lstrip(FRONT_EDGE)
 
 
 def restored(token: str, channel: Channel) -> str:
-    word = words_of(token)
-    if word.isalpha() and not re.search(r"(\w)\1\1", word):
-        return word
-    if re.fullmatch(rf"\w(?:[{re.escape(JOINERS)}]\w){{2,}}", word) or MIXED.search(word):
-        return channel.decode(word)
-    return word.strip(EDGE)
+    word = token if token.isalpha() else words_of(token)
+    if word.isalpha():
+        return channel.decode(word) if REPEATED.search(word) else word
+    return channel.decode(word) if APART.fullmatch(word) or MIXED.search(word) else word.strip(EDGE)
 
 
 def restore(text: str, channel: Channel) -> str:
     """The text with odd tokens decoded, in lower case."""
-    low = SPELLED.sub(lambda m: re.sub(rf"[{re.escape(JOINERS)}]", ".", m[0]), text.lower())
-    return " ".join(restored(t, channel) for t in low.split())
+    return " ".join(restored(t, channel) for t in tokens(text))
 
 
 def features(word: str) -> set[str]:
     """The word, of any length, and its 4- to 6-character pieces with edges, and longer beginnings."""
     if len(word) < 3:
         return set()
-    w = f"^{word}$"
+    w = FRONT + word + BACK
     return {w, *(w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)), w[:7], w[:8], w[:9]}
 
 
+def automaton_of(names) -> ahocorasick.Automaton:
+    """Finds features in marked words: what it finds in one are just those of features() that are among the names."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, name in enumerate(names):
+        found.add_word(name, i)
+    if len(found):
+        found.make_automaton()
+    return found
+
+
 def tokens(text: str) -> list[str]:
+    """Lower-case tokens; letters that are set apart by spaces are one token, with dots between them."""
     low = text.lower()
-    if re.search(r"(?<!\S)\w[ .\-_*~]\w[ .\-_*~]\w[ .\-_*~]", low):
-        low = SPELLED.sub(lambda m: re.sub(rf"[{re.escape(JOINERS)}]", ".", m[0]), low)
-    return low.split()
+    words = low.split()
+    apart = 0
+    for size in map(len, words):
+        apart = apart + 1 if size == 1 else 0
+        if apart == 3:
+            return SPELLED.sub(lambda m: m[0].replace(" ", "."), low).split()
+    return words
 
 
 def _role() -> Column:
     return F.pmod(F.xxhash64("id", F.lit("role")), F.lit(3)) == 0
 
 
-def _counted(train: DataFrame, of, schema: str, *keys: str) -> DataFrame:
-    return train.mapInArrow(of, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
+class Scores(dict):
+    """Scores of tokens, made when they are first asked for."""
+
+    def __init__(self, channel: Channel, weights: dict[str, float]):
+        self.channel, self.found, self.values = channel, automaton_of(weights), list(weights.values())
+
+    def __missing__(self, token: str) -> float:
+        word, score = restored(token, self.channel), 0.0
+        if len(word) >= 3 and self.values:
+            score = max([self.values[i] for _, i in self.found.iter(FRONT + word + BACK)], default=0.0)
+        if len(token) <= CACHED_LENGTH:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            self[token] = score
+        return score
 
 
 class Model:
     def __init__(self, channel: Channel, weights: dict[str, float], curve: list[float]):
         self.channel, self.weights, self.curve = channel, weights, curve
-        self.cache: dict[str, float] = {}
+        self.scores: Scores | None = None
 
-    def word_score(self, token: str) -> float:
-        w = max((self.weights.get(f, 0.0) for f in features(restored(token, self.channel))), default=0.0)
-        return w if w >= MIN_WEIGHT else 0.0
+    def __getstate__(self):
+        return self.__dict__ | {"scores": None}  # workers build their own
 
     def statistics(self, text: str) -> list[float]:
         """Constant, the strongest word, the second, the sum of the five strongest, the evidence of all strong words."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        known, words = self.cache, tokens(text)
-        scores = list(map(known.get, words))
-        if None in scores:
-            for i, s in enumerate(scores):
-                if s is None:
-                    w = words[i]
-                    scores[i] = self.word_score(w)
-                    if len(w) <= CACHED_LENGTH:
-                        known[w] = scores[i]
-        strong = sorted([s for s in scores if s], reverse=True)
+        if self.scores is None:
+            self.scores = Scores(self.channel, self.weights)
+        strong = sorted(filter(None, map(self.scores.__getitem__, tokens(text))), reverse=True)
         second = strong[1] if len(strong) > 1 else 0.0
         return [1.0, strong[0] if strong else 0.0, second, sum(strong[:5]), math.log1p(sum(s for s in strong if s > 2 * MIN_WEIGHT))]
 
@@ -218,46 +242,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def letters(batches):
         for b in batches:
-            n: Counter = Counter()
+            words: Counter = Counter()
             for text in b.column(0).to_pylist():
-                for w in map(words_of, text.lower().split()):
-                    if w.isalpha():
-                        w = f"^^{w}$"
-                        n.update(w[i : i + 3] for i in range(len(w) - 2))
+                words.update(text.lower().split())
+            n: Counter = Counter()
+            for token, times in words.items():
+                w = words_of(token)
+                if w.isalpha():
+                    w = f"^^{w}$"
+                    for i in range(len(w) - 2):
+                        n[w[i : i + 3]] += times
             yield pa.RecordBatch.from_pydict({"gram": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
-    grams = _counted(fit.select("text"), letters, "gram string, n long", "gram")
-    letter_counts = grams.groupBy(F.substring("gram", 3, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
-    alphabet = {r.c for r in letter_counts} | {"^", "$"}
-    kept = grams.filter(F.size(F.array_except(F.split("gram", ""), F.array(*[F.lit(c) for c in [*sorted(alphabet), ""]]))) == 0)
-    channel = Channel({r.gram: r.n for r in kept.collect()})  # at most ALPHABET ** 3 entries
+    grams = slim.select("text").mapInArrow(letters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    channel = Channel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()})
 
-    def evidence(batches):
+    def toxic_features(batches):
         for b in batches:
             n: Counter = Counter()
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text in b.column(0).to_pylist():
                 found: set[str] = set()
                 for w in {restored(t, channel) for t in set(tokens(text))}:
                     found |= features(w)
-                n.update((f, label) for f in found)
+                n.update(found)
                 if len(n) > 1_000_000:
-                    yield _evidence(n)
+                    yield _counted(n)
                     n = Counter()
-            yield _evidence(n)
+            yield _counted(n)
 
     docs_of = {r.label: r.n for r in fit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = docs_of.get(1, 0), docs_of.get(0, 0)
     if not n1 or not n0:
         p = (n1 + 1) / (n1 + n0 + 2)
         return Model(channel, {}, [math.log(p / (1 - p)), 0.0, 0.0, 0.0, 0.0])
-    counted = (
-        fit.select("text", "label").mapInArrow(evidence, "feature string, toxic long, clean long")
-        .groupBy("feature").agg(F.sum("toxic").alias("c1"), F.sum("clean").alias("c0"))
-        .filter(F.col("c1") >= max(3, round(0.003 * n1)))
-        .withColumn("w", F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1)))
-        .filter(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("w"), "feature").limit(MAX_FEATURES)
+    toxic = (
+        fit.filter("label = 1").select("text").mapInArrow(toxic_features, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= max(3, round(LEAST_SHARE * n1))).orderBy("feature").collect()
     )
-    model = Model(channel, {r.feature: r.w for r in counted.collect()}, [])
+    names = [r.feature for r in toxic]
+
+    def clean_features(batches):
+        found, n = automaton_of(names), np.zeros(len(names), np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                marked = (BACK + FRONT).join([w for w in {restored(t, channel) for t in set(tokens(text))} if len(w) >= 3])
+                here = {i for _, i in found.iter(FRONT + marked + BACK)} if len(found) else ()
+                n[list(here)] += 1
+        yield pa.RecordBatch.from_pydict({"i": np.flatnonzero(n), "n": n[n > 0]})
+
+    clean = {r.i: r.n for r in fit.filter("label = 0").select("text").mapInArrow(clean_features, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    weights = {r.feature: math.log((r.n + 0.5) / (n1 + 1)) - math.log((clean.get(i, 0) + 0.5) / (n0 + 1)) for i, r in enumerate(toxic)}
+    model = Model(channel, {f: w for f, w in weights.items() if w >= MIN_WEIGHT}, [])
 
     def stats(batches):
         for b in batches:
@@ -266,15 +301,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = sample.filter("curve").select("text", "label").mapInArrow(stats, "x array<double>, label int").collect()  # a third of the sample
     x, y = np.array([r.x for r in seen]).reshape(-1, 5), np.array([r.label for r in seen], float)
     model.curve = logistic(x, y) if len(y) else [math.log(n1 / n0), 0.0, 0.0, 0.0, 0.0]
-    model.cache = {}
     return model
 
 
-def _evidence(n: Counter) -> pa.RecordBatch:
-    names = list({f for f, _ in n})
-    return pa.RecordBatch.from_pydict(
-        {"feature": pa.array(names, pa.string()), "toxic": pa.array([n.get((f, 1), 0) for f in names], pa.int64()), "clean": pa.array([n.get((f, 0), 0) for f in names], pa.int64())}
-    )
+def _counted(n: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"feature": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -284,7 +315,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     repeat; other columns are ignored. An empty table gives an empty result. With no labelled rows of one
     class the score is the share of the other class, smoothed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_FEATURES weights, ALPHABET ** 3 trigrams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see LEAST_SHARE and MOST_GRAMS
 
     def of(batches):
         m = shared.value
