@@ -263,6 +263,7 @@ class Encoding:
 
         rows = self.docs.select("text").mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
         self.counts = written(rows, "sp-units", compression="zstd")
+        self.longest_unit = self.counts.agg(F.max(F.length("unit"))).first()[0] or 0
         self.common = self._common()
 
     def _common(self) -> Column:
@@ -276,8 +277,9 @@ class Encoding:
             least = r.step
         return step >= least if least is not None else F.lit(False)
 
-    def encoded(self, counts: DataFrame) -> list[DataFrame]:
-        return encode_units(counts, self.pieces, self.longest, self.first_byte)
+    def encoded(self, counts: DataFrame) -> DataFrame:
+        short, long = encode_units(counts, self.pieces, self.longest, self.first_byte)
+        return short.unionByName(long) if self.longest_unit > LONGEST else short  # without long ones the units stay dealt as they are
 
     def documents(self, decoded: bool = False) -> DataFrame:
         """(id_col, ids, round_trip, and decoded if asked for): one row per row of docs.
@@ -287,11 +289,8 @@ class Encoding:
         columns are ignored; an empty table gives an empty result.
         """
         spark, pairs = self.docs.sparkSession, self.pairs
-        top: dict[str, bytes] = {}
-        for part in self.encoded(self.counts.filter(self.common)):  # at most FREQUENT rows
-            t = part.toArrow()
-            top.update(zip(t.column(0).to_pylist(), (np.array(i, np.int32).tobytes() for i in t.column(1).to_pylist()), strict=True))
-        frequent = spark.sparkContext.broadcast(top)
+        top = self.encoded(self.counts.filter(self.common)).toArrow()  # at most FREQUENT rows
+        frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), (np.array(i, np.int32).tobytes() for i in top.column(1).to_pylist()), strict=True)))
         pieces = {r.id: r.piece.encode() if r.piece is not None else bytes([r.byte]) for r in self.vocabulary}
         table = spark.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)])
 
@@ -300,30 +299,22 @@ class Encoding:
         texts = self.docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
 
         def rare_units(batches):
-            known: set[str] = set()  # words whose units are all frequent
+            common, known = frequent.value, set()  # known: words whose units are all frequent
             for b in batches:
                 words: dict[int, set[str]] = {}
                 for s, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                     words.setdefault(s, set()).update(words_of(t))
+                new = set().union(*words.values()).difference(known)
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                rows: list[tuple[str, int]] = []
-                for s, some in words.items():
-                    rare = set()
-                    for w in some - known:
-                        far = [u for u in units_of(w, pairs) if u not in frequent.value]
-                        rare.update(far)
-                        if not far:
-                            known.add(w)
-                    rows += [(u, s) for u in rare]
+                far = {w: u for w in new if (u := [x for x in units_of(w, pairs) if x not in common])}
+                known.update(new.difference(far))
+                rows = [(u, s) for s, some in words.items() for u in {u for w in some.intersection(far) for u in far[w]}]
                 units, at = zip(*rows, strict=True) if rows else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(at, pa.int32())], ["unit", "shard"])
 
-        needed = texts.mapInArrow(rare_units, "unit string, shard int")
-        found = None
-        for part in self.encoded(self.counts.filter(~self.common)):
-            one = needed.join(part, "unit").select("shard", "unit", "ids").mapInArrow(_packed_units, "shard int, blob binary")
-            found = one if found is None else found.unionByName(one)
+        rare = self.encoded(self.counts.filter(~self.common))
+        found = texts.mapInArrow(rare_units, "unit string, shard int").join(rare, "unit").select("shard", "unit", "ids").mapInArrow(_packed_units, "shard int, blob binary")
 
         def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             lookup = Lookup(frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob)), pairs)
