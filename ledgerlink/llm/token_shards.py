@@ -74,6 +74,10 @@ class Encoder(dict):
         return array("I", [t.id for t in self.model.tokenize(front + text)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
+        ids = self[piece] = self._ids(piece)
+        return ids
+
+    def _ids(self, piece: str) -> bytes | None:
         """None where the text must be encoded whole."""
         line = piece[:1] == "\n"
         if m := WORD.fullmatch(piece, line):
@@ -81,16 +85,25 @@ class Encoder(dict):
             ids = self.get(piece[: line + len(letters)]) if signs else None
             if ids is None:
                 ids = self.line + self._run(letters) if line else self._run(letters, self.space)
-            if signs:
-                ids += self._run(signs)
-        else:
-            word = piece[1:] if line else piece
-            if not word or len(word.split()) != 1 or word[0].isspace() or word[-1].isspace():
-                ids = None
-            else:
-                ids = self.line + self._whole(word) if line else self._whole(" " + word)
-        self[piece] = ids
-        return ids
+            return ids + self._run(signs) if signs else ids
+        word = piece[1:] if line else piece
+        if not word or len(word.split()) != 1 or word[0].isspace() or word[-1].isspace():
+            return None
+        return self.line + self._whole(word) if line else self._whole(" " + word)
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word with a space before it; they are not kept."""
+        ids = None if word[:1] == "\n" else self._ids(word)
+        return self._whole(" " + word) if ids is None else ids
+
+    @property
+    def size(self) -> int:
+        return self.tokenizer.get_vocab_size()
+
+    @property
+    def begins(self) -> np.ndarray:
+        """Whether each id begins with a space."""
+        return np.array([(self.tokenizer.id_to_token(i) or "").startswith(self.space) for i in range(self.size)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
