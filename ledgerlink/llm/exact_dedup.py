@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 BLANKS = r"[\x20\x09-\x0D]+"
 KEY = ["digest", "check", "length"]
@@ -48,15 +48,16 @@ def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None, fan_in: int = 8) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without the characters [\\x20\\x09-\\x0D]. Of equal texts the
     row with the longest original text (code points), then the smallest id, stays. Null texts count as
-    empty, and all empty texts are one group. A null id loses every tie. Ids identify documents: rows that
-    repeat an id and its text are reported once. Other columns are ignored, whatever their names. An empty
-    table gives an empty result.
+    empty, and all empty texts are one group. A null id loses every tie. Rows that repeat an id are each
+    counted and reported, and stay or go by their own text. Other columns are ignored, whatever their names. An
+    empty table gives an empty result. There are as many slots as shuffle partitions, 64 at least.
     """
+    slots = slots or max(64, partitions(docs.sparkSession))
     leaves = cut(digests(docs, id_col, text_col, slots))
     runs = leaves.groupBy(*KEY, "slot").agg(
         F.max(F.struct("n_chars", (-F.col("id")).alias("minus_id"))).alias("best"), F.count(F.lit(1)).alias("n")
@@ -76,5 +77,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.col("digest").alias("text_sha256"),
         )
-        .dropDuplicates([id_col, "text_sha256"])
     )
