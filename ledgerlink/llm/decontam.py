@@ -4,8 +4,9 @@ Texts are normalised to words (A-Z lowered, ASCII other than letters and digits
 consecutive item words becomes a pattern of word ids; the automaton is compiled once per Python worker and
 each document is scanned once. Offsets of hits are mapped back to the original text.
 
-The benchmark is broadcast only up to MAX_PATTERN_WORDS words of windows; a larger one is split into shards
-of that size, and the documents pass each shard's automaton in turn.
+One automaton holds up to MAX_PATTERN_WORDS words of windows, which is some 500,000 benchmark words and far more
+than test sets have. The benchmark is broadcast only up to that size; a larger one is split into shards, and
+each document passes their automata in turn, in the same task.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A-Z to a-z; ASCII that is not a letter or digit to a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MAX_PATTERN_WORDS = 5_000_000
-HITS = "id long, n_words long, hits array<struct<item:string,word:int,words:int,start:int,end:int>>"
+HITS = "array<struct<item:string,word:int,words:int,start:int,end:int>>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -74,17 +75,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     A hit names the item, the first document word and the number of words, and the code point span in the
     original text, end exclusive. An item of fewer words than the window is one window; an item without
     words, or a null one, is none. A null document has no words. Items that repeat, and equal windows of
-    several items, each count for their item_id. Other columns of either table are ignored.
+    several items, each count for their item_id. Rows that repeat an id stay apart. Other columns of either
+    table are ignored.
     """
-    spark = docs.sparkSession
-    items = _items(benchmark, item_col, item_text)
-    out = None
-    for shard in _shards(items, window):
-        found = _scan(docs, spark.sparkContext.broadcast(shard), id_col, text_col, window)
-        out = found if out is None else out.unionByName(found)
-    if len(items) and len(_shards(items, window)) > 1:
-        out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
-    return out.withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"))
+    for shard in _shards(_items(benchmark, item_col, item_text), window):
+        out = _scan(out, docs.sparkSession.sparkContext.broadcast(shard), window)
+    return out.select(F.col("id").alias(id_col), "n_words", "hits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10) -> DataFrame:
@@ -109,20 +106,22 @@ def _clean(docs, items, at, window):
     return docs.mapInArrow(of, docs.schema)
 
 
-def _scan(docs, items, id_col, text_col, window):
+def _scan(docs, items, window):
+    """Rows (id, text, n_words, hits) with the hits of one automaton added."""
+
     def of(batches):
         ids, automaton = _compile(items.value, window)
         known = ids.get
         for b in batches:
             counts, hits = [], []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
+            for text, before in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 words = words_of(text or b"")
                 counts.append(len(words))
                 found = list(automaton.iter(tuple([known(w, 0) for w in words]))) if words and ids else []
-                hits.append(_located(text, found) if found else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(hits, HIT)], ["id", "n_words", "hits"])
+                hits.append(before + _located(text, found) if found else before)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(hits, HIT)], ["id", "text", "n_words", "hits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(of, HITS)
+    return docs.mapInArrow(of, f"id long, text string, n_words long, hits {HITS}")
 
 
 HIT = pa.list_(pa.struct([("item", pa.string()), ("word", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
