@@ -41,6 +41,8 @@ FORMS = {
 }
 BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<form:string,start:int,end:int,match:string>>"
+#: Matches that are put together at a time.
+RUN = 256
 MARK, OTHER = "\u0001", "\u0002"
 
 # Gazetteers and cue words.
@@ -60,18 +62,24 @@ def matches(text: Column, form: str) -> Column:
     """All matches of the form in text, with code point offsets; text holds no MARK."""
     _, pattern, gate = FORMS[form]
     pieces = F.split(F.regexp_replace(text, pattern, MARK + "$0" + MARK), MARK, -1)  # every second piece is a match
+    none = F.array().cast(SPAN)
+    # matches are added to short arrays, full ones to an array of those: adding copies an array
     found = F.aggregate(
         pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(SPAN).alias("found")),
+        F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(f"array<{SPAN}>").alias("full"), none.alias("found")),
         lambda s, p: F.struct(
             (s["at"] + F.length(p)).alias("at"),
             (~s["odd"]).alias("odd"),
+            F.when(F.size(s["found"]) >= RUN, F.array_append(s["full"], s["found"])).otherwise(s["full"]).alias("full"),
             F.when(
                 s["odd"],
-                F.array_append(s["found"], F.struct(F.lit(form).alias("form"), s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), p.alias("match"))),
-            ).otherwise(s["found"]).alias("found"),
+                F.array_append(
+                    F.when(F.size(s["found"]) >= RUN, none).otherwise(s["found"]),
+                    F.struct(F.lit(form).alias("form"), s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), p.alias("match")),
+                ),
+            ).otherwise(F.when(F.size(s["found"]) >= RUN, none).otherwise(s["found"])).alias("found"),
         ),
-        lambda s: s["found"],
+        lambda s: F.flatten(F.array_append(s["full"], s["found"])),
     )
     return F.when(text.contains(gate) if gate == "@" else text.rlike(gate), found).otherwise(F.array().cast(SPAN))
 
