@@ -42,6 +42,8 @@ def test_exact_dedup(spark):
     assert {i: (r.keep_id, r.group_size, r.kept) for i, r in got.items()} == {
         5: (3, 3, False), 3: (3, 3, True), 9: (3, 3, False), 1: (4, 3, False), 2: (4, 3, False), 4: (4, 3, True), 7: (7, 3, True), 8: (7, 3, False), 6: (6, 1, True), 10: (10, 1, True)
     }
+    twice = exact_dedup(spark.createDataFrame([(8, "x"), (8, "x"), (8, "y")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.group_size, r.kept) for r in twice) == [(8, 1, True), (8, 2, True), (8, 2, True)]
     assert got[6].text_sha256 == hashlib.sha256("Éb".encode()).hexdigest()
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

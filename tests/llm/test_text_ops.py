@@ -24,6 +24,12 @@ from ledgerlink.llm.html_text import extract_text, html_to_text
     ("a</p></table></zzz>b", "a\nb"),
     ("<p>1 &lt; 2 <", "1 < 2 <"),
     ("", ""), (None, ""), ("   \n ", ""), ("<li>x", "- x"),
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+    ("<table><tr><td rowspan=3 colspan=2>A<td>b<tr><td>c<tr><td>d<td>e<tr><td>f</table>", "A  b\n   c\n   d  e\nf"),
+    ("<table><tr><td colspan=900>a<td>b<tr><td>cc</table>", "a   b\ncc"),
+    ("<b aria-hidden=true>icon</b> <select><option>one<option>two</select>", "icon\none\ntwo"),
+    ("<svg><title>no</title><rect/><text>label</text></svg><math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "labelx=1"),
+    ("<textarea>a\n b</textarea>", "a\n b"),
 ])
 def test_html(page, text):
     assert re.sub(r"\n+", "\n", html_to_text(page)) == re.sub(r"\n+", "\n", text)
@@ -35,6 +41,57 @@ def test_html_keeps_every_visible_word_and_survives_depth():
     assert html_to_text(page).split() == words
 
 
+def test_html_of_any_depth_hides_what_is_hidden_and_stays_small():
+    deep = "<div>" * 20_000 + "<p hidden>SECRET</p>x" + "</span>" * 20_000
+    assert html_to_text(deep) == "x"
+    assert html_to_text("<ul><li>" * 300 + "end").endswith("- end")
+    assert html_to_text("<table><tr><td>" * 300 + "end").strip() == "end"
+    wide = html_to_text("<table>" + "".join(f"<tr><td>{'w' * (n % 7)}<td>{'long ' * 2000 if n == 5 else 'y'}<td>z{n}" for n in range(2000)) + "</table>")
+    assert len(wide) < 200_000 and sum(f"z{n}" in wide.split() for n in range(2000)) == 2000
+
+
+def plain_words(page):
+    """Words of a page of well-formed tags, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden.append("hidden" in dict(attrs) or tag in ("style", "template"))
+
+        def handle_endtag(self, tag):
+            self.hidden.pop()
+
+        def handle_data(self, data):
+            if not any(self.hidden):
+                self.out += data.split()
+
+    walk = Walk()
+    walk.feed(page)
+    return walk.out
+
+
+def test_html_keeps_the_visible_words_of_random_trees():
+    rng = random.Random(7)
+    names = ["div", "span", "b", "section", "ul", "table", "template", "pre", "article", "blockquote", "em"]
+
+    def tree(depth):
+        if not depth or rng.random() < 0.2:
+            return f" w{rng.randrange(10**6)} "
+        tag = rng.choice(names)
+        inner = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(tag, "{}")
+        body = "".join(inner.replace("{}", tree(depth - 1)) for _ in range(rng.randrange(4)))
+        return f"<{tag}{' hidden' if rng.random() < 0.1 else ''}>{body}</{tag}>"
+
+    for _ in range(200):
+        page = "".join(tree(5) for _ in range(3))
+        got = [w for w in html_to_text(page).split() if w != "-"]
+        assert sorted(got) == sorted(plain_words(page))
+
+
 def test_extract_text_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a<p>b", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_lines, r.n_chars) for r in extract_text(df).collect()}
@@ -76,6 +133,8 @@ def test_decontamination_offsets_shards_and_filter(spark, monkeypatch):
     assert sorted((h.item, h.start, h.end) for h in hits[1]) == [("7", 3, 17), ("8", 8, 17)] and not hits[2]
     monkeypatch.setattr(decontam, "MAX_PATTERN_WORDS", 1)  # every item is a shard of its own
     assert sorted(h.item for h in {r.doc_id: r.hits for r in decontam.benchmark_hits(docs, bench).collect()}[1]) == ["7", "8"]
+    twice = decontam.contamination(docs.unionByName(docs.filter("doc_id = 1")).unionByName(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(1))), bench)
+    assert sorted((r.doc_id, r.n_hit) for r in twice.collect()) == [(1, 0), (1, 3), (1, 3), (2, 0)]  # rows that repeat an id stay apart
     assert [tuple(r) for r in decontam.drop_contaminated(docs, bench).collect()] == [(2, "none", "k")]
     assert decontam.contamination(docs.limit(0), bench).count() == 0
     assert decontam.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
@@ -121,7 +180,7 @@ def test_pii_adds_wide_spans(spark):
     docs = [(i, f"write to ann{i}@mail.example.com or call +1 (415) 555-{1000 + i} now. pay 4111111111111111 from 10.0.0.{i}") for i in range(60)]
     docs += [(100 + i, f"build 999999999999{i} version 300.1.2.{i} x") for i in range(60)] + [(500, "call (415) 555-1234 now"), (501, "mail joe [at] mail [dot] example.com now")]
     got = {r[0]: r[1] for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", pii.joined(F.col("spans"))).collect()}
-    assert got[500] == "phone:5:19" and got[501] == "email:5:39" and got[100] == ""
+    assert got[500] == "phone:5:19" and got[501] == "email:5:36" and got[100] == ""
 
 
 def test_toxicity_decodes_learns_and_generalises(spark):
