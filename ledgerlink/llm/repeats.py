@@ -8,9 +8,10 @@ is least in it, so a window that recurs has a recurring phrase of this kind: one
 2. Compile and stream: each shard compiles its recurring phrases into one Aho-Corasick automaton over word
    ids and streams its documents through it, which locates every occurrence. A shard is about SHARD_BYTES of
    text, whatever the corpus, so automata stay small, and the work is linear in the corpus.
-3. Judge: the windows around the located phrases meet on a 96-bit hash of their words; of each shard only the
-   first of equal windows takes part, so no window has more rows than there are shards, and a phrase that is
-   common in many surroundings is dealt over all tasks.
+3. Judge: the windows around the located phrases travel in runs that share their least phrase and their
+   greatest one, and meet on both and a 96-bit hash of their words; of each shard only the first of equal
+   windows takes part, so no window has more rows than there are shards, and a phrase that is common in many
+   surroundings is dealt over many tasks.
 4. Remove: the shards get back the windows that start earlier elsewhere and drop the words they cover.
 """
 
@@ -21,78 +22,27 @@ import struct
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .word_hashes import Rolling, word_hashes
 
 WINDOW, PHRASE = 20, 8
 #: Text of a shard, which one task holds: the number of shards follows the corpus.
 SHARD_BYTES = 5 << 20
-CACHE_WORDS = 600_000
-#: Digits of a word's number in the automata's alphabet: one range of characters for each place.
-DIGITS = 128
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-class Words:
-    """Numbers and 64-bit hashes of the words a worker has seen."""
-
-    def __init__(self, most: int = CACHE_WORDS, spelled: bool = True):
-        self.most, self.spelled = most, spelled
-        self.ids: dict[bytes, int] = {}
-        self.table = np.zeros(1 << 16, np.uint64)
-        self.signs: list[str] = []
-
-    def codes(self, words: list[bytes]) -> list[int]:
-        codes = list(map(self.ids.get, words))
-        if None in codes:
-            h = xxhash.xxh64_intdigest
-            for i, c in enumerate(codes):
-                if c is None:
-                    w = words[i]
-                    c = self.ids.setdefault(w, n := len(self.ids))
-                    codes[i] = c
-                    if c == n:
-                        if n == len(self.table):
-                            self.table = np.concatenate((self.table, np.zeros(n, np.uint64)))
-                        self.table[n] = h(w)
-                        if self.spelled:
-                            self.signs.append(chr(0x1000 + n % DIGITS) + chr(0x2000 + n // DIGITS % DIGITS) + chr(0x3000 + n // DIGITS**2))
-        return codes
-
-    def room(self) -> None:
-        if len(self.ids) > self.most:
-            self.__init__(self.most, self.spelled)
-
-
-WORDS = Words()
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64, for i < n or more."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if (base, size) not in _POWERS:
-        _POWERS[base, size] = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
-    return _POWERS[base, size]
-
-
-class Rolling:
-    """Hashes of runs of words at any place, from one running sum."""
-
-    def __init__(self, h: np.ndarray, base: int):
-        up, self.down = powers(base, len(h) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-
-    def at(self, size: int, places: np.ndarray | None = None) -> np.ndarray:
-        s, n = self.sums, len(self.sums) - size
-        out = (s[size:] - s[:n]) * self.down[:n] if places is None else (s[places + size] - s[places]) * self.down[places]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
+#: A word in the automata's alphabet: SIGNS characters of as many kinds, each with 32 values, from its hash.
+SIGNS = 4
+_PAIRS = [np.array([[(k + 1) * 0x1000 + (v & 31), (k + 2) * 0x1000 + (v >> 5)] for v in range(1024)], np.uint32).view(np.uint64).ravel() for k in (0, 2)]
+
+
+def signs(h: np.ndarray) -> str:
+    """Words as characters; different words may look alike, as one in a million does, which only adds candidates."""
+    out = np.empty((len(h), 2), np.uint64)
+    out[:, 0] = _PAIRS[0][(h >> np.uint64(44)) & np.uint64(1023)]
+    out[:, 1] = _PAIRS[1][h >> np.uint64(54)]
+    return out.tobytes().decode("utf-32-le")
 
 
 def sliding(a: np.ndarray, size: int, best) -> np.ndarray:
@@ -146,13 +96,10 @@ def _phrases(docs: DataFrame) -> DataFrame:
 
     def of(batches):
         for b in batches:
-            shards, found = b.column(0).to_numpy(zero_copy_only=False), {}
-            WORDS.room()
-            for s, t in zip(shards.tolist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                words = t.split() if t else []
-                if len(words) >= WINDOW:
-                    codes = np.array(WORDS.codes(words))
-                    p = Rolling(WORDS.table[codes], BASES[0]).at(PHRASE)
+            found: dict[int, list] = {}
+            for s, h in zip(b.column(0).to_pylist(), word_hashes([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]), strict=True):
+                if len(h) >= WINDOW:
+                    p = Rolling(h).at(PHRASE)
                     found.setdefault(s, []).append(p[least_places(p)])
             for s, parts in found.items():
                 p, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -176,7 +123,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "shard int, blob binary")
 
 
-FOUND = pa.schema([("w", pa.int64()), ("x", pa.int32()), ("id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+FOUND = pa.schema([("phrase", pa.int64()), ("deal", pa.int32()), ("id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("hashes", pa.list_(pa.int64())), ("checks", pa.list_(pa.int32()))])
 
 
 def automaton_of(phrases) -> ahocorasick.Automaton:
@@ -188,68 +135,74 @@ def automaton_of(phrases) -> ahocorasick.Automaton:
 
 
 def _locate(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Candidate windows of a shard (w, x: their hash), and windows that repeat in the shard.
+    """Candidate windows of a shard, in runs that share their least phrase, and windows that repeat in the shard.
 
-    Of equal windows in the shard only the first is a candidate. The others are runs of n windows that are
-    known to go: their x is null, and w only deals them.
+    Of equal windows in the shard only the first is a candidate (hashes, checks: one of each per window); the
+    others are runs without hashes. deal spreads the runs of one phrase by what else their windows have in common.
     """
     if not len(right) or not len(left):
         return FOUND.empty_table()
-    WORDS.room()
     recurring = np.unique(right.column("phrase").to_numpy().view(np.uint64))
     sieve = np.zeros(1 << 20, bool)
     sieve[recurring >> np.uint64(44)] = True
-    docs, texts, sums, places, hashes = [], [], [], [], []
-    for i, t in unpack(left.column("blob").to_pylist()):
-        words = t.split()
-        if len(words) < WINDOW:
+    names, texts = zip(*unpack(left.column("blob").to_pylist()), strict=True)
+    words, docs, places, hashes = word_hashes(texts), [], [], []
+    for n, h in enumerate(words):
+        if len(h) < WINDOW:
             continue
-        codes = WORDS.codes(words)
-        rolling = Rolling(WORDS.table[np.array(codes)], BASES[0])
-        p = rolling.at(PHRASE)
+        p = Rolling(h).at(PHRASE)
         maybe = np.flatnonzero(sieve[p >> np.uint64(44)])
         at = np.minimum(np.searchsorted(recurring, p[maybe]), len(recurring) - 1)
         maybe = maybe[recurring[at] == p[maybe]]
-        docs.append((i, codes))
-        texts.append("".join(map(WORDS.signs.__getitem__, codes)))
-        sums.append(rolling)
-        places.append(np.stack((np.full(len(maybe), len(docs) - 1), maybe)))
+        docs.append(n)
+        places.append(np.stack((np.full(len(maybe), n), maybe)))
         hashes.append(p[maybe])
     if not docs:
         return FOUND.empty_table()
     # one occurrence gives the phrase; the automaton locates all
     where = np.concatenate(places, axis=1)[:, np.unique(np.concatenate(hashes), return_index=True)[1]]
-    automaton = automaton_of(texts[n][3 * k : 3 * (k + PHRASE)] for n, k in where.T.tolist())
-    parts = []
-    for n, (_, codes) in enumerate(docs):
-        ends = [e for e, _ in automaton.iter(texts[n])] if len(automaton) else []
+    automaton = automaton_of(signs(words[n][k : k + PHRASE]) for n, k in where.T.tolist())
+    if not len(automaton):
+        return FOUND.empty_table()
+    parts, spread = [], WINDOW - PHRASE + 1
+    for n in docs:
+        h = words[n]
+        ends = [e for e, _ in automaton.iter(signs(h))]
         if not ends:
             continue
-        starts = len(codes) - WINDOW + 1
-        e = np.array(ends) // 3
-        marks = np.bincount(np.maximum(e - WINDOW + 1, 0), minlength=len(codes) + 1) - np.bincount(e - PHRASE + 2, minlength=len(codes) + 1)
+        starts = len(h) - WINDOW + 1
+        e = np.array(ends) // SIGNS
+        marks = np.bincount(np.maximum(e - WINDOW + 1, 0), minlength=len(h) + 1) - np.bincount(e - PHRASE + 2, minlength=len(h) + 1)
         pos = np.flatnonzero(np.cumsum(marks)[:starts] > 0)  # windows that hold a located phrase whole
         if len(pos):
-            w = sums[n].at(WINDOW, pos)
-            x = Rolling(WORDS.table[np.array(codes)], BASES[1]).at(WINDOW, pos)
-            parts.append((w, (x >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(pos), n), pos))
+            rolling = Rolling(h)
+            phrase = rolling.at(PHRASE)
+            x = Rolling(word_hashes([texts[n]], 1)[0], 1).at(WINDOW, pos)
+            parts.append((rolling.at(WINDOW, pos), (x >> np.uint64(32)).astype(np.uint32).view(np.int32), sliding(phrase, spread, np.minimum)[pos], sliding(phrase, spread, np.maximum)[pos], np.full(len(pos), n), pos))
     if not parts:
         return FOUND.empty_table()
-    w, x, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    w, x, least, most, n, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((x, w))  # stable: equal windows stay in order of document and place
     same = (w[order][1:] == w[order][:-1]) & (x[order][1:] == x[order][:-1])
     first = np.ones(len(w), bool)
     first[order[1:][same]] = False
-    names = np.array([i for i, _ in docs])
+    names = np.array(names)
     rn, rp, rl = runs(n[~first], pos[~first])
-    n, pos = n[first], pos[first]
+    w, x, least, most, n, pos = w[first], x[first], least[first], most[first], n[first], pos[first]
+    new = np.ones(len(w), bool)
+    new[1:] = (n[1:] != n[:-1]) | (pos[1:] != pos[:-1] + 1) | (least[1:] != least[:-1]) | (most[1:] != most[:-1])
+    at = np.flatnonzero(new)
+    cuts = np.append(at, len(w)).astype(np.int32)
+    cuts = np.concatenate((cuts, np.full(len(rn), len(w), np.int32)))
     return pa.Table.from_arrays(
         [
-            pa.array(np.concatenate((w[first].view(np.int64), names[rn] * 31 + rp))),
-            pa.array(np.concatenate((x[first], np.zeros(len(rn), np.int32))), mask=np.arange(len(n) + len(rn)) >= len(n)),
-            pa.array(np.concatenate((names[n], names[rn]))),
-            pa.array(np.concatenate((pos, rp)).astype(np.int32)),
-            pa.array(np.concatenate((np.ones(len(n), np.int64), rl)).astype(np.int32)),
+            pa.array(np.concatenate((least[at].view(np.int64), names[rn] * 31 + rp))),
+            pa.array(np.concatenate(((most[at] >> np.uint64(33)).astype(np.int32), np.zeros(len(rn), np.int32)))),
+            pa.array(np.concatenate((names[n[at]], names[rn]))),
+            pa.array(np.concatenate((pos[at], rp)).astype(np.int32)),
+            pa.array(np.concatenate((np.diff(np.append(at, len(w))), rl)).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(w.view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)),
         ],
         schema=FOUND,
     )
@@ -305,11 +258,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     recurring = phrases.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase")
     wanted = phrases.select("phrase", "shard").join(recurring, "phrase", "left_semi")
     packed = _packed(texts)
-    found = packed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_locate, "w long, x int, id long, pos int, n int")
+    found = packed.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(
+        _locate, "phrase long, deal int, id long, pos int, n int, hashes array<long>, checks array<int>"
+    )
+    # equal windows have the same least and greatest phrases: their runs meet on them, and are taken apart only there
+    apart = F.when(F.size("hashes") > 0, F.transform(F.arrays_zip("hashes", "checks"), lambda z, i: F.struct(z["hashes"].alias("w"), z["checks"].alias("x"), (F.col("pos") + i).alias("pos"), F.lit(1).alias("n"))))
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("w"), F.lit(None).cast("int").alias("x"), "pos", "n"))
+    windows = found.repartition("phrase", "deal").select("phrase", "deal", "id", F.inline(F.coalesce(apart, whole)))
     here = F.struct("id", "pos")
     repeats = (
-        found.select("*", F.min(here).over(Window.partitionBy("w", "x")).alias("first"))
-        .filter(F.col("x").isNull() | (here != F.col("first")))
+        windows.select("id", "pos", "n", "w", F.min(here).over(Window.partitionBy("phrase", "deal", "w", "x")).alias("first"))
+        .filter(F.col("w").isNull() | (here != F.col("first")))
         .select(_shard_of(F.col("id"), shards).alias("shard"), "id", "pos", F.col("n").alias("len"))
     )
     return (
