@@ -93,18 +93,21 @@ def dedupe_orders(df: DataFrame, pos: str = "pos") -> DataFrame:
         acted.alias("actions"), warned.alias("warnings"), F.array(pos).alias("sources"),
     )
 
-    def merge(a: Column, b: Column) -> Column:
-        swap = order_quality(b, have) > order_quality(a, have)
-        p, s = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    def filled(a: Column, p: Column, s: Column) -> Column:
         fields = [F.when(p[f] != "", p[f]).otherwise(s[f]).alias(f) for f in have]
         clash = F.array_compact(F.array(*[F.when((p[f] != "") & (s[f] != "") & (p[f] != s[f]), F.lit(f"conflict_{f}")) for f in have]))
         return F.struct(
-            a["pos"].alias("pos"), *fields, (a["is_partial"] & b["is_partial"]).alias("is_partial"), F.greatest(a["confidence"], b["confidence"]).alias("confidence"),
+            a["pos"].alias("pos"), *fields, (p["is_partial"] & s["is_partial"]).alias("is_partial"), F.greatest(p["confidence"], s["confidence"]).alias("confidence"),
             F.array_sort(F.array_distinct(F.concat(p["actions"], s["actions"]))).alias("actions"),
             F.array_sort(F.array_distinct(F.concat(p["warnings"], s["warnings"], clash))).alias("warnings"),
             F.concat(p["sources"], s["sources"]).alias("sources"),
         )
 
+    def merge(a: Column, b: Column) -> Column:
+        # the comparison is made once: its outcome is an array of one pair, and the merged record is made of that
+        pair = F.when(order_quality(b, have) > order_quality(a, have), F.struct(b.alias("p"), a.alias("s"))).otherwise(F.struct(a.alias("p"), b.alias("s")))
+        return F.get(F.transform(F.array(pair), lambda x: filled(a, x["p"], x["s"])), F.lit(0))
+
     rows = df.withColumn("dedupe_key", order_key_of(df)).groupBy("dedupe_key", *(["platform"] if "platform" in df.columns else [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), F.get("rows", F.lit(0)), merge)
     return rows.select(*[c for c in rows.columns if c != "rows"], F.size("rows").alias("n_sources"), folded.alias("r")).select("dedupe_key", *(["platform"] if "platform" in df.columns else []), "n_sources", "r.*")

@@ -14,10 +14,16 @@ BAND = MAX_DAYS + 1
 PLATFORM_WORDS = {"pdd": ["pdd", "拼多多"], "meituan": ["meituan", "美团"], "jd": ["jd", "京东"], "taobao": ["taobao", "淘宝", "天猫"]}
 
 
+def _front(name: str, least: int, most: int) -> Column:
+    """The beginning of a text that is looked for in payments; null if the text is too short to tell."""
+    key = text_key(F.col(name))
+    return F.when(F.length(key) >= least, F.substring(key, 1, most))
+
+
 def _order_side(orders: DataFrame) -> DataFrame:
     return orders.select(
         F.col("fact_id").alias("order_id"), F.col("pos").alias("order_pos"), "amount", F.col("platform").alias("o_platform"), F.col("occurrence_time").alias("order_time"),
-        parse_datetime(F.col("occurrence_time")).cast("date").alias("o_day"), text_key(F.col("merchant")).alias("o_merchant"), text_key(F.col("title")).alias("o_title"), F.col("summary").alias("order_summary"),
+        parse_datetime(F.col("occurrence_time")).cast("date").alias("o_day"), _front("merchant", 4, 8).alias("o_merchant"), _front("title", 8, 10).alias("o_title"), F.col("summary").alias("order_summary"),
     ).filter("amount is not null")
 
 
@@ -29,18 +35,28 @@ def _payment_side(payments: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    """Pairs of equal amount: dated ones within MAX_DAYS, by day bands; undated ones of equal platform, which alone can reach the least score."""
+    """Pairs of equal amount: dated ones within MAX_DAYS, by day bands; undated ones of equal platform, which alone can reach the least score.
+
+    A pair is undated if its order is, or if its payment is: these are two joins, each with the few undated
+    rows of one side, so that dated orders and dated payments meet by bands only.
+    """
     o, p = _order_side(orders), _payment_side(payments)
     band = lambda day: F.floor(F.unix_date(day) / BAND)
-    ob = o.filter("o_day is not null").withColumn("band", F.explode(F.array(*[band(F.col("o_day")) + d for d in (-1, 0, 1)])))
-    pb = p.filter("p_day is not null").withColumn("band", band(F.col("p_day")))
-    dated = ob.join(pb, ["amount", "band"]).drop("band").withColumn("days", day_delta(F.col("o_day"), F.col("p_day"))).filter(F.col("days") <= MAX_DAYS)
-    platform_known = o.filter("o_platform <> ''").withColumn("k", F.col("o_platform"))
-    one_undated = (F.col("o_day").isNull()) | (F.col("p_day").isNull())
-    undated = platform_known.join(p.withColumn("k", F.col("p_platform")), ["amount", "k"]).drop("k").filter(one_undated).withColumn("days", F.lit(None).cast("int"))
+    od, ou = o.filter("o_day is not null"), o.filter("o_day is null and o_platform <> ''").withColumn("k", F.col("o_platform"))
+    pd, pu = p.filter("p_day is not null"), p.filter("p_day is null").withColumn("k", F.col("p_platform"))
+    ob = od.withColumn("band", F.explode(F.array(*[band(F.col("o_day")) + d for d in (-1, 0, 1)])))
+    dated = ob.join(pd.withColumn("band", band(F.col("p_day"))), ["amount", "band"]).drop("band").withColumn("days", day_delta(F.col("o_day"), F.col("p_day"))).filter(F.col("days") <= MAX_DAYS)
+    no_order_day = ou.join(p.withColumn("k", F.col("p_platform")), ["amount", "k"])
+    no_payment_day = od.filter("o_platform <> ''").withColumn("k", F.col("o_platform")).join(pu, ["amount", "k"])
+    undated = no_order_day.unionByName(no_payment_day).drop("k").filter(_mentioned()).withColumn("days", F.lit(None).cast("int"))
     return dated.unionByName(undated)
 
 
+def _mentioned() -> Column:
+    """The payment's text holds the beginning of the order's merchant or title."""
+    return F.coalesce(F.expr("contains(p_text, o_merchant)"), F.lit(False)) | F.coalesce(F.expr("contains(p_text, o_title)"), F.lit(False))
+
+
 def _platform_word(platform: Column, text: Column) -> Column:
     out = F.when(platform == "", False)
     for name, words in PLATFORM_WORDS.items():
@@ -56,7 +72,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     days = F.col("days")
     same = (F.col("o_platform") != "") & (F.col("o_platform") == F.col("p_platform"))
     word = ~same & (F.col("o_platform") != "") & _platform_word(F.col("o_platform"), F.col("p_text"))
-    merchant = ((F.length("o_merchant") >= 4) & F.expr("contains(p_text, substring(o_merchant, 1, 8))")) | ((F.length("o_title") >= 8) & F.expr("contains(p_text, substring(o_title, 1, 10))"))
+    merchant = _mentioned()
     by_day = F.when(days.isNull(), -10).when(days == 0, 25).when(days <= 1, 20).when(days <= 3, 15).otherwise(8)
     day_word = F.when(days == 0, "same_day").when(days <= 1, "within_1_day").when(days <= 3, "within_3_days").when(days <= MAX_DAYS, "within_7_days")
     evidence = F.array_compact(F.array(

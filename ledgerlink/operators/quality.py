@@ -62,45 +62,46 @@ def ledger_review(entries: DataFrame, pos: str = "pos", most: int = 80) -> DataF
     return entries.filter("review_required").orderBy(pos).limit(most)
 
 
-def metrics(**tables: DataFrame) -> DataFrame:
-    """(section, key, value) of count tables: the first column is the key, n or the second the value."""
-    out = None
-    for section, df in tables.items():
-        key, value = df.columns[0], "n" if "n" in df.columns else df.columns[1]
-        rows = df.select(F.lit(section).alias("section"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(value).cast("decimal(38,2)").alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def unpivoted(row: DataFrame) -> DataFrame:
-    """A row of counts as (key, n)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("long").alias("n")) for c in row.columns])
-    return row.select(F.inline(pairs))
+def metrics(df: DataFrame, counts: dict[str, Column], sums: dict[str, tuple[Column, Column]] | None = None, missing: list[str] | None = None) -> DataFrame:
+    """(section, key, value) in one pass over df: each row adds one to its key of every section of counts.
+
+    sums has keys and what to add; the sections rows and missing, if any columns are named, count all rows and
+    those without a value, and have their keys even if df is empty. A null key is the empty text.
+    """
+    one = F.lit(1).cast("decimal(38,2)")
+    entry = lambda section, key, value: F.struct(F.lit(section).alias("section"), F.coalesce(key.cast("string"), F.lit("")).alias("key"), value.cast("decimal(38,2)").alias("value"))
+    parts = [entry(section, key, one) for section, key in counts.items()] + [entry(section, key, value) for section, (key, value) in (sums or {}).items()]
+    fixed: list[tuple[str, str]] = []
+    if missing is not None:
+        fixed = [("rows", "rows"), *[("missing", f"missing_{c}") for c in missing]]
+        parts.append(entry("rows", F.lit("rows"), one))
+        parts += [entry("missing", F.lit(f"missing_{c}"), F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", 1).otherwise(0)) for c in missing]
+    rows = df.select(F.inline(F.array(*parts)))
+    if fixed:
+        zero = F.array(*[entry(section, F.lit(key), F.lit(0)) for section, key in fixed])
+        rows = rows.unionByName(df.sparkSession.range(1).select(F.inline(zero)))
+    return rows.groupBy("section", "key").agg(F.sum("value").cast("decimal(38,2)").alias("value"))
 
 
 def bank_quality(bank: DataFrame) -> DataFrame:
-    return metrics(
-        rows=unpivoted(bank.agg(F.count(F.lit(1)).alias("rows"))), bank=count_by(bank, "bank_key"), direction=count_by(bank, "direction"), sources=source_multiplicity(bank),
-        missing=unpivoted(missing_counts(bank, ["transaction_time", "amount", "account_tail", "counterparty", "transaction_reference"]).drop("rows")),
-    )
+    counts = {"bank": F.col("bank_key"), "direction": F.col("direction"), "sources": F.size("source_records")}
+    return metrics(bank, counts, missing=["transaction_time", "amount", "account_tail", "counterparty", "transaction_reference"])
 
 
 def order_quality_report(orders: DataFrame) -> DataFrame:
-    return metrics(rows=unpivoted(orders.agg(F.count(F.lit(1)).alias("rows"))), platform=count_by(orders, "platform"), warning=warning_counts(orders), sources=count_by(orders, "n_sources"))
+    """Rows, platforms, numbers of sources and warnings; warnings are exploded, so that they are a pass of their own columns."""
+    warned = orders.select(F.explode("warnings").alias("warning"))
+    return metrics(orders, {"platform": F.col("platform"), "sources": F.col("n_sources")}, missing=[]).unionByName(metrics(warned, {"warning": F.col("warning")}))
 
 
 def fact_quality(facts: DataFrame, links: DataFrame) -> DataFrame:
-    return metrics(
-        fact_type=count_by(facts, "fact_type"), business_type=count_by(facts, "business_type"), platform=count_by(facts, "platform"),
-        channel=count_by(facts, "payment_channel"), strength=count_by(links, "match_strength"),
-    )
+    counts = {"fact_type": F.col("fact_type"), "business_type": F.col("business_type"), "platform": F.col("platform"), "channel": F.col("payment_channel")}
+    return metrics(facts, counts).unionByName(metrics(links, {"strength": F.col("match_strength")}))
 
 
 def ledger_quality(entries: DataFrame) -> DataFrame:
-    return metrics(
-        transaction_type=count_by(entries, "transaction_type"), category=count_by(entries, "category_lv1"), person=count_by(entries, "target_person"),
-        amount=amount_by_type(entries).select("transaction_type", "amount"), review=count_by(entries, "review_required"),
-    )
+    counts = {"transaction_type": F.col("transaction_type"), "category": F.col("category_lv1"), "person": F.col("target_person"), "review": F.col("review_required")}
+    return metrics(entries, counts, sums={"amount": (F.col("transaction_type"), F.col("amount"))})
 
 
 def ingest_stats(manifest: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 VIEWS: dict[str, str] = {
     "fx_statement_rows": r"""
-select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as pos,
+select (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + cast(l_quantity as bigint) as pos,
        'bank' || (l_orderkey % 3) as bank_key,
        lpad(cast(l_orderkey % 37 as varchar), 4, '0') as account_tail,
        'item ' || (l_partkey % 5) as summary,
@@ -19,7 +19,7 @@ select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppk
        cast(50 + l_suppkey % 50 as double) / 100 as confidence
 from lineitem""",
     "fx_order_captures": r"""
-select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as pos,
+select (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + cast(l_quantity as bigint) as pos,
        case l_orderkey % 4 when 0 then 'taobao' when 1 then 'pdd' when 2 then 'jd' else 'meituan' end as platform,
        case when l_orderkey % 5 = 0 then '' else cast(l_orderkey as varchar) end as order_id,
        case when l_partkey % 3 = 0 then '' else strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') end as order_time,
@@ -185,6 +185,27 @@ from (select *, case when transaction_reference <> '' then concat_ws('|', 'ref',
 group by key""",
 }
 
+# captures with their keys and warnings, and the fold of each key's captures in order of pos
+CAPTURE_WARNINGS = "list_filter([case when confidence < 0.8 then 'low_confidence' end, case when order_id = '' then 'missing_order_id' end, case when order_time = '' then 'missing_order_time' end, case when paid_amount = '' then 'missing_paid_amount' end, case when title = '' then 'missing_title' end, case when is_partial then 'partial_order' end], lambda x: x is not null)"
+CAPTURE_FIELDS = ("source_file", "order_id", "order_time", "merchant", "title", "paid_amount")
+_filled = lambda r: " + ".join(f"case when {r}.{f} <> '' then 1 else 0 end" for f in CAPTURE_FIELDS if f != "source_file")
+_score = lambda r: f"row(case when {r}.is_partial then 0 else 1 end, {r}.confidence, {_filled(r)})"
+_merged = lambda p, s: ", ".join([
+    "pos := a.pos", *[f"{f} := case when {p}.{f} <> '' then {p}.{f} else {s}.{f} end" for f in CAPTURE_FIELDS], "is_partial := a.is_partial and b.is_partial", "confidence := greatest(a.confidence, b.confidence)",
+    "warnings := list_sort(list_distinct(list_concat(a.warnings, b.warnings, list_filter([" + ", ".join(f"case when a.{f} <> '' and b.{f} <> '' and a.{f} <> b.{f} then 'conflict_{f}' end" for f in CAPTURE_FIELDS) + "], lambda x: x is not null))))",
+    f"sources := list_concat({p}.sources, {s}.sources)",
+])
+VIEWS["d_captures"] = f"""
+select *, case when order_id <> '' then 'order_id|' || platform || '|' || order_id
+  when not (((merchant <> '' or title <> '') and paid_amount <> '') or ((merchant <> '' or title <> '') and order_time <> '') or (order_time <> '' and paid_amount <> '')) then 'source|' || platform || '|' || source_file || '|' || order_index
+  else concat_ws('|', 'fallback', platform, order_time, lower(replace(merchant, ' ', '')), lower(replace(title, ' ', '')), '', paid_amount) end as dedupe_key
+from (select * replace (replace(paid_amount, '¥', '') as paid_amount), {CAPTURE_WARNINGS} as warnings from fx_order_captures)"""
+VIEWS["d_orders"] = f"""
+select dedupe_key, platform, n_sources, unnest(list_reduce(captures, lambda a, b: case when {_score("b")} > {_score("a")} then struct_pack({_merged("b", "a")}) else struct_pack({_merged("a", "b")}) end))
+from (select dedupe_key, platform, count(*) as n_sources,
+             list(struct_pack(pos := pos, {", ".join(f"{f} := {f}" for f in CAPTURE_FIELDS)}, is_partial := is_partial, confidence := confidence, warnings := list_sort(warnings), sources := [pos]) order by pos) as captures
+      from d_captures group by dedupe_key, platform)"""
+
 
 def with_views(select: str, **extra: str) -> str:
     """The statement with a WITH clause of the views it names, directly or through others."""

@@ -500,15 +500,12 @@ def _(x):
     return x.bank.select(*[joined(n) if n == "warnings" else c(n) for n in BANK_OUT.split(", ")])
 
 
-CAPTURE_KEY = """case when order_id <> '' then 'order_id|' || platform || '|' || order_id
-  when not (((merchant <> '' or title <> '') and paid_amount <> '') or ((merchant <> '' or title <> '') and order_time <> '') or (order_time <> '' and paid_amount <> '')) then 'source|' || platform || '|' || source_file || '|' || order_index
-  else concat_ws('|', 'fallback', platform, order_time, lower(replace(merchant, ' ', '')), lower(replace(title, ' ', '')), '', replace(paid_amount, '¥', '')) end"""
+ORDER_OUT = "dedupe_key, platform, n_sources, pos, source_file, order_id, order_time, merchant, title, paid_amount, is_partial, confidence"
 
 
-@query("dedupe_orders", f"select dedupe_key, count(*) as n_sources, max(confidence) as confidence, bool_and(is_partial) as is_partial, min(pos) as pos, sum(pos) as pos_sum from (select *, {CAPTURE_KEY} as dedupe_key from fx_order_captures) group by 1", doubles="pos_sum")
+@query("dedupe_orders", f"select {ORDER_OUT}, array_to_string(warnings, ',') as warnings, array_to_string(sources, ',') as sources from d_orders")
 def _(x):
-    total = F.aggregate("sources", F.lit(0).cast("decimal(38,0)"), lambda s, p: (s + p).cast("decimal(38,0)"))
-    return x.merged_orders.select("dedupe_key", c("n_sources").cast("long").alias("n_sources"), "confidence", "is_partial", "pos", total.alias("pos_sum"))
+    return x.merged_orders.select(*[c("n_sources").cast("long").alias(n) if n == "n_sources" else n for n in ORDER_OUT.split(", ")], joined("warnings"), joined("sources"))
 
 
 @query("count_by", "select bank_key, direction, count(*) as n from d_bank group by 1, 2")
@@ -651,7 +648,7 @@ def _(x):
     return x.bank.groupBy("bank_key", "direction").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sources").alias("sources"), F.sum(money.parse_decimal(c("amount")).cast("decimal(18,2)")).alias("amount"))
 
 
-@query("normalize_orders", f"select platform, count(distinct dedupe_key) as n, count(*) as sources from (select *, {CAPTURE_KEY} as dedupe_key from fx_order_captures) group by 1")
+@query("normalize_orders", "select platform, count(*) as n, cast(sum(n_sources) as bigint) as sources from d_orders group by 1")
 def _(x):
     return x.merged_orders.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sources").alias("sources"))
 
@@ -686,7 +683,9 @@ def _(x):
     return quality.bank_quality(x.bank)
 
 
-@query("order_quality")
+@query("order_quality", " union all ".join([
+    _metric("rows", "'rows'", "count(*)", "from d_orders"), *[_metric(n, k, "count(*)", f"from d_orders group by {k}") for n, k in (("platform", "platform"), ("sources", "n_sources"))],
+    _metric("warning", "warning", "count(*)", "from (select unnest(warnings) as warning from d_orders) group by warning")]), doubles="value")
 def _(x):
     return quality.order_quality_report(x.merged_orders)
 
