@@ -44,37 +44,37 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return made
 
 
-def _block(data: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a block, and where they begin."""
-    word = ~BLANK[data]
-    begin = np.flatnonzero(word[1:] & ~word[:-1]) + 1
-    if len(word) and word[0]:
-        begin = np.concatenate((np.zeros(1, begin.dtype), begin))
+def _hashed(data: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a block, where they begin, and where they end."""
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = ~BLANK[data]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    begin, end = edge[::2], edge[1::2]
     if not len(begin):
-        return np.zeros(0, np.uint64), begin
+        return np.zeros(0, np.uint64), begin, end
     up, down = powers(BASES[kind], len(data))
     values = VALUES[kind][data]
     values *= up[: len(data)]
     h = np.add.reduceat(values, begin)
     h *= down[begin]
-    return mixed(h), begin
+    return mixed(h), begin, end
 
 
-def _long(text: bytes, kind: int) -> np.ndarray:
-    data, parts, at = np.frombuffer(text, np.uint8), [], 0
+def _pieces(text: bytes):
+    """A long text, cut at white space."""
+    data, at = np.frombuffer(text, np.uint8), 0
     while at < len(data):
         size = BLOCK
         while at + size < len(data) and not (blanks := np.flatnonzero(BLANK[data[at : at + size]])).size:
             size *= 2  # a word longer than the block
         end = len(data) if at + size >= len(data) else at + int(blanks[-1]) + 1
-        parts.append(_block(data[at:end], kind)[0])
+        yield data[at:end]
         at = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def word_hashes(texts: list[bytes], kind: int = 0) -> list[np.ndarray]:
-    """Per text the hashes of its words, which [\\x20\\x09-\\x0D] part."""
-    out: list[np.ndarray] = []
+def word_blocks(texts: list[bytes], kind: int = 0):
+    """(first, data, h, begin, end, cuts): data holds the texts from first on, as many as there are cuts, and cuts are
+    the numbers of words before the end of each. A long text comes alone, in as many pieces as it needs; empty ones too."""
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -82,15 +82,24 @@ def word_hashes(texts: list[bytes], kind: int = 0) -> list[np.ndarray]:
             size += len(texts[to]) + 1
             to += 1
         if to == at:
-            out.append(_long(texts[at], kind))
+            for data in _pieces(texts[at]):
+                h, begin, end = _hashed(data, kind)
+                yield at, data.tobytes(), h, begin, end, [len(h)]
             at += 1
             continue
-        h, begin = _block(np.frombuffer(b" ".join(texts[at:to]), np.uint8), kind)
-        ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
-        cuts = np.searchsorted(begin, ends)
-        out += [h[a:z] for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        data = b" ".join(texts[at:to])
+        h, begin, end = _hashed(np.frombuffer(data, np.uint8), kind)
+        yield at, data, h, begin, end, np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts[at:to]])).tolist()
         at = to
-    return out
+
+
+def word_hashes(texts: list[bytes], kind: int = 0) -> list[np.ndarray]:
+    """Per text the hashes of its words, which [\\x20\\x09-\\x0D] part."""
+    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    for first, _, h, _, _, cuts in word_blocks(texts, kind):
+        for i, (a, z) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True), first):
+            parts[i].append(h[a:z])
+    return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint64) for x in parts]
 
 
 class Rolling:
