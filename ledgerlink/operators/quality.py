@@ -108,3 +108,10 @@ def ingest_stats(manifest: DataFrame) -> DataFrame:
     """Files seen and failed by suffix, of a manifest with one row per file (status, path)."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     return manifest.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("status") != "success").alias("failed"))
+
+
+def order_ingest_stats(tree: DataFrame) -> DataFrame:
+    """Per platform of read_order_tree's rows: files that failed, records, and warnings on them."""
+    return tree.groupBy("platform").agg(
+        F.count_if("failed").alias("failed"), F.count_if(~F.col("failed")).alias("records"), F.coalesce(F.sum(F.when(~F.col("failed"), F.size("warnings"))), F.lit(0)).alias("warnings")
+    )

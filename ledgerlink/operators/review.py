@@ -34,9 +34,15 @@ def month_buckets(entries: DataFrame) -> DataFrame:
     )
 
 
+def write_review_months(entries: DataFrame, path: str) -> None:
+    """The buckets as a table with one folder each, so that a month is read by itself."""
+    month_buckets(entries).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def ledger_review_by_month(entries: DataFrame) -> DataFrame:
-    """Overview of the buckets."""
-    return month_buckets(entries).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.count_if("review_required").alias("to_review"))
+    """Overview of the buckets, of entries or of a table that write_review_months has written."""
+    rows = entries if "bucket" in entries.columns else month_buckets(entries)
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.count_if("review_required").alias("to_review"))
 
 
 def layer_summary(**layers: DataFrame) -> DataFrame:

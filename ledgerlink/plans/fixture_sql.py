@@ -185,6 +185,9 @@ from (select *, case when transaction_reference <> '' then concat_ws('|', 'ref',
 group by key""",
 }
 
+# rows of two sources, of which the first comes first
+VIEWS["d_bank_twice"] = VIEWS["d_bank"].replace("from fx_statement_rows)", "from (select * replace (pos + (select max(pos) + 1 from fx_statement_rows) as pos) from fx_statement_rows union all select * from fx_statement_rows where pos % 3 = 0))")
+
 # captures with their keys and warnings, and the fold of each key's captures in order of pos
 CAPTURE_WARNINGS = "list_filter([case when confidence < 0.8 then 'low_confidence' end, case when order_id = '' then 'missing_order_id' end, case when order_time = '' then 'missing_order_time' end, case when paid_amount = '' then 'missing_paid_amount' end, case when title = '' then 'missing_title' end, case when is_partial then 'partial_order' end], lambda x: x is not null)"
 CAPTURE_FIELDS = ("source_file", "order_id", "order_time", "merchant", "title", "paid_amount")

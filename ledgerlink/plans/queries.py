@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text, times
-from ..operators import dedupe, facts, ledger, link, quality, review, rules, windows
+from ..operators import dedupe, facts, jobs, ledger, link, quality, review, rules, windows
 from ..sources import messages, records, statements
 from ..sources.scratch import scratch_path
 from .fixture_sql import VIEWS, with_views
@@ -98,6 +98,8 @@ def joined(c: str, sep: str = ","):
 
 
 c = F.col
+#: White space of Unicode in RE2, as Java's (?U)\\s and Python's \\s have it.
+WS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 # scans, sources, sinks
 
@@ -133,6 +135,61 @@ def _(x):
     return statements.read_statement_csv(x.spark, path).select("bank_key", "account_tail", "transaction_time", "direction", "amount", "merchant", "summary", "transaction_reference")
 
 
+ORDER_TREE = """
+select 'file' || f as source_image, platform, i as order_index, order_id, paid_amount, case when coalesce(max(bad) over (partition by f order by i rows between unbounded preceding and 1 preceding), false) then 'order_not_object' else '' end as warnings, bad
+from (select l_orderkey % 200 as f, row_number() over (partition by l_orderkey % 200 order by pos) - 1 as i, 'jd' as platform, order_id, paid_amount, pos % 13 = 0 as bad
+      from (select *, cast(substr(source_file, 5) as bigint) as l_orderkey from fx_order_captures))"""
+
+
+@query("scan_order_tree", f"select source_image, platform, order_index, order_id, paid_amount, warnings from ({ORDER_TREE}) where not bad")
+def _(x):
+    path = scratch_path(x.spark, "orders")
+    rows = x.order_captures().withColumn("f", F.substring("source_file", 5, 9).cast("long") % 200)
+    one = F.when(c("pos") % 13 == 0, F.lit('"none"')).otherwise(F.to_json(F.struct("order_id", "paid_amount")))
+    files = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("o")))).alias("o"))  # a file is one array
+    body = F.concat(F.lit('{"source_image": "file'), c("f").cast("string"), F.lit('", "platform": "jd", "orders": ['), F.array_join(F.transform("o", lambda y: y["o"]), ","), F.lit("]}"))
+    files.select((c("f") % 3).alias("folder"), body.alias("value")).write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    tree = records.read_order_tree(x.spark, path, "*.txt")
+    return tree.filter("not failed").select("source_image", "platform", c("order_index").cast("long").alias("order_index"), "order_id", "paid_amount", joined("warnings"))
+
+
+MAIL_RULES = [{"bank_key": "one", "sender_contains": ["src1@"], "subject_contains": ["fr"], "body_contains": ["chq"]}, {"bank_key": "two", "sender_contains": [], "subject_contains": ["en"], "body_contains": ["theth"]}]
+MAIL_SQL = "select pos, text, case when contains(sender, 'src1@') or (contains(subject, 'fr') and contains(lower(text), 'chq')) then 'one' when contains(subject, 'en') and contains(lower(text), 'theth') then 'two' when contains(subject, 'de ') then 'subject_keyword' else 'skipped' end as outcome from (select pos, sender, subject, coalesce(body, '') as text from fx_messages)"
+BODY_LINES = rf"""flatten(list_transform(list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda l: trim(regexp_replace(l, '{WS}', ' ', 'g'))), lambda l: l <> ''),
+  lambda l: case when length(l) > 500 then list_filter(list_transform(string_split_regex(l, '[。；;]'), lambda y: trim(y)), lambda y: y <> '') else [l] end))"""
+
+
+@query("ingest_messages", f"""
+with m as ({MAIL_SQL}), l as (select outcome, pos, unnest({BODY_LINES}) as line from m where outcome <> 'skipped')
+select outcome, count(*) as messages, coalesce((select count(distinct (pos, line)) from l where l.outcome = m.outcome and regexp_matches(line, '[0-9]{{3}}')), 0) as candidates from m group by outcome""")
+def _(x):
+    path = scratch_path(x.spark, "mail")
+    m = x.messages()
+    mail = F.concat(F.lit("From: "), "sender", F.lit("\nTo: me@example.com\nSubject: "), "subject", F.lit("\nDate: Fri, 05 Jan 2024 10:00:00 +0000\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(F.coalesce("body", F.lit("")), "UTF-8")))
+    m.select(mail.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = messages.read_messages(x.spark, f"{path}/*.txt")
+    rows, candidates, stats = jobs.ingest_messages(found, MAIL_RULES, ["de "], F.lit(2024), "([0-9]{3})()", ("tion",))
+    of = candidates.join(rows.select("source_file", "bank_key"), "source_file").groupBy(c("bank_key").alias("outcome")).agg(F.count(F.lit(1)).alias("candidates"))
+    return stats.join(of, "outcome", "left").select("outcome", "messages", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+@query("attachment_inventory", """
+select path, bank_key, case suffix when 'pdf' then 'pdf' when 'xls' then 'spreadsheet' when 'csv' then 'csv' else 'other' end as kind, pos % 3 <> 2 as exists,
+       case when pos % 3 = 2 then 'missing' when suffix in ('pdf', 'csv') then case when pos % 2 = 0 then 'encrypted' else 'plain' end else 'unknown' end as encrypted_status,
+       case when bank_key = 'bank1' then 'bank:bank1' when suffix = 'pdf' then 'type:pdf' else '' end as source, case when bank_key = 'bank1' then 2 when suffix = 'pdf' then 1 else 0 end as candidate_count, bank_key = 'bank1' or suffix = 'pdf' as password_configured
+from (select pos, output_files[1] as path, 'bank' || (pos % 3) as bank_key, lower(regexp_extract(output_files[1], '\\.([^.]*)$', 1)) as suffix from fx_manifest)""")
+def _(x):
+    m = x.manifest().select("pos", F.get("output_files", F.lit(0)).alias("path"), F.concat(F.lit("bank"), c("pos") % 3).alias("bank_key"))
+    suffix, locked = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)), c("pos") % 2 == 0
+    content = (
+        F.when(suffix == "pdf", F.encode(F.concat(F.lit("%PDF-1.4 "), F.when(locked, "/Encrypt").otherwise("/Root")), "ISO-8859-1"))
+        .when(suffix == "csv", F.unhex(F.concat(F.lit("504B03041400"), F.when(locked, "0100").otherwise("0000")))).otherwise(F.encode(F.lit("text"), "ISO-8859-1"))
+    )
+    lookup = x.spark.createDataFrame([("bank", "bank1", 2, 0), ("type", "pdf", 1, 1)], "kind string, key string, candidate_count int, pos int")
+    files = m.filter("pos % 3 <> 2").select("path", content.alias("content"))
+    return messages.attachment_inventory(m.select("path", "bank_key"), files, lookup)
+
+
 @query("shape_cell_table", """
 select 's' || o_orderkey % 50 as sheet, o_orderkey + 10 as row, strftime(o_orderdate, '%Y-%m-%d') as transaction_time, case when o_orderkey % 2 = 0 then 'outflow' else 'inflow' end as direction,
        case when o_orderkey % 2 = 0 then '-' else '' end || o_custkey || '.50' as amount, o_orderstatus as summary from orders where o_orderkey % 13 <> 0""")
@@ -235,9 +292,9 @@ def _(x):
     return x.lines().select("doc_id", "line_no", text.account_tail(t).alias("tail"))
 
 
-@query("text_key", r"select doc_id, line_no, lower(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\s+', '', 'g')) as key from fx_lines")
+@query("text_key", f"select doc_id, line_no, lower(regexp_replace(text, '{WS}', '', 'g')) as key from fx_lines")
 def _(x):
-    return x.lines().select("doc_id", "line_no", text.text_key(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("key"))
+    return x.lines().select("doc_id", "line_no", text.text_key(c("text")).alias("key"))
 
 
 @query("largest_amount", "select message_uid, i, case when v2 > v1 then a[2] else a[1] end as largest from (select *, abs(try_cast(a[1] as decimal(18,2))) as v1, abs(try_cast(a[2] as decimal(18,2))) as v2 from (select message_uid, unnest(candidates).amounts as a, generate_subscripts(candidates, 1) as i from fx_records)) where v1 is not null")
@@ -258,13 +315,13 @@ def _(x):
     return x.table("orders").select("o_orderkey", times.compact_date(F.when(c("o_orderkey") % 4 == 0, odd).otherwise(d)).alias("date"))
 
 
-@query("html_to_text", r"""
-select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) as text
-from (select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<(script|style).*?</(script|style)>', ' ', 'gis'),
-      '<br\s*/?>', chr(10), 'gi'), '</(p|div|tr|li|h[1-6])>', chr(10), 'gi'), '<[^>]+>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as t
-      from (select page_id, regexp_replace(html, '[^\x00-\x7F]', '', 'g') as h from pages))""")
+@query("html_to_text", rf"""
+select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '{WS}', ' ', 'g'))), lambda l: l <> ''), chr(10)) as text
+from (select page_id, replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style).*?</(script|style)>', ' ', 'gis'),
+      '<br\s*/?>', chr(10), 'gi'), '</(p|div|tr|li|h[1-6])>', chr(10), 'gi'), '<[^>]+>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), chr(13), chr(10)) as t
+      from pages)""")
 def _(x):
-    return x.table("pages").select("page_id", text.html_to_text(F.regexp_replace("html", r"[^\x00-\x7F]", "")).alias("text"))
+    return x.table("pages").select("page_id", text.html_to_text(c("html")).alias("text"))
 
 
 @query("extract_date", "select o_orderkey, case when o_orderkey % 3 = 0 or year(o_orderdate) < 2000 then '' else strftime(o_orderdate, '%Y-%m-%d') end as date from orders")
@@ -332,9 +389,26 @@ def _(x):
     return rows.select("pos", quality.order_warnings(rows).alias("warnings")).select("pos", joined("warnings"))
 
 
-@query("model_json", "select id, case when id % 3 in (0, 1) then (select props from events e where e.event_id = id) end as object from fx_model_replies")
+@query("model_json", """select id, case when id % 3 in (0, 1) then (select props from events e where e.event_id = id) else '{"orders": []}' end as object, case when id % 3 = 2 then 'parse_error' else '' end as warnings from fx_model_replies""")
+def _(x):
+    return x.model_replies().select("id", text.model_orders(c("raw_text")).alias("r")).select("id", "r.object", F.array_join("r.warnings", ",").alias("warnings"))
+
+
+@query("repair_mojibake", "select o_orderkey, case o_orderkey % 4 when 0 then '支付' || o_orderkey when 1 then 'café ' || o_orderkey when 2 then '中' || o_orderkey else 'plain ' || o_orderkey end as text from orders")
+def _(x):
+    garbled = "支付".encode("gbk").decode("latin1")
+    n = c("o_orderkey") % 4
+    t = F.concat(F.when(n == 0, garbled).when(n == 1, "café ").when(n == 2, "中").otherwise("plain "), c("o_orderkey").cast("string"))
+    return x.table("orders").select("o_orderkey", text.repair_mojibake(t).alias("text"))
+
+
+@query("best_encoding", "select o_orderkey, case o_orderkey % 3 when 0 then '交易' || o_orderkey when 1 then '账单' || o_orderkey else 'plain' || lpad(cast(o_orderkey as varchar), 10, '0') end as text from orders")
 def _(x):
-    return x.model_replies().select("id", text.model_object(c("raw_text")).alias("object"))
+    n = c("o_orderkey") % 3  # an even number of ASCII bytes would read as UTF-16 with CJK characters
+    head = F.when(n == 0, "交易".encode("gbk").hex()).when(n == 1, "账单".encode().hex()).otherwise(b"plain".hex())
+    tail = F.when(n == 2, F.lpad(c("o_orderkey").cast("string"), 10, "0")).otherwise(c("o_orderkey").cast("string"))
+    content = F.unhex(F.concat(head, F.hex(F.encode(tail, "UTF-8"))))
+    return x.table("orders").select("o_orderkey", statements.best_encoding(content).alias("text"))
 
 
 @query("cell_text", r"select doc_id, line_no, case when length(t) > 40 then left(t, 39) || '…' else t end as cell from (select doc_id, line_no, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from fx_lines)")
@@ -349,10 +423,9 @@ def _(x):
     return rows.select("platform", "pos", score.alias("s")).groupBy("platform").agg(F.max_by("pos", F.struct("s.complete", "s.confidence", "s.filled", "pos")).alias("best"))
 
 
-@query("candidate_lines", r"select doc_id, i - 1 as at, line from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from (select doc_id, list_filter(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), lambda l: regexp_matches(l, 'tion|blee') or regexp_matches(l, '[0-9]{3}')) as ls from (select doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') as t from documents)))")
+@query("candidate_lines", f"select doc_id, i - 1 as at, line from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from (select doc_id, list_filter({BODY_LINES}, lambda l: regexp_matches(l, 'tion|blee') or regexp_matches(l, '[0-9]{{3}}')) as ls from documents))")
 def _(x):
-    body = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    return x.table("documents").select("doc_id", F.posexplode(messages.candidate_lines(body, ("tion", "blee"), "[0-9]{3}", 1 << 30)).alias("at", "line"))
+    return x.table("documents").select("doc_id", F.posexplode(messages.candidate_lines(c("text"), ("tion", "blee"), "[0-9]{3}")).alias("at", "line"))
 
 
 @query("extract_datetime", "select o_orderkey, case when o_orderkey % 3 = 2 then '' when o_orderkey % 3 = 1 then '2031' || strftime(o_orderdate, '-%m-%d %H:%M') || ':00' else strftime(o_orderdate + interval 10 year, '%Y-%m-%d %H:%M:%S') end as t from orders")
@@ -371,9 +444,9 @@ def _(x):
     return facts.eligible_payments(x.bank_facts).select("fact_id")
 
 
-@query("ledger_source_facts", "select fact_type, count(*) as n from f_all where source_type = 'bank_transaction' group by 1")
+@query("ledger_source_facts", "select fact_id, fact_type from f_all where source_type = 'bank_transaction'")
 def _(x):
-    return quality.count_by(facts.ledger_source_facts(x.all_facts), "fact_type")
+    return facts.ledger_source_facts(x.all_facts).select("fact_id", "fact_type")
 
 
 @query("bank_review", "select pos, warnings, confidence from d_bank where warnings <> '' or confidence < 0.7 order by pos limit 50")
@@ -400,9 +473,13 @@ def _(x):
     return windows.message_window(rows, "ts", c("since"), c("until"), 200, "event_id").select("event_id")
 
 
-@query("select_sources", "select source_type, count(*) as n from f_all group by 1")
+@query("select_sources", "select chosen, source_type, count(*) as n from (select 'bank' as chosen, source_type from f_all where source_type = 'bank_transaction' union all select 'orders', source_type from f_all where source_type = 'platform_order' union all select 'both', source_type from f_all) group by 1, 2")
 def _(x):
-    return x.payment_facts.unionByName(x.movement_facts).unionByName(x.order_facts).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for chosen in ("bank", "orders", "both"):
+        rows = jobs.select_sources(chosen, bank=x.bank_facts, orders=x.order_facts).groupBy("source_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(chosen).alias("chosen"), "source_type", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # joins
@@ -643,14 +720,28 @@ def _(x):
 # jobs
 
 
-@query("normalize_bank", "select bank_key, direction, count(*) as n, cast(sum(n_sources) as bigint) as sources, sum(cast(amount as decimal(18,2))) as amount from d_bank group by 1, 2", doubles="amount")
+def _json_id(prefix: str, **fields: str) -> str:
+    """stable_id in SQL; the fixtures' values need no escapes."""
+    body = " || ".join(f"""'{"{" if i == 0 else ", "}"{n}": "' || {v} || '"'""" for i, (n, v) in enumerate(sorted(fields.items())))
+    return f"'{prefix}' || substr(sha256({body} || '}}'), 1, 20)"
+
+
+_key = lambda n: f"lower(replace({n}, ' ', ''))"
+BANK_ID = _json_id("bank_tx_", bank_key="bank_key", account_key="bank_key || ':' || account_tail", transaction_time="transaction_time", posting_date="''", direction="direction", amount="amount", summary=_key("summary"), counterparty=_key("counterparty"), reference="transaction_reference")
+ORDER_ID = _json_id("order_", platform="platform", order_id="order_id", order_time="order_time", merchant=_key("merchant"), title=_key("title"), spec="''", paid_amount="paid_amount")
+
+
+@query("normalize_bank", f"select {BANK_ID} as transaction_id, n_sources, warnings, confidence from d_bank_twice")
 def _(x):
-    return x.bank.groupBy("bank_key", "direction").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sources").alias("sources"), F.sum(money.parse_decimal(c("amount")).cast("decimal(18,2)")).alias("amount"))
+    # the first source holds every third row, the second one all rows: copies merge over both
+    rows = x.statement_rows()
+    merged = jobs.normalize_bank(rows.filter("pos % 3 = 0"), rows)
+    return merged.select("transaction_id", "n_sources", joined("warnings"), "confidence")
 
 
-@query("normalize_orders", "select platform, count(*) as n, cast(sum(n_sources) as bigint) as sources from d_orders group by 1")
+@query("normalize_orders", f"select {ORDER_ID} as order_record_id, n_sources, array_to_string(warnings, ',') as warnings from d_orders")
 def _(x):
-    return x.merged_orders.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sources").alias("sources"))
+    return jobs.normalize_orders(x.captures).select("order_record_id", c("n_sources").cast("long").alias("n_sources"), joined("warnings"))
 
 
 FACT_OUT = "fact_id, source_type, fact_type, business_type, occurrence_time, amount, signed_amount, direction, source_system, platform, payment_channel, summary, confidence"
@@ -708,16 +799,30 @@ def _(x):
     return review.layer_summary(raw=x.statement_rows(), deduped=x.bank, facts=x.all_facts, links=x.links)
 
 
-@query("match_review_tables", """
-select f.source_type, case when f.source_type = 'platform_order' then case when best >= 85 then 'linked' when best > 0 then 'candidate' else 'unmatched' end else case when best >= 85 then 'linked' else 'unlinked' end end as link_status, count(*) as n
-from f_all f left join (select id, max(score) as best from (select order_id as id, score from d_links union all select payment_id, score from d_links) group by id) l on f.fact_id = l.id group by 1, 2""")
+STATUS = """select f.*, case when f.source_type = 'platform_order' then case when best >= 85 then 'linked' when best > 0 then 'candidate' else 'unmatched' end else case when best >= 85 then 'linked' else 'unlinked' end end as link_status
+from f_all f left join (select id, max(score) as best from (select order_id as id, score from d_links union all select payment_id, score from d_links) group by id) l on f.fact_id = l.id"""
+
+
+@query("match_review_tables", f"""
+with s as ({STATUS})
+select 'overview' as sheet, source_type || ' ' || link_status as id, count(*) as n from s group by 2 union all select 'linked', link_id, 1 from d_links where match_strength = 'linked' union all select 'candidates', link_id, 1 from d_links where match_strength = 'candidate'
+union all select 'unmatched_orders', fact_id, 1 from s where link_status = 'unmatched' union all select 'orders', fact_id, 1 from s where source_type = 'platform_order'
+union all select 'outgoing', fact_id, 1 from s where source_type = 'bank_transaction' and direction = 'outflow' union all select 'facts', fact_id, 1 from s""")
 def _(x):
-    return review.match_review_tables(link.link_status(x.all_facts, x.links), x.links)["overview"]
+    tables = review.match_review_tables(link.link_status(x.all_facts, x.links), x.links)
+    out = None
+    for name, df in tables.items():
+        own = F.concat_ws(" ", "source_type", "link_status") if name == "overview" else c("link_id") if name in ("linked", "candidates") else c("fact_id")
+        rows = df.select(F.lit(name).alias("sheet"), own.alias("id"), (c("n") if name == "overview" else F.lit(1)).cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("ledger_review_by_month", "select coalesce(strftime(date, '%Y-%m'), 'missing_date') as bucket, count(*) as n, sum(abs(amount)) as amount, count(*) filter (review_required) as to_review from d_ledger group by 1", doubles="amount")
 def _(x):
-    return review.ledger_review_by_month(x.entries)
+    path = scratch_path(x.spark, "months")
+    review.write_review_months(x.entries, path)
+    return review.ledger_review_by_month(x.spark.read.parquet(path))
 
 
 @query("apply_overrides", """
