@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, written
 from .repeats import pack, unpack
+from .word_hashes import BLOCK, LINES, places, word_blocks
 
 SPACE = "▁"
 FREQUENT = 300_000
-#: Words whose ids a worker keeps, beside those of the frequent units.
+#: Words that a task keeps what it has found out about.
 CACHE_WORDS = 300_000
+#: Documents whose words are read at a time.
+DOCUMENTS = 2000
 #: Text of a shard, which one task holds: the number of shards follows the corpus.
 SHARD_BYTES = 5 << 20
 #: Cut points of a unit are bits of a long; longer units fold in Python over the same edges.
@@ -81,6 +84,52 @@ def units_of(word: str, pairs: frozenset[str]) -> list[str]:
     return [word[a:z] for a, z in zip([0, *ends], [*ends, len(word)], strict=True)]
 
 
+#: Texts of which no word is empty: one space, or line feeds, between two words.
+IRREGULAR = re.compile(rb"  | \n|\n |\A[ \n]| \Z|" + SPACE.encode())
+#: Set apart by it: words after a line feed, which have no space.
+AFTER_LINE = np.uint64(0xA3B195354A39B70D)
+
+
+class Words:
+    """The words of many texts: distinct ones as Python values, all others as numbers.
+
+    Regular texts are read by hashes of 64 bits; words of equal hash and different length are told apart. Those
+    that are longer than a block of hashes, or have irregular spaces, are left to words_of (odd).
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.odd = [i for i, t in enumerate(texts) if len(t) > BLOCK or IRREGULAR.search(t)]
+        regular = sorted(set(range(len(texts))) - set(self.odd))
+        self.size = np.zeros(len(texts), np.int64)  # words of each text
+        self.tail = np.zeros(len(texts), np.int64)  # line feeds after its last word
+        key, lines, where, self.data = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)], []
+        given = [texts[i] for i in regular]
+        for first, data, h, begin, end, cuts in word_blocks(given, 0, LINES):
+            feeds = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.frombuffer(data, np.uint8) == 10)))
+            before = feeds[begin] - feeds[np.concatenate((np.zeros(1, np.int64), end[:-1]))[: len(begin)]]
+            at = 0
+            for n, (a, z) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True), first):
+                size = len(given[n])
+                if a < z:
+                    before[a] = 0  # a text starts with a word
+                self.size[regular[n]] = z - a
+                self.tail[regular[n]] = feeds[at + size] - feeds[at] - before[a:z].sum()
+                at += size + 1
+            key.append(h ^ (AFTER_LINE * (before > 0)) ^ ((end - begin).astype(np.uint64) << np.uint64(40)))
+            lines.append(before)
+            where.append(np.stack((np.full(len(h), len(self.data)), begin, end)))
+            self.data.append(data)
+        self.lines, self.where = np.concatenate(lines), np.concatenate(where, axis=1)
+        self.key, self.first, self.of, self.times = np.unique(np.concatenate(key), return_index=True, return_inverse=True, return_counts=True)
+
+    def word(self, n: int) -> str:
+        """The n-th distinct word, as units_of takes it."""
+        i = self.first[n]
+        block, a, z = self.where[:, i].tolist()
+        text = self.data[block][a:z].decode("utf-8", "replace")
+        return "\n\n" + text if self.lines[i] else text
+
+
 def edges_of(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
     """(h, unit, n, s, e, rank, id) of distinct units (unit, n): one row per substring that is a piece.
 
@@ -252,14 +301,25 @@ class Encoding:
         self.docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
         def counted(batches):
-            for b in batches:
-                found: Counter = Counter()
-                for text in b.column(0).to_pylist():
-                    found.update(words_of(text))
-                    if len(found) > CACHE_WORDS:
-                        yield _counts(found, pairs)
-                        found = Counter()
-                yield _counts(found, pairs)
+            seen: dict[int, list[str]] = {}
+            for b in (b.slice(at, DOCUMENTS) for b in batches for at in range(0, b.num_rows, DOCUMENTS)):
+                texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
+                words, found = Words(texts), Counter()
+                if len(seen) > CACHE_WORDS:
+                    seen.clear()
+                for n, (k, times) in enumerate(zip(words.key.tolist(), words.times.tolist(), strict=True)):
+                    units = seen.get(k)
+                    if units is None:
+                        units = seen[k] = units_of(words.word(n), pairs)
+                    for u in units:
+                        found[u] += times
+                found["\n"] += int(words.lines.sum() + words.tail.sum())
+                for i in words.odd:
+                    for w, times in Counter(words_of(texts[i].decode("utf-8", "replace"))).items():
+                        for u in units_of(w, pairs):
+                            found[u] += times
+                found += Counter()  # without zeros
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["unit", "n"])
 
         rows = self.docs.select("text").mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
         self.counts = written(rows, "sp-units", compression="zstd")
@@ -292,44 +352,70 @@ class Encoding:
         top = self.encoded(self.counts.filter(self.common)).toArrow()  # at most FREQUENT rows
         frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), (np.array(i, np.int32).tobytes() for i in top.column(1).to_pylist()), strict=True)))
         pieces = {r.id: r.piece.encode() if r.piece is not None else bytes([r.byte]) for r in self.vocabulary}
-        table = spark.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)])
+        texts_of = [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
+        lens = np.array([len(x) for x in texts_of], np.int64)
+        table = spark.sparkContext.broadcast((lens, np.cumsum(lens) - lens, np.frombuffer(b"".join(texts_of), np.uint8)))
 
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(1, size // SHARD_BYTES)
         texts = self.docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
 
         def rare_units(batches):
-            common, known = frequent.value, set()  # known: words whose units are all frequent
-            for b in batches:
-                words: dict[int, set[str]] = {}
-                for s, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    words.setdefault(s, set()).update(words_of(t))
-                new = set().union(*words.values()).difference(known)
+            common, known = frequent.value, {}  # known: the units of a word that are not frequent
+            for b in (b.slice(at, DOCUMENTS) for b in batches for at in range(0, b.num_rows, DOCUMENTS)):
+                texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
+                words, shard_of = Words(texts), b.column(0).to_numpy()
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                far = {w: u for w in new if (u := [x for x in units_of(w, pairs) if x not in common])}
-                known.update(new.difference(far))
-                rows = [(u, s) for s, some in words.items() for u in {u for w in some.intersection(far) for u in far[w]}]
-                units, at = zip(*rows, strict=True) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(at, pa.int32())], ["unit", "shard"])
+                far: dict[int, list[str]] = {}
+                for n, k in enumerate(words.key.tolist()):
+                    units = known.get(k)
+                    if units is None:
+                        units = known[k] = [u for u in units_of(words.word(n), pairs) if u not in common]
+                    if units:
+                        far[n] = units
+                rare = np.zeros(len(words.key), bool)
+                rare[list(far)] = True
+                at = np.flatnonzero(rare[words.of])
+                met = np.unique(np.stack((np.repeat(shard_of, words.size)[at], words.of[at])), axis=1)
+                rows = {(u, s) for s, n in met.T.tolist() for u in far[n]}
+                for i in words.odd:
+                    rows.update((u, int(shard_of[i])) for w in set(words_of(texts[i].decode("utf-8", "replace"))) for u in units_of(w, pairs) if u not in common)
+                rows.update(("\n", int(s)) for s in ({*shard_of.tolist()} if "\n" not in common else ()))
+                units, shards_of = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(shards_of, pa.int32())], ["unit", "shard"])
 
         rare = self.encoded(self.counts.filter(~self.common))
         found = texts.mapInArrow(rare_units, "unit string, shard int").join(rare, "unit").select("shard", "unit", "ids").mapInArrow(_packed_units, "shard int, blob binary")
 
         def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             lookup = Lookup(frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob)), pairs)
-            names, ids, back, same = [], [np.zeros(0, np.int32)], [], []
-            of = table.value
-            for i, t in unpack(left.column("blob").to_pylist()):
-                text = t.decode("utf-8", "replace")
-                some = np.frombuffer(b"".join(map(lookup.__getitem__, words_of(text))), np.int32)
-                again = plain_text(b"".join(map(of.__getitem__, some.tolist())).decode("utf-8", "replace"))
-                names.append(i)
-                ids.append(some)
-                same.append(again == text)
+            names, texts = zip(*unpack(left.column("blob").to_pylist()), strict=True)
+            words = Words(list(texts))
+            codes = [lookup[words.word(n)] for n in range(len(words.key))]
+            count = np.array([len(x) for x in codes], np.int64) // 4
+            flat, start = np.frombuffer(b"".join(codes), np.int32), np.cumsum(count) - count
+            feed = np.frombuffer(lookup["\n"], np.int32) if words.lines.any() or words.tail.any() else np.zeros(1, np.int32)
+            # every word takes the ids of the line feeds before it and its own; what no word fills is line feeds
+            own, before = count[words.of], words.lines * len(feed)
+            ends = np.cumsum(own + before)
+            extra = np.repeat(np.cumsum(words.tail) - words.tail, words.size) * len(feed)  # line feeds at the ends of the texts before
+            total = int(own.sum() + before.sum() + words.tail.sum() * len(feed))
+            whole = np.tile(feed, -(-total // len(feed)))[:total]
+            whole[places(ends - own + extra, own)] = flat[places(start[words.of], own)]
+            size = np.bincount(np.repeat(np.arange(len(texts)), words.size), own + before, len(texts)).astype(np.int64) + words.tail * len(feed)
+            cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+            ids = [whole[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            for i in words.odd:
+                ids[i] = np.frombuffer(b"".join(map(lookup.__getitem__, words_of(texts[i].decode("utf-8", "replace")))), np.int32)
+            lens, starts, letters = table.value
+            back, same = [], []
+            for some, t in zip(ids, texts, strict=True):
+                again = plain_text(letters[places(starts[some], lens[some])].tobytes())
+                same.append(again == t)
                 if decoded:
-                    back.append(again)
-            ends = np.cumsum([len(x) for x in ids]).astype(np.int32)
+                    back.append(again.decode("utf-8", "replace"))
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in ids]))).astype(np.int32)
             out = {"id": pa.array(names, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), "round_trip": pa.array(same, pa.bool_())}
             return pa.table(out | ({"decoded": pa.array(back, pa.string())} if decoded else {}))
 
@@ -345,22 +431,13 @@ class Lookup(dict):
         self.frequent, self.rare, self.pairs = frequent, rare, pairs
 
     def __missing__(self, word: str) -> bytes:
-        units = units_of(word, self.pairs)
-        ids = self[word] = b"".join([self.frequent.get(u) or self.rare[u] for u in units])
+        ids = self[word] = b"".join([self.frequent.get(u) or self.rare[u] for u in units_of(word, self.pairs)])
         return ids
 
 
-def plain_text(decoded: str) -> str:
+def plain_text(decoded: bytes) -> bytes:
     """Decoded pieces of a whole text with real spaces, without the dummy one."""
-    return decoded.removeprefix(SPACE).replace(SPACE, " ")
-
-
-def _counts(found: Counter, pairs: frozenset[str]) -> pa.RecordBatch:
-    units: Counter = Counter()
-    for w, n in found.items():
-        for u in units_of(w, pairs):
-            units[u] += n
-    return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
+    return decoded.removeprefix(SPACE.encode()).replace(SPACE.encode(), b" ")
 
 
 def _packed_texts(batches):

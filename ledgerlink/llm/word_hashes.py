@@ -11,8 +11,8 @@ import numpy as np
 #: Texts are joined to blocks of about so many bytes; longer ones are cut at white space.
 BLOCK = 1 << 17
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: The bytes that part words: white space of ASCII, or spaces and line feeds only.
+WHITE, LINES = b"\t\n\v\f\r ", b"\n "
 _POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -24,13 +24,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_values(kind: int) -> np.ndarray:
+def _blank(blanks: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(blanks)] = True
+    return out
+
+
+def _byte_values(kind: int, blanks: bytes) -> np.ndarray:
     v = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[1 - kind])) + np.uint64(kind + 1))
-    v[BLANK] = 0
+    v[list(blanks)] = 0
     return v
 
 
-VALUES = tuple(map(_byte_values, (0, 1)))
+BLANK = {blanks: _blank(blanks) for blanks in (WHITE, LINES)}
+VALUES = {(kind, blanks): _byte_values(kind, blanks) for kind in (0, 1) for blanks in (WHITE, LINES)}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,35 +51,35 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return made
 
 
-def _hashed(data: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, kind: int, blanks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of a block, where they begin, and where they end."""
     word = np.zeros(len(data) + 2, bool)
-    word[1:-1] = ~BLANK[data]
+    word[1:-1] = ~BLANK[blanks][data]
     edge = np.flatnonzero(word[1:] != word[:-1])
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return np.zeros(0, np.uint64), begin, end
     up, down = powers(BASES[kind], len(data))
-    values = VALUES[kind][data]
+    values = VALUES[kind, blanks][data]
     values *= up[: len(data)]
     h = np.add.reduceat(values, begin)
     h *= down[begin]
     return mixed(h), begin, end
 
 
-def _pieces(text: bytes):
+def _pieces(text: bytes, blanks: bytes):
     """A long text, cut at white space."""
     data, at = np.frombuffer(text, np.uint8), 0
     while at < len(data):
         size = BLOCK
-        while at + size < len(data) and not (blanks := np.flatnonzero(BLANK[data[at : at + size]])).size:
+        while at + size < len(data) and not (blanks := np.flatnonzero(BLANK[blanks][data[at : at + size]])).size:
             size *= 2  # a word longer than the block
         end = len(data) if at + size >= len(data) else at + int(blanks[-1]) + 1
         yield data[at:end]
         at = end
 
 
-def word_blocks(texts: list[bytes], kind: int = 0):
+def word_blocks(texts: list[bytes], kind: int = 0, blanks: bytes = WHITE):
     """(first, data, h, begin, end, cuts): data holds the texts from first on, as many as there are cuts, and cuts are
     the numbers of words before the end of each. A long text comes alone, in as many pieces as it needs; empty ones too."""
     at = 0
@@ -82,13 +89,13 @@ def word_blocks(texts: list[bytes], kind: int = 0):
             size += len(texts[to]) + 1
             to += 1
         if to == at:
-            for data in _pieces(texts[at]):
-                h, begin, end = _hashed(data, kind)
+            for data in _pieces(texts[at], blanks):
+                h, begin, end = _hashed(data, kind, blanks)
                 yield at, data.tobytes(), h, begin, end, [len(h)]
             at += 1
             continue
         data = b" ".join(texts[at:to])
-        h, begin, end = _hashed(np.frombuffer(data, np.uint8), kind)
+        h, begin, end = _hashed(np.frombuffer(data, np.uint8), kind, blanks)
         yield at, data, h, begin, end, np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts[at:to]])).tolist()
         at = to
 
@@ -112,3 +119,9 @@ class Rolling:
     def at(self, size: int, places: np.ndarray | None = None) -> np.ndarray:
         s, n = self.sums, len(self.sums) - size
         return mixed((s[size:] - s[:n]) * self.down[:n] if places is None else (s[places + size] - s[places]) * self.down[places])
+
+
+def places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, count many."""
+    ends = np.cumsum(count)
+    return np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)

@@ -67,7 +67,7 @@ def test_sentencepiece_equals_the_library_and_decodes(spark):
     rng = random.Random(5)
     bits = [" ", "  ", "a", "the", "ing", "\n", "é", "\t", ".", ",", "Hello", "世", "😀", "\x00", "x▁y", "0", "   "]
     docs = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(30)))) for i in range(150)]
-    docs += [(900, None), (901, ""), (902, " "), (903, "a" * 300), (904, "thequickbrownfox" * 30), (905, "\n"), (906, " \n a")]
+    docs += [(900, None), (901, ""), (902, " "), (903, "a" * 300), (904, "thequickbrownfox" * 30), (905, "\n"), (906, " \n a"), (907, "long\n\ntext of lines\n" * 8000), (908, "a\n\n\nb c\n\n"), (909, "x\ty\nz")]
     m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     enc = Encoding(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, unit int"), PIECES)
     ids = enc.documents(decoded=True).cache()
