@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tried in this order; single letters also take unpadded numbers.
+# Formats, tried in this order; single letters also take unpadded numbers.
 FORMATS = ("y-M-d H:m:s", "y-M-d H:m", "y-M-d", "y/M/d H:m:s", "y/M/d")
 
 
@@ -30,6 +30,7 @@ def extract_date(c: Column) -> Column:
     return F.replace(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?U)\b(20[0-9]{2}[-/][0-9]{2}[-/][0-9]{2})\b", 1), F.lit("/"), F.lit("-"))
 
 
+# Dates with times in lines of text, with and without a year.
 FULL = r"(20[0-9]{2})[-/年.]([0-9]{1,2})[-/月.]([0-9]{1,2})日?\s*([0-9]{1,2})[:：]([0-9]{2})(?:[:：]([0-9]{2}))?"
 PARTIAL = r"([0-9]{1,2})[-/月.]([0-9]{1,2})日?\s*([0-9]{1,2})[:：]([0-9]{2})(?:[:：]([0-9]{2}))?"
 

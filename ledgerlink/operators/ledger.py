@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.money import combined_confidence
 from ..functions.text import order_summary, stable_id
 from ..functions.times import ledger_date
+from .category_rules import CATEGORY_RULES, DEFAULTS, Rule
 from .facts import ledger_source_facts
 from .link import LINKED_FROM
-from .rules import CATEGORY_RULES, DEFAULTS, classify
+from .rules import classify
 
 # Transaction types in income, expense and cash-flow statistics.
 INCOME, EXPENSE = "收入", "支出"
@@ -37,7 +38,7 @@ def enrich_with_orders(facts: DataFrame, links: DataFrame, orders: DataFrame, le
     )
 
 
-def classify_with_order_text(enriched: DataFrame, rules: str = CATEGORY_RULES, defaults: str = DEFAULTS) -> DataFrame:
+def classify_with_order_text(enriched: DataFrame, rules: list[Rule] = CATEGORY_RULES, defaults: list[Rule] = DEFAULTS) -> DataFrame:
     """Classification over title and summary with the orders' texts; the stored title and summary stay as they are."""
     has = F.col("order_detail_summary") != ""
     seen = enriched.withColumns({
@@ -48,7 +49,7 @@ def classify_with_order_text(enriched: DataFrame, rules: str = CATEGORY_RULES, d
     return classify(seen, rules, defaults).withColumns({"title": F.col("_title"), "summary": F.col("_summary")}).drop("_title", "_summary")
 
 
-def build_ledger(facts: DataFrame, links: DataFrame, orders: DataFrame, rules: str = CATEGORY_RULES, defaults: str = DEFAULTS) -> DataFrame:
+def build_ledger(facts: DataFrame, links: DataFrame, orders: DataFrame, rules: list[Rule] = CATEGORY_RULES, defaults: list[Rule] = DEFAULTS) -> DataFrame:
     """One entry per bank fact; orders never become entries."""
     c = classify_with_order_text(enrich_with_orders(ledger_source_facts(facts), links, orders), rules, defaults)
     date, kind = ledger_date(F.col("occurrence_time")), F.col("transaction_type")

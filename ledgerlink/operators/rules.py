@@ -6,53 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import join_text, text_key
+from .category_rules import CATEGORY_RULES, DEFAULTS, Rule
 
-RULE_COLUMNS = "transaction_type category_lv1 category_lv2 category_lv3 target_person project tags reimbursable_status budget_status confidence reason review_required".split()
-
-# Keywords | direction | priority | type | three levels | person | project | tags | reimbursable | budget | confidence | reason | review
-CATEGORY_RULES = """
-信用卡还款,还信用卡,卡还款,借记卡还款|outflow|10|转账|信用卡|信用卡还款|储蓄卡还信用卡|本人|账户流转|非消费,账户流转|否|不纳入预算|0.98|命中信用卡还款关键词，按账户流转处理|
-账户互转,转账,转存,转入,转出,提现,充值到余额||20|转账|账户互转|银行与支付账户|账户流转|本人|账户流转|非消费,账户流转|否|不纳入预算|0.88|命中转账或账户互转关键词|
-基金申购,基金买入,股票买入,理财申购,理财购买,证券,基金定投|outflow|25|资产变动|投资交易|投资买入|理财申购|本人|资产配置|非消费,投资|否|不纳入预算|0.9|命中投资买入关键词，按资产变动处理|
-基金赎回,股票卖出,理财赎回,理财到期|inflow|26|资产变动|投资交易|投资卖出|理财赎回|本人|资产配置|非消费,投资|否|不纳入预算|0.9|命中投资卖出关键词，按资产变动处理|
-退款,退货,返现,冲正,refund|inflow|30|退款|其他收入|退款返现|购物退款|家庭|退款返还|退款|否|不纳入预算|0.9|命中退款或返现关键词|
-报销,差旅报销,费用报销|inflow|35|收入|工资薪酬|报销到账|差旅报销|工作|工作报销|已报销,工作|已报销|不纳入家庭预算|0.9|命中报销到账关键词|
-工资,薪资,薪酬,奖金,绩效,津贴,补贴|inflow|40|收入|工资薪酬|固定工资|基本工资|本人|个人收入|收入|否|不纳入预算|0.88|命中工资薪酬关键词|
-利息,结息|inflow|45|收入|投资理财收入|利息收入|银行存款利息|本人|资产收益|收入,投资|否|不纳入预算|0.85|命中利息收入关键词|
-医院,门诊,挂号,医保,诊所|outflow|60|支出|医疗健康|医疗诊疗|门诊|家庭|医疗健康|刚性支出,医疗|否|预算内|0.88|命中医疗诊疗关键词|
-药房,药店,叮当智慧药房,京东健康|outflow|61|支出|医疗健康|药品器械|非处方药|家庭|医疗健康|刚性支出,医疗|否|预算内|0.86|命中药房或药店关键词|
-体检,疫苗,牙科,眼科|outflow|62|支出|医疗健康|体检保健|体检|家庭|医疗健康|医疗|否|预算内|0.86|命中体检保健关键词|
-美团外卖,饿了么,外卖|outflow|70|支出|餐饮食品|外卖便利|外卖|本人|个人日常|弹性支出,日常|否|预算内|0.88|命中外卖平台关键词|
-美团平台商户,meituan|outflow|70|支出|餐饮食品|外卖便利|外卖|本人|个人日常|弹性支出,日常|否|预算内|0.76|命中美团平台关键词，第一版按餐饮外卖处理并建议复核|y
-咖啡,奶茶,星巴克,瑞幸,蜜雪冰城|outflow|71|支出|餐饮食品|饮品零食|咖啡奶茶|本人|个人日常|弹性支出,日常|否|预算内|0.85|命中咖啡奶茶关键词|
-餐饮,饭店,餐厅,麦当劳,肯德基,必胜客,赛百味,午餐,晚餐,早餐|outflow|72|支出|餐饮食品|日常餐饮|日常餐食|本人|个人日常|弹性支出,日常|否|预算内|0.82|命中日常餐饮关键词|
-停车,停车场,etcp|outflow|80|支出|交通出行|自驾用车|停车费|家庭|家庭日常|交通|否|预算内|0.9|命中停车费关键词|
-高速,过路费|outflow|81|支出|交通出行|自驾用车|高速费|家庭|家庭日常|交通|否|预算内|0.86|命中高速通行关键词|
-地铁,公交|outflow|82|支出|交通出行|公共交通|公共交通|本人|个人日常|交通|否|预算内|0.84|命中公共交通关键词|
-打车,滴滴,出租车,网约车|outflow|83|支出|交通出行|打车租车|网约车|本人|个人日常|交通|否|预算内|0.84|命中打车出行关键词|
-淘宝,天猫,拼多多,京东,抖音商城|outflow|90|支出|购物消费|日用百货|其他日用品|家庭|家庭日常|购物|否|预算内|0.78|命中电商平台关键词，具体品类等待订单补充或人工复核|y
-支付宝-商户,财付通-平台商户,微信支付,支付宝|outflow|95|支出|购物消费|日用百货|其他日用品|家庭|家庭日常|购物|否|预算内|0.62|命中泛支付商户关键词，需结合商户或订单复核|y
-物业,物业费,房租,租金,供暖,采暖|outflow|100|支出|居住生活|住房成本|物业费|家庭|家庭日常|刚性支出,固定支出|否|预算内|0.86|命中住房成本关键词|
-水费,电费,燃气,国家电网,自来水|outflow|101|支出|居住生活|水电能源|水电燃气|家庭|家庭日常|刚性支出,固定支出|否|预算内|0.9|命中水电燃气关键词|
-话费,宽带,流量包,手机充值|outflow|102|支出|居住生活|通讯网络|手机话费|家庭|家庭日常|刚性支出,固定支出|否|预算内|0.86|命中通讯充值关键词|
-学费,少儿,培训,英语,托管,兴趣班|outflow|110|支出|教育学习|子女教育|兴趣班|子女|子女教育|刚性支出,周期支出|否|预算内|0.86|命中子女教育或培训关键词|
-"""
-# What rows get that no rule hits, by direction.
-DEFAULTS = """
-|inflow|1000|收入|其他收入|其他收入||本人|个人收入|收入|否|不纳入预算|0.55|金额流入但未命中明确收入规则|y
-|outflow|1000|支出|未分类|未分类||其他|||否|未知|0.35|金额流出但未命中支出分类规则|y
-||1001|未知|未分类|未分类||其他|||否|未知|0.1|无法判断资金方向|y
-"""
-
-
-def parsed_rules(text: str) -> list[dict]:
-    out = []
-    for pos, line in enumerate(x for x in text.splitlines() if x.strip()):
-        keys, direction, priority, *rest = line.split("|")
-        row = dict(zip(RULE_COLUMNS, rest, strict=True))
-        row |= {"confidence": float(row["confidence"]), "review_required": row["review_required"] == "y", "tags": [t for t in row["tags"].split(",") if t]}
-        out.append({"pos": pos, "keywords": [k for k in keys.split(",") if k], "direction": direction or None, "priority": int(priority), **row})
-    return out
+#: What a rule gives.
+RULE_COLUMNS = Rule._fields[3:]
+
+
+def numbered(rules: list[Rule]) -> list[dict]:
+    """The rules with their places, in which they are tried where priorities are equal."""
+    return [{"pos": pos, **r._asdict()} for pos, r in enumerate(rules)]
 
 
 def rule_text(df: DataFrame) -> Column:
@@ -73,9 +35,9 @@ def classify_by_case(df: DataFrame, rules: list[dict], text: Column, direction:
     return out
 
 
-def classify(df: DataFrame, rules: str = CATEGORY_RULES, defaults: str = DEFAULTS) -> DataFrame:
+def classify(df: DataFrame, rules: list[Rule] = CATEGORY_RULES, defaults: list[Rule] = DEFAULTS) -> DataFrame:
     """df with the classification columns of the first rule, by priority and place, that its text and direction hit."""
-    every = parsed_rules(rules) + parsed_rules(defaults)
+    every = numbered([*rules, *defaults])
 
     def value(r: dict) -> Column:
         return F.struct(*[(F.array(*[F.lit(t) for t in r[c]]).cast("array<string>") if c == "tags" else F.lit(r[c])).alias("classification_confidence" if c == "confidence" else c) for c in RULE_COLUMNS])

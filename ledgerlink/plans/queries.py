@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text, times
 from ..operators import dedupe, facts, jobs, ledger, link, quality, review, rules, windows
+from ..operators.category_rules import Rule
 from ..sources import messages, records, statements
 from ..sources.scratch import scratch_path
 from .fixture_sql import VIEWS, with_views
@@ -18,12 +19,12 @@ from .fixtures import Fixtures
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Rules over the fixtures' English words, in the form of the category rules.
-FIXTURE_RULES = """
-urgent|outflow|10|支出|交通出行|自驾用车|停车费|家庭|家庭日常|交通|否|预算内|0.9|urgent order|
-shop0,shop1|outflow|20|支出|购物消费|日用百货|其他日用品|家庭|家庭日常|购物|否|预算内|0.78|small shop|y
-card pay|outflow|30|转账|账户互转|银行与支付账户||本人|账户流转|非消费|否|不纳入预算|0.88|card payment|
-"""
+#: Rules over the fixtures' English words.
+FIXTURE_RULES = [
+    Rule(keywords=("urgent",), direction="outflow", priority=10, transaction_type="支出", category_lv1="交通出行", category_lv2="自驾用车", category_lv3="停车费", target_person="家庭", project="家庭日常", tags=("交通",), reimbursable_status="否", budget_status="预算内", confidence=0.9, reason="urgent order"),
+    Rule(keywords=("shop0", "shop1"), direction="outflow", priority=20, transaction_type="支出", category_lv1="购物消费", category_lv2="日用百货", category_lv3="其他日用品", target_person="家庭", project="家庭日常", tags=("购物",), reimbursable_status="否", budget_status="预算内", confidence=0.78, reason="small shop", review_required=True),
+    Rule(keywords=("card pay",), direction="outflow", priority=30, transaction_type="转账", category_lv1="账户互转", category_lv2="银行与支付账户", target_person="本人", project="账户流转", tags=("非消费",), reimbursable_status="否", budget_status="不纳入预算", confidence=0.88, reason="card payment"),
+]
 PART_RULES = [(20, 0, "Widget", "outflow", "W"), (10, 1, "lring", None, "R"), (20, 2, "bolt", "outflow", "B"), (20, 3, "red", None, "C"), (30, 4, "gizmo", "inflow", "Z"), (40, 5, "PROMO", None, "P")]
 
 

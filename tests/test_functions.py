@@ -64,7 +64,7 @@ def test_platform_and_channel(spark):
 
 
 def test_every_category_rule_and_default(spark):
-    table = rules.parsed_rules(rules.CATEGORY_RULES)
+    table = rules.numbered(rules.CATEGORY_RULES)
     assert len(table) == 25
     rows = [(r["pos"], k, r["direction"] or "unknown", r["reason"]) for r in table for k in r["keywords"][:1]]
     rows += [(100, "x", "inflow", "金额流入但未命中明确收入规则"), (101, "x", "outflow", "金额流出但未命中支出分类规则"), (102, "x", "unknown", "无法判断资金方向")]
