@@ -33,25 +33,30 @@ def dedupe_bank(df: DataFrame, pos: str = "pos") -> DataFrame:
 
     Merging in order of pos keeps the first non-blank value for good, so every field is min_by over its
     non-blank values and a conflict is min <> max: all of it aggregates partially, and no group is collected
-    but for the positions of its sources.
+    but for the positions of its sources. Positions should be distinct: of rows that share one, any may count
+    as the first.
     """
     have = [f for f in BANK_FIELDS if f in df.columns]
-    keyed = df.withColumn("dedupe_key", bank_key_of(df))
-    aggs: list[Column] = []
-    for c in df.columns:
-        if c in have:
-            filled = F.when(~blank(F.col(c)), F.col(c))
-            aggs += [F.coalesce(F.min_by(c, F.when(filled.isNotNull(), F.col(pos))), F.lit("")).alias(c), (F.min(filled) != F.max(filled)).alias(f"_differs_{c}")]
-        elif c == "confidence":
-            aggs.append(F.max(c).alias(c))
-        elif c == "warnings":
-            aggs.append(F.flatten(F.collect_list(c)).alias("_warned"))
-        elif c != pos:
-            aggs.append(F.min_by(c, pos).alias(c))
-    merged = keyed.groupBy("dedupe_key").agg(F.min(pos).alias(pos), F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_list(pos)).alias("source_records"), *aggs)
+    own = [c for c in df.columns if c not in (*have, "confidence", "warnings", pos)]
+    keyed = _keyed(df, bank_key_of(df))
+    aggs: list[Column] = [F.min_by(F.struct(*own), pos).alias("_first")]
+    for c in have:
+        filled = F.when(~blank(F.col(c)), F.col(c))
+        aggs += [F.coalesce(F.min_by(c, F.when(filled.isNotNull(), F.col(pos))), F.lit("")).alias(c), (F.min(filled) != F.max(filled)).alias(f"_differs_{c}")]
+    if "confidence" in df.columns:
+        aggs.append(F.max("confidence").alias("confidence"))
+    if "warnings" in df.columns:
+        aggs.append(F.flatten(F.collect_list("warnings")).alias("_warned"))
+    merged = keyed.groupBy("_hash", "dedupe_key").agg(F.min(pos).alias(pos), F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_list(pos)).alias("source_records"), *aggs)
     conflicts = F.array_compact(F.array(*[F.when(F.col(f"_differs_{c}"), F.lit(f"conflict_{c}")) for c in have]))
     warnings = F.concat(conflicts, F.col("_warned")) if "warnings" in df.columns else conflicts
-    return merged.withColumn("warnings", F.array_sort(F.array_distinct(warnings))).drop("_warned", *[f"_differs_{c}" for c in have])
+    rest = ["confidence"] if "confidence" in df.columns else []
+    return merged.select("dedupe_key", pos, "n_sources", "source_records", "_first.*", *have, *rest, F.array_sort(F.array_distinct(warnings)).alias("warnings"))
+
+
+def _keyed(df: DataFrame, key: Column) -> DataFrame:
+    """df with its dedupe_key and the key's hash, which is grouped by first: keys begin alike, and hashes sort by one comparison."""
+    return df.withColumn("dedupe_key", key).withColumn("_hash", F.xxhash64("dedupe_key"))
 
 
 def order_key_of(df: DataFrame) -> Column:
@@ -82,7 +87,8 @@ def dedupe_orders(df: DataFrame, pos: str = "pos") -> DataFrame:
 
     The better of the merged record so far and the next capture wins (strictly better, by order_quality) and
     is filled from the other; the merged record keeps the highest confidence, so it may win later against a
-    row that outranks its parts. The captures of one order are few; the fold is per key.
+    row that outranks its parts. The fold is per key, and a key's captures meet in one row: those of one order
+    are few, and keys of text are six values that must all agree.
     """
     have = [f for f in ORDER_FIELDS if f in df.columns]
     plain = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in have]
@@ -108,6 +114,6 @@ def dedupe_orders(df: DataFrame, pos: str = "pos") -> DataFrame:
         pair = F.when(order_quality(b, have) > order_quality(a, have), F.struct(b.alias("p"), a.alias("s"))).otherwise(F.struct(a.alias("p"), b.alias("s")))
         return F.get(F.transform(F.array(pair), lambda x: filled(a, x["p"], x["s"])), F.lit(0))
 
-    rows = df.withColumn("dedupe_key", order_key_of(df)).groupBy("dedupe_key", *(["platform"] if "platform" in df.columns else [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows = _keyed(df, order_key_of(df)).groupBy("_hash", "dedupe_key", *(["platform"] if "platform" in df.columns else [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), F.get("rows", F.lit(0)), merge)
-    return rows.select(*[c for c in rows.columns if c != "rows"], F.size("rows").alias("n_sources"), folded.alias("r")).select("dedupe_key", *(["platform"] if "platform" in df.columns else []), "n_sources", "r.*")
+    return rows.select(*[c for c in rows.columns if c not in ("rows", "_hash")], F.size("rows").alias("n_sources"), folded.alias("r")).select("dedupe_key", *(["platform"] if "platform" in df.columns else []), "n_sources", "r.*")
