@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, written
 from .repeats import pack, unpack
-from .word_hashes import BLOCK, LINES, places, word_blocks
+from .word_hashes import BASES, BLOCK, mixed, places, powers
 
 SPACE = "▁"
 FREQUENT = 300_000
-#: Words that a task keeps what it has found out about.
-CACHE_WORDS = 300_000
+#: Units that a task keeps what it has found out about.
+CACHE_UNITS = 300_000
 #: Documents whose words are read at a time.
 DOCUMENTS = 2000
 #: Text of a shard, which one task holds: the number of shards follows the corpus.
@@ -84,50 +84,120 @@ def units_of(word: str, pairs: frozenset[str]) -> list[str]:
     return [word[a:z] for a, z in zip([0, *ends], [*ends, len(word)], strict=True)]
 
 
-#: Texts of which no word is empty: one space, or line feeds, between two words.
-IRREGULAR = re.compile(rb"  | \n|\n |\A[ \n]| \Z|" + SPACE.encode())
-#: Set apart by it: words after a line feed, which have no space.
-AFTER_LINE = np.uint64(0xA3B195354A39B70D)
+#: Code points whose pairs are looked up in a table; others are searched.
+LATIN = 0x250
+#: Keys of the units that are a line feed or a space by themselves, and what sets units with a space before them apart.
+FEED_KEY, SPACE_KEY, LED = np.uint64(1), np.uint64(2), np.uint64(0xA3B195354A39B70D)
 
 
-class Words:
-    """The words of many texts: distinct ones as Python values, all others as numbers.
+class Pairs:
+    """Which characters stand side by side in some piece."""
 
-    Regular texts are read by hashes of 64 bits; words of equal hash and different length are told apart. Those
-    that are longer than a block of hashes, or have irregular spaces, are left to words_of (odd).
+    def __init__(self, pieces):
+        self.pairs = frozenset(p[k : k + 2] for p in pieces for k in range(len(p) - 1))
+        self.table = np.zeros((LATIN, LATIN), bool)
+        codes = []
+        for a, b in (map(ord, p) for p in self.pairs):
+            codes.append(a << 21 | b)
+            if max(a, b) < LATIN:
+                self.table[a, b] = True
+        self.codes = np.array(sorted(codes), np.int64)
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = self.table[np.minimum(a, LATIN - 1), np.minimum(b, LATIN - 1)]
+        far = np.flatnonzero(np.maximum(a, b) >= LATIN)
+        if len(far):
+            code = a[far].astype(np.int64) << 21 | b[far]
+            out[far] = len(self.codes) and self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
+        return out
+
+
+class Units:
+    """The units of many texts: distinct ones as Python values, all others as numbers.
+
+    Regular texts have one space, or line feeds, between two words, and are read by hashes of 64 bits; units of
+    equal hash and different length are told apart. Other texts, and very long ones, are left to words_of (odd).
     """
 
-    def __init__(self, texts: list[bytes]):
-        self.odd = [i for i, t in enumerate(texts) if len(t) > BLOCK or IRREGULAR.search(t)]
-        regular = sorted(set(range(len(texts))) - set(self.odd))
-        self.size = np.zeros(len(texts), np.int64)  # words of each text
-        self.tail = np.zeros(len(texts), np.int64)  # line feeds after its last word
-        key, lines, where, self.data = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int64)], []
-        given = [texts[i] for i in regular]
-        for first, data, h, begin, end, cuts in word_blocks(given, 0, LINES):
-            feeds = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.frombuffer(data, np.uint8) == 10)))
-            before = feeds[begin] - feeds[np.concatenate((np.zeros(1, np.int64), end[:-1]))[: len(begin)]]
-            at = 0
-            for n, (a, z) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True), first):
-                size = len(given[n])
-                if a < z:
-                    before[a] = 0  # a text starts with a word
-                self.size[regular[n]] = z - a
-                self.tail[regular[n]] = feeds[at + size] - feeds[at] - before[a:z].sum()
-                at += size + 1
-            key.append(h ^ (AFTER_LINE * (before > 0)) ^ ((end - begin).astype(np.uint64) << np.uint64(40)))
-            lines.append(before)
-            where.append(np.stack((np.full(len(h), len(self.data)), begin, end)))
-            self.data.append(data)
-        self.lines, self.where = np.concatenate(lines), np.concatenate(where, axis=1)
-        self.key, self.first, self.of, self.times = np.unique(np.concatenate(key), return_index=True, return_inverse=True, return_counts=True)
-
-    def word(self, n: int) -> str:
-        """The n-th distinct word, as units_of takes it."""
-        i = self.first[n]
-        block, a, z = self.where[:, i].tolist()
-        text = self.data[block][a:z].decode("utf-8", "replace")
-        return "\n\n" + text if self.lines[i] else text
+    def __init__(self, texts: list[str], pairs: Pairs):
+        self.odd = [i for i, t in enumerate(texts) if len(t) > BLOCK or t[:1] in (" ", "\n") or t[-1:] == " " or "  " in t or " \n" in t or "\n " in t or SPACE in t]
+        self.size, self.data = np.zeros(len(texts), np.int64), []
+        odd, keys, where, self.seen = set(self.odd), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        block: list[int] = []
+        length = 0
+        for i, t in enumerate(texts):
+            if i not in odd and t:
+                if length + len(t) > BLOCK and block:
+                    self._read(texts, block, pairs, keys, where)
+                    block, length = [], 0
+                block.append(i)
+                length += len(t) + 1
+        if block:
+            self._read(texts, block, pairs, keys, where)
+        self.key, first, self.of, self.times = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
+        self.at = np.concatenate(where)[first]
+
+    def _read(self, texts, block, pairs, keys, where) -> None:
+        data = " ".join([texts[i] for i in block])
+        points = np.frombuffer(data.encode("utf-32-le", "replace"), np.uint32)
+        feed = points == 10
+        inside = np.zeros(len(points) + 2, bool)
+        inside[1:-1] = (points != 32) & ~feed
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        begins, ends = edge[::2], edge[1::2]  # of words
+        feeds = np.concatenate((np.zeros(1, np.int64), np.cumsum(feed)))
+        lens = np.array([len(texts[i]) for i in block])
+        text_at = np.cumsum(lens + 1) - lens - 1
+        text_of = np.searchsorted(text_at, begins, "right") - 1
+        before = feeds[begins] - feeds[np.maximum(text_at[text_of], np.concatenate((np.zeros(1, np.int64), ends[:-1])))]
+        tail = feeds[text_at + lens] - feeds[text_at] - np.bincount(text_of, before, len(block)).astype(np.int64)
+        spaced = before == 0
+        alone = spaced & ~pairs.meet(np.full(len(begins), ord(SPACE), np.uint32), points[begins])  # a space that no piece has before this sign
+        cut = np.zeros(len(points) + 1, bool)
+        cut[1:-1] = ~pairs.meet(points[:-1], points[1:])
+        cut[:-1] &= inside[1:-1]
+        cut[begins] = True
+        begin = np.flatnonzero(cut)
+        word = np.cumsum(np.bincount(begins, minlength=len(points) + 1)[:-1])[begin] - 1
+        end = np.minimum(np.append(begin[1:], len(points)), ends[word])
+        opens = begins[word] == begin  # the first unit of its word
+        led = opens & (spaced & ~alone)[word]
+        up, down = powers(BASES[0], len(points))
+        values = mixed((points + np.uint64(1)) * np.uint64(BASES[1]))
+        values[~inside[1:-1]] = 0
+        values *= up[: len(points)]
+        h = mixed(np.add.reduceat(values, begin) * down[begin])
+        h ^= LED * led
+        h ^= (end - begin).astype(np.uint64) << np.uint64(40)
+        # line feeds and single spaces stand before the units they belong to, or at the end of their text
+        extra = np.where(opens, (before + alone)[word], 0)
+        tails = np.concatenate((np.zeros(1, np.int64), np.cumsum(tail)))
+        at = np.cumsum(extra + 1) - 1 + tails[text_of[word]]
+        key = np.full(int(len(begin) + extra.sum() + tail.sum()), FEED_KEY)
+        key[at] = h
+        key[at[opens & alone[word]] - 1] = SPACE_KEY
+        place = np.zeros(len(key), np.int64)  # a unit's number in its block, and above it the block's
+        place[at] = np.arange(len(begin)) + (len(self.data) << 32)
+        self.size[block] = np.bincount(text_of[word], extra + 1, len(block)).astype(np.int64) + tail
+        self.data.append(data)
+        self.seen.append((begin, end, led))
+        keys.append(key)
+        where.append(place)
+
+    def names(self) -> list[str]:
+        """The distinct units, in order of their keys."""
+        out = [""] * len(self.key)
+        block = self.at >> 32
+        for n, (data, seen) in enumerate(zip(self.data, self.seen, strict=True)):
+            here = np.flatnonzero(block == n)
+            at = self.at[here] & 0xFFFFFFFF
+            for i, a, z, led in zip(here.tolist(), *(x[at].tolist() for x in seen), strict=True):
+                out[i] = SPACE + data[a:z] if led else data[a:z]
+        for key, text in ((FEED_KEY, "\n"), (SPACE_KEY, SPACE)):
+            i = int(np.searchsorted(self.key, key))
+            if i < len(out) and self.key[i] == key:
+                out[i] = text
+        return out
 
 
 def edges_of(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
@@ -297,29 +367,25 @@ class Encoding:
         self.vocabulary = self.pieces.collect()  # of fixed size, whatever the corpus
         self.longest = max(len(r.piece or "") for r in self.vocabulary)
         self.first_byte = min((r.id for r in self.vocabulary if r.byte == 0), default=0)
-        pairs = self.pairs = frozenset(r.piece[k : k + 2] for r in self.vocabulary if r.piece for k in range(len(r.piece) - 1))
+        pairs = self.pairs = Pairs([r.piece for r in self.vocabulary if r.piece])
         self.docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
         def counted(batches):
-            seen: dict[int, list[str]] = {}
+            times, names = {}, {}
+            odd: Counter = Counter()
             for b in (b.slice(at, DOCUMENTS) for b in batches for at in range(0, b.num_rows, DOCUMENTS)):
-                texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
-                words, found = Words(texts), Counter()
-                if len(seen) > CACHE_WORDS:
-                    seen.clear()
-                for n, (k, times) in enumerate(zip(words.key.tolist(), words.times.tolist(), strict=True)):
-                    units = seen.get(k)
-                    if units is None:
-                        units = seen[k] = units_of(words.word(n), pairs)
-                    for u in units:
-                        found[u] += times
-                found["\n"] += int(words.lines.sum() + words.tail.sum())
-                for i in words.odd:
-                    for w, times in Counter(words_of(texts[i].decode("utf-8", "replace"))).items():
-                        for u in units_of(w, pairs):
-                            found[u] += times
-                found += Counter()  # without zeros
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["unit", "n"])
+                texts = [t or "" for t in b.column(0).to_pylist()]
+                units = Units(texts, pairs)
+                for k, c, u in zip(units.key.tolist(), units.times.tolist(), units.names(), strict=True):
+                    if k in times:
+                        times[k] += c
+                    else:
+                        times[k], names[k] = c, u
+                odd.update(u for i in units.odd for w in words_of(texts[i]) for u in units_of(w, pairs.pairs))
+                if len(times) + len(odd) > CACHE_UNITS:
+                    yield _counts(times, names, odd)
+                    times, names, odd = {}, {}, Counter()
+            yield _counts(times, names, odd)
 
         rows = self.docs.select("text").mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
         self.counts = written(rows, "sp-units", compression="zstd")
@@ -361,56 +427,38 @@ class Encoding:
         texts = self.docs.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
 
         def rare_units(batches):
-            common, known = frequent.value, {}  # known: the units of a word that are not frequent
+            common = frequent.value
             for b in (b.slice(at, DOCUMENTS) for b in batches for at in range(0, b.num_rows, DOCUMENTS)):
-                texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
-                words, shard_of = Words(texts), b.column(0).to_numpy()
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                far: dict[int, list[str]] = {}
-                for n, k in enumerate(words.key.tolist()):
-                    units = known.get(k)
-                    if units is None:
-                        units = known[k] = [u for u in units_of(words.word(n), pairs) if u not in common]
-                    if units:
-                        far[n] = units
-                rare = np.zeros(len(words.key), bool)
-                rare[list(far)] = True
-                at = np.flatnonzero(rare[words.of])
-                met = np.unique(np.stack((np.repeat(shard_of, words.size)[at], words.of[at])), axis=1)
-                rows = {(u, s) for s, n in met.T.tolist() for u in far[n]}
-                for i in words.odd:
-                    rows.update((u, int(shard_of[i])) for w in set(words_of(texts[i].decode("utf-8", "replace"))) for u in units_of(w, pairs) if u not in common)
-                rows.update(("\n", int(s)) for s in ({*shard_of.tolist()} if "\n" not in common else ()))
-                units, shards_of = zip(*rows, strict=True) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(shards_of, pa.int32())], ["unit", "shard"])
+                texts, shard_of = [t or "" for t in b.column(2).to_pylist()], b.column(0).to_numpy()
+                units = Units(texts, pairs)
+                names = units.names()
+                at = np.flatnonzero(np.array([u not in common for u in names], bool)[units.of])
+                met = np.unique(np.repeat(shard_of, units.size)[at].astype(np.int64) << 32 | units.of[at])
+                rows = {(names[n], s) for s, n in zip((met >> 32).tolist(), (met & 0xFFFFFFFF).tolist(), strict=True)}
+                rows.update((u, int(shard_of[i])) for i in units.odd for w in set(words_of(texts[i])) for u in units_of(w, pairs.pairs) if u not in common)
+                rare_names, shards_of = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(rare_names, pa.string()), pa.array(shards_of, pa.int32())], ["unit", "shard"])
 
         rare = self.encoded(self.counts.filter(~self.common))
         found = texts.mapInArrow(rare_units, "unit string, shard int").join(rare, "unit").select("shard", "unit", "ids").mapInArrow(_packed_units, "shard int, blob binary")
 
         def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-            lookup = Lookup(frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob)), pairs)
-            names, texts = zip(*unpack(left.column("blob").to_pylist()), strict=True)
-            words = Words(list(texts))
-            codes = [lookup[words.word(n)] for n in range(len(words.key))]
+            common, rare = frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob))
+            of = lambda u: common.get(u) or rare[u]
+            names, given = zip(*unpack(left.column("blob").to_pylist()), strict=True)
+            texts = [t.decode("utf-8", "replace") for t in given]
+            units = Units(texts, pairs)
+            codes = list(map(of, units.names()))
             count = np.array([len(x) for x in codes], np.int64) // 4
             flat, start = np.frombuffer(b"".join(codes), np.int32), np.cumsum(count) - count
-            feed = np.frombuffer(lookup["\n"], np.int32) if words.lines.any() or words.tail.any() else np.zeros(1, np.int32)
-            # every word takes the ids of the line feeds before it and its own; what no word fills is line feeds
-            own, before = count[words.of], words.lines * len(feed)
-            ends = np.cumsum(own + before)
-            extra = np.repeat(np.cumsum(words.tail) - words.tail, words.size) * len(feed)  # line feeds at the ends of the texts before
-            total = int(own.sum() + before.sum() + words.tail.sum() * len(feed))
-            whole = np.tile(feed, -(-total // len(feed)))[:total]
-            whole[places(ends - own + extra, own)] = flat[places(start[words.of], own)]
-            size = np.bincount(np.repeat(np.arange(len(texts)), words.size), own + before, len(texts)).astype(np.int64) + words.tail * len(feed)
-            cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+            whole = flat[places(start[units.of], count[units.of])]
+            cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(count[units.of])))[np.concatenate((np.zeros(1, np.int64), np.cumsum(units.size)))]
             ids = [whole[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            for i in words.odd:
-                ids[i] = np.frombuffer(b"".join(map(lookup.__getitem__, words_of(texts[i].decode("utf-8", "replace")))), np.int32)
+            for i in units.odd:
+                ids[i] = np.frombuffer(b"".join([of(u) for w in words_of(texts[i]) for u in units_of(w, pairs.pairs)]), np.int32)
             lens, starts, letters = table.value
             back, same = [], []
-            for some, t in zip(ids, texts, strict=True):
+            for some, t in zip(ids, given, strict=True):
                 again = plain_text(letters[places(starts[some], lens[some])].tobytes())
                 same.append(again == t)
                 if decoded:
@@ -424,15 +472,8 @@ class Encoding:
         return packed.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(assemble, schema).withColumnRenamed("id", self.id_col)
 
 
-class Lookup(dict):
-    """Ids of words, put together from those of their units."""
-
-    def __init__(self, frequent: dict[str, bytes], rare: dict[str, bytes], pairs: frozenset[str]):
-        self.frequent, self.rare, self.pairs = frequent, rare, pairs
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = b"".join([self.frequent.get(u) or self.rare[u] for u in units_of(word, self.pairs)])
-        return ids
+def _counts(times: dict[int, int], names: dict[int, str], odd: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([*names.values(), *odd], pa.string()), pa.array([*times.values(), *odd.values()], pa.int64())], ["unit", "n"])
 
 
 def plain_text(decoded: bytes) -> bytes:
