@@ -102,15 +102,32 @@ class Pairs:
             if max(a, b) < LATIN:
                 self.table[a, b] = True
         self.codes = np.array(sorted(codes), np.int64)
+        self.led = np.array([SPACE + chr(c) in self.pairs for c in range(LATIN)] + [False])
 
     def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(a) or max(a.max(), b.max()) < LATIN:
+            return self.table.ravel()[a * np.uint32(LATIN) + b]
         out = self.table[np.minimum(a, LATIN - 1), np.minimum(b, LATIN - 1)]
         far = np.flatnonzero(np.maximum(a, b) >= LATIN)
-        if len(far):
-            code = a[far].astype(np.int64) << 21 | b[far]
-            out[far] = len(self.codes) and self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
+        code = a[far].astype(np.int64) << 21 | b[far]
+        out[far] = len(self.codes) and self.codes[np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)] == code
         return out
 
+    def first(self, a: np.ndarray) -> np.ndarray:
+        """Whether some piece has each of these characters after a space."""
+        out = self.led[np.minimum(a, LATIN)]
+        far = np.flatnonzero(a >= LATIN)
+        out[far] = self.meet(np.full(len(far), ord(SPACE), np.uint32), a[far])
+        return out
+
+
+def _values(points: np.ndarray) -> np.ndarray:
+    return mixed((points + np.uint64(1)) * np.uint64(BASES[1]))
+
+
+LATIN_VALUES = _values(np.arange(LATIN, dtype=np.uint32))
+LATIN_VALUES[[10, 32]] = 0
+
 
 class Units:
     """The units of many texts: distinct ones as Python values, all others as numbers.
@@ -152,7 +169,7 @@ class Units:
         before = feeds[begins] - feeds[np.maximum(text_at[text_of], np.concatenate((np.zeros(1, np.int64), ends[:-1])))]
         tail = feeds[text_at + lens] - feeds[text_at] - np.bincount(text_of, before, len(block)).astype(np.int64)
         spaced = before == 0
-        alone = spaced & ~pairs.meet(np.full(len(begins), ord(SPACE), np.uint32), points[begins])  # a space that no piece has before this sign
+        alone = spaced & ~pairs.first(points[begins])  # a space that no piece has before this sign
         cut = np.zeros(len(points) + 1, bool)
         cut[1:-1] = ~pairs.meet(points[:-1], points[1:])
         cut[:-1] &= inside[1:-1]
@@ -163,8 +180,9 @@ class Units:
         opens = begins[word] == begin  # the first unit of its word
         led = opens & (spaced & ~alone)[word]
         up, down = powers(BASES[0], len(points))
-        values = mixed((points + np.uint64(1)) * np.uint64(BASES[1]))
-        values[~inside[1:-1]] = 0
+        values = LATIN_VALUES[np.minimum(points, LATIN - 1)]
+        far = np.flatnonzero(points >= LATIN)
+        values[far] = _values(points[far])
         values *= up[: len(points)]
         h = mixed(np.add.reduceat(values, begin) * down[begin])
         h ^= LED * led
