@@ -32,9 +32,9 @@ from .word_hashes import BASES, BLOCK, mixed, places, powers
 SPACE = "▁"
 FREQUENT = 300_000
 #: Units that a task keeps what it has found out about.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 150_000
 #: Documents whose words are read at a time.
-DOCUMENTS = 2000
+DOCUMENTS = 1000
 #: Text of a shard, which one task holds: the number of shards follows the corpus.
 SHARD_BYTES = 5 << 20
 #: Cut points of a unit are bits of a long; longer units fold in Python over the same edges.
@@ -129,6 +129,57 @@ LATIN_VALUES = _values(np.arange(LATIN, dtype=np.uint32))
 LATIN_VALUES[[10, 32]] = 0
 
 
+def _hashes(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hashes of runs of code points; spaces and line feeds count nothing."""
+    up, down = powers(BASES[0], len(points))
+    values = LATIN_VALUES[np.minimum(points, LATIN - 1)]
+    far = np.flatnonzero(points >= LATIN)
+    values[far] = _values(points[far])
+    values *= up[: len(points)]
+    return mixed(np.add.reduceat(values, begin) * down[begin])
+
+
+def keys_of(units: list[str]) -> np.ndarray:
+    """The keys that Units gives to these units; zero for those that only irregular texts have."""
+    out = np.zeros(len(units), np.uint64)
+    for at in range(0, len(units), 4096):
+        some = units[at : at + 4096]
+        led = np.array([u[:1] == SPACE for u in some])
+        bodies = [u[1:] if x else u for u, x in zip(some, led.tolist(), strict=True)]
+        good = np.array([bool(b) and not (SPACE in b or " " in b or "\n" in b) for b in bodies])
+        if good.any():
+            kept = [b for b, x in zip(bodies, good.tolist(), strict=True) if x]
+            lens = np.array(list(map(len, kept)))
+            points = np.frombuffer(" ".join(kept).encode("utf-32-le", "replace"), np.uint32)
+            out[at + np.flatnonzero(good)] = _hashes(points, np.cumsum(lens + 1) - lens - 1) ^ (LED * led[good]) ^ (lens.astype(np.uint64) << np.uint64(40))
+        for i, u in enumerate(some):
+            if u in ("\n", SPACE):
+                out[at + i] = FEED_KEY if u == "\n" else SPACE_KEY
+    return out
+
+
+class Common:
+    """Ids of the frequent units by key, as arrays; those without a key by name."""
+
+    def __init__(self, units: list[str], ids: list[list[int]]):
+        key = keys_of(units)
+        order = np.argsort(key, kind="stable")
+        count = np.array(list(map(len, ids)), np.int64)
+        self.key, self.count, self.start = key[order], count[order], (np.cumsum(count) - count)[order]
+        self.flat = np.concatenate([np.array(i, np.int32) for i in ids]) if ids else np.zeros(0, np.int32)
+        self.named = {u: np.array(i, np.int32) for u, i, k in zip(units, ids, key.tolist(), strict=True) if not k}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not len(self.key):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where((self.key[at] == keys) & (keys > 0), at, -1)
+
+    def ids(self, at: int) -> np.ndarray:
+        return self.flat[self.start[at] : self.start[at] + self.count[at]]
+
+
 class Units:
     """The units of many texts: distinct ones as Python values, all others as numbers.
 
@@ -179,12 +230,7 @@ class Units:
         end = np.minimum(np.append(begin[1:], len(points)), ends[word])
         opens = begins[word] == begin  # the first unit of its word
         led = opens & (spaced & ~alone)[word]
-        up, down = powers(BASES[0], len(points))
-        values = LATIN_VALUES[np.minimum(points, LATIN - 1)]
-        far = np.flatnonzero(points >= LATIN)
-        values[far] = _values(points[far])
-        values *= up[: len(points)]
-        h = mixed(np.add.reduceat(values, begin) * down[begin])
+        h = _hashes(points, begin)
         h ^= LED * led
         h ^= (end - begin).astype(np.uint64) << np.uint64(40)
         # line feeds and single spaces stand before the units they belong to, or at the end of their text
@@ -202,10 +248,10 @@ class Units:
         keys.append(key)
         where.append(place)
 
-    def names(self) -> list[str]:
-        """The distinct units, in order of their keys."""
+    def names(self, wanted: np.ndarray | None = None) -> list[str]:
+        """The distinct units, in order of their keys; only those wanted, if given, others empty."""
         out = [""] * len(self.key)
-        block = self.at >> 32
+        block = self.at >> 32 if wanted is None else np.where(wanted, self.at >> 32, -1)
         for n, (data, seen) in enumerate(zip(self.data, self.seen, strict=True)):
             here = np.flatnonzero(block == n)
             at = self.at[here] & 0xFFFFFFFF
@@ -213,7 +259,7 @@ class Units:
                 out[i] = SPACE + data[a:z] if led else data[a:z]
         for key, text in ((FEED_KEY, "\n"), (SPACE_KEY, SPACE)):
             i = int(np.searchsorted(self.key, key))
-            if i < len(out) and self.key[i] == key:
+            if i < len(out) and self.key[i] == key and (wanted is None or wanted[i]):
                 out[i] = text
         return out
 
@@ -434,7 +480,7 @@ class Encoding:
         """
         spark, pairs = self.docs.sparkSession, self.pairs
         top = self.encoded(self.counts.filter(self.common)).toArrow()  # at most FREQUENT rows
-        frequent = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), (np.array(i, np.int32).tobytes() for i in top.column(1).to_pylist()), strict=True)))
+        frequent = spark.sparkContext.broadcast(Common(top.column(0).to_pylist(), top.column(1).to_pylist()))
         pieces = {r.id: r.piece.encode() if r.piece is not None else bytes([r.byte]) for r in self.vocabulary}
         texts_of = [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
         lens = np.array([len(x) for x in texts_of], np.int64)
@@ -449,11 +495,13 @@ class Encoding:
             for b in (b.slice(at, DOCUMENTS) for b in batches for at in range(0, b.num_rows, DOCUMENTS)):
                 texts, shard_of = [t or "" for t in b.column(2).to_pylist()], b.column(0).to_numpy()
                 units = Units(texts, pairs)
-                names = units.names()
-                at = np.flatnonzero(np.array([u not in common for u in names], bool)[units.of])
+                rare = common.find(units.key) < 0
+                names = units.names(rare)
+                at = np.flatnonzero(rare[units.of])
                 met = np.unique(np.repeat(shard_of, units.size)[at].astype(np.int64) << 32 | units.of[at])
                 rows = {(names[n], s) for s, n in zip((met >> 32).tolist(), (met & 0xFFFFFFFF).tolist(), strict=True)}
-                rows.update((u, int(shard_of[i])) for i in units.odd for w in set(words_of(texts[i])) for u in units_of(w, pairs.pairs) if u not in common)
+                # units of irregular texts are asked for whether they are frequent or not: only rare ones are answered
+                rows.update((u, int(shard_of[i])) for i in units.odd for w in set(words_of(texts[i])) for u in units_of(w, pairs.pairs))
                 rare_names, shards_of = zip(*rows, strict=True) if rows else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(rare_names, pa.string()), pa.array(shards_of, pa.int32())], ["unit", "shard"])
 
@@ -462,13 +510,24 @@ class Encoding:
 
         def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             common, rare = frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob))
-            of = lambda u: common.get(u) or rare[u]
             names, given = zip(*unpack(left.column("blob").to_pylist()), strict=True)
             texts = [t.decode("utf-8", "replace") for t in given]
             units = Units(texts, pairs)
-            codes = list(map(of, units.names()))
-            count = np.array([len(x) for x in codes], np.int64) // 4
-            flat, start = np.frombuffer(b"".join(codes), np.int32), np.cumsum(count) - count
+            # ids of the distinct units: the frequent ones stand in an array already, the others behind them
+            at = common.find(units.key)
+            far = [rare[u] for u in units.names(at < 0) if u]  # no unit is empty
+            lens = np.array([len(x) for x in far], np.int64) // 4
+            count, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            count[at >= 0], start[at >= 0] = common.count[at[at >= 0]], common.start[at[at >= 0]]
+            count[at < 0], start[at < 0] = lens, len(common.flat) + np.cumsum(lens) - lens
+            flat = np.concatenate((common.flat, np.frombuffer(b"".join(far), np.int32)))
+
+            def of(unit: str) -> bytes:
+                if unit in rare:
+                    return rare[unit]
+                found = int(common.find(keys_of([unit]))[0])
+                return (common.ids(found) if found >= 0 else common.named[unit]).tobytes()
+
             whole = flat[places(start[units.of], count[units.of])]
             cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(count[units.of])))[np.concatenate((np.zeros(1, np.int64), np.cumsum(units.size)))]
             ids = [whole[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
