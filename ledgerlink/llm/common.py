@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Ids up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 100_000
 
 
 def checked_ids(ids: DataFrame) -> DataFrame:
