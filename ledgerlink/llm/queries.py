@@ -12,6 +12,8 @@ from .common import shared_dir, table
 from .decontam import contamination
 from .exact_dedup import exact_dedup
 from .attention_lm import score_documents
+from .centroids import ROUNDS, cluster
+from .filter_audit import filter_audit
 from .html_text import extract_text
 from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
@@ -75,6 +77,38 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql() -> str:
+    """The rounds as a chain of tables: a<r> has each vector's centroid in round r, c<r> the centroids."""
+    def assigned(r: int) -> str:
+        return f"""a{r} as materialized (select i, c, d from (select i, c, d, row_number() over (partition by i order by d, c) as k from
+            (select v.i, c.c, sum((v.x - c.x) * (v.x - c.x)) as d from v join c{r} c on v.j = c.j group by v.i, c.c)) where k = 1)"""
+
+    def moved(r: int) -> str:
+        return f"""c{r + 1} as materialized (select c.c, c.j, cast(coalesce((s - ((s % n) + n) % n) // n, c.x) as bigint) as x from c{r} c left join
+            (select a.c, v.j, sum(v.x) as s, count(*) as n from v join a{r} a on v.i = a.i group by a.c, v.j) m on c.c = m.c and c.j = m.j)"""
+
+    rounds = ", ".join(f"{assigned(r)}, {moved(r)}" for r in range(ROUNDS))
+    return f"""
+        with e as materialized (select row_number() over () as i, vec_id, embedding from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(cast(x as double)))) = 64),
+        v as materialized (select i, unnest(range(1, 65)) as j, unnest(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as x from e),
+        s as (select i, row_number() over (order by sha256('3:' || cast(vec_id as varchar))) - 1 as c from e),
+        c0 as materialized (select s.c, v.j, v.x from s join v using (i) where s.c < 8), {rounds}, {assigned(ROUNDS)},
+        h as (select c, sha256(string_agg(cast(x as varchar), ',' order by j)) as centroid_sha256 from c{ROUNDS} group by c)
+        select vec_id, cast(a.c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia,
+               cast(sum(d) over () as bigint) as inertia, centroid_sha256
+        from a{ROUNDS} a join e using (i) join h on a.c = h.c
+    """
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
@@ -86,6 +120,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scores": op10_lm_scores,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroids": op13_centroids,
 }
 
 SQL: dict[str, str] = {
@@ -125,4 +161,30 @@ SQL: dict[str, str] = {
                sha256(coalesce(list_aggregate(case when n is null then w else list_filter(w, lambda x, p: not list_contains(ps, p)) end, 'string_agg', ' '), '')) as kept_sha256
         from d left join gone using (doc_id)
     """,
+    "op12_filter_audit": r"""
+        with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+        w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, min(doc_id) over (partition by text) as first from d),
+        f as (select w.doc_id, part, cast(len(ws) < 200 as int) + cast(100 * len(list_distinct(ws)) < 50 * len(ws) as int) * 2
+                     + cast(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) as int) * 4
+                     + cast(regexp_matches(text, '[#$%&*|]') as int) * 8 + cast(w.doc_id > first as int) * 16 as mask from w),
+        marks as (select doc_id, max(cast(coalesce(quality = 1, false) as int)) as good, max(cast(coalesce(toxic = 1, false) as int)) as toxic from labels group by doc_id),
+        cells as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from f left join marks using (doc_id) group by part, mask),
+        k as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        orders as (select a.x || b.x || c.x || d.x || e.x as o from k a, k b, k c, k d, k e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps as (select o, s, 1 << (instr('ABCDE', substr(o, s, 1)) - 1) as bit,
+                         list_sum(list_transform(range(1, s), lambda i: 1 << (instr('ABCDE', substr(o, i, 1)) - 1))) as before from orders, (select unnest([1, 2, 3, 4, 5]) as s)),
+        r as (select part, o as filter_order, s as step,
+                     sum(case when mask & (coalesce(before, 0) | bit) = 0 then n else 0 end) as kept,
+                     sum(case when mask & coalesce(before, 0) = 0 and mask & bit > 0 then n else 0 end) as removed,
+                     sum(case when mask & coalesce(before, 0) > 0 and mask & bit > 0 then n else 0 end) as redundant,
+                     sum(case when mask = bit then n else 0 end) as unique_fails,
+                     sum(case when mask & coalesce(before, 0) = 0 and mask & bit > 0 then good else 0 end) as good_lost,
+                     sum(case when mask & coalesce(before, 0) = 0 and mask & bit > 0 then toxic else 0 end) as toxic_lost
+              from cells, (select o, s, cast(bit as bigint) as bit, cast(before as bigint) as before from steps) group by part, o, s)
+        select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+               cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+               cast(sum(removed) over (partition by part, substr(filter_order, step, 1)) as bigint) as shapley
+        from r
+    """,
+    "op13_centroids": _lloyd_sql(),
 }
