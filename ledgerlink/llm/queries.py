@@ -18,6 +18,7 @@ from .html_text import extract_text
 from .pii import BASE, find_pii, joined
 from .repeats import remove_repeats
 from .simhash import simhash_components
+from .suffix_dedup import remove_substrings
 from . import toxicity
 from .sp_lattice import Encoding
 from .token_shards import read_token_shards, write_token_shards
@@ -77,6 +78,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -120,6 +127,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lm_scores": op10_lm_scores,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_filter_audit": op12_filter_audit,
     "op13_centroids": op13_centroids,
 }
@@ -161,6 +169,19 @@ SQL: dict[str, str] = {
                sha256(coalesce(list_aggregate(case when n is null then w else list_filter(w, lambda x, p: not list_contains(ps, p)) end, 'string_agg', ' '), '')) as kept_sha256
         from d left join gone using (doc_id)
     """,
+    "op11_suffix_dedup": r"""
+        with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        w as (select r, i, md5(substr(h, 2 * i + 1, 400)) as k from (select r, h, unnest(range(0, len(h) // 2 - 199)) as i from d where len(h) >= 400)),
+        again as (select r, i from (select r, i, count(*) over (partition by k) as n from w) where n > 1),
+        starts as (select r, i, lag(i) over (partition by r order by i) as before from again),
+        runs as (select r, min(i) as a, max(i) + 200 as z from
+                   (select r, i, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by r order by i) as g from starts) group by r, g),
+        spans as (select r, list(a order by a) as a, list(z order by a) as z, sum(z - a) as n from runs group by r)
+        select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, cast(coalesce(len(a), 0) as bigint) as n_spans,
+               sha256(unhex(case when a is null then h else list_aggregate(list_transform(list_zip(list_prepend(0, z), list_append(a, len(h) // 2)),
+                                                                  lambda x: substr(h, 2 * x[1] + 1, 2 * (x[2] - x[1]))), 'string_agg', '') end)) as kept_sha256
+        from d left join spans using (r)
+    """,
     "op12_filter_audit": r"""
         with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
         w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, min(doc_id) over (partition by text) as first from d),
