@@ -1,4 +1,10 @@
-"""Scored linkage of orders to payments, as equi joins on amount and day band."""
+"""Scored linkage of orders to payments: the best payments of each order, without a product of the two.
+
+An order's payments have its amount. Of those of one day, the score tells only classes apart: how many days lie between,
+how the platforms agree, and whether the payment's text mentions the order's merchant or title. Of a class, only the
+first few by place can be among the best. So where an amount has many payments within a band of days, an index holds the
+first KEPT payments of each class, and orders look their own classes up; elsewhere they meet the few payments themselves.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +16,12 @@ from ..functions.times import day_delta, parse_datetime
 
 MAX_DAYS, LEAST_SCORE, LINKED_FROM, KEPT = 7, 65, 85, 5
 BAND = MAX_DAYS + 1
+#: Payments of an (amount, band) that orders meet one by one; with more, they look them up in the index.
+FEW = 64
 # Platform words looked for in payment texts.
 PLATFORM_WORDS = {"pdd": ["pdd", "拼多多"], "meituan": ["meituan", "美团"], "jd": ["jd", "京东"], "taobao": ["taobao", "淘宝", "天猫"]}
+#: The shortest beginning of a merchant or title that is looked for, by which texts are indexed.
+GRAM = 4
 
 
 def _front(name: str, least: int, most: int) -> Column:
@@ -20,84 +30,124 @@ def _front(name: str, least: int, most: int) -> Column:
     return F.when(F.length(key) >= least, F.substring(key, 1, most))
 
 
+def _band(day: str) -> Column:
+    return F.floor(F.unix_date(day) / BAND)
+
+
 def _order_side(orders: DataFrame) -> DataFrame:
+    platform = F.coalesce("platform", F.lit(""))
+    bit = sum((F.when(platform == name, 1 << k).otherwise(0) for k, name in enumerate(PLATFORM_WORDS)), F.lit(0))
     return orders.select(
-        F.col("fact_id").alias("order_id"), F.col("pos").alias("order_pos"), "amount", F.col("platform").alias("o_platform"), F.col("occurrence_time").alias("order_time"),
-        parse_datetime(F.col("occurrence_time")).cast("date").alias("o_day"), _front("merchant", 4, 8).alias("o_merchant"), _front("title", 8, 10).alias("o_title"), F.col("summary").alias("order_summary"),
+        F.col("fact_id").alias("order_id"), F.col("pos").alias("order_pos"), "amount", platform.alias("o_platform"), bit.alias("o_bit"), F.when((platform != "") & (bit == 0), text_key(platform)).alias("o_word"),
+        F.col("occurrence_time").alias("order_time"), parse_datetime(F.col("occurrence_time")).cast("date").alias("o_day"),
+        _front("merchant", GRAM, 8).alias("o_merchant"), _front("title", 8, 10).alias("o_title"), F.col("summary").alias("order_summary"),
     ).filter("amount is not null")
 
 
 def _payment_side(payments: DataFrame) -> DataFrame:
-    return payments.select(
-        F.col("fact_id").alias("payment_id"), F.col("pos").alias("payment_pos"), "amount", F.col("platform").alias("p_platform"), F.col("occurrence_time").alias("payment_time"),
+    rows = payments.select(
+        F.col("fact_id").alias("payment_id"), F.col("pos").alias("payment_pos"), "amount", F.coalesce("platform", F.lit("")).alias("p_platform"), F.col("occurrence_time").alias("payment_time"),
         parse_datetime(F.col("occurrence_time")).cast("date").alias("p_day"), text_key(F.concat_ws(" ", "merchant", "counterparty", "summary")).alias("p_text"), F.col("summary").alias("payment_summary"),
     ).filter("amount is not null")
+    hit = lambda words: F.greatest(*[F.col("p_text").contains(w) for w in words]) if len(words) > 1 else F.col("p_text").contains(words[0])
+    return rows.withColumn("p_bits", sum((F.when(hit(words), 1 << k).otherwise(0) for k, words in enumerate(PLATFORM_WORDS.values())), F.lit(0)))
 
 
-def candidate_pairs(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    """Pairs of equal amount: dated ones within MAX_DAYS, by day bands; undated ones of equal platform, which alone can reach the least score.
+def candidate_pairs(orders: DataFrame, payments: DataFrame, few: int = FEW) -> DataFrame:
+    """Pairs of equal amount that may be among an order's KEPT best: dated ones within MAX_DAYS, undated ones of equal platform.
 
-    A pair is undated if its order is, or if its payment is: these are two joins, each with the few undated
-    rows of one side, so that dated orders and dated payments meet by bands only.
+    A pair is undated if its order is, or if its payment is; only with equal platforms and a mention it can reach the
+    least score, which all such pairs then have alike. An order meets at most `few` payments of each of its three
+    bands, or from the index KEPT of each class and day: pairs grow with the orders, whatever the amounts. Ids and
+    places of payments are distinct.
     """
     o, p = _order_side(orders), _payment_side(payments)
-    band = lambda day: F.floor(F.unix_date(day) / BAND)
-    od, ou = o.filter("o_day is not null"), o.filter("o_day is null and o_platform <> ''").withColumn("k", F.col("o_platform"))
-    pd, pu = p.filter("p_day is not null"), p.filter("p_day is null").withColumn("k", F.col("p_platform"))
-    ob = od.withColumn("band", F.explode(F.array(*[band(F.col("o_day")) + d for d in (-1, 0, 1)])))
-    dated = ob.join(pd.withColumn("band", band(F.col("p_day"))), ["amount", "band"]).drop("band").withColumn("days", day_delta(F.col("o_day"), F.col("p_day"))).filter(F.col("days") <= MAX_DAYS)
-    no_order_day = ou.join(p.withColumn("k", F.col("p_platform")), ["amount", "k"])
-    no_payment_day = od.filter("o_platform <> ''").withColumn("k", F.col("o_platform")).join(pu, ["amount", "k"])
-    undated = no_order_day.unionByName(no_payment_day).drop("k").filter(_mentioned()).withColumn("days", F.lit(None).cast("int"))
-    return dated.unionByName(undated)
+    ob = o.filter("o_day is not null").withColumn("band", F.explode(F.array(*[_band("o_day") + d for d in (-1, 0, 1)])))
+    pd = p.filter("p_day is not null").withColumn("band", _band("p_day"))
+    many = pd.groupBy("amount", "band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select("amount", "band")
+    direct = ob.join(pd.join(many, ["amount", "band"], "left_anti"), ["amount", "band"])
+    looked_up = _looked_up(ob.join(many, ["amount", "band"], "left_semi"), pd.join(many, ["amount", "band"], "left_semi"))
+    dated = direct.select(*looked_up.columns).unionByName(looked_up).drop("band").withColumn("days", day_delta(F.col("o_day"), F.col("p_day"))).filter(F.col("days") <= MAX_DAYS)
+    return dated.unionByName(_undated(o, p).withColumn("days", F.lit(None).cast("int")).select(*dated.columns))
+
+
+def _begins(orders: DataFrame) -> Column:
+    """The beginnings that an order looks for."""
+    return F.array_compact(F.array_distinct(F.array("o_merchant", "o_title")))
+
+
+def _mentioning(payments: DataFrame, orders: DataFrame, *keys: str) -> DataFrame:
+    """Payments with each beginning (m) of an order of equal keys that their text holds: met by the first GRAM characters."""
+    sought = orders.select(*keys, F.explode(_begins(orders)).alias("m")).distinct().withColumn("_g", F.substring("m", 1, GRAM))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_text") - GRAM + 1), lambda i: F.substring(F.col("p_text"), i, F.lit(GRAM))))
+    return payments.filter(F.length("p_text") >= GRAM).withColumn("_g", F.explode(grams)).join(sought, [*keys, "_g"]).filter(F.contains("p_text", "m")).drop("_g")
+
+
+def _first(payments: DataFrame, *keys: str) -> DataFrame:
+    """The first KEPT payments of equal keys, by place; every task keeps its own first before they meet."""
+    return payments.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("payment_pos"))).filter(F.col("_k") <= KEPT).drop("_k")
 
 
-def _mentioned() -> Column:
-    """The payment's text holds the beginning of the order's merchant or title."""
-    return F.coalesce(F.expr("contains(p_text, o_merchant)"), F.lit(False)) | F.coalesce(F.expr("contains(p_text, o_title)"), F.lit(False))
+def _looked_up(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Pairs of equal amount and band by an index (amount, band, mention, platform) with KEPT payments of each day and class."""
+    at, none = ["amount", "band"], F.lit("")
+    mentions = payments.withColumn("m", none).unionByName(_mentioning(payments, orders, *at))
+    named = [F.when(F.col("p_bits").bitwiseAND(1 << k) > 0, F.struct(F.lit(name).alias("r"), F.lit(1).alias("kind"))) for k, name in enumerate(PLATFORM_WORDS)]
+    classes = F.array_compact(F.array(F.struct(none.alias("r"), F.lit(0).alias("kind")), F.when(F.col("p_platform") != "", F.struct(F.col("p_platform").alias("r"), F.lit(2).alias("kind"))), *named))
+    # platforms without fixed words are few by nature: texts are searched for each name that orders of the amount have
+    others = orders.filter("o_word is not null").select(*at, F.col("o_platform").alias("r"), "o_word").distinct()
+    by_name = mentions.join(others, at).filter(F.contains("p_text", "o_word")).drop("o_word").withColumn("kind", F.lit(1))
+    index = _first(mentions.select("*", F.inline(classes)).unionByName(by_name).filter("kind <> 1 or r <> p_platform"), *at, "m", "r", "kind", "p_day")
+    probes = orders.withColumn("m", F.explode(F.array_append(_begins(orders), none))).withColumn("r", F.explode(F.array_distinct(F.array(none, F.col("o_platform")))))
+    return probes.join(index, [*at, "m", "r"]).drop("m", "r", "kind").dropDuplicates(["order_id", "order_pos", "payment_id", "payment_pos"])
 
 
-def _platform_word(platform: Column, text: Column) -> Column:
-    out = F.when(platform == "", False)
-    for name, words in PLATFORM_WORDS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | text.contains(w)
-        out = out.when(platform == name, hit)
-    return out.otherwise(text.contains(text_key(platform)))
+def _undated(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Pairs of equal amount and platform without a day on one side at least, whose payment mentions the order: the
+    first KEPT of each mention. Orders without a day (u: both) look up all payments, others those without a day."""
+    either = F.when(F.col("o_day").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    o = orders.filter("o_platform <> ''").withColumn("k", F.col("o_platform")).withColumn("u", F.explode(either))
+    p = payments.withColumns({"k": F.col("p_platform"), "u": F.col("p_day").isNull()}).join(o.select("amount", "k", "u").distinct(), ["amount", "k", "u"], "left_semi")
+    index = _first(_mentioning(p, o, "amount", "k", "u"), "amount", "k", "u", "m")
+    return o.withColumn("m", F.explode(_begins(o))).join(index, ["amount", "k", "u", "m"]).drop("k", "u", "m").dropDuplicates(["order_id", "order_pos", "payment_id", "payment_pos"])
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """score and evidence of each pair; pairs below LEAST_SCORE go."""
-    days = F.col("days")
-    same = (F.col("o_platform") != "") & (F.col("o_platform") == F.col("p_platform"))
-    word = ~same & (F.col("o_platform") != "") & _platform_word(F.col("o_platform"), F.col("p_text"))
-    merchant = _mentioned()
+    """Pairs with relation (2: same platform, 1: its word in the text), mentioned and score; those below LEAST_SCORE go."""
+    days, known = F.col("days"), F.col("o_platform") != ""
+    word = (F.col("o_bit").bitwiseAND(F.col("p_bits")) > 0) | F.coalesce(F.contains("p_text", "o_word"), F.lit(False))
+    relation = F.when(known & (F.col("o_platform") == F.col("p_platform")), 2).when(known & word, 1).otherwise(0)
+    mentioned = F.coalesce(F.contains("p_text", "o_merchant"), F.lit(False)) | F.coalesce(F.contains("p_text", "o_title"), F.lit(False))
     by_day = F.when(days.isNull(), -10).when(days == 0, 25).when(days <= 1, 20).when(days <= 3, 15).otherwise(8)
-    day_word = F.when(days == 0, "same_day").when(days <= 1, "within_1_day").when(days <= 3, "within_3_days").when(days <= MAX_DAYS, "within_7_days")
-    evidence = F.array_compact(F.array(
-        F.lit("amount_exact"), day_word, F.when(same, "platform_match").when(word, "platform_text_match"), F.when(merchant, "merchant_text_overlap"), F.when(days.isNull(), "date_missing"),
-    ))
-    score = 50 + by_day + F.when(same, 20).when(word, 12).otherwise(0) + F.when(merchant, 10).otherwise(0)
+    score = 50 + by_day + F.when(F.col("relation") == 2, 20).when(F.col("relation") == 1, 12).otherwise(0) + F.when(F.col("mentioned"), 10).otherwise(0)
     return (
-        pairs.filter(days.isNotNull() | merchant)
-        .withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)))
-        .withColumn("evidence", evidence).filter(F.col("score") >= LEAST_SCORE)
+        pairs.withColumns({"relation": relation, "mentioned": mentioned}).filter(days.isNotNull() | F.col("mentioned"))
+        .withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score))).filter(F.col("score") >= LEAST_SCORE)
     )
 
 
+def evidence() -> Column:
+    """What a scored pair's score is made of."""
+    days = F.col("days")
+    day_word = F.when(days == 0, "same_day").when(days <= 1, "within_1_day").when(days <= 3, "within_3_days").when(days <= MAX_DAYS, "within_7_days")
+    return F.array_compact(F.array(
+        F.lit("amount_exact"), day_word, F.when(F.col("relation") == 2, "platform_match").when(F.col("relation") == 1, "platform_text_match"),
+        F.when(F.col("mentioned"), "merchant_text_overlap"), F.when(days.isNull(), "date_missing"),
+    ))
+
+
 def top_links(scored: DataFrame, kept: int = KEPT) -> DataFrame:
-    """The best payments of each order, ties by the payment's place."""
+    """The best payments of each order (KEPT at most), ties by the payment's place."""
     w = Window.partitionBy("order_id").orderBy(F.desc("score"), "payment_pos")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kept)
 
 
-def link_orders_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
+def link_orders_payments(orders: DataFrame, payments: DataFrame, few: int = FEW) -> DataFrame:
     """Links of order facts to payment facts (both as facts.order_facts and facts.eligible_payments give them)."""
     ids = {"order": F.col("order_id"), "payment": F.col("payment_id"), "relation": F.lit("pays_for")}
-    return top_links(score_pairs(candidate_pairs(orders, payments))).select(
+    return top_links(score_pairs(candidate_pairs(orders, payments, few))).select(
         stable_id("fin_link_", ids).alias("link_id"), "order_id", "payment_id", "order_pos", "payment_pos", "score", "rank",
-        F.when(F.col("score") >= LINKED_FROM, "linked").otherwise("candidate").alias("match_strength"), "evidence", "amount",
+        F.when(F.col("score") >= LINKED_FROM, "linked").otherwise("candidate").alias("match_strength"), evidence().alias("evidence"), "amount",
         "order_time", "payment_time", F.col("o_platform").alias("platform"), "order_summary", "payment_summary",
     )
 
