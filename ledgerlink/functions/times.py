@@ -12,7 +12,10 @@ FORMATS = ("y-M-d H:m:s", "y-M-d H:m", "y-M-d", "y/M/d H:m:s", "y/M/d")
 def parse_datetime(c: Column) -> Column:
     """timestamp_ntz of the first format that fits, then of ISO text; null otherwise."""
     t = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS], t.try_cast("timestamp")).cast("timestamp_ntz")
+    slash, colon = t.contains("/"), t.contains(":")
+    # a format that cannot fit is not tried: failing is slow
+    parsed = [F.when((slash if "/" in f else ~slash) & (colon if ":" in f else ~colon), F.try_to_timestamp(t, F.lit(f))) for f in FORMATS]
+    return F.when(t != "", F.coalesce(*parsed, t.try_cast("timestamp"))).cast("timestamp_ntz")
 
 
 def day_delta(a: Column, b: Column) -> Column:

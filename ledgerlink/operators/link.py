@@ -18,6 +18,8 @@ MAX_DAYS, LEAST_SCORE, LINKED_FROM, KEPT = 7, 65, 85, 5
 BAND = MAX_DAYS + 1
 #: Payments of an (amount, band) that orders meet one by one; with more, they look them up in the index.
 FEW = 64
+#: Crowded (amount, band) keys up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 # Platform words looked for in payment texts.
 PLATFORM_WORDS = {"pdd": ["pdd", "拼多多"], "meituan": ["meituan", "美团"], "jd": ["jd", "京东"], "taobao": ["taobao", "淘宝", "天猫"]}
 #: The shortest beginning of a merchant or title that is looked for, by which texts are indexed.
@@ -58,16 +60,22 @@ def candidate_pairs(orders: DataFrame, payments: DataFrame, few: int = FEW) -> D
 
     A pair is undated if its order is, or if its payment is; only with equal platforms and a mention it can reach the
     least score, which all such pairs then have alike. An order meets at most `few` payments of each of its three
-    bands, or from the index KEPT of each class and day: pairs grow with the orders, whatever the amounts. Ids and
-    places of payments are distinct.
+    bands, or from the index KEPT of each class and day: pairs grow with the orders, whatever the amounts. Crowded
+    bands are counted at once, in a job of its own. Ids and places of payments are distinct.
     """
     o, p = _order_side(orders), _payment_side(payments)
     ob = o.filter("o_day is not null").withColumn("band", F.explode(F.array(*[_band("o_day") + d for d in (-1, 0, 1)])))
     pd = p.filter("p_day is not null").withColumn("band", _band("p_day"))
-    many = pd.groupBy("amount", "band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select("amount", "band")
-    direct = ob.join(pd.join(many, ["amount", "band"], "left_anti"), ["amount", "band"])
-    looked_up = _looked_up(ob.join(many, ["amount", "band"], "left_semi"), pd.join(many, ["amount", "band"], "left_semi"))
-    dated = direct.select(*looked_up.columns).unionByName(looked_up).drop("band").withColumn("days", day_delta(F.col("o_day"), F.col("p_day"))).filter(F.col("days") <= MAX_DAYS)
+    at = ["amount", "band"]
+    many = pd.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select(*at)
+    crowded = many.count()
+    if crowded:
+        many = F.broadcast(many) if crowded <= BROADCAST_KEYS else many
+        direct = ob.join(pd.join(many, at, "left_anti"), at)
+        pairs = direct.unionByName(_looked_up(ob.join(many, at, "left_semi"), pd.join(many, at, "left_semi")))
+    else:
+        pairs = ob.join(pd, at)
+    dated = pairs.drop("band").withColumn("days", day_delta(F.col("o_day"), F.col("p_day"))).filter(F.col("days") <= MAX_DAYS)
     return dated.unionByName(_undated(o, p).withColumn("days", F.lit(None).cast("int")).select(*dated.columns))
 
 
