@@ -38,8 +38,8 @@ LENGTH, PHRASE = 200, 24
 SPREAD = LENGTH - PHRASE + 1
 #: Text of a shard, which one task holds: the number of shards follows the corpus.
 SHARD_BYTES = 5 << 20
-#: Suffixes of a bucket, about; and the number of segments from which a phrase is dealt over many buckets.
-BUCKET, CROWDED = 20_000, 2_000
+#: Suffixes of a bucket, about (some 6 MB); and the number of segments from which a phrase is dealt over many buckets.
+BUCKET, CROWDED = 20_000, 20_000
 #: Windows of a text that are hashed at a time, and the bits that hold their places.
 PIECE, PLACE_BITS = 1 << 15, 16
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
