@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import account_key, blank, text_key
@@ -28,30 +30,60 @@ def bank_key_of(df: DataFrame) -> Column:
     ).otherwise(F.concat_ws("|", F.lit("fallback"), text("bank_key"), account, day, text("direction"), text("amount"), party))
 
 
+def _place(df: DataFrame, pos: str) -> Column:
+    """The position as one number: those of a union, (source rank, position), are a decimal that sorts alike."""
+    if not dict(df.dtypes)[pos].startswith("struct<source:"):
+        return F.col(pos)
+    return (F.col(f"{pos}.source") * F.lit(Decimal(2 * 10**19)) + F.col(f"{pos}.pos")).cast("decimal(38,0)")
+
+
 def dedupe_bank(df: DataFrame, pos: str = "pos") -> DataFrame:
     """One row per key: the first row's values, blanks filled by the earliest non-blank, conflicts as warnings.
 
-    Merging in order of pos keeps the first non-blank value for good, so every field is min_by over its
-    non-blank values and a conflict is min <> max: all of it aggregates partially, and no group is collected
-    but for the positions of its sources. Positions should be distinct: of rows that share one, any may count
-    as the first.
+    Merging in order of pos keeps the first non-blank value for good. So a hash aggregation of numbers finds, for each
+    key and field, the place of that value, and whether values differ by their least and greatest hashes (two hashes of
+    96 bits together); then the first row is fetched by its place, and the few values from other places likewise.
+    Nothing of a key is collected: its sources are counted (n_sources), and bank_members has them one by one. Of
+    rows that share a key and a position, any may count as the first. Null positions come first.
     """
     have = [f for f in BANK_FIELDS if f in df.columns]
     own = [c for c in df.columns if c not in (*have, "confidence", "warnings", pos)]
-    keyed = _keyed(df, bank_key_of(df))
-    aggs: list[Column] = [F.min_by(F.struct(*own), pos).alias("_first")]
+    keyed = _keyed(df.withColumn("_place", _place(df, pos)), bank_key_of(df))
+    rest = ["confidence"] if "confidence" in df.columns else []
+    aggs = [F.max(c).alias(c) for c in rest]
     for c in have:
-        filled = F.when(~blank(F.col(c)), F.col(c))
-        aggs += [F.coalesce(F.min_by(c, F.when(filled.isNotNull(), F.col(pos))), F.lit("")).alias(c), (F.min(filled) != F.max(filled)).alias(f"_differs_{c}")]
-    if "confidence" in df.columns:
-        aggs.append(F.max("confidence").alias("confidence"))
+        filled = ~blank(F.col(c))
+        aggs.append(F.min(F.when(filled, F.col("_place"))).alias(f"_at_{c}"))
+        aggs += [way(F.when(filled, h(c))).alias(f"_{n}_{c}") for h, names in ((F.xxhash64, "ab"), (F.hash, "xy")) for way, n in zip((F.min, F.max), names, strict=True)]
+    found = keyed.groupBy("_hash", "dedupe_key").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("n_sources"), *aggs)
+    differs = lambda c: (F.col(f"_a_{c}") != F.col(f"_b_{c}")) | (F.col(f"_x_{c}") != F.col(f"_y_{c}"))
+    conflicts = F.array_compact(F.array(*[F.when(differs(c), F.lit(f"conflict_{c}")) for c in have])).cast("array<string>")
+    merged = found.select("_hash", "dedupe_key", "_place", "n_sources", *rest, *[f"_at_{c}" for c in have], conflicts.alias("_conflicts"))
+    # one row of each place: the sort that finds it is the join's own
+    one = F.row_number().over(Window.partitionBy("_hash", "_place").orderBy("_place"))
+    rows = keyed.select("_hash", "_place", pos, *own, *have).withColumn("_n", one).filter("_n = 1").drop("_n")
+    out = merged.join(rows, ["_hash", "_place"])
+    if have:
+        # values from other places than the first: a few of each key, one per field at most
+        wanted = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_at_{c}").alias("_from")) for c in have])
+        fills = merged.select("_hash", "_place", F.inline(wanted)).filter("_from <> _place")
+        values = F.coalesce(*[F.when(F.col("field") == c, F.col(c).cast("string")) for c in have])
+        fetched = fills.join(rows.select("_hash", F.col("_place").alias("_from"), *have), ["_hash", "_from"]).select("_hash", "_place", F.struct("field", values.alias("value")).alias("_f"))
+        out = out.join(fetched.groupBy("_hash", "_place").agg(F.collect_list("_f").alias("_fills")), ["_hash", "_place"], "left")
+    kinds = dict(df.dtypes)
+    other = lambda c: F.get(F.filter("_fills", lambda f: f["field"] == c), F.lit(0))["value"].cast(kinds[c])
+    value = lambda c: F.when(F.col(f"_at_{c}") == F.col("_place"), F.col(c)).when(F.col(f"_at_{c}").isNotNull(), other(c)).otherwise(F.lit("")).alias(c)
+    warnings = F.col("_conflicts")
     if "warnings" in df.columns:
-        aggs.append(F.flatten(F.collect_list("warnings")).alias("_warned"))
-    merged = keyed.groupBy("_hash", "dedupe_key").agg(F.min(pos).alias(pos), F.count(F.lit(1)).alias("n_sources"), F.array_sort(F.collect_list(pos)).alias("source_records"), *aggs)
-    conflicts = F.array_compact(F.array(*[F.when(F.col(f"_differs_{c}"), F.lit(f"conflict_{c}")) for c in have]))
-    warnings = F.concat(conflicts, F.col("_warned")) if "warnings" in df.columns else conflicts
-    rest = ["confidence"] if "confidence" in df.columns else []
-    return merged.select("dedupe_key", pos, "n_sources", "source_records", "_first.*", *have, *rest, F.array_sort(F.array_distinct(warnings)).alias("warnings"))
+        warned = keyed.select("_hash", "dedupe_key", F.explode("warnings").alias("_w")).distinct().groupBy("_hash", "dedupe_key").agg(F.collect_list("_w").alias("_warned"))
+        out = out.join(warned, ["_hash", "dedupe_key"], "left")
+        warnings = F.concat("_conflicts", F.coalesce("_warned", F.array().cast("array<string>")))
+    return out.select("dedupe_key", pos, "n_sources", *own, *[value(c) for c in have], *rest, F.array_sort(F.array_distinct(warnings)).alias("warnings"))
+
+
+def bank_members(df: DataFrame, pos: str = "pos") -> DataFrame:
+    """(dedupe_key, pos, warnings if there are any): the sources of each merged row, one row each."""
+    return df.select(bank_key_of(df).alias("dedupe_key"), pos, *(["warnings"] if "warnings" in df.columns else []))
 
 
 def _keyed(df: DataFrame, key: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import combined_confidence
@@ -19,25 +19,41 @@ CASHFLOW = ("收入", "支出", "退款", "债权债务")
 SUMMARIES = 5
 
 
+def order_members(links: DataFrame, orders: DataFrame, least: int = LINKED_FROM) -> DataFrame:
+    """(fact_id, order_id, record, text, score, order_pos, rank): the strongly linked orders of payments, one row each."""
+    strong = links.filter((F.col("match_strength") == "linked") & (F.col("score") >= least)).select(F.col("payment_id").alias("fact_id"), "order_id", "score", "order_pos", "rank")
+    details = orders.select(F.col("fact_id").alias("order_id"), F.col("source_id").alias("record"), order_summary(F.col("merchant"), F.col("title"), F.col("summary")).alias("text"))
+    return strong.join(details, "order_id").select("fact_id", "order_id", "record", "text", "score", "order_pos", "rank")
+
+
 def enrich_with_orders(facts: DataFrame, links: DataFrame, orders: DataFrame, least: int = LINKED_FROM) -> DataFrame:
-    """Bank facts with their strongly linked orders, best first: ids, first summary, first five summaries."""
-    strong = links.filter((F.col("match_strength") == "linked") & (F.col("score") >= least)).select("payment_id", "order_id", "score", "order_pos", "rank")
-    details = orders.select(F.col("fact_id").alias("order_id"), F.col("source_id").alias("_record"), order_summary(F.col("merchant"), F.col("title"), F.col("summary")).alias("_text"))
-    row = F.struct((-F.col("score")).alias("s"), "order_pos", "rank", "order_id", F.col("_record").alias("record"), F.col("_text").alias("text"))
-    found = strong.join(details, "order_id").groupBy("payment_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    texts = F.filter(F.transform("_rows", lambda r: r["text"]), lambda t: t != "")
-    none = F.array().cast("array<string>")
-    return facts.join(found.withColumnRenamed("payment_id", "fact_id"), "fact_id", "left").select(
-        *facts.columns,
-        F.col("_rows").isNotNull().alias("matched_order"),
-        F.coalesce(F.transform("_rows", lambda r: r["order_id"]), none).alias("linked_order_ids"),
-        F.coalesce(F.filter(F.transform("_rows", lambda r: r["record"]), lambda x: x != ""), none).alias("linked_order_record_ids"),
-        F.coalesce(F.get(texts, F.lit(0)), F.lit("")).alias("item_or_service"),
-        F.coalesce(F.array_join(F.slice(texts, 1, SUMMARIES), " | "), F.lit("")).alias("order_detail_summary"),
-        F.coalesce(F.size("_rows"), F.lit(0)).alias("order_count"),
+    """Bank facts with the number of their strongly linked orders, the best one's summary and the first five summaries.
+
+    A payment may have any number of orders: they are counted, and each task keeps the best SUMMARIES of a payment
+    before these meet. The orders themselves are rows of order_members.
+    """
+    members = order_members(links, orders, least)
+    counted = members.groupBy("fact_id").agg(F.count(F.lit(1)).alias("_n"))
+    best = members.filter("text <> ''").withColumn("_k", F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("score"), "order_pos", "rank"))).filter(F.col("_k") <= SUMMARIES)
+    texts = best.groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("_k", "text"))).alias("_texts"))
+    text = F.transform("_texts", lambda r: r["text"])
+    return facts.join(counted, "fact_id", "left").join(texts, "fact_id", "left").select(
+        *facts.columns, F.col("_n").isNotNull().alias("matched_order"), F.coalesce(F.get(text, F.lit(0)), F.lit("")).alias("item_or_service"),
+        F.coalesce(F.array_join(text, " | "), F.lit("")).alias("order_detail_summary"), F.coalesce("_n", F.lit(0)).alias("order_count"),
     )
 
 
+def with_order_lists(entries: DataFrame, members: DataFrame, key: str = "fact_id") -> DataFrame:
+    """entries with linked_order_ids and linked_order_record_ids, best first, for exports that want lists in a row.
+
+    A list holds all orders of a payment, so this is for layers whose payments have few; order_members has no such bound.
+    """
+    row = F.struct((-F.col("score")).alias("s"), "order_pos", "rank", "order_id", "record")
+    found = members.groupBy(F.col("fact_id").alias(key)).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    listed = lambda name: F.coalesce(F.filter(F.transform("_rows", lambda r: r[name]), lambda x: x != ""), F.array().cast("array<string>"))
+    return entries.join(found, key, "left").select(*entries.columns, listed("order_id").alias("linked_order_ids"), listed("record").alias("linked_order_record_ids"))
+
+
 def classify_with_order_text(enriched: DataFrame, rules: list[Rule] = CATEGORY_RULES, defaults: list[Rule] = DEFAULTS) -> DataFrame:
     """Classification over title and summary with the orders' texts; the stored title and summary stay as they are."""
     has = F.col("order_detail_summary") != ""
@@ -64,15 +80,17 @@ def build_ledger(facts: DataFrame, links: DataFrame, orders: DataFrame, rules: l
         F.array_sort(F.array_distinct("tags")).alias("tags"), "reimbursable_status", "budget_status",
         (kind == INCOME).alias("include_in_income_stats"), (kind == EXPENSE).alias("include_in_expense_stats"), kind.isin(*CASHFLOW).alias("include_in_cashflow_stats"),
         F.col("source_system").alias("account"), F.col("payment_channel").alias("payment_method"), "platform", "merchant", "counterparty", "item_or_service",
-        F.col("summary").alias("raw_description"), "matched_order", "linked_order_ids", "linked_order_record_ids", "order_detail_summary",
+        F.col("summary").alias("raw_description"), "matched_order", "order_count", "order_detail_summary",
         F.col("fact_id").alias("source_fact_id"), F.col("source_id").alias("source_record_id"), combined_confidence(F.col("confidence"), F.col("classification_confidence")).alias("confidence"),
         "classification_confidence", F.col("reason").alias("classification_reason"), "review_required", unsure.alias("review_reasons"), "warnings",
     )
 
 
-def unmatched_orders(orders: DataFrame, entries: DataFrame) -> DataFrame:
-    """Order facts in no entry's list."""
-    return orders.join(entries.select(F.explode("linked_order_ids").alias("fact_id")), "fact_id", "left_anti")
+def unmatched_orders(orders: DataFrame, entries: DataFrame, members: DataFrame) -> DataFrame:
+    """Order facts that are no entry's: entries are ledger entries or enriched facts, members of order_members."""
+    own = F.col("source_fact_id" if "source_fact_id" in entries.columns else "fact_id").alias("fact_id")
+    matched = members.select("fact_id", "order_id").join(entries.select(own), "fact_id", "left_semi")
+    return orders.join(matched.select(F.col("order_id").alias("fact_id")), "fact_id", "left_anti")
 
 
 def ledger_stats(facts: DataFrame, links: DataFrame, orders: DataFrame, entries: DataFrame) -> DataFrame:
@@ -80,7 +98,7 @@ def ledger_stats(facts: DataFrame, links: DataFrame, orders: DataFrame, entries:
     parts = [
         facts.agg(F.count(F.lit(1)).alias("input_facts")), links.agg(F.count(F.lit(1)).alias("input_links")),
         entries.agg(F.count(F.lit(1)).alias("bank_source_facts"), F.count_if("matched_order").alias("matched_order_entries")),
-        orders.agg(F.count(F.lit(1)).alias("order_source_facts")), unmatched_orders(orders, entries).agg(F.count(F.lit(1)).alias("unmatched_order_facts")),
+        orders.agg(F.count(F.lit(1)).alias("order_source_facts")), unmatched_orders(orders, entries, order_members(links, orders)).agg(F.count(F.lit(1)).alias("unmatched_order_facts")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -160,19 +160,26 @@ def link_orders_payments(orders: DataFrame, payments: DataFrame, few: int = FEW)
     )
 
 
+def link_members(links: DataFrame) -> DataFrame:
+    """(fact_id, partner, score, link_id, at): every link from both of its sides; at is its place among all links."""
+    one = lambda own, other: links.select(F.col(own).alias("fact_id"), F.col(other).alias("partner"), "score", "link_id", F.struct("order_pos", "rank").alias("at"))
+    return one("order_id", "payment_id").unionByName(one("payment_id", "order_id"))
+
+
 def link_status(facts: DataFrame, links: DataFrame) -> DataFrame:
-    """facts with their partners in link order, number, best score, first best link, and status."""
-    one = lambda own, other, own_pos: links.select(F.col(own).alias("fact_id"), F.col(other).alias("partner"), "score", "link_id", F.struct("order_pos", "rank").alias("at"))
-    sides = one("order_id", "payment_id", "order_pos").unionByName(one("payment_id", "order_id", "payment_pos"))
-    of = sides.groupBy("fact_id").agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "partner"))), lambda x: x["partner"])).alias("partners"),
-        F.max("score").alias("best_score"), F.min_by("link_id", F.struct((-F.col("score")).alias("s"), "at")).alias("best_link_id"),
-    )
+    """facts with the number of their partners, best score, first best link, and status; link_members has the partners.
+
+    Nothing is collected per fact: partners are counted, and of a fact's links each task keeps only the best.
+    """
+    members = link_members(links)
+    counted = members.groupBy("fact_id").agg(F.count_distinct("partner").alias("n_partners"))
+    first = Window.partitionBy("fact_id").orderBy(F.desc("score"), "at")
+    top = members.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select("fact_id", F.col("score").alias("best_score"), F.col("link_id").alias("best_link_id"))
     best = F.coalesce("best_score", F.lit(0))
     order = F.when(best >= LINKED_FROM, "linked").when(best > 0, "candidate").otherwise("unmatched")
     bank = F.when(best >= LINKED_FROM, "linked").otherwise("unlinked")
-    return facts.join(of, "fact_id", "left").select(
-        *facts.columns, F.coalesce("partners", F.array().cast("array<string>")).alias("partners"), best.alias("best_score"), F.coalesce("best_link_id", F.lit("")).alias("best_link_id"),
+    return facts.join(counted, "fact_id", "left").join(top, "fact_id", "left").select(
+        *facts.columns, F.coalesce("n_partners", F.lit(0)).alias("n_partners"), best.alias("best_score"), F.coalesce("best_link_id", F.lit("")).alias("best_link_id"),
         F.when(F.col("source_type") == "platform_order", order).otherwise(bank).alias("link_status"),
     )
 

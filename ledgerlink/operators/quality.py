@@ -37,8 +37,8 @@ def warning_counts(df: DataFrame, column: str = "warnings") -> DataFrame:
     return df.select(F.explode(column).alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "warning")
 
 
-def source_multiplicity(df: DataFrame, column: str = "source_records") -> DataFrame:
-    return df.groupBy(F.size(column).alias("n_sources")).agg(F.count(F.lit(1)).alias("n"))
+def source_multiplicity(df: DataFrame, column: str = "n_sources") -> DataFrame:
+    return df.groupBy(F.col(column).alias("n_sources")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def metrics(df: DataFrame, counts: dict[str, Column], sums: dict[str, tuple[Colu
 
 
 def bank_quality(bank: DataFrame) -> DataFrame:
-    counts = {"bank": F.col("bank_key"), "direction": F.col("direction"), "sources": F.size("source_records")}
+    counts = {"bank": F.col("bank_key"), "direction": F.col("direction"), "sources": F.col("n_sources")}
     return metrics(bank, counts, missing=["transaction_time", "amount", "account_tail", "counterparty", "transaction_reference"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text, times
@@ -508,12 +508,26 @@ from f_all f left join (
   from (select order_id as id, score, link_id, order_pos, rank from d_links union all select payment_id, score, link_id, order_pos, rank from d_links) group by id) l on f.fact_id = l.id""")
 def _(x):
     s = link.link_status(x.all_facts, x.links)
-    return s.select("fact_id", F.size("partners").cast("long").alias("n"), "best_score", "best_link_id", "link_status")
+    return s.select("fact_id", c("n_partners").alias("n"), "best_score", "best_link_id", "link_status")
+
+
+@query("link_members", """
+select fact_id, partner, score, link_id, place from (
+  select *, row_number() over (partition by fact_id order by order_pos, rank) as place
+  from (select order_id as fact_id, payment_id as partner, score, link_id, order_pos, rank from d_links union all select payment_id, order_id, score, link_id, order_pos, rank from d_links))""")
+def _(x):
+    place = F.row_number().over(Window.partitionBy("fact_id").orderBy("at"))
+    return link.link_members(x.links).select("fact_id", "partner", "score", "link_id", place.cast("long").alias("place"))
+
+
+@query("order_members", "select l.payment_id as fact_id, l.order_id, 'o' || l.order_pos as record, o.merchant || ' - ' || o.title || ' - ' || o.summary as text, l.score from d_links l join f_orders o on l.order_id = o.fact_id where score >= 85")
+def _(x):
+    return ledger.order_members(x.links, x.order_facts).select("fact_id", "order_id", "record", "text", "score")
 
 
 @query("enrich_with_orders", "select fact_id, matched_order, linked_order_ids, linked_order_record_ids, item_or_service, order_detail_summary, order_count from d_enriched")
 def _(x):
-    e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.links, x.order_facts)
+    e = ledger.with_order_lists(ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.links, x.order_facts), ledger.order_members(x.links, x.order_facts))
     return e.select("fact_id", "matched_order", joined("linked_order_ids"), joined("linked_order_record_ids"), "item_or_service", "order_detail_summary", c("order_count").cast("long").alias("order_count"))
 
 
@@ -559,7 +573,7 @@ def _(x):
 @query("unmatched_orders", "select fact_id from f_orders where fact_id not in (select unnest(string_split(linked_order_ids, ',')) from d_enriched where linked_order_ids <> '')")
 def _(x):
     e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.links, x.order_facts)
-    return ledger.unmatched_orders(x.order_facts, e).select("fact_id")
+    return ledger.unmatched_orders(x.order_facts, e, ledger.order_members(x.links, x.order_facts)).select("fact_id")
 
 
 @query("classify_with_order_text", "select fact_id, category_lv1, category_lv2, summary from d_ledger")

@@ -1,10 +1,12 @@
 """The order fold against a plain model over all permutations, and properties of both dedupes."""
 
+import random
 from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from ledgerlink.operators.dedupe import dedupe_bank, dedupe_orders
+from ledgerlink.operators.dedupe import bank_members, dedupe_bank, dedupe_orders
+from ledgerlink.sources.records import union_sources
 from ledgerlink.plans.fixtures import Fixtures
 
 FIELDS = ["order_id", "order_time", "merchant", "title", "paid_amount"]
@@ -49,8 +51,10 @@ def test_a_merged_record_competes_with_its_best_confidence(spark):
 
 def test_bank_dedupe_keeps_all_sources_and_is_idempotent(spark):
     rows = Fixtures(spark, "/root/testdata/sf0.001").statement_rows()
-    once = dedupe_bank(rows).drop("dedupe_key", "n_sources", "source_records").cache()
-    assert dedupe_bank(rows).agg(F.sum(F.size("source_records"))).first()[0] == rows.count()
+    once = dedupe_bank(rows).drop("dedupe_key", "n_sources").cache()
+    assert dedupe_bank(rows).agg(F.sum("n_sources")).first()[0] == rows.count()
+    members = bank_members(rows)
+    assert members.count() == rows.count() and members.join(dedupe_bank(rows), "dedupe_key", "left_anti").count() == 0
     # filling blanks may give two groups the same fallback key, never more rows
     again = dedupe_bank(once)
     assert again.filter("transaction_reference <> ''").count() == once.filter("transaction_reference <> ''").count()
@@ -60,4 +64,34 @@ def test_bank_dedupe_conflicts_and_fills(spark):
     rows = [(1, "b", "1234", "s", "", "in", "5", "r1", 0.4), (2, "b", "1234", "s", "P", "in", "5", "r1", 0.9), (3, "b", "1234", "t", "Q", "in", "5", "r1", 0.1)]
     df = spark.createDataFrame(rows, "pos long, bank_key string, account_tail string, summary string, counterparty string, direction string, amount string, transaction_reference string, confidence double")
     r = dedupe_bank(df).first()
-    assert (r.counterparty, r.summary, r.confidence, r.warnings, r.source_records) == ("P", "s", 0.9, ["conflict_counterparty", "conflict_summary"], [1, 2, 3])
+    assert (r.pos, r.counterparty, r.summary, r.confidence, r.warnings, r.n_sources) == (1, "P", "s", 0.9, ["conflict_counterparty", "conflict_summary"], 3)
+    assert sorted(m.pos for m in bank_members(df).collect()) == [1, 2, 3]
+
+
+def bank_model(rows, fields):
+    """Sequential merging, row by row."""
+    out = {}
+    for pos, ref, *values, warned in sorted(rows, key=lambda r: r[0]):
+        m = out.setdefault(ref, {"pos": pos, "n": 0, "w": set(warned or []), **dict.fromkeys(fields, "")})
+        m["n"] += 1
+        m["w"] |= set(warned or [])
+        for f, v in zip(fields, values):
+            if v:
+                if m[f] and m[f] != v:
+                    m["w"].add(f"conflict_{f}")
+                m[f] = m[f] or v
+    return {ref: (m["pos"], m["n"], *(m[f] for f in fields), sorted(m["w"])) for ref, m in out.items()}
+
+
+def test_bank_dedupe_equals_sequential_merging(spark):
+    rng, fields = random.Random(6), ["summary", "counterparty", "channel"]
+    pick = lambda: rng.choice(["", " ", None, "x", "y", "é"])
+    rows = [(pos, f"r{rng.choice([0, 0, 0, rng.randrange(40)])}", pick(), pick(), pick(), rng.choice([None, [], ["w"], ["v", "w"]])) for pos in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame([(p, "b", "1", "5", "in", *r) for p, *r in rows], "pos long, bank_key string, account_tail string, amount string, direction string, transaction_reference string, summary string, counterparty string, channel string, warnings array<string>")
+    want = bank_model(rows, fields)
+    for frame in (df, union_sources(df.filter("pos < 400"), df.filter("pos >= 400"))):
+        got = {r.transaction_reference: (r.pos if isinstance(r.pos, int) else r.pos.pos, r.n_sources, *(r[f] for f in fields), r.warnings) for r in dedupe_bank(frame).collect()}
+        assert got == want
+    assert dedupe_bank(df.unionByName(df)).count() == len(want)  # rows that share a position are one source's place, each counted
+    plan = dedupe_bank(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "partial_min" in plan
