@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,16 +34,16 @@ def bank_key_of(df: DataFrame) -> Column:
 def _place(df: DataFrame, pos: str) -> Column:
     """The position as one number: those of a union, (source rank, position), are a decimal that sorts alike."""
     if not dict(df.dtypes)[pos].startswith("struct<source:"):
-        return F.col(pos)
-    return (F.col(f"{pos}.source") * F.lit(Decimal(2 * 10**19)) + F.col(f"{pos}.pos")).cast("decimal(38,0)")
+        return F.coalesce(F.col(pos), F.lit(-(1 << 62)))
+    return F.coalesce((F.col(f"{pos}.source") * F.lit(Decimal(2 * 10**19)) + F.col(f"{pos}.pos")).cast("decimal(38,0)"), F.lit(-(1 << 62)))
 
 
 def dedupe_bank(df: DataFrame, pos: str = "pos") -> DataFrame:
     """One row per key: the first row's values, blanks filled by the earliest non-blank, conflicts as warnings.
 
     Merging in order of pos keeps the first non-blank value for good. So a hash aggregation of numbers finds, for each
-    key and field, the place of that value, and whether values differ by their least and greatest hashes (two hashes of
-    96 bits together); then the first row is fetched by its place, and the few values from other places likewise.
+    key and field, the place of that value, and whether values differ, by the least and greatest hash (64 bits of a SHA-256, which
+    no text can be made to share); then the first row is fetched by its place, and the few values from other places likewise.
     Nothing of a key is collected: its sources are counted (n_sources), and bank_members has them one by one. Of
     rows that share a key and a position, any may count as the first. Null positions come first.
     """
@@ -54,31 +55,37 @@ def dedupe_bank(df: DataFrame, pos: str = "pos") -> DataFrame:
     for c in have:
         filled = ~blank(F.col(c))
         aggs.append(F.min(F.when(filled, F.col("_place"))).alias(f"_at_{c}"))
-        aggs += [way(F.when(filled, h(c))).alias(f"_{n}_{c}") for h, names in ((F.xxhash64, "ab"), (F.hash, "xy")) for way, n in zip((F.min, F.max), names, strict=True)]
+        digest = F.when(filled, F.xxhash64(F.sha2(F.col(c).cast("string"), 256)))
+        aggs += [F.min(digest).alias(f"_a_{c}"), F.max(digest).alias(f"_b_{c}")]
     found = keyed.groupBy("_hash", "dedupe_key").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("n_sources"), *aggs)
-    differs = lambda c: (F.col(f"_a_{c}") != F.col(f"_b_{c}")) | (F.col(f"_x_{c}") != F.col(f"_y_{c}"))
-    conflicts = F.array_compact(F.array(*[F.when(differs(c), F.lit(f"conflict_{c}")) for c in have])).cast("array<string>")
-    merged = found.select("_hash", "dedupe_key", "_place", "n_sources", *rest, *[f"_at_{c}" for c in have], conflicts.alias("_conflicts"))
-    # one row of each place: the sort that finds it is the join's own
-    one = F.row_number().over(Window.partitionBy("_hash", "_place").orderBy("_place"))
-    rows = keyed.select("_hash", "_place", pos, *own, *have).withColumn("_n", one).filter("_n = 1").drop("_n")
-    out = merged.join(rows, ["_hash", "_place"])
-    if have:
-        # values from other places than the first: a few of each key, one per field at most
-        wanted = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_at_{c}").alias("_from")) for c in have])
-        fills = merged.select("_hash", "_place", F.inline(wanted)).filter("_from <> _place")
-        values = F.coalesce(*[F.when(F.col("field") == c, F.col(c).cast("string")) for c in have])
-        fetched = fills.join(rows.select("_hash", F.col("_place").alias("_from"), *have), ["_hash", "_from"]).select("_hash", "_place", F.struct("field", values.alias("value")).alias("_f"))
-        out = out.join(fetched.groupBy("_hash", "_place").agg(F.collect_list("_f").alias("_fills")), ["_hash", "_place"], "left")
-    kinds = dict(df.dtypes)
-    other = lambda c: F.get(F.filter("_fills", lambda f: f["field"] == c), F.lit(0))["value"].cast(kinds[c])
-    value = lambda c: F.when(F.col(f"_at_{c}") == F.col("_place"), F.col(c)).when(F.col(f"_at_{c}").isNotNull(), other(c)).otherwise(F.lit("")).alias(c)
-    warnings = F.col("_conflicts")
+    conflicts = F.array_compact(F.array(*[F.when(F.col(f"_a_{c}") != F.col(f"_b_{c}"), F.lit(f"conflict_{c}")) for c in have])).cast("array<string>")
+    merged = found.select("_hash", "dedupe_key", "_place", "n_sources", *rest, *[f"_at_{c}" for c in have], conflicts.alias("warnings"))
     if "warnings" in df.columns:
         warned = keyed.select("_hash", "dedupe_key", F.explode("warnings").alias("_w")).distinct().groupBy("_hash", "dedupe_key").agg(F.collect_list("_w").alias("_warned"))
-        out = out.join(warned, ["_hash", "dedupe_key"], "left")
-        warnings = F.concat("_conflicts", F.coalesce("_warned", F.array().cast("array<string>")))
-    return out.select("dedupe_key", pos, "n_sources", *own, *[value(c) for c in have], *rest, F.array_sort(F.array_distinct(warnings)).alias("warnings"))
+        merged = merged.join(warned, ["_hash", "dedupe_key"], "left").withColumn("warnings", F.concat("warnings", F.coalesce("_warned", F.array().cast("array<string>")))).drop("_warned")
+    # one row of each place: the sort that finds it is the join's own
+    again = F.lag("_place").over(Window.partitionBy("_hash", "_place").orderBy("_place"))
+    rows = keyed.select("_hash", "_place", F.struct(pos, *own, *have).alias("_row")).withColumn("_again", again).filter("_again is null").drop("_again")
+    joined = merged.join(rows, ["_hash", "_place"])
+    from_elsewhere = lambda c: F.coalesce(F.col(f"_at_{c}") != F.col("_place"), F.lit(False))
+    mixed = reduce(lambda x, y: x | y, [from_elsewhere(c) for c in have], F.lit(False))
+
+    def shaped(out: DataFrame, other) -> DataFrame:
+        value = lambda c: F.when(F.col(f"_at_{c}") == F.col("_place"), F.col(f"_row.{c}")).when(F.col(f"_at_{c}").isNotNull(), other(c)).otherwise(F.lit("")).alias(c)
+        fields = [*[F.col(f"_row.{c}") for c in own], *[value(c) for c in have]]
+        return out.select("dedupe_key", f"_row.{pos}", "n_sources", *fields, *rest, F.array_sort(F.array_distinct("warnings")).alias("warnings"))
+
+    # the few keys with values from other places: one row for each such field, at most as many as there are fields
+    wanted = F.filter(F.array(*[F.when(from_elsewhere(c), F.struct(F.lit(c).alias("field"), F.col(f"_at_{c}").alias("_from"))) for c in have]), lambda w: w.isNotNull())
+    whole = F.struct(*[F.col(c) for c in joined.columns]).alias("_whole")
+    sought = joined.filter(mixed).select("_hash", whole, F.inline(wanted))
+    kinds = dict(df.dtypes)
+    values = F.coalesce(*[F.when(F.col("field") == c, F.col(f"_row.{c}").cast("string")) for c in have])
+    fetched = sought.join(rows.withColumnRenamed("_place", "_from"), ["_hash", "_from"]).select("_hash", "_whole", F.struct("field", values.alias("value")).alias("_f"))
+    fills = fetched.groupBy("_hash", F.col("_whole.dedupe_key").alias("_key")).agg(F.collect_list(F.struct("_whole", "_f")).alias("_fills"))
+    filled = fills.select(F.get("_fills", F.lit(0))["_whole"].alias("_w"), F.transform("_fills", lambda f: f["_f"]).alias("_fills")).select("_w.*", "_fills")
+    plain = shaped(joined.filter(~mixed), lambda c: F.lit(None).cast(kinds[c]))
+    return plain.unionByName(shaped(filled, lambda c: F.get(F.filter("_fills", lambda f: f["field"] == c), F.lit(0))["value"].cast(kinds[c])))
 
 
 def bank_members(df: DataFrame, pos: str = "pos") -> DataFrame:
