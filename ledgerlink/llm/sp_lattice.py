@@ -22,12 +22,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
 from .repeats import pack, unpack
-from .word_hashes import BASES, BLOCK, mixed, places, powers
+from .word_hashes import BLOCK, hashed_runs, places
 
 SPACE = "▁"
 FREQUENT = 300_000
@@ -121,22 +122,15 @@ class Pairs:
         return out
 
 
-def _values(points: np.ndarray) -> np.ndarray:
-    return mixed((points + np.uint64(1)) * np.uint64(BASES[1]))
-
-
-LATIN_VALUES = _values(np.arange(LATIN, dtype=np.uint32))
-LATIN_VALUES[[10, 32]] = 0
-
-
-def _hashes(points: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Hashes of runs of code points; spaces and line feeds count nothing."""
-    up, down = powers(BASES[0], len(points))
-    values = LATIN_VALUES[np.minimum(points, LATIN - 1)]
-    far = np.flatnonzero(points >= LATIN)
-    values[far] = _values(points[far])
-    values *= up[: len(points)]
-    return mixed(np.add.reduceat(values, begin) * down[begin])
+def _hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of code points, two bytes each; runs with others go through xxh3 whole."""
+    wide = np.concatenate((np.zeros(1, np.int64), np.cumsum(points > 0xFFFF)))
+    odd = wide[end] > wide[begin] if wide[-1] else None
+    h = hashed_runs(points.astype(np.uint16), begin, end, 0, odd)
+    if odd is not None:
+        for k in np.flatnonzero(odd).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(points[begin[k] : end[k]].tobytes())
+    return h
 
 
 def keys_of(units: list[str]) -> np.ndarray:
@@ -151,7 +145,8 @@ def keys_of(units: list[str]) -> np.ndarray:
             kept = [b for b, x in zip(bodies, good.tolist(), strict=True) if x]
             lens = np.array(list(map(len, kept)))
             points = np.frombuffer(" ".join(kept).encode("utf-32-le", "replace"), np.uint32)
-            out[at + np.flatnonzero(good)] = _hashes(points, np.cumsum(lens + 1) - lens - 1) ^ (LED * led[good]) ^ (lens.astype(np.uint64) << np.uint64(40))
+            begin = np.cumsum(lens + 1) - lens - 1
+            out[at + np.flatnonzero(good)] = _hashes(points, begin, begin + lens) ^ (LED * led[good]) ^ (lens.astype(np.uint64) << np.uint64(40))
         for i, u in enumerate(some):
             if u in ("\n", SPACE):
                 out[at + i] = FEED_KEY if u == "\n" else SPACE_KEY
@@ -230,7 +225,7 @@ class Units:
         end = np.minimum(np.append(begin[1:], len(points)), ends[word])
         opens = begins[word] == begin  # the first unit of its word
         led = opens & (spaced & ~alone)[word]
-        h = _hashes(points, begin)
+        h = _hashes(points, begin, end)
         h ^= LED * led
         h ^= (end - begin).astype(np.uint64) << np.uint64(40)
         # line feeds and single spaces stand before the units they belong to, or at the end of their text

@@ -1,19 +1,26 @@
 """64-bit hashes of the words of many texts at once, and of runs of words at any place.
 
-A word's hash is a polynomial of its bytes modulo 2 ** 64, mixed; it is read off running products and sums over
-a block of joined texts, so that no word becomes a Python object. Kinds 0 and 1 are independent of each other.
+Words of up to 8 bytes have a hash that no other word of their length has. Longer ones go through two chains of 64 bits,
+8 bytes at a time, each step mixed before the next, and very long ones through xxh3. All words of a block are
+hashed together, so that no short word becomes a Python object. Runs of words are hashed by halves: the hashes of
+two halves are mixed again. Nothing here is linear, so that words or texts built of repeated parts differ like any
+others. Kinds 0 and 1 have different constants.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Texts are joined to blocks of about so many bytes; longer ones are cut at white space.
 BLOCK = 1 << 17
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd constants of each kind, and what is added to a word before it is mixed.
+FACTORS = tuple(tuple(map(np.uint64, x)) for x in ((0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB), (0xC2B2AE3D27D4EB4F, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)))
+SALTS = tuple(tuple(map(np.uint64, x)) for x in ((0x243F6A8885A308D3, 0x13198A2E03707344), (0xA4093822299F31D0, 0x082EFA98EC4E6C89)))
+#: Signs of a word from which xxh3 takes it whole.
+LONG = 64
 BLANK = np.zeros(256, bool)
 BLANK[list(b"\t\n\v\f\r ")] = True
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -24,24 +31,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _byte_values(kind: int) -> np.ndarray:
-    v = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[1 - kind])) + np.uint64(kind + 1))
-    v[BLANK] = 0
-    return v
-
-
-VALUES = tuple(map(_byte_values, (0, 1)))
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64, for i < n or more; tables of one size are kept, larger ones are not."""
-    size = 1 << max(18, (n - 1).bit_length())
-    if (base, size) in _POWERS:
-        return _POWERS[base, size]
-    made = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
-    if size == 1 << 18:
-        _POWERS[base, size] = made
-    return made
+def hashed_runs(signs: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: int = 0, odd: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the runs begin:end of signs (bytes, or pairs of bytes); runs that are odd are left to the caller."""
+    width, size = signs.itemsize, end - begin
+    per = 8 // width
+    padded = np.concatenate((signs, np.zeros(per, signs.dtype)))
+    eight = np.ndarray((len(signs) + 1,), "<u8", padded, 0, (width,))
+    front = np.array([(1 << 8 * width * k) - 1 for k in range(per + 1)], np.uint64)
+    (f, g, last), (s, t) = FACTORS[kind], SALTS[kind]
+    token = eight[begin] & front[np.minimum(size, per)]
+    h = mixed(mixed((token ^ s) * f) + size.astype(np.uint64) * last)
+    rows = np.flatnonzero(size > per if odd is None else (size > per) & ~odd)
+    if len(rows):
+        for k in rows[size[rows] > LONG].tolist():
+            h[k] = xxhash.xxh3_64_intdigest(signs[begin[k] : end[k]].tobytes(), kind)
+        rows = rows[size[rows] <= LONG]
+        x, y, done = h[rows], mixed((token[rows] + t) * g), per
+        while len(rows):
+            token = eight[begin[rows] + done] & front[np.minimum(size[rows] - done, per)]
+            x, y, done = mixed((x ^ token) * f), mixed((y + token) * g), done + per
+            whole = size[rows] <= done
+            h[rows[whole]] = mixed(x[whole] ^ (y[whole] * last))
+            rows, x, y = rows[~whole], x[~whole], y[~whole]
+    return h
 
 
 def _hashed(data: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,14 +62,7 @@ def _hashed(data: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.nda
     word[1:-1] = ~BLANK[data]
     edge = np.flatnonzero(word[1:] != word[:-1])
     begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64), begin, end
-    up, down = powers(BASES[kind], len(data))
-    values = VALUES[kind][data]
-    values *= up[: len(data)]
-    h = np.add.reduceat(values, begin)
-    h *= down[begin]
-    return mixed(h), begin, end
+    return hashed_runs(data, begin, end, kind), begin, end
 
 
 def _pieces(text: bytes):
@@ -103,15 +108,24 @@ def word_hashes(texts: list[bytes], kind: int = 0) -> list[np.ndarray]:
 
 
 class Rolling:
-    """Hashes of runs of words at any place, from one running sum."""
+    """Hashes of runs of words at any place, made of the hashes of their halves."""
 
     def __init__(self, h: np.ndarray, kind: int = 0):
-        up, self.down = powers(BASES[kind], len(h) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+        self.kind, self.whole = kind, {1: h}
+
+    def _joined(self, size: int) -> np.ndarray:
+        """Of every run of size words; longer runs take the halves of shorter ones again."""
+        if size not in self.whole:
+            front = 1 << (size - 1).bit_length() - 1  # the greatest power of two below size
+            a, b = self._joined(front), self._joined(size - front)
+            f, g, last = FACTORS[self.kind]
+            n = len(self.whole[1]) - size + 1
+            self.whole[size] = mixed(mixed(a[:n] * f + g) ^ (b[front : front + n] * last))
+        return self.whole[size]
 
     def at(self, size: int, places: np.ndarray | None = None) -> np.ndarray:
-        s, n = self.sums, len(self.sums) - size
-        return mixed((s[size:] - s[:n]) * self.down[:n] if places is None else (s[places + size] - s[places]) * self.down[places])
+        h = self._joined(size)
+        return h.copy() if places is None else h[places]
 
 
 def places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
