@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import account_key, blank, text_key
+from .scans import MOST, running
 
 # Fields that a merge fills, in order.
 BANK_FIELDS = ["bank_name", "account_tail", "transaction_time", "posting_date", "merchant", "counterparty", "summary", "balance", "channel", "transaction_reference"]
@@ -115,44 +116,68 @@ def order_key_of(df: DataFrame) -> Column:
     )
 
 
+# The fields by which captures are compared.
+ORDER_SIGNS = ("order_id", "order_time", "merchant", "title", "paid_amount")
+
+
 def order_quality(r: Column, have: list[str]) -> Column:
-    """(complete, confidence, filled of five), to be compared in this order."""
-    filled = sum((F.when(r[f] != "", 1).otherwise(0) for f in ("order_id", "order_time", "merchant", "title", "paid_amount") if f in have), F.lit(0))
+    """(complete, confidence, filled of five) of a capture, to be compared in this order."""
+    filled = sum((F.when(r[f] != "", 1).otherwise(0) for f in ORDER_SIGNS if f in have), F.lit(0))
     return F.struct(F.when(r["is_partial"], 0).otherwise(1).alias("complete"), r["confidence"].alias("confidence"), filled.alias("filled"))
 
 
-def dedupe_orders(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """One row per key: an order-dependent fold over the key's captures by pos.
+def _captures(df: DataFrame, pos: str, most: int) -> tuple[DataFrame, list[str]]:
+    """The captures with their key and _place, their place in the merged record; and the names of the key's columns.
 
-    The better of the merged record so far and the next capture wins (strictly better, by order_quality) and
-    is filled from the other; the merged record keeps the highest confidence, so it may win later against a
-    row that outranks its parts. The fold is per key, and a key's captures meet in one row: those of one order
-    are few, and keys of text are six values that must all agree.
+    Merging a key's captures by pos, one wins over the record so far if it is better: complete before partial, then by
+    confidence, then by how many of ORDER_SIGNS are filled. The record's own standing is that of all its captures so
+    far together, so it runs over earlier rows: whether any was complete, the highest confidence, the fields that any
+    filled. A winner goes before all earlier captures, another one behind them.
+    """
+    signs = [f for f in ORDER_SIGNS if f in df.columns]
+    bits = F.when(F.col("is_partial"), 0).otherwise(1)
+    for k, f in enumerate(signs, 1):
+        bits = bits + F.when(blank(F.col(f)), 0).otherwise(1 << k)
+    have = [f for f in ORDER_FIELDS if f in df.columns]
+    keyed = _keyed(df, order_key_of(df)).withColumns({"_at": _place(df, pos), "_tie": F.xxhash64("is_partial", "confidence", *have), "_own": bits, "_sure": F.col("confidence").cast("double")})
+    group = ["_hash", "dedupe_key", *(["platform"] if "platform" in df.columns else [])]
+    ran = running(keyed, group, ["_at", "_tie"], most, _before=("sum", F.lit(1)), _bits=("or", F.col("_own")), _best=("max", F.col("_sure")))
+    standing = lambda b, sure: F.struct(F.col(b).bitwiseAND(1), F.col(sure), F.bit_count(F.shiftright(b, 1)))
+    won = F.col("_before").isNotNull() & (standing("_own", "_sure") > standing("_bits", "_best"))
+    n = F.coalesce("_before", F.lit(0))
+    return ran.withColumns({"_n": n, "_place": F.when(won, -n).otherwise(n)}), group
+
+
+def dedupe_orders(df: DataFrame, pos: str = "pos", most: int = MOST) -> DataFrame:
+    """One row per key: captures merged by pos, where the better of the record so far and the next capture is filled from the other.
+
+    The order in which captures end up in the record (_captures) is all that a merge depends on: each field has its first
+    non-blank value in that order, and a conflict is more than one value. So the captures of a key are never in one row;
+    they run through one window, or many tasks if there are more than `most`, and are aggregated as they come.
+    Sources are counted; capture_members has them one by one. Null actions and warnings are none. The confidence is
+    the highest, and a record is partial if all its captures are.
     """
     have = [f for f in ORDER_FIELDS if f in df.columns]
-    plain = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in have]
-    warned = F.col("warnings") if "warnings" in df.columns else F.array().cast("array<string>")
-    acted = F.col("actions") if "actions" in df.columns else F.array().cast("array<string>")
-    row = F.struct(
-        F.col(pos).alias("pos"), *plain, F.col("is_partial"), F.col("confidence").cast("double").alias("confidence"),
-        acted.alias("actions"), warned.alias("warnings"), F.array(pos).alias("sources"),
+    rows, group = _captures(df, pos, most)
+    partial, aggs = F.col("is_partial"), []
+    for c in have:
+        filled = F.when(~blank(F.col(c)), F.col(c))
+        aggs += [F.coalesce(F.min_by(c, F.when(filled.isNotNull(), F.col("_place"))), F.lit("")).alias(c), (F.min(filled) != F.max(filled)).alias(f"_differs_{c}")]
+    every = lambda c: F.flatten(F.collect_set(c)) if c in df.columns else F.array().cast("array<string>")
+    merged = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_sources"), F.min_by(pos, "_n").alias("_pos"), *aggs,
+        F.when(F.count_if(~partial) > 0, False).when(F.count_if(partial.isNull()) > 0, F.lit(None)).otherwise(True).alias("is_partial"),
+        F.max("_sure").alias("confidence"), every("actions").alias("actions"), every("warnings").alias("warnings"),
+    )
+    conflicts = F.array_compact(F.array(*[F.when(F.col(f"_differs_{c}"), F.lit(f"conflict_{c}")) for c in have])).cast("array<string>")
+    sorted_ = lambda a: F.array_sort(F.array_distinct(a))
+    return merged.select(
+        *group[1:], F.col("n_sources").cast("int").alias("n_sources"), F.col("_pos").alias("pos"), *have, "is_partial", "confidence",
+        sorted_(F.col("actions")).alias("actions"), sorted_(F.concat("warnings", conflicts)).alias("warnings"),
     )
 
-    def filled(a: Column, p: Column, s: Column) -> Column:
-        fields = [F.when(p[f] != "", p[f]).otherwise(s[f]).alias(f) for f in have]
-        clash = F.array_compact(F.array(*[F.when((p[f] != "") & (s[f] != "") & (p[f] != s[f]), F.lit(f"conflict_{f}")) for f in have]))
-        return F.struct(
-            a["pos"].alias("pos"), *fields, (p["is_partial"] & s["is_partial"]).alias("is_partial"), F.greatest(p["confidence"], s["confidence"]).alias("confidence"),
-            F.array_sort(F.array_distinct(F.concat(p["actions"], s["actions"]))).alias("actions"),
-            F.array_sort(F.array_distinct(F.concat(p["warnings"], s["warnings"], clash))).alias("warnings"),
-            F.concat(p["sources"], s["sources"]).alias("sources"),
-        )
-
-    def merge(a: Column, b: Column) -> Column:
-        # the comparison is made once: its outcome is an array of one pair, and the merged record is made of that
-        pair = F.when(order_quality(b, have) > order_quality(a, have), F.struct(b.alias("p"), a.alias("s"))).otherwise(F.struct(a.alias("p"), b.alias("s")))
-        return F.get(F.transform(F.array(pair), lambda x: filled(a, x["p"], x["s"])), F.lit(0))
 
-    rows = _keyed(df, order_key_of(df)).groupBy("_hash", "dedupe_key", *(["platform"] if "platform" in df.columns else [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), F.get("rows", F.lit(0)), merge)
-    return rows.select(*[c for c in rows.columns if c not in ("rows", "_hash")], F.size("rows").alias("n_sources"), folded.alias("r")).select("dedupe_key", *(["platform"] if "platform" in df.columns else []), "n_sources", "r.*")
+def capture_members(df: DataFrame, pos: str = "pos", most: int = MOST) -> DataFrame:
+    """(dedupe_key, platform if there is one, pos, place): the captures of each merged order; place sorts them as they are in it."""
+    rows, group = _captures(df, pos, most)
+    return rows.select(*group[1:], F.col(pos).alias("pos"), F.col("_place").alias("place"))

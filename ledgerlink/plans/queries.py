@@ -595,9 +595,15 @@ def _(x):
 ORDER_OUT = "dedupe_key, platform, n_sources, pos, source_file, order_id, order_time, merchant, title, paid_amount, is_partial, confidence"
 
 
-@query("dedupe_orders", f"select {ORDER_OUT}, array_to_string(warnings, ',') as warnings, array_to_string(sources, ',') as sources from d_orders")
+@query("dedupe_orders", f"select {ORDER_OUT}, array_to_string(warnings, ',') as warnings from d_orders")
 def _(x):
-    return x.merged_orders.select(*[c("n_sources").cast("long").alias(n) if n == "n_sources" else n for n in ORDER_OUT.split(", ")], joined("warnings"), joined("sources"))
+    return x.merged_orders.select(*[c("n_sources").cast("long").alias(n) if n == "n_sources" else n for n in ORDER_OUT.split(", ")], joined("warnings"))
+
+
+@query("capture_members", "select dedupe_key, platform, unnest(sources) as pos, unnest(range(1, len(sources) + 1)) as place from d_orders")
+def _(x):
+    place = F.row_number().over(Window.partitionBy("dedupe_key", "platform").orderBy("place"))
+    return dedupe.capture_members(x.captures).withColumn("place", place.cast("long"))
 
 
 @query("count_by", "select bank_key, direction, count(*) as n from d_bank group by 1, 2")

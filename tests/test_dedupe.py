@@ -5,7 +5,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from ledgerlink.operators.dedupe import bank_members, dedupe_bank, dedupe_orders
+from ledgerlink.operators.dedupe import bank_members, capture_members, dedupe_bank, dedupe_orders
 from ledgerlink.sources.records import union_sources
 from ledgerlink.plans.fixtures import Fixtures
 
@@ -43,6 +43,34 @@ def test_fold_equals_the_model_in_every_order(spark):
         assert (got[k].title, got[k].merchant, got[k].confidence, got[k].is_partial, set(got[k].warnings)) == (w["title"], w["merchant"], w["confidence"], w["is_partial"], w["warnings"])
 
 
+def test_captures_dealt_over_many_tasks_merge_alike(spark):
+    rng, rows = random.Random(9), []
+    pick = lambda *v: rng.choice(["", "", *v])
+    for pos in rng.sample(range(5000), 600):
+        rows.append((pos, f"o{rng.choice([0, 0, rng.randrange(20)])}", pick("t1", "t2"), pick("m1", "m2", "m3"), pick("a", "b"), pick("5", "6"), rng.random() < 0.6, rng.choice([0.5, 0.7, 0.9, 0.95])))
+    schema = "pos long, platform string, order_id string, order_time string, merchant string, title string, paid_amount string, is_partial boolean, confidence double"
+    df = spark.createDataFrame([(p, "jd", *r) for p, *r in rows], schema).repartition(4)
+    groups = {}
+    for r in sorted(rows):
+        groups.setdefault(r[1], []).append(dict(zip(["order_id", "order_time", "merchant", "title", "paid_amount", "is_partial", "confidence"], r[1:])))
+    want = {k: model(g) for k, g in groups.items()}
+    for most in (1_000_000, 40):
+        got = {r.order_id: r for r in dedupe_orders(df, most=most).collect()}
+        assert {k: (r.title, r.merchant, r.order_time, r.paid_amount, r.confidence, r.is_partial, set(r.warnings), r.n_sources) for k, r in got.items()} == {
+            k: (w["title"], w["merchant"], w["order_time"], w["paid_amount"], w["confidence"], w["is_partial"], w["warnings"], len(groups[k])) for k, w in want.items()
+        }
+        members = capture_members(df, most=most)
+        assert members.count() == len(rows) and members.groupBy("dedupe_key").agg((F.count_distinct("place") == F.count("place")).alias("x")).filter("not x").count() == 0
+    plan = dedupe_orders(df)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_key_of_very_many_captures_runs(spark):
+    df = spark.range(300_000).selectExpr("id as pos", "'jd' as platform", "'same' as order_id", "concat('t', id % 1000) as title", "id % 3 = 0 as is_partial", "(id % 97) / 100.0D as confidence")
+    r = dedupe_orders(df, most=20_000).first()
+    assert (r.n_sources, r.pos, r.title, r.is_partial, r.confidence, r.warnings) == (300_000, 0, "t95", False, 0.96, ["conflict_title"])
+
+
 def test_a_merged_record_competes_with_its_best_confidence(spark):
     rows = [(1, "jd", "o", "first", False, 0.80), (2, "jd", "o", "second", True, 0.95), (3, "jd", "o", "third", False, 0.90)]
     df = spark.createDataFrame(rows, "pos long, platform string, order_id string, title string, is_partial boolean, confidence double")
