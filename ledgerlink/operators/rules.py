@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from .category_rules import CATEGORY_RULES, DEFAULTS, Rule
 
 #: What a rule gives.
 RULE_COLUMNS = Rule._fields[3:]
+#: Keywords up to this number are tried one after another.
+CHAINED = 400
+#: Patterns up to this number are broadcast to the paths that they are tried on.
+BROADCAST_PATTERNS = 10_000
 
 
 def numbered(rules: list[Rule]) -> list[dict]:
@@ -35,14 +41,59 @@ def classify_by_case(df: DataFrame, rules: list[dict], text: Column, direction:
     return out
 
 
+def _plain(keyword: str) -> str:
+    return "".join(keyword.split()).lower()
+
+
+def _bucket_entries(table: Column, buckets: int, size: int) -> Column:
+    """The entries of the buckets of all runs of size characters of _t; null for a shorter text."""
+    places = F.when(F.length("_t") >= size, F.sequence(F.lit(1), F.length("_t") - (size - 1)))
+    grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_t"), i, F.lit(size))))
+    return F.flatten(F.transform(grams, lambda g: F.get(table, (F.crc32(g.cast("binary")) % buckets).cast("int"))))
+
+
+def classify_by_index(df: DataFrame, rules: list[dict], text: Column, direction: Column, value, name: str = "_rule") -> DataFrame:
+    """df with the first matching rule's value by one scan of the text, whatever the number of rules.
+
+    The two characters at each place of the text are looked up in a table of buckets (a constant array, at the place that
+    their checksum gives), which holds the keywords that begin with them. Only those are searched for. The result is
+    that of classify_by_case.
+    """
+    ordered = sorted(rules, key=lambda r: (r["priority"], r["pos"]))
+    words = [(n, _plain(k), r["direction"] or None) for n, r in enumerate(ordered) for k in r["keywords"]]
+    always = [(n, "", r["direction"] or None) for n, r in enumerate(ordered) if not r["keywords"]] + [w for w in words if not w[1]]
+    kind = "array<struct<n: int, w: string, d: string>>"
+    listed = lambda entries: F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w"), F.lit(d).cast("string").alias("d")) for n, w, d in entries]).cast(kind)
+    found = [listed(always)]
+    for size in (1, 2):
+        own = [x for x in words if x[1] and min(len(x[1]), 2) == size]
+        if not own:
+            continue
+        buckets: list[list] = [[] for _ in own]
+        for x in own:
+            buckets[zlib.crc32(x[1][:size].encode()) % len(own)].append(x)
+        hits = F.coalesce(_bucket_entries(F.array(*map(listed, buckets)), len(own), size), F.array().cast(kind))
+        found.append(F.filter(hits, lambda e: F.contains(F.col("_t"), e["w"])))
+    fits = F.filter(F.concat(*found), lambda e: F.coalesce(e["d"] == F.col("_dir"), e["d"].isNull()))
+    best = F.array_min(F.transform(fits, lambda e: e["n"]))
+    return df.withColumns({"_t": text, "_dir": direction}).withColumn("_best", best).withColumn(name, F.get(F.array(*map(value, ordered)), F.col("_best"))).drop("_t", "_dir", "_best")
+
+
 def classify(df: DataFrame, rules: list[Rule] = CATEGORY_RULES, defaults: list[Rule] = DEFAULTS) -> DataFrame:
-    """df with the classification columns of the first rule, by priority and place, that its text and direction hit."""
+    """df with the classification columns of the first rule, by priority and place, that its text and direction hit.
+
+    Few keywords are a chain of conditions inside whole-stage code; more are looked up in an index.
+    """
     every = numbered([*rules, *defaults])
 
     def value(r: dict) -> Column:
         return F.struct(*[(F.array(*[F.lit(t) for t in r[c]]).cast("array<string>") if c == "tags" else F.lit(r[c])).alias("classification_confidence" if c == "confidence" else c) for c in RULE_COLUMNS])
 
-    return df.withColumn("_rule", classify_by_case(df, every, rule_text(df), F.col("direction"), value)).select("*", "_rule.*").drop("_rule")
+    if sum(len(r["keywords"]) for r in every) > CHAINED:
+        ruled = classify_by_index(df, every, rule_text(df), F.col("direction"), value)
+    else:
+        ruled = df.withColumn("_rule", classify_by_case(df, every, rule_text(df), F.col("direction"), value))
+    return ruled.select("*", "_rule.*").drop("_rule")
 
 
 def classify_by_join(df: DataFrame, rules: DataFrame, key: str, text: Column, direction: Column, value: str = "category") -> DataFrame:
@@ -75,26 +126,30 @@ def match_source_rules(messages: DataFrame, rules: list[dict], subject_words: li
 def resolve_by_precedence(files: DataFrame, lookup: DataFrame, path: str = "path", bank: str = "bank_key") -> DataFrame:
     """files with source and candidate_count of the first lookup that applies: filename, pattern, bank, type, default.
 
-    lookup (kind, key, candidate_count, pos) is a small configuration table and is broadcast; each kind is an
-    equi join but for patterns.
+    lookup has (kind, key, candidate_count, pos). Each kind is a join on its own key, of which the lookup has one row (the
+    first by pos), so that files never multiply and rows that repeat stay apart. Only patterns are tried on texts:
+    on the distinct paths that no filename has resolved. Patterns are counted before they are broadcast.
     """
+    label = F.when(F.col("kind").isin("filename", "default"), F.col("kind")).otherwise(F.concat_ws(":", "kind", "key"))
+    row = F.struct(label.alias("source"), F.col("candidate_count"))
+
+    def of(kind: str, key: Column) -> DataFrame:
+        return lookup.filter(F.col("kind") == kind).groupBy(key.alias(f"_{kind}")).agg(F.min_by(row, "pos").alias(f"_by_{kind}"))
+
     name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    kind = F.col("kind")
-    k = lookup.select(kind.alias("_kind"), F.lower("key").alias("_key"), F.col("key").alias("_name"), F.col("candidate_count").alias("_n"), F.col("pos").alias("_pos"))
     suffix = F.regexp_extract(name, r"\.([^.]*)$", 1)
-    full = F.lower(F.col(path))
-    hit = (
-        ((F.col("_kind") == "filename") & (F.col("_key") == name))
-        | ((F.col("_kind") == "pattern") & (F.col("_key") != "") & full.contains(F.col("_key")))
-        | ((F.col("_kind") == "bank") & (F.col("_name") == F.col(bank)))
-        | ((F.col("_kind") == "type") & (suffix != "") & F.col("_key").isin(suffix, F.concat(F.lit("."), suffix)))
-        | (F.col("_kind") == "default")
-    )
-    rank = F.array_position(F.array(*[F.lit(x) for x in ("filename", "pattern", "bank", "type", "default")]), F.col("_kind"))
-    label = F.when(F.col("_kind").isin("filename", "default"), F.col("_kind")).otherwise(F.concat_ws(":", "_kind", "_name"))
-    rows = files.join(F.broadcast(k), hit, "left")
-    best = F.min_by(F.struct(label.alias("source"), F.col("_n").alias("candidate_count")), F.when(F.col("_kind").isNotNull(), F.struct(rank, "_pos")))
-    return rows.groupBy(*files.columns).agg(best.alias("_b")).select(*files.columns, F.coalesce("_b.source", F.lit("")).alias("source"), F.coalesce("_b.candidate_count", F.lit(0)).alias("candidate_count"))
+    paths = files.select(F.col(path).alias("_path")).distinct().withColumn("_filename", F.lower(F.regexp_extract("_path", r"([^/]*)$", 1)))
+    by_name = paths.join(of("filename", F.lower("key")), "_filename", "left")
+    patterns = lookup.filter("kind = 'pattern' and key <> ''").select(F.lower("key").alias("_pattern"), row.alias("_row"), F.col("pos").alias("_pos"))
+    few = patterns.count() <= BROADCAST_PATTERNS
+    tried = by_name.filter("_by_filename is null").select("_path").join(F.broadcast(patterns) if few else patterns, F.contains(F.lower("_path"), F.col("_pattern")))
+    by_pattern = tried.groupBy("_path").agg(F.min_by("_row", "_pos").alias("_by_pattern"))
+    resolved = by_name.join(by_pattern, "_path", "left").select("_path", F.coalesce("_by_filename", "_by_pattern").alias("_by_path"))
+    out = files.withColumns({"_bank": F.col(bank), "_type": F.when(suffix != "", suffix)})
+    out = out.join(resolved, out[path] == resolved["_path"], "left").join(of("bank", F.col("key")), "_bank", "left").join(of("type", F.regexp_replace(F.lower("key"), r"^\.", "")), "_type", "left")
+    default = lookup.filter("kind = 'default'").agg(F.min_by(row, "pos").alias("_by_default"))
+    best = F.coalesce("_by_path", "_by_bank", "_by_type", "_by_default")
+    return out.join(F.broadcast(default)).select(*[files[c] for c in files.columns], F.coalesce(best["source"], F.lit("")).alias("source"), F.coalesce(best["candidate_count"], F.lit(0)).alias("candidate_count"))  # one row
 
 
 def rule_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -563,7 +563,7 @@ def _(x):
 @query("resolve_by_precedence", """
 select path, bank_key, case when contains(lower(path), '/fr/') then 'pattern:/fr/' when bank_key = 'bank1' then 'bank:bank1' when suffix = 'csv' then 'type:csv' when suffix = 'pdf' then 'type:pdf' else 'default' end as source,
        case when contains(lower(path), '/fr/') then 2 when bank_key = 'bank1' then 1 when suffix = 'csv' then 3 else 1 end as candidate_count
-from (select distinct path, 'bank' || (pos % 3) as bank_key, lower(regexp_extract(path, '\\.([^.]*)$', 1)) as suffix from (select pos, unnest(output_files) as path from fx_manifest))""")
+from (select path, 'bank' || (pos % 3) as bank_key, lower(regexp_extract(path, '\\.([^.]*)$', 1)) as suffix from (select pos, unnest(output_files) as path from fx_manifest))""")
 def _(x):
     files = x.manifest().select((F.concat(F.lit("bank"), c("pos") % 3)).alias("bank_key"), F.explode("output_files").alias("path")).select("path", "bank_key")
     table = [("pattern", "/fr/", 2, 0), ("bank", "bank1", 1, 1), ("type", "csv", 3, 2), ("type", "pdf", 1, 3), ("default", "", 1, 4)]
