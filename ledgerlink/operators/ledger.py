@@ -116,7 +116,18 @@ def apply_overrides(entries: DataFrame, overrides: DataFrame, key: str, fields:
     return joined.select(*kept, applied.alias("override_applied"), F.when(applied, source).otherwise("").alias("override_source"))
 
 
+#: The cuts of the period reports, each with its subtotals.
+_REPORTS = (
+    ("year_month", "category_lv1", "category_lv2", "category_lv3"), ("year_month", "category_lv1", "category_lv2"), ("year_month", "category_lv1"), ("year_month",),
+    ("date",), ("year_month", "target_person"), ("target_person",), (),
+)
+
+
 def period_reports(entries: DataFrame) -> DataFrame:
-    """Amount and number of expenses by month and category path, with subtotals; transfers are no consumption."""
-    spent = entries.filter("include_in_expense_stats")
-    return spent.rollup("year_month", "category_lv1", "category_lv2", "category_lv3").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
+    """Amount and number of expenses by month and category path, by day, by person, and in all; transfers are no consumption.
+
+    One pass gives all of them: grouping sets, told apart by grouping_id, so that a total is no null category.
+    """
+    axes = ["year_month", "date", "category_lv1", "category_lv2", "category_lv3", "target_person"]
+    sets = [[F.col(c) for c in cut] for cut in _REPORTS]
+    return entries.filter("include_in_expense_stats").groupingSets(sets, *axes).agg(F.grouping_id().alias("grouping_id"), F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import account_key
+
 REVIEWED = 50
 # Warnings that put an order on the review list.
 ORDER_REVIEW_WARNINGS = ("missing_paid_amount", "missing_order_time", "missing_title", "partial_order", "low_confidence")
@@ -62,21 +64,22 @@ def ledger_review(entries: DataFrame, pos: str = "pos", most: int = 80) -> DataF
     return entries.filter("review_required").orderBy(pos).limit(most)
 
 
-def metrics(df: DataFrame, counts: dict[str, Column], sums: dict[str, tuple[Column, Column]] | None = None, missing: list[str] | None = None) -> DataFrame:
+def metrics(df: DataFrame, counts: dict[str, Column], sums: dict[str, tuple[Column, Column]] | None = None, missing: list[str] | None = None, only: dict[str, Column] | None = None) -> DataFrame:
     """(section, key, value) in one pass over df: each row adds one to its key of every section of counts.
 
-    sums has keys and what to add; the sections rows and missing, if any columns are named, count all rows and
+    Rows where a section's condition in only does not hold are not counted there. sums has keys and what to add; the sections rows and missing, if any columns are named, count all rows and
     those without a value, and have their keys even if df is empty. A null key is the empty text.
     """
     one = F.lit(1).cast("decimal(38,2)")
     entry = lambda section, key, value: F.struct(F.lit(section).alias("section"), F.coalesce(key.cast("string"), F.lit("")).alias("key"), value.cast("decimal(38,2)").alias("value"))
-    parts = [entry(section, key, one) for section, key in counts.items()] + [entry(section, key, value) for section, (key, value) in (sums or {}).items()]
+    parts = [F.when(only[section], entry(section, key, one)) if section in (only or {}) else entry(section, key, one) for section, key in counts.items()]
+    parts += [entry(section, key, value) for section, (key, value) in (sums or {}).items()]
     fixed: list[tuple[str, str]] = []
     if missing is not None:
         fixed = [("rows", "rows"), *[("missing", f"missing_{c}") for c in missing]]
         parts.append(entry("rows", F.lit("rows"), one))
         parts += [entry("missing", F.lit(f"missing_{c}"), F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", 1).otherwise(0)) for c in missing]
-    rows = df.select(F.inline(F.array(*parts)))
+    rows = df.select(F.inline(F.array_compact(F.array(*parts)) if only else F.array(*parts)))
     if fixed:
         zero = F.array(*[entry(section, F.lit(key), F.lit(0)) for section, key in fixed])
         rows = rows.unionByName(df.sparkSession.range(1).select(F.inline(zero)))
@@ -84,8 +87,14 @@ def metrics(df: DataFrame, counts: dict[str, Column], sums: dict[str, tuple[Colu
 
 
 def bank_quality(bank: DataFrame) -> DataFrame:
-    counts = {"bank": F.col("bank_key"), "direction": F.col("direction"), "sources": F.col("n_sources")}
-    return metrics(bank, counts, missing=["transaction_time", "amount", "account_tail", "counterparty", "transaction_reference"])
+    """Rows before and after merging, merged rows, conflicts, missing values, and counts by bank, account, direction and number of sources."""
+    counts = {"bank": F.col("bank_key"), "account": account_key(F.col("bank_key"), F.col("account_tail")), "direction": F.col("direction"), "sources": F.col("n_sources")}
+    one = lambda holds: F.when(holds, 1).otherwise(0)
+    sums = {
+        "before": (F.lit("rows"), F.col("n_sources")), "merged": (F.lit("rows"), F.col("n_sources") - 1), "unknown": (F.lit("direction"), one(F.col("direction") == "unknown")),
+        "conflicts": (F.lit("rows"), one(F.exists("warnings", lambda w: w.startswith("conflict_")))),
+    }
+    return metrics(bank, counts, sums, missing=["transaction_time", "amount", "account_tail", "counterparty", "transaction_reference"])
 
 
 def order_quality_report(orders: DataFrame) -> DataFrame:
@@ -95,8 +104,15 @@ def order_quality_report(orders: DataFrame) -> DataFrame:
 
 
 def fact_quality(facts: DataFrame, links: DataFrame) -> DataFrame:
-    counts = {"fact_type": F.col("fact_type"), "business_type": F.col("business_type"), "platform": F.col("platform"), "channel": F.col("payment_channel")}
-    return metrics(facts, counts).unionByName(metrics(links, {"strength": F.col("match_strength")}))
+    """Facts by type, business type, source, platform and channel, orders by link status (facts as link.link_status gives them), links by strength."""
+    counts = {n: F.col(c) for n, c in (("fact_type", "fact_type"), ("business_type", "business_type"), ("source", "source_type"), ("platform", "platform"), ("channel", "payment_channel"), ("order_status", "link_status"))}
+    of_facts = metrics(facts, counts, only={"order_status": F.col("fact_type") == "order_purchase"}, missing=[])
+    return of_facts.unionByName(metrics(links, {"strength": F.col("match_strength"), "links": F.lit("links")}))
+
+
+def candidate_review(links: DataFrame, most: int = REVIEWED) -> DataFrame:
+    """The first links that a person should confirm, in link order."""
+    return links.filter("match_strength = 'candidate'").orderBy("order_pos", "rank").limit(most)
 
 
 def ledger_quality(entries: DataFrame) -> DataFrame:

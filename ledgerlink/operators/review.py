@@ -45,10 +45,13 @@ def ledger_review_by_month(entries: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.count_if("review_required").alias("to_review"))
 
 
-def layer_summary(**layers: DataFrame) -> DataFrame:
-    """(layer, n) of each layer."""
+def layer_summary(layers: dict[str, dict[str, DataFrame]], by: str = "source_type") -> DataFrame:
+    """(source, layer, n): the rows of each layer of each source; layers that have the column `by` are split by it."""
     out = None
-    for name, df in layers.items():
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "n")
-        out = row if out is None else out.unionByName(row)
+    for source, frames in layers.items():
+        for layer, df in frames.items():
+            own = F.col(by) if by in df.columns else F.lit(source)
+            split = df.groupBy(own.alias("source")) if by in df.columns else df.groupBy()
+            rows = split.agg(F.count(F.lit(1)).alias("n")).select("source" if by in df.columns else own.alias("source"), F.lit(layer).alias("layer"), "n")
+            out = rows if out is None else out.unionByName(rows)
     return out

@@ -142,16 +142,25 @@ from (select l_orderkey % 200 as f, row_number() over (partition by l_orderkey %
       from (select *, cast(substr(source_file, 5) as bigint) as l_orderkey from fx_order_captures))"""
 
 
-@query("scan_order_tree", f"select source_image, platform, order_index, order_id, paid_amount, warnings from ({ORDER_TREE}) where not bad")
-def _(x):
+def _order_tree(x: Layers) -> DataFrame:
+    """The order tree over files that are written from the fixture's captures."""
     path = scratch_path(x.spark, "orders")
     rows = x.order_captures().withColumn("f", F.substring("source_file", 5, 9).cast("long") % 200)
     one = F.when(c("pos") % 13 == 0, F.lit('"none"')).otherwise(F.to_json(F.struct("order_id", "paid_amount")))
     files = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("o")))).alias("o"))  # a file is one array
     body = F.concat(F.lit('{"source_image": "file'), c("f").cast("string"), F.lit('", "platform": "jd", "orders": ['), F.array_join(F.transform("o", lambda y: y["o"]), ","), F.lit("]}"))
     files.select((c("f") % 3).alias("folder"), body.alias("value")).write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
-    tree = records.read_order_tree(x.spark, path, "*.txt")
-    return tree.filter("not failed").select("source_image", "platform", c("order_index").cast("long").alias("order_index"), "order_id", "paid_amount", joined("warnings"))
+    return records.read_order_tree(x.spark, path, "*.txt")
+
+
+@query("scan_order_tree", f"select source_image, platform, order_index, order_id, paid_amount, warnings from ({ORDER_TREE}) where not bad")
+def _(x):
+    return _order_tree(x).filter("not failed").select("source_image", "platform", c("order_index").cast("long").alias("order_index"), "order_id", "paid_amount", joined("warnings"))
+
+
+@query("order_ingest_stats", f"select platform, 0 as failed, count(*) as records, sum(case when warnings = '' then 0 else len(string_split(warnings, ',')) end) as warnings from ({ORDER_TREE}) where not bad group by platform", doubles="warnings")
+def _(x):
+    return quality.order_ingest_stats(_order_tree(x))
 
 
 MAIL_RULES = [{"bank_key": "one", "sender_contains": ["src1@"], "subject_contains": ["fr"], "body_contains": ["chq"]}, {"bank_key": "two", "sender_contains": [], "subject_contains": ["en"], "body_contains": ["theth"]}]
@@ -789,6 +798,9 @@ def _metric(section: str, key: str, value: str, rest: str) -> str:
 @query("bank_quality", " union all ".join([
     _metric("rows", "'rows'", "count(*)", "from d_bank"), _metric("bank", "bank_key", "count(*)", "from d_bank group by bank_key"), _metric("direction", "direction", "count(*)", "from d_bank group by direction"),
     _metric("sources", "n_sources", "count(*)", "from d_bank group by n_sources"),
+    _metric("account", "case when account_tail = '' then bank_key || ':unknown' else bank_key || ':' || account_tail end", "count(*)", "from d_bank group by bank_key, account_tail"),
+    _metric("before", "'rows'", "sum(n_sources)", "from d_bank"), _metric("merged", "'rows'", "sum(n_sources - 1)", "from d_bank"), _metric("unknown", "'direction'", "count(*) filter (direction = 'unknown')", "from d_bank"),
+    _metric("conflicts", "'rows'", "count(*) filter (contains(warnings, 'conflict_'))", "from d_bank"),
     *[_metric("missing", f"'missing_{f}'", f"count(*) filter ({f} = '')", "from d_bank") for f in ("transaction_time", "amount", "account_tail", "counterparty", "transaction_reference")],
 ]), doubles="value")
 def _(x):
@@ -802,10 +814,21 @@ def _(x):
     return quality.order_quality_report(x.merged_orders)
 
 
-@query("fact_quality", " union all ".join([_metric(s, k, "count(*)", f"from {t} group by {k}") for s, k, t in (
-    ("fact_type", "fact_type", "f_all"), ("business_type", "business_type", "f_all"), ("platform", "platform", "f_all"), ("channel", "payment_channel", "f_all"), ("strength", "match_strength", "d_links"))]), doubles="value")
+STATUS = """select f.*, case when f.source_type = 'platform_order' then case when best >= 85 then 'linked' when best > 0 then 'candidate' else 'unmatched' end else case when best >= 85 then 'linked' else 'unlinked' end end as link_status
+from f_all f left join (select id, max(score) as best from (select order_id as id, score from d_links union all select payment_id, score from d_links) group by id) l on f.fact_id = l.id"""
+
+
+@query("fact_quality", f"with s as ({STATUS}) " + " union all ".join([
+    *[_metric(n, k, "count(*)", f"from s group by {k}") for n, k in (("fact_type", "fact_type"), ("business_type", "business_type"), ("source", "source_type"), ("platform", "platform"), ("channel", "payment_channel"))],
+    _metric("rows", "'rows'", "count(*)", "from s"), _metric("order_status", "link_status", "count(*)", "from s where fact_type = 'order_purchase' group by link_status"),
+    _metric("strength", "match_strength", "count(*)", "from d_links group by match_strength"), _metric("links", "'links'", "count(*)", "from d_links")]), doubles="value")
+def _(x):
+    return quality.fact_quality(link.link_status(x.all_facts, x.links), x.links)
+
+
+@query("candidate_review", f"select {LINKS} from d_links where match_strength = 'candidate' order by order_pos, rank limit 50")
 def _(x):
-    return quality.fact_quality(x.all_facts, x.links)
+    return quality.candidate_review(x.links).select(*[joined(n) if n == "evidence" else c(n) for n in LINKS.split(", ")])
 
 
 @query("ledger_quality", " union all ".join([
@@ -815,13 +838,11 @@ def _(x):
     return quality.ledger_quality(x.entries)
 
 
-@query("layer_summary", "select 'raw' as layer, count(*) as n from fx_statement_rows union all select 'deduped', count(*) from d_bank union all select 'facts', count(*) from f_all union all select 'links', count(*) from d_links")
+@query("layer_summary", """
+select 'bank' as source, 'raw' as layer, count(*) as n from fx_statement_rows union all select 'bank', 'deduped', count(*) from d_bank union all select 'orders', 'raw', count(*) from fx_order_captures
+union all select 'orders', 'deduped', count(*) from d_orders union all select source_type, 'facts', count(*) from f_all group by source_type union all select 'financial', 'links', count(*) from d_links""")
 def _(x):
-    return review.layer_summary(raw=x.statement_rows(), deduped=x.bank, facts=x.all_facts, links=x.links)
-
-
-STATUS = """select f.*, case when f.source_type = 'platform_order' then case when best >= 85 then 'linked' when best > 0 then 'candidate' else 'unmatched' end else case when best >= 85 then 'linked' else 'unlinked' end end as link_status
-from f_all f left join (select id, max(score) as best from (select order_id as id, score from d_links union all select payment_id, score from d_links) group by id) l on f.fact_id = l.id"""
+    return review.layer_summary({"bank": {"raw": x.statement_rows(), "deduped": x.bank}, "orders": {"raw": x.captures, "deduped": x.merged_orders}, "financial": {"facts": x.all_facts, "links": x.links}})
 
 
 @query("match_review_tables", f"""
@@ -855,10 +876,19 @@ def _(x):
 
 
 @query("period_reports", """
-select strftime(date, '%Y-%m') as year_month, category_lv1, category_lv2, category_lv3, sum(abs(amount)) as amount, count(*) as n from d_ledger where transaction_type = '支出'
-group by rollup (year_month, category_lv1, category_lv2, category_lv3)""", doubles="amount")
+select year_month, cast(date as varchar) as date, category_lv1, category_lv2, category_lv3, target_person, grouping_id(year_month, date, category_lv1, category_lv2, category_lv3, target_person) as grouping_id,
+       sum(amount) as amount, count(*) as n
+from (select strftime(date, '%Y-%m') as year_month, date, category_lv1, category_lv2, category_lv3, target_person, abs(amount) as amount from d_ledger where transaction_type = '支出')
+group by grouping sets ((year_month, category_lv1, category_lv2, category_lv3), (year_month, category_lv1, category_lv2), (year_month, category_lv1), (year_month), (date), (year_month, target_person), (target_person), ())""", doubles="amount")
+def _(x):
+    return ledger.period_reports(x.entries).withColumn("date", c("date").cast("string"))
+
+
+@query("ledger_ids", """
+select fact_id, 'ledger_' || substr(sha256('{"amount": "' || cast(abs(amount) as varchar) || '", "date": "' || strftime(date, '%Y-%m-%d') || '", "source_financial_transaction_id": "' || fact_id || '", "transaction_type": "' || transaction_type || '"}'), 1, 20) as id
+from d_ledger where date is not null""")
 def _(x):
-    return ledger.period_reports(x.entries)
+    return x.entries.filter("date is not null").select(c("source_fact_id").alias("fact_id"), c("ledger_entry_id").alias("id"))
 
 
 def monthly_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
