@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|</[^A-Za-z>][^>]*>|</>", re.S)
+START = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*|</", re.S)
+SIGN = re.compile("[>\"']")
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 
@@ -84,23 +85,68 @@ class Stack(list):
         del self[at:]
 
 
+class Tags:
+    """Finds markup in time linear in the page: where a tag's attributes lead from a sign is found once for each sign."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, {c: source.rfind(c) for c in ">\"'"}
+        self.ends: dict[int, int] = {}
+        self.clear = (0, -1)  # from here there is no sign before there
+
+    def next(self, at: int) -> tuple[int, int] | None:
+        """Begin and end of the next comment, declaration or tag; a tag that never ends is text."""
+        while m := START.search(self.source, at):
+            token = m.group()
+            if token[1] in "!?":
+                return m.span()
+            if m.start() < self.last[">"]:
+                end = self.source.find(">", m.end()) + 1 if token == "</" else self._end(m.end())
+                if end > 0:
+                    return m.start(), end
+            at = m.start() + 1
+        return None
+
+    def _sign(self, at: int) -> int:
+        if not self.clear[0] <= at <= self.clear[1]:
+            m = SIGN.search(self.source, at)
+            self.clear = at, m.start() if m else len(self.source)
+        return self.clear[1]
+
+    def _end(self, at: int) -> int:
+        passed, end = [], -1
+        while (k := self._sign(at)) < len(self.source):
+            if k in self.ends:
+                end = self.ends[k]
+                break
+            passed.append(k)
+            sign = self.source[k]
+            if sign == ">":
+                end = k + 1
+                break
+            if k >= self.last[sign]:
+                break
+            at = self.source.find(sign, k + 1) + 1
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+
 def parse(source: str) -> Node:
     """A tree of Nodes and strings, of any depth."""
     root = Node("#root")
     stack = Stack(root)
-    at, end = 0, len(source)
+    at, end, tags = 0, len(source), Tags(source)
 
     def text(piece: str) -> None:
         if piece:
             stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
     while at < end:
-        m = TOKEN.search(source, at)
-        if m is None:
+        span = tags.next(at)
+        if span is None:
             text(source[at:])
             break
-        text(source[at : m.start()])
-        at, token = m.end(), m.group()
+        text(source[at : span[0]])
+        at, token = span[1], source[span[0] : span[1]]
         if token.startswith("<![CDATA["):
             text(token[9:].removesuffix("]]>"))
             continue
@@ -169,10 +215,22 @@ def _close(stack: Stack, tag: str) -> None:
         stack[-1].children.append(Node("p"))
 
 
-STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARATION = re.compile(r"(?:[^;\"']|\"[^\"]*\"?|'[^']*'?)+")
+
+
+def style(node: Node) -> dict[str, str]:
+    """The declarations of a style attribute, names and values in lower case; quoted text in values is none of them."""
+    out: dict[str, str] = {}
+    if "style" in node.attrs.lower():
+        for m in DECLARATION.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", " ", attributes(node.attrs).get("style", ""), flags=re.S)):
+            name, colon, value = m.group().partition(":")
+            if colon:
+                out[name.strip().lower()] = value.partition("!")[0].strip().lower()
+    return out
 
 
 def visible(node: Node) -> bool:
+    """Whether a node takes part in the layout at all; visibility alone is told by shown."""
     if node.tag in HIDDEN:
         return False
     raw = node.attrs
@@ -181,20 +239,59 @@ def visible(node: Node) -> bool:
     a = attributes(raw)
     if "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
-    return not STYLE.search(a.get("style", ""))
+    return style(node).get("display") != "none" and (node.tag != "dialog" or "open" in a)
+
+
+def shown(node: Node, around: bool) -> bool:
+    """Whether a node's own text shows: as around it, unless its style says otherwise."""
+    own = style(node).get("visibility") if node.attrs else None
+    return own == "visible" if own in ("visible", "hidden", "collapse") else around
 
 
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Lines inside lists are indented by so many characters at most: deeper levels show by their markers alone.
+MOST_INDENT = 64
+
+
 class Writer:
-    """Lines of text; blank lines and spaces are due rather than written, so that they collapse."""
+    """Lines of text; blank lines and spaces are due rather than written, so that they collapse.
+
+    Items of lists are levels: the first line of an item has its marker, and those of the items around it that have no
+    line yet; other lines are indented. Inside items there are no blank lines.
+    """
 
     def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False
         self.gap = False
+        self.widths: list[int] = []  # of the open items' markers; the last len(due) of them are not written yet
+        self.due: list[str] = []
+        self.indent = 0  # of those that are
+        self.outer_gap = False
+
+    def open_item(self, marker: str) -> None:
+        self.block(False)
+        if not self.widths:
+            self.outer_gap = self.gap
+        self.widths.append(len(marker))
+        self.due.append(marker)
+
+    def close_item(self) -> None:
+        self.block(False)
+        if self.due:
+            self.item_line("")
+        self.indent -= self.widths.pop()
+        self.gap = False
+
+    def item_line(self, line: str) -> None:
+        if len(self.due) == len(self.widths) and self.outer_gap and self.lines:
+            self.lines.append("")
+        self.lines.append((" " * min(self.indent, MOST_INDENT) + "".join(self.due) + line).rstrip())
+        self.indent += sum(map(len, self.due))
+        self.due = []
 
     def inline(self, text: str) -> None:
         if not text:
@@ -223,7 +320,10 @@ class Writer:
     def newline(self, keep: bool = False) -> None:
         line = "".join(self.now)
         self.now, self.space = [], False
-        if line.strip() or keep:
+        if self.widths:
+            if line.strip():
+                self.item_line(line)
+        elif line.strip() or keep:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
@@ -256,19 +356,23 @@ def run(walk) -> None:
             stack.append(part)
 
 
-def render(node: Node, out: Writer, pre: bool = False):
-    """Write the children of a node; yields the walks of parts, for run."""
+def render(node: Node, out: Writer, pre: bool = False, around: bool = True):
+    """Write the children of a node; yields the walks of parts, for run. Around: whether text shows here."""
     ordered = 0
     if node.tag == "ol":
         start = attributes(node.attrs).get("start", "1")
         ordered = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str):
-            (out.verbatim if pre else out.inline)(child)
+            if around:
+                (out.verbatim if pre else out.inline)(child)
             continue
         tag = child.tag
         if not visible(child):
             continue
+        seen = shown(child, around)
+        if not seen and tag in ("br", "img", "input", "hr"):
+            continue
         if tag == "br":
             out.newline(keep=True)
         elif tag == "img":
@@ -282,7 +386,7 @@ def render(node: Node, out: Writer, pre: bool = False):
         elif tag == "table":
             out.block(True)
             lines: list[str] = []
-            yield table_lines(child, lines)
+            yield table_lines(child, lines, seen)
             for line in lines:
                 out.now.append(line)
                 out.newline(keep=True)
@@ -291,23 +395,24 @@ def render(node: Node, out: Writer, pre: bool = False):
             out.block(False)
             marker = f"{ordered}. " if node.tag == "ol" else "- "
             ordered += 1
-            inner = Writer()
-            yield render(child, inner, pre)
-            lines = inner.text().split("\n")
-            for i, line in enumerate(lines):
-                out.now.append((marker if i == 0 else " " * len(marker)) + line if line or i == 0 else "")
-                out.newline(keep=bool(line) or i == 0)
+            if seen:
+                out.open_item(marker)
+                yield render(child, out, pre, seen)
+                out.close_item()
+            else:
+                yield render(child, out, pre, seen)
+                out.block(False)
         elif tag in BLOCK:
             spaced = tag in SPACED and not (tag in ("ul", "ol") and node.tag in ("li", "ul", "ol"))
             out.block(spaced)
-            yield render(child, out, pre or tag in ("pre", "listing"))
+            yield render(child, out, pre or tag in ("pre", "listing"), seen)
             out.block(spaced)
         elif tag in ("td", "th"):
             out.inline(" ")
-            yield render(child, out, pre)
+            yield render(child, out, pre, seen)
             out.inline(" ")
         else:
-            yield render(child, out, pre or tag == "textarea")
+            yield render(child, out, pre or tag == "textarea", seen)
 
 
 def table_rows(node: Node) -> list[tuple[Node | str, bool]]:
@@ -339,7 +444,7 @@ def _span(cell: Node, name: str, most: int) -> int:
     return max(1, min(int(n), most)) if n.isascii() and n.isdigit() else 1
 
 
-def table_lines(node: Node, lines: list[str]):
+def table_lines(node: Node, lines: list[str], around: bool = True):
     """Add the lines of a table: cells as columns of equal width, two spaces apart.
 
     A cell of several lines takes several lines. A cell that spans columns stands in its first one, one that
@@ -349,11 +454,12 @@ def table_lines(node: Node, lines: list[str]):
     busy: dict[int, int] = {}  # columns that cells of rows before reach into, and for how many rows yet
     for part, is_row in table_rows(node):
         if isinstance(part, str):
-            rows.append(([part], {}))
+            if around:
+                rows.append(([SPACE.sub(" ", part)], {}))
             continue
         if not is_row:
             inner = Writer()
-            yield render(_wrap(part), inner)
+            yield render(_wrap(part), inner, False, around)
             if text := inner.text():
                 rows.append((text.split("\n"), {}))
             continue
@@ -361,7 +467,7 @@ def table_lines(node: Node, lines: list[str]):
         at, taken = 0, {c: n - 1 for c, n in busy.items() if n > 1}
         for cell in part.children:
             if isinstance(cell, str):
-                if cell.strip():
+                if cell.strip() and shown(part, around):
                     while at in busy:
                         at += 1
                     cells[at] = [SPACE.sub(" ", cell).strip()]
@@ -370,7 +476,8 @@ def table_lines(node: Node, lines: list[str]):
             if not visible(cell):
                 continue
             inner = Writer()
-            yield render(cell if cell.tag in ("td", "th") else _wrap(cell), inner)
+            here = shown(part, around)
+            yield render(cell if cell.tag in ("td", "th") else _wrap(cell), inner, False, shown(cell, here) if cell.tag in ("td", "th") else here)
             while at in busy:
                 at += 1
             cells[at] = inner.text().split("\n")
@@ -412,7 +519,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per row of pages: id_col, url_col (if named), text, n_lines, n_chars.
 
     Null and empty pages have the empty text. Markup that never closes, or closes twice, is repaired as
-    browsers do; whatever is not hidden is emitted. Ids may be null or repeat; other columns are ignored. An
+    browsers do; whatever is not hidden is emitted. What object, audio, video and canvas hold for browsers that cannot show
+    them is hidden. Time and text grow in proportion to the page: indentation ends at MOST_INDENT characters. Ids may be null or repeat; other columns are ignored. An
     empty table gives an empty result.
     """
     keep = [id_col] + ([url_col] if url_col else [])

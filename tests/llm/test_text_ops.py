@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,27 @@ def test_toxicity_reads_whole_tokens():
     model = toxicity.Model(channel, {"idio": 5.0}, [-4.0, 2.0, 0.0, 0.0, 0.0])
     assert model.score(" ".join(said)) > 0.9 and model.score(said) > 0.9 and model.score("世界" * 30 + "idiot") > 0.9
     assert model.score("whenyoucomeoverhere" * 5) < 0.1
+
+
+@pytest.mark.parametrize("page", [
+    "<ul><li>" * 2000 + "x<br>" * 2000, '<a "' * 16000, '<a "' * 16000 + "'>", "<a \"'" * 12000 + ">", "<a " * 22000, "</1" * 22000, "<ul><li>" * 8000 + "x", "<ol>" + "<li>a" * 10000,
+])
+def test_html_of_64_kb_takes_a_second_and_stays_in_proportion(page):
+    began = time.process_time()
+    text = html_to_text(page)
+    assert time.process_time() - began < 1 and len(text) <= 16 * len(page)
+    assert text.count("x") == (page.count("x") if "x<br>" in page else text.count("x"))
+
+
+def test_html_lists_keep_their_markers_and_lines():
+    assert html_to_text("<ol start=9><li>a<br><br>b<ul><li>c<p>d</p><li></ul><li><ul><li>e</ul></ol>z") == "9. a\n   b\n   - c\n     d\n   -\n10. - e\n\nz"
+    assert html_to_text("p<ul><li><p>a</p><table><tr><td>1<td>2</table></ul>") == "p\n\n- a\n  1  2"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p style="--x-display: none">a</p>', "a"), ("<p style=\"content:'display:none'\">a</p>", "a"), ('<p style="DISPLAY : none !important">a</p>x', "x"), ('<p style="color:red;/* x */display:none">a</p>y', "y"),
+    ('<div style="visibility:hidden">a<b style="visibility: visible">b</b></div>c', "b\nc"), ('<ul style="visibility:hidden"><li>a<li style="visibility:visible">b</ul>', "- b"),
+    ('<table style="visibility:hidden"><tr><td>a<td style="visibility:visible">b</table>', "b"), ("<video>no</video>yes", "yes"),
+])
+def test_html_styles(page, text):
+    assert html_to_text(page).strip() == text
