@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,38 +46,46 @@ def _plain(keyword: str) -> str:
     return "".join(keyword.split()).lower()
 
 
+#: What parts buckets, entries of a bucket and an entry's order, direction and word: no keyword has them, as they are white space.
+_BUCKET, _ENTRY, _PART = "\x1e", "\x1d", "\x1c"
+
+
+def _entries(buckets: list[list[tuple]]) -> Column:
+    """The buckets as a constant array of texts, made of one literal."""
+    return F.split(F.lit(_BUCKET.join(_ENTRY.join(_PART.join(map(str, e)) for e in b) for b in buckets)), _BUCKET)
+
+
 def _bucket_entries(table: Column, buckets: int, size: int) -> Column:
     """The entries of the buckets of all runs of size characters of _t; null for a shorter text."""
     places = F.when(F.length("_t") >= size, F.sequence(F.lit(1), F.length("_t") - (size - 1)))
     grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_t"), i, F.lit(size))))
-    return F.flatten(F.transform(grams, lambda g: F.get(table, (F.crc32(g.cast("binary")) % buckets).cast("int"))))
+    hit = F.filter(F.transform(grams, lambda g: F.get(table, (F.crc32(g.cast("binary")) % buckets).cast("int"))), lambda b: b != "")
+    return F.flatten(F.transform(hit, lambda b: F.split(b, _ENTRY)))
 
 
-def classify_by_index(df: DataFrame, rules: list[dict], text: Column, direction: Column, value, name: str = "_rule") -> DataFrame:
-    """df with the first matching rule's value by one scan of the text, whatever the number of rules.
+def classify_by_index(df: DataFrame, rules: list[dict], text: Column, direction: Column, schema: str, name: str = "_rule") -> DataFrame:
+    """df with the first matching rule's fields (schema) by one scan of the text, whatever the number of rules.
 
     The two characters at each place of the text are looked up in a table of buckets (a constant array, at the place that
     their checksum gives), which holds the keywords that begin with them. Only those are searched for. The result is
-    that of classify_by_case.
+    that of classify_by_case: the rules and what they give are two literals of the plan.
     """
     ordered = sorted(rules, key=lambda r: (r["priority"], r["pos"]))
-    words = [(n, _plain(k), r["direction"] or None) for n, r in enumerate(ordered) for k in r["keywords"]]
-    always = [(n, "", r["direction"] or None) for n, r in enumerate(ordered) if not r["keywords"]] + [w for w in words if not w[1]]
-    kind = "array<struct<n: int, w: string, d: string>>"
-    listed = lambda entries: F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w"), F.lit(d).cast("string").alias("d")) for n, w, d in entries]).cast(kind)
-    found = [listed(always)]
+    words = [(n, r["direction"] or "", _plain(k)) for n, r in enumerate(ordered) for k in r["keywords"]]
+    always = [(n, r["direction"] or "", "") for n, r in enumerate(ordered) if not r["keywords"]] + [w for w in words if not w[2]]
+    found = [F.split(F.lit(_ENTRY.join(_PART.join(map(str, e)) for e in always)), _ENTRY)] if always else []
     for size in (1, 2):
-        own = [x for x in words if x[1] and min(len(x[1]), 2) == size]
-        if not own:
-            continue
-        buckets: list[list] = [[] for _ in own]
-        for x in own:
-            buckets[zlib.crc32(x[1][:size].encode()) % len(own)].append(x)
-        hits = F.coalesce(_bucket_entries(F.array(*map(listed, buckets)), len(own), size), F.array().cast(kind))
-        found.append(F.filter(hits, lambda e: F.contains(F.col("_t"), e["w"])))
-    fits = F.filter(F.concat(*found), lambda e: F.coalesce(e["d"] == F.col("_dir"), e["d"].isNull()))
-    best = F.array_min(F.transform(fits, lambda e: e["n"]))
-    return df.withColumns({"_t": text, "_dir": direction}).withColumn("_best", best).withColumn(name, F.get(F.array(*map(value, ordered)), F.col("_best"))).drop("_t", "_dir", "_best")
+        own = [x for x in words if x[2] and min(len(x[2]), 2) == size]
+        if own:
+            buckets: list[list] = [[] for _ in own]
+            for x in own:
+                buckets[zlib.crc32(x[2][:size].encode()) % len(own)].append(x)
+            found.append(F.coalesce(_bucket_entries(_entries(buckets), len(own), size), F.array().cast("array<string>")))
+    parts = F.transform(F.concat(*found) if found else F.array().cast("array<string>"), lambda e: F.split(e, _PART))
+    fits = F.filter(parts, lambda e: ((e[1] == "") | F.coalesce(e[1] == F.col("_dir"), F.lit(False))) & F.contains(F.col("_t"), e[2]))
+    best = F.array_min(F.transform(fits, lambda e: e[0].cast("int")))
+    given = F.split(F.lit(_BUCKET.join(json.dumps(r, ensure_ascii=False) for r in ordered)), _BUCKET)
+    return df.withColumns({"_t": text, "_dir": direction}).withColumn("_best", best).withColumn(name, F.from_json(F.get(given, F.col("_best")), f"struct<{schema}>")).drop("_t", "_dir", "_best")
 
 
 def classify(df: DataFrame, rules: list[Rule] = CATEGORY_RULES, defaults: list[Rule] = DEFAULTS) -> DataFrame:
@@ -90,7 +99,10 @@ def classify(df: DataFrame, rules: list[Rule] = CATEGORY_RULES, defaults: list[R
         return F.struct(*[(F.array(*[F.lit(t) for t in r[c]]).cast("array<string>") if c == "tags" else F.lit(r[c])).alias("classification_confidence" if c == "confidence" else c) for c in RULE_COLUMNS])
 
     if sum(len(r["keywords"]) for r in every) > CHAINED:
-        ruled = classify_by_index(df, every, rule_text(df), F.col("direction"), value)
+        kinds = {str: "string", float: "double", bool: "boolean", tuple: "array<string>"}
+        named = [{**r, "classification_confidence": float(r["confidence"])} for r in every]
+        names = ["classification_confidence" if c == "confidence" else c for c in RULE_COLUMNS]
+        ruled = classify_by_index(df, named, rule_text(df), F.col("direction"), ", ".join(f"{c}: {kinds[type(named[0][c])]}" for c in names))
     else:
         ruled = df.withColumn("_rule", classify_by_case(df, every, rule_text(df), F.col("direction"), value))
     return ruled.select("*", "_rule.*").drop("_rule")

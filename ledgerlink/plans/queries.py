@@ -69,9 +69,16 @@ class Layers(Fixtures):
     def links(self) -> DataFrame:
         return link.link_orders_payments(self.order_facts, facts.eligible_payments(self.payment_facts))
 
+    @cached_property
+    def stored_links(self) -> DataFrame:
+        """The links as a stored layer, from which the ledger and the reports are made."""
+        path = scratch_path(self.spark, "links")
+        self.links.write.parquet(path)
+        return self.spark.read.schema(self.links.schema).parquet(path)
+
     @cached_property
     def entries(self) -> DataFrame:
-        return ledger.build_ledger(self.all_facts, self.links, self.order_facts, FIXTURE_RULES)
+        return ledger.build_ledger(self.all_facts, self.stored_links, self.order_facts, FIXTURE_RULES)
 
 
 def query(key: str, sql: str | None = None, doubles: str = "", views: Callable[[str], str] = with_views):
@@ -516,7 +523,7 @@ from f_all f left join (
   select id, count(*) as n, max(score) as best, arg_min(link_id, (-score, order_pos, rank)) as best_link_id
   from (select order_id as id, score, link_id, order_pos, rank from d_links union all select payment_id, score, link_id, order_pos, rank from d_links) group by id) l on f.fact_id = l.id""")
 def _(x):
-    s = link.link_status(x.all_facts, x.links)
+    s = link.link_status(x.all_facts, x.stored_links)
     return s.select("fact_id", c("n_partners").alias("n"), "best_score", "best_link_id", "link_status")
 
 
@@ -531,12 +538,12 @@ def _(x):
 
 @query("order_members", "select l.payment_id as fact_id, l.order_id, 'o' || l.order_pos as record, o.merchant || ' - ' || o.title || ' - ' || o.summary as text, l.score from d_links l join f_orders o on l.order_id = o.fact_id where score >= 85")
 def _(x):
-    return ledger.order_members(x.links, x.order_facts).select("fact_id", "order_id", "record", "text", "score")
+    return ledger.order_members(x.stored_links, x.order_facts).select("fact_id", "order_id", "record", "text", "score")
 
 
 @query("enrich_with_orders", "select fact_id, matched_order, linked_order_ids, linked_order_record_ids, item_or_service, order_detail_summary, order_count from d_enriched")
 def _(x):
-    e = ledger.with_order_lists(ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.links, x.order_facts), ledger.order_members(x.links, x.order_facts))
+    e = ledger.with_order_lists(ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.stored_links, x.order_facts), ledger.order_members(x.stored_links, x.order_facts))
     return e.select("fact_id", "matched_order", joined("linked_order_ids"), joined("linked_order_record_ids"), "item_or_service", "order_detail_summary", c("order_count").cast("long").alias("order_count"))
 
 
@@ -581,13 +588,13 @@ def _(x):
 
 @query("unmatched_orders", "select fact_id from f_orders where fact_id not in (select unnest(string_split(linked_order_ids, ',')) from d_enriched where linked_order_ids <> '')")
 def _(x):
-    e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.links, x.order_facts)
-    return ledger.unmatched_orders(x.order_facts, e, ledger.order_members(x.links, x.order_facts)).select("fact_id")
+    e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.stored_links, x.order_facts)
+    return ledger.unmatched_orders(x.order_facts, e, ledger.order_members(x.stored_links, x.order_facts)).select("fact_id")
 
 
 @query("classify_with_order_text", "select fact_id, category_lv1, category_lv2, summary from d_ledger")
 def _(x):
-    e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.links, x.order_facts)
+    e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.stored_links, x.order_facts)
     return ledger.classify_with_order_text(e, FIXTURE_RULES).select("fact_id", "category_lv1", "category_lv2", "summary")
 
 
@@ -649,8 +656,8 @@ def _(x):
 select (select count(*) from f_all) as input_facts, (select count(*) from d_links) as input_links, count(*) as bank_source_facts, count(*) filter (matched_order) as matched_order_entries,
        (select count(*) from f_orders) as order_source_facts, (select count(*) from f_orders where fact_id not in (select order_id from d_links where score >= 85)) as unmatched_order_facts from d_enriched""")
 def _(x):
-    e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.links, x.order_facts)
-    return ledger.ledger_stats(x.all_facts, x.links, x.order_facts, e)
+    e = ledger.enrich_with_orders(facts.ledger_source_facts(x.all_facts), x.stored_links, x.order_facts)
+    return ledger.ledger_stats(x.all_facts, x.stored_links, x.order_facts, e)
 
 
 @query("ingest_stats", "select lower(regexp_extract(path, '\\.([^./]*)$', 1)) as suffix, count(*) as seen, count(*) filter (status <> 'success') as failed from (select status, unnest(output_files) as path from fx_manifest) group by 1")
@@ -823,7 +830,7 @@ from f_all f left join (select id, max(score) as best from (select order_id as i
     _metric("rows", "'rows'", "count(*)", "from s"), _metric("order_status", "link_status", "count(*)", "from s where fact_type = 'order_purchase' group by link_status"),
     _metric("strength", "match_strength", "count(*)", "from d_links group by match_strength"), _metric("links", "'links'", "count(*)", "from d_links")]), doubles="value")
 def _(x):
-    return quality.fact_quality(link.link_status(x.all_facts, x.links), x.links)
+    return quality.fact_quality(link.link_status(x.all_facts, x.stored_links), x.stored_links)
 
 
 @query("candidate_review", f"select {LINKS} from d_links where match_strength = 'candidate' order by order_pos, rank limit 50")
@@ -851,7 +858,7 @@ select 'overview' as sheet, source_type || ' ' || link_status as id, count(*) as
 union all select 'unmatched_orders', fact_id, 1 from s where link_status = 'unmatched' union all select 'orders', fact_id, 1 from s where source_type = 'platform_order'
 union all select 'outgoing', fact_id, 1 from s where source_type = 'bank_transaction' and direction = 'outflow' union all select 'facts', fact_id, 1 from s""")
 def _(x):
-    tables = review.match_review_tables(link.link_status(x.all_facts, x.links), x.links)
+    tables = review.match_review_tables(link.link_status(x.all_facts, x.stored_links), x.stored_links)
     out = None
     for name, df in tables.items():
         own = F.concat_ws(" ", "source_type", "link_status") if name == "overview" else c("link_id") if name in ("linked", "candidates") else c("fact_id")

@@ -16,7 +16,7 @@ def texts(spark, rng, words, n=300):
 
 def both(df, table):
     chain = df.withColumn("_rule", rules.classify_by_case(df, table, rules.rule_text(df), F.col("direction"), lambda r: F.lit(r["category"])))
-    index = rules.classify_by_index(df, table, rules.rule_text(df), F.col("direction"), lambda r: F.lit(r["category"]))
+    index = rules.classify_by_index(df, table, rules.rule_text(df), F.col("direction"), "category: string").withColumn("_rule", F.col("_rule.category"))
     assert Counter(map(tuple, chain.collect())) == Counter(map(tuple, index.collect()))
 
 
