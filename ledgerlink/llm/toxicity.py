@@ -25,7 +25,7 @@ from .common import cut
 
 TRAIN_ROWS = 15_000
 #: Words whose scores a worker keeps; longer ones than CACHED_LENGTH are scored each time, so that the cache stays small.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 CACHED_LENGTH = 80
 MIN_WEIGHT = 1.5
 #: A feature counts if this share of the toxic documents of the sample has it, and three of them. So there are at
