@@ -1,6 +1,7 @@
 """The order fold against a plain model over all permutations, and properties of both dedupes."""
 
 import random
+from collections import Counter
 from itertools import permutations
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlink.operators.dedupe import bank_members, capture_members, dedupe_bank, dedupe_orders
 from ledgerlink.sources.records import union_sources
 from ledgerlink.plans.fixtures import Fixtures
+from ledgerlink.plans.queries import SQL
 
 FIELDS = ["order_id", "order_time", "merchant", "title", "paid_amount"]
 
@@ -123,3 +125,25 @@ def test_bank_dedupe_equals_sequential_merging(spark):
     assert dedupe_bank(df.unionByName(df)).count() == len(want)  # rows that share a position are one source's place, each counted
     plan = dedupe_bank(df)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "partial_min" in plan
+
+
+def test_sources_are_listed_in_the_order_of_the_record(spark, monkeypatch):
+    monkeypatch.setattr("ledgerlink.operators.dedupe.RUN", 7)
+    rng = random.Random(4)
+    rows = [(pos, "jd", f"o{rng.choice([0, 0, rng.randrange(5)])}", rng.choice(["", "t1", "t2"]), rng.random() < 0.6, rng.choice([0.5, 0.7, 0.9])) for pos in rng.sample(range(1000), 120)]
+    df = spark.createDataFrame(rows, "pos long, platform string, order_id string, title string, is_partial boolean, confidence double").repartition(4)
+    groups = {}
+    for pos, _, key, title, p, conf in sorted(rows):
+        b = ((not p, conf, {f for f, v in (("order_id", key), ("title", title)) if v}), [pos])
+        a = groups.get(key)
+        better = a and (b[0][0], b[0][1], len(b[0][2])) > (a[0][0], a[0][1], len(a[0][2]))
+        groups[key] = b if a is None else ((a[0][0] or b[0][0], max(a[0][1], b[0][1]), a[0][2] | b[0][2]), b[1] + a[1] if better else a[1] + b[1])
+    for most in (1_000_000, 20):
+        got = dedupe_orders(df, most=most, sources=True)
+        assert {r.order_id: r.sources for r in got.collect()} == {k: v for k, (_, v) in groups.items()}
+        plain = dedupe_orders(df, most=most)
+        assert Counter(map(str, got.drop("sources").collect())) == Counter(map(str, plain.collect()))
+
+
+def test_dedupe_orders_returns_its_sources():
+    assert "sources" in SQL["dedupe_orders"]
