@@ -243,3 +243,53 @@ def test_attention_trains_on_every_window_once(spark, monkeypatch):
     lm = attention_lm.LanguageModel(spark.createDataFrame(docs, "doc_id long, text string"), BPE, F.lit(True))
     assert lm.n == 50 * 121 + 1 + 24 + 25
     assert seen.value == 50 * 6 + 1 + 1 + 2
+
+
+def small_tree(rng, size=200):
+    counts = rng.integers(0, 50, size)
+    return attention_lm.Tree(attention_lm.Subwords(counts, rng.integers(0, 2, size).astype(bool), 3).cls, counts)
+
+
+def test_ids_have_gradients_and_sum_to_one():
+    rng = np.random.default_rng(1)
+    tree = small_tree(rng)
+    m = {n: p.astype(np.float64) for n, p in (attention_lm.initial(np.full(attention_lm.CLASSES, 1 / attention_lm.CLASSES)) | tree.tables()).items()}
+    m |= {n: rng.standard_normal(m[n].shape) * 0.3 for n in attention_lm.TABLES} | {"tree": tree}
+    windows, _, _ = attention_lm.windows_of([rng.integers(0, tree.end + 1, n) for n in (7, 60)], tree.begin, tree.pad, tree.kind)
+    real = windows[:, attention_lm.FIRST + 1 :] <= tree.end
+    loss = lambda: -attention_lm.log_probs(m, windows)[real].mean()
+    g = attention_lm.gradients(m, windows)
+    for n in (*attention_lm.NAMES, *attention_lm.TABLES):
+        for _ in range(4):
+            k = rng.integers(0, len(g[n][0])) if n in attention_lm.TABLES else None
+            at = tuple(rng.integers(0, s) for s in m[n].shape) if k is None else (g[n][0][k], rng.integers(0, attention_lm.DIM))
+            given = g[n][at] if k is None else g[n][1][k, at[1]]
+            m[n][at] += 1e-4
+            up = loss()
+            m[n][at] -= 2e-4
+            down = loss()
+            m[n][at] += 1e-4
+            assert abs((up - down) / 2e-4 - given) < 1e-5
+    past = rng.integers(0, tree.end, 40)
+    longer = sum(10 ** float(attention_lm.sums(m, [np.append(past, i)])[0]) for i in range(tree.end + 1))
+    assert abs(longer / 10 ** float(attention_lm.sums(m, [past])[0]) - 1) < 1e-4
+
+
+def test_scores_know_which_id_of_a_class_follows(spark):
+    rng = random.Random(5)
+    many = [w for w in (f"{a}{b}" for a in ("sun", "sea", "rock", "rain", "road", "moon", "fire", "wind") for b in ("", "s", "y", "ed", "er", "ing", "light", "side", "man", "way"))]
+    follow = dict(zip(many, rng.sample(many, len(many)), strict=True))
+
+    def text(real: bool) -> str:
+        out = []
+        for _ in range(30):
+            w = rng.choice(many)
+            out += [w, follow[w] if real else follow[rng.choice(many)]]
+        return " ".join(out)
+
+    docs = [(i, text(i % 20 != 10)) for i in range(3000)]  # those of i % 10 == 0 are held out, every second one with other pairs
+    frame, training = spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") % 10 != 0
+    got = {r.doc_id: r for r in attention_lm.score_documents(frame, BPE, training).collect()}
+    classes = {r.doc_id: r for r in attention_lm.LanguageModel(frame, BPE, training).scores().collect()}
+    mean = lambda of, k: sum(of[i].score for i, _ in docs if i % 20 == k) / 150
+    assert mean(got, 0) > mean(got, 10) + 5 and mean(got, 0) > mean(classes, 0) + 5
