@@ -38,6 +38,8 @@ CACHE_UNITS = 150_000
 DOCUMENTS = 1000
 #: Text of a shard, which one task holds: the number of shards follows the corpus.
 SHARD_BYTES = 5 << 20
+#: Text of a shard that becomes ids at a time.
+SLICE_BYTES = 1 << 20
 #: Cut points of a unit are bits of a long; longer units fold in Python over the same edges.
 LONGEST = 60
 #: Units of a partition while their lattices are built: a unit has some twenty edges, which are sorted in memory.
@@ -280,22 +282,27 @@ def edges_of(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts:
 def lattice(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
     """(h, unit, n, edges) of units up to LONGEST: edges packed as longs (rank, start, end, id), so that they sort by rank, then start."""
     packed = F.expr("shiftleft(cast(rank as bigint), 29) + shiftleft(cast(s as bigint), 23) + shiftleft(cast(e as bigint), 17) + id")
-    return edges_of(distinct, pieces, longest_piece, parts).groupBy("h", "unit", "n").agg(F.array_sort(F.collect_list(packed)).alias("edges"))
+    return edges_of(distinct, pieces, longest_piece, parts).groupBy("h", "unit", "n").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
 
 
 def folded(lat: DataFrame) -> DataFrame:
-    """(h, unit, n, kept) of units up to LONGEST: the edges (s, e, id) of the final pieces, in order.
+    """(h, unit, n, kept) of units up to LONGEST: the edges (s, id) of the final pieces, in order, packed as longs.
 
     One higher-order aggregate over the edges in order of merge rank, then place: a merge is done if both its
     ends are cut points with a single one between them, which it removes. A merge that is done never makes a
     better-ranked one possible: that piece was learnt earlier, from the same characters, and so was merged
-    before or is cut by another; one pass in order is the whole procedure.
+    before or is cut by another; one pass in order is the whole procedure. The cut points before the end of an
+    edge are b % 2 ** end, and those from its start on b >> start: two of them are a merge, one is a piece.
     """
-    spans = "transform(edges, x -> named_struct('ends', shiftleft(1L, cast(shiftright(x, 23) & 63 as int)) | shiftleft(1L, cast(shiftright(x, 17) & 63 as int)), 'mid', shiftleft(1L, cast(shiftright(x, 17) & 63 as int)) - shiftleft(1L, cast(shiftright(x, 23) & 63 as int) + 1), 's', cast(shiftright(x, 23) & 63 as int), 'id', cast(x & 131071 as int)))"
-    df = lat.select("h", "unit", "n", F.expr(spans).alias("spans"))
-    cuts = F.expr("aggregate(filter(spans, x -> x.mid <> 0), shiftleft(1L, length(unit) + 1) - 1, (b, x) -> if((b & x.ends) = x.ends AND bit_count(b & x.mid) = 1, b & ~x.mid, b))")
-    df = df.select("h", "unit", "n", "spans", cuts.alias("cuts"))
-    return df.select("h", "unit", "n", F.expr("array_sort(transform(filter(spans, x -> (cuts & x.ends) = x.ends AND (cuts & x.mid) = 0), x -> named_struct('s', x.s, 'id', x.id)))").alias("kept"))
+    start, end = "cast(shiftright(x, 23) & 63 as int)", "cast(shiftright(x, 17) & 63 as int)"
+    inner = f"shiftright(b & (shiftleft(1L, {end} + 1) - 1), {start})"  # the cut points from start to end
+    whole = f"shiftleft(1L, {end} - {start}) + 1"  # both ends
+    ends = f"(shiftleft(1L, {end}) | shiftleft(1L, {start}))"
+    mid = f"(shiftleft(1L, {end}) - shiftleft(1L, {start} + 1))"
+    cuts = F.expr(f"aggregate(edges, shiftleft(1L, length(unit) + 1) - 1, (b, x) -> if(bit_count({inner}) = 3 AND ({inner} & ({whole})) = {whole}, b & ~{mid}, b))")
+    df = lat.select("h", "unit", "n", "edges", cuts.alias("b"))
+    # b stands twice here, so that it is not put in place of its name and worked out for every edge
+    return df.select("h", "unit", "n", F.expr(f"sort_array(transform(filter(edges, x -> (b & {ends}) = {ends} AND (b & {mid}) = 0), x -> shiftleft(shiftright(x, 23) & 63, 17) | (x & 131071)))").alias("kept"))
 
 
 def scored(distinct: DataFrame, pieces: DataFrame, longest_piece: int, parts: int) -> DataFrame:
@@ -325,9 +332,13 @@ def viterbi(lat: DataFrame) -> DataFrame:
 
 def with_bytes(df: DataFrame, first_byte: int) -> DataFrame:
     """ids of the kept edges; a character without a piece becomes the ids of its UTF-8 bytes."""
-    hexed = "hex(encode(substring(unit, x.s + 1, 1), 'UTF-8'))"
+    if dict(df.dtypes)["kept"] == "array<bigint>":
+        s, i, none = "cast(shiftright(x, 17) as int)", "cast(x & 131071 as int)", f"exists(kept, x -> (x & 131071) = {UNKNOWN})"
+    else:
+        s, i, none = "x.s", "x.id", f"exists(kept, x -> x.id = {UNKNOWN})"
+    hexed = f"hex(encode(substring(unit, {s} + 1, 1), 'UTF-8'))"
     byte_ids = f"transform(sequence(1, length({hexed}), 2), k -> cast(conv(substring({hexed}, k, 2), 16, 10) as int) + {first_byte})"
-    return df.select("h", "unit", "n", F.expr(f"flatten(transform(kept, x -> if(x.id <> {UNKNOWN}, array(x.id), {byte_ids})))").alias("ids"))
+    return df.select("h", "unit", "n", F.expr(f"if({none}, flatten(transform(kept, x -> if({i} <> {UNKNOWN}, array({i}), {byte_ids}))), transform(kept, x -> {i}))").alias("ids"))
 
 
 def best_long(unit: str, edges: list[dict], first_byte: int) -> list[int]:
@@ -506,6 +517,11 @@ class Encoding:
         def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             common, rare = frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob))
             names, given = zip(*unpack(left.column("blob").to_pylist()), strict=True)
+            ends = np.cumsum([len(t) for t in given]) // SLICE_BYTES
+            at = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(given)]
+            return pa.concat_tables([put_together(common, rare, names[a:z], given[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)])
+
+        def put_together(common: Common, rare: dict, names: tuple, given: tuple) -> pa.Table:
             texts = [t.decode("utf-8", "replace") for t in given]
             units = Units(texts, pairs)
             # ids of the distinct units: the frequent ones stand in an array already, the others behind them

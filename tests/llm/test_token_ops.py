@@ -293,3 +293,12 @@ def test_scores_know_which_id_of_a_class_follows(spark):
     classes = {r.doc_id: r for r in attention_lm.LanguageModel(frame, BPE, training).scores().collect()}
     mean = lambda of, k: sum(of[i].score for i, _ in docs if i % 20 == k) / 150
     assert mean(got, 0) > mean(got, 10) + 5 and mean(got, 0) > mean(classes, 0) + 5
+
+
+def test_a_shard_becomes_ids_in_slices(spark, monkeypatch):
+    monkeypatch.setattr("ledgerlink.llm.sp_lattice.SLICE_BYTES", 300)
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["sun", "  two", "überall", "世界", "x\n", "unbelievable", "\U0001f600", f"w{i}"]) for _ in range(rng.choice([0, 1, 5, 40, 200])))) for i in range(60)] + [(90, None)]
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r.ids for r in Encoding(spark.createDataFrame(docs, "doc_id long, text string"), public_tokenizers.path("piece_bpe_32k.model")).documents().collect()}
+    assert got == {i: m.encode(t or "") for i, t in docs}
