@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, gathered, written
 from .repeats import pack, unpack
 from .word_hashes import BLOCK, hashed_runs, places
 
@@ -36,6 +36,8 @@ FREQUENT = 300_000
 CACHE_UNITS = 150_000
 #: Documents whose words are read at a time.
 DOCUMENTS = 1000
+#: Rare units of a task that are packed together.
+PACKED_UNITS = 10_000
 #: Text of a shard, which one task holds: the number of shards follows the corpus.
 SHARD_BYTES = 5 << 20
 #: Text of a shard that becomes ids at a time.
@@ -580,8 +582,8 @@ def _packed_texts(batches):
 
 
 def _packed_units(batches):
-    """Units and their ids by shard, a blob for each shard of a batch."""
-    for b in batches:
+    """Units and their ids by shard, a blob for each shard among PACKED_UNITS rows."""
+    for b in gathered(batches, PACKED_UNITS):
         order = np.argsort(b.column(0).to_numpy(), kind="stable")
         b = b.take(pa.array(order))
         shards = b.column(0).to_numpy()

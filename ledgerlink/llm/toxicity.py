@@ -27,6 +27,8 @@ TRAIN_ROWS = 15_000
 #: Words whose scores a worker keeps; longer ones than CACHED_LENGTH are scored each time, so that the cache stays small.
 CACHE_WORDS = 150_000
 CACHED_LENGTH = 80
+#: Distinct tokens of a task that are counted together.
+COUNTED_WORDS = 200_000
 MIN_WEIGHT = 1.5
 #: A feature counts if this share of the toxic documents of the sample has it, and three of them. So there are at
 #: most as many features as a document has on average, divided by this share.
@@ -241,18 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fit = sample.filter(~F.col("curve"))
 
     def letters(batches):
+        words: Counter = Counter()
         for b in batches:
-            words: Counter = Counter()
             for text in b.column(0).to_pylist():
                 words.update(text.lower().split())
-            n: Counter = Counter()
-            for token, times in words.items():
-                w = words_of(token)
-                if w.isalpha():
-                    w = f"^^{w}$"
-                    for i in range(len(w) - 2):
-                        n[w[i : i + 3]] += times
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+                if len(words) > COUNTED_WORDS:
+                    yield _grams(words)
+                    words = Counter()
+        yield _grams(words)
 
     grams = slim.select("text").mapInArrow(letters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     channel = Channel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()})
@@ -304,6 +302,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
+def _grams(words: Counter) -> pa.RecordBatch:
+    n: Counter = Counter()
+    for token, times in words.items():
+        w = words_of(token)
+        if w.isalpha():
+            w = f"^^{w}$"
+            for i in range(len(w) - 2):
+                n[w[i : i + 3]] += times
+    return pa.RecordBatch.from_pydict({"gram": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+
+
 def _counted(n: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"feature": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
