@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def release() -> None:
+    """Give memory that this process doesn't need any more back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """The function of mapInArrow f; after its last batch the worker, which goes on with other tasks, is made small again."""
+
+    def of(batches):
+        yield from f(batches)
+        release()
+
+    return of
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of this number of rows at least, but for the last one."""
     held, n = [], 0

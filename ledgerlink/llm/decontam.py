@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A-Z to a-z; ASCII that is not a letter or digit to a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -103,7 +105,7 @@ def _clean(docs, items, at, window):
                 keep.append(not words or not ids or next(automaton.iter(tuple([known(w, 0) for w in words])), None) is None)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(lean(of), docs.schema)
 
 
 def _scan(docs, items, window):

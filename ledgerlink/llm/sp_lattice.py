@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, written
+from .common import cut, gathered, lean, release, written
 from .repeats import pack, unpack
 from .word_hashes import BLOCK, hashed_runs, places
 
@@ -459,7 +459,7 @@ class Encoding:
                     times, names, odd = {}, {}, Counter()
             yield _counts(times, names, odd)
 
-        rows = self.docs.select("text").mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+        rows = self.docs.select("text").mapInArrow(lean(counted), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
         self.counts = written(rows, "sp-units", compression="zstd")
         self.longest_unit = self.counts.agg(F.max(F.length("unit"))).first()[0] or 0
         self.common = self._common()
@@ -514,14 +514,16 @@ class Encoding:
                 yield pa.RecordBatch.from_arrays([pa.array(rare_names, pa.string()), pa.array(shards_of, pa.int32())], ["unit", "shard"])
 
         rare = self.encoded(self.counts.filter(~self.common))
-        found = texts.mapInArrow(rare_units, "unit string, shard int").join(rare, "unit").select("shard", "unit", "ids").mapInArrow(_packed_units, "shard int, blob binary")
+        found = texts.mapInArrow(lean(rare_units), "unit string, shard int").join(rare, "unit").select("shard", "unit", "ids").mapInArrow(lean(_packed_units), "shard int, blob binary")
 
         def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             common, rare = frequent.value, dict(x for blob in right.column("blob").to_pylist() for x in _unpacked(blob))
             names, given = zip(*unpack(left.column("blob").to_pylist()), strict=True)
             ends = np.cumsum([len(t) for t in given]) // SLICE_BYTES
             at = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(given)]
-            return pa.concat_tables([put_together(common, rare, names[a:z], given[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)])
+            out = pa.concat_tables([put_together(common, rare, names[a:z], given[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)])
+            release()
+            return out
 
         def put_together(common: Common, rare: dict, names: tuple, given: tuple) -> pa.Table:
             texts = [t.decode("utf-8", "replace") for t in given]
@@ -557,7 +559,7 @@ class Encoding:
             out = {"id": pa.array(names, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), "round_trip": pa.array(same, pa.bool_())}
             return pa.table(out | ({"decoded": pa.array(back, pa.string())} if decoded else {}))
 
-        packed = texts.mapInArrow(_packed_texts, "shard int, blob binary")
+        packed = texts.mapInArrow(lean(_packed_texts), "shard int, blob binary")
         schema = "id long, ids array<int>, round_trip boolean" + ", decoded string" * decoded
         return packed.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(assemble, schema).withColumnRenamed("id", self.id_col)
 

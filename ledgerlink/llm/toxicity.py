@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 TRAIN_ROWS = 15_000
 #: Words whose scores a worker keeps; longer ones than CACHED_LENGTH are scored each time, so that the cache stays small.
@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     words = Counter()
         yield _grams(words)
 
-    grams = slim.select("text").mapInArrow(letters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = slim.select("text").mapInArrow(lean(letters), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     channel = Channel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()})
 
     def toxic_features(batches):
@@ -274,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         p = (n1 + 1) / (n1 + n0 + 2)
         return Model(channel, {}, [math.log(p / (1 - p)), 0.0, 0.0, 0.0, 0.0])
     toxic = (
-        fit.filter("label = 1").select("text").mapInArrow(toxic_features, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        fit.filter("label = 1").select("text").mapInArrow(lean(toxic_features), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= max(3, round(LEAST_SHARE * n1))).orderBy("feature").collect()
     )
     names = [r.feature for r in toxic]
@@ -288,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 n[list(here)] += 1
         yield pa.RecordBatch.from_pydict({"i": np.flatnonzero(n), "n": n[n > 0]})
 
-    clean = {r.i: r.n for r in fit.filter("label = 0").select("text").mapInArrow(clean_features, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    clean = {r.i: r.n for r in fit.filter("label = 0").select("text").mapInArrow(lean(clean_features), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     weights = {r.feature: math.log((r.n + 0.5) / (n1 + 1)) - math.log((clean.get(i, 0) + 0.5) / (n0 + 1)) for i, r in enumerate(toxic)}
     model = Model(channel, {f: w for f, w in weights.items() if w >= MIN_WEIGHT}, [])
 
@@ -296,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"x": pa.array([model.statistics(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), "label": b.column(1)})
 
-    seen = sample.filter("curve").select("text", "label").mapInArrow(stats, "x array<double>, label int").collect()  # a third of the sample
+    seen = sample.filter("curve").select("text", "label").mapInArrow(lean(stats), "x array<double>, label int").collect()  # a third of the sample
     x, y = np.array([r.x for r in seen]).reshape(-1, 5), np.array([r.label for r in seen], float)
     model.curve = logistic(x, y) if len(y) else [math.log(n1 / n0), 0.0, 0.0, 0.0, 0.0]
     return model
@@ -334,7 +334,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     return (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(of, "id long, score double")
+        .mapInArrow(lean(of), "id long, score double")
         .select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
     )
 
@@ -348,7 +348,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         for b in batches:
             yield b.filter(pa.array([m.score(t or "") < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(lean(of), docs.schema)
 
 
 def in_held_out(id_col: str = "doc_id") -> Column:
